@@ -246,7 +246,7 @@ GROUP BY l_partkey, l_suppkey"""
 def _warehouse_dispatch(d: Dialect) -> str:
     return """
 SELECT l_orderkey * 10 + l_linenumber AS dispatch_id, l_orderkey AS order_id,
-       l_quantity AS dispatch_time_hours, 24.0 AS sla_target_hours,
+       l_suppkey AS warehouse_id, l_quantity AS dispatch_time_hours, 24.0 AS sla_target_hours,
        CASE WHEN l_quantity <= 24.0 THEN 'ON_TIME' ELSE 'DELAYED' END AS status
 FROM {lineitem}"""
 
