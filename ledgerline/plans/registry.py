@@ -46,3 +46,18 @@ _reg("weighted_pipeline", lambda t: V.weighted_pipeline(t.opportunities), ORACLE
 _reg("funnel_conversion", lambda t: V.funnel_conversion(t.campaign_events), ORACLE_VIEWS)
 _reg("cohort_retention", lambda t: V.cohort_retention(t.campaign_events), ORACLE_VIEWS)
 _reg("energy_billing", lambda t: V.energy_billing(t.billing_events), ORACLE_VIEWS)
+
+# C: formulas applied to whole tables
+from ..operators import formula_queries as C  # noqa: E402
+from .oracle_formulas import ORACLE as ORACLE_FORMULAS  # noqa: E402
+
+_reg("stage_conversion_rate", lambda t: C.stage_conversion_rate(t.opportunities), ORACLE_FORMULAS)
+_reg("mask_pii", lambda t: C.mask_account_names(t.opportunities), ORACLE_FORMULAS)
+_reg("parse_telemetry", lambda t: C.parse_telemetry(t.charger_telemetry), ORACLE_FORMULAS)
+_reg("safe_temperature", lambda t: C.safe_temperature(t.charger_telemetry), ORACLE_FORMULAS)
+_reg("cac_monthly", lambda t: C.cac_monthly(t.ad_spend, t.user_acquisitions, t.campaign_events), ORACLE_FORMULAS)
+_reg("consent_filter", lambda t: C.consent_filtered_events(t.campaign_events), ORACLE_FORMULAS)
+_reg("inventory_turnover", lambda t: C.inventory_turnover(t.inventory, t.parts_catalog), ORACLE_FORMULAS)
+_reg("dispatch_sla_met", lambda t: C.dispatch_sla_met(t.warehouse_dispatch), ORACLE_FORMULAS)
+_reg("convert_currency", lambda t: C.convert_currency(t.invoices, t.exchange_rate_history), ORACLE_FORMULAS)
+_reg("pct_variance", lambda t: C.monthly_revenue_variance(t.invoices), ORACLE_FORMULAS)
