@@ -61,3 +61,31 @@ _reg("inventory_turnover", lambda t: C.inventory_turnover(t.inventory, t.parts_c
 _reg("dispatch_sla_met", lambda t: C.dispatch_sla_met(t.warehouse_dispatch), ORACLE_FORMULAS)
 _reg("convert_currency", lambda t: C.convert_currency(t.invoices, t.exchange_rate_history), ORACLE_FORMULAS)
 _reg("pct_variance", lambda t: C.monthly_revenue_variance(t.invoices), ORACLE_FORMULAS)
+
+# E: artifact catalog, audit, telemetry
+from pyspark.sql import functions as _F  # noqa: E402
+
+from ..operators import catalog as E  # noqa: E402
+from .oracle_catalog import ORACLE as ORACLE_CATALOG  # noqa: E402
+
+
+def _failed_loops(t: Tables) -> DataFrame:
+    tr = t.test_results.filter(~_F.col("passed"))
+    return tr.select(_F.concat(_F.lit("01KZZ"), _F.lpad(tr["run_id"].cast("string"), 14, "0")).alias("loop_id"))
+
+
+_reg("artifact_records", lambda t: E.artifact_records(t.artifacts), ORACLE_CATALOG)
+_reg("artifacts_for_loop", lambda t: E.artifacts_for_loops(E.artifact_records(t.artifacts), _failed_loops(t)),
+     ORACLE_CATALOG)
+_reg("artifacts_by_domain", lambda t: E.artifact_summary(E.artifact_records(t.artifacts)), ORACLE_CATALOG)
+_reg("recent_artifacts", lambda t: E.recent_artifacts(E.artifact_records(t.artifacts)), ORACLE_CATALOG)
+_reg("recent_traces", lambda t: E.recent_traces(t.session_traces), ORACLE_CATALOG)
+_reg("gate_audit", lambda t: E.gate_audit(t.session_traces), ORACLE_CATALOG)
+_reg("events_for_loop", lambda t: E.events_in_arrival_order(t.session_traces), ORACLE_CATALOG)
+_reg("health_30d", lambda t: E.health_30d(t.session_traces), ORACLE_CATALOG)
+_reg("audit_hash", lambda t: E.audit_hash(t.audit_events), ORACLE_CATALOG)
+_reg("audit_keys", lambda t: E.audit_keys(t.audit_events), ORACLE_CATALOG)
+_reg("audit_integrity", lambda t: E.audit_integrity(t.audit_events), ORACLE_CATALOG)
+_reg("id_collisions", lambda t: E.id_collisions(t.audit_events, E.artifact_records(t.artifacts)), ORACLE_CATALOG)
+_reg("token_cost", lambda t: E.token_cost(t.session_traces), ORACLE_CATALOG)
+_reg("span_stats", lambda t: E.span_stats(t.session_traces), ORACLE_CATALOG)

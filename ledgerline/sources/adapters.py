@@ -29,6 +29,19 @@ class Dialect:
         body = ", ".join(f"'{i}'" for i in items)
         return f"array({body})" if self.name == "spark" else f"[{body}]"
 
+    def str_map(self, pairs: list[tuple[str, str]]) -> str:
+        """map<string,string> from (literal key, value expression) pairs."""
+        if self.name == "spark":
+            return "map(" + ", ".join(f"'{k}', {v}" for k, v in pairs) + ")"
+        keys = ", ".join(f"'{k}'" for k, _ in pairs)
+        vals = ", ".join(v for _, v in pairs)
+        return f"map([{keys}], [{vals}])"
+
+    def ts_from_epoch_seconds(self, expr: str) -> str:
+        if self.name == "spark":
+            return f"cast(timestamp_seconds({expr}) AS timestamp_ntz)"
+        return f"make_timestamp(cast({expr} AS bigint) * 1000000)"
+
     def idiv(self, a: str, b: str) -> str:
         return f"({a} div {b})" if self.name == "spark" else f"({a} // {b})"
 
@@ -260,7 +273,7 @@ FROM {part}"""
 
 def _session_traces(d: Dialect) -> str:
     return f"""
-SELECT event_id, cast(user_id AS string) AS loop_id,
+SELECT event_id, '01KZZ' || lpad(cast(user_id AS string), 14, '0') AS loop_id,
        {_domain_of('user_id')} AS node_id,
        {_state_of(K)} AS step_name,
        'model-default' AS model_name,
@@ -284,25 +297,35 @@ FROM {{session_traces}}"""
 
 
 def _audit_events(d: Dialect) -> str:
-    payload = ("'{{\"loop_id\": \"' || loop_id || '\", \"step\": \"' || step_name || '\"}}'")
+    # Sealed audit log of the traces.  Fixture defects so that the integrity
+    # check has something to find: rows with trace_event_id % 53 = 0 are
+    # missing (seq gaps); rows with % 97 = 0 were altered after sealing
+    # (payload no longer matches stored_hash).
+    original = "'{{\"loop_id\": \"' || loop_id || '\", \"step\": \"' || step_name || '\"}}'"
+    payload = d.str_map([("loop_id", "loop_id"), ("step", "step_name")])
+    tampered = d.str_map([("loop_id", "loop_id"), ("step", "'TAMPERED'")])
     return f"""
-SELECT event_id AS trace_event_id, loop_id, node_id, step_name, ts,
-       row_number() OVER (PARTITION BY loop_id ORDER BY ts, event_id) AS seq,
-       CASE WHEN step_name IN ('GATE_H1', 'GATE_H2') THEN 'human' ELSE 'agent' END AS actor_type,
-       CASE WHEN step_name IN ('GATE_H1', 'GATE_H2') THEN 'reviewer' || loop_id || '@example.com'
-            ELSE 'sa-sdo-' || node_id || '@agents.example.com' END AS actor_email,
-       'STATE_TRANSITION' AS intent_kind,
-       {payload} AS payload_json
-FROM {{session_traces}}"""
+SELECT trace_event_id, loop_id, node_id, step_name, ts, seq, actor_type, actor_email, intent_kind,
+       CASE WHEN trace_event_id % 97 = 0 THEN {tampered} ELSE {payload} END AS payload,
+       {d.sha256(original)} AS stored_hash
+FROM (SELECT event_id AS trace_event_id, loop_id, node_id, step_name, ts,
+             row_number() OVER (PARTITION BY loop_id ORDER BY ts, event_id) AS seq,
+             CASE WHEN step_name IN ('GATE_H1', 'GATE_H2') THEN 'human' ELSE 'agent' END AS actor_type,
+             CASE WHEN step_name IN ('GATE_H1', 'GATE_H2') THEN 'reviewer' || right(loop_id, 3) || '@example.com'
+                  ELSE 'sa-sdo-' || node_id || '@agents.example.com' END AS actor_email,
+             'STATE_TRANSITION' AS intent_kind
+      FROM {{session_traces}}) AS s
+WHERE trace_event_id % 53 <> 0"""
 
 
 def _artifacts(d: Dialect) -> str:
     names = ["spec.md", "query.sql", "transform.py", "test_results.json"]
     return f"""
-SELECT doc_id, lpad(cast(doc_id AS string), 12, '0') AS loop_id,
+SELECT doc_id, '01KZZ' || lpad(cast(doc_id AS string), 14, '0') AS loop_id,
        {_domain_of('doc_id')} AS domain,
        {_case_mod('doc_id', 4, names)} AS artifact_name,
-       text AS content
+       text AS content,
+       {d.ts_from_epoch_seconds('1767225600 + doc_id * 60')} AS created_at
 FROM {{documents}}"""
 
 
