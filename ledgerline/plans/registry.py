@@ -89,3 +89,30 @@ _reg("audit_integrity", lambda t: E.audit_integrity(t.audit_events), ORACLE_CATA
 _reg("id_collisions", lambda t: E.id_collisions(t.audit_events, E.artifact_records(t.artifacts)), ORACLE_CATALOG)
 _reg("token_cost", lambda t: E.token_cost(t.session_traces), ORACLE_CATALOG)
 _reg("span_stats", lambda t: E.span_stats(t.session_traces), ORACLE_CATALOG)
+
+# F: specification / document quality checks
+from ..operators import quality as Q  # noqa: E402
+from .oracle_quality import ORACLE as ORACLE_QUALITY  # noqa: E402
+
+
+def _rule(fn):
+    def plan(t: Tables) -> DataFrame:
+        return Q.rule_report(t.specs, fn())
+    return plan
+
+
+_reg("spec_frontmatter", _rule(lambda: Q.frontmatter_violations("text")), ORACLE_QUALITY)
+_reg("spec_required_fields", _rule(lambda: Q.required_field_violations("text")), ORACLE_QUALITY)
+_reg("spec_gherkin", _rule(lambda: Q.gherkin_violations("text")), ORACLE_QUALITY)
+_reg("spec_metrics_section", _rule(lambda: Q.metrics_section_violations("text")), ORACLE_QUALITY)
+_reg("spec_prohibited_sql", _rule(lambda: Q.prohibited_sql_violations("text", "node_id")), ORACLE_QUALITY)
+_reg("spec_missing_metrics", _rule(lambda: Q.missing_metric_violations("text", "node_id")), ORACLE_QUALITY)
+_reg("tier1_violations", _rule(lambda: Q.tier1_violations("text", "node_id")), ORACLE_QUALITY)
+_reg("tier2_policy", _rule(lambda: Q.tier2_violations("text")), ORACLE_QUALITY)
+_reg("spec_harness", lambda t: Q.spec_harness(t.specs), ORACLE_QUALITY)
+_reg("acceptance_criteria", lambda t: Q.acceptance_report(t.test_results), ORACLE_QUALITY)
+_reg("review_outcome", lambda t: Q.review_outcome(t.test_results), ORACLE_QUALITY)
+_reg("forbidden_code_scan", lambda t: Q.forbidden_code_scan(t.artifacts), ORACLE_QUALITY)
+_reg("guardrail_tokens", lambda t: Q.guardrail_scan(t.conversations), ORACLE_QUALITY)
+_reg("metric_defaults", lambda t: Q.metric_defaults(t.specs), ORACLE_QUALITY)
+_reg("violation_summary", lambda t: Q.violation_summary(t.specs), ORACLE_QUALITY)
