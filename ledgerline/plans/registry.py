@@ -116,3 +116,33 @@ _reg("forbidden_code_scan", lambda t: Q.forbidden_code_scan(t.artifacts), ORACLE
 _reg("guardrail_tokens", lambda t: Q.guardrail_scan(t.conversations), ORACLE_QUALITY)
 _reg("metric_defaults", lambda t: Q.metric_defaults(t.specs), ORACLE_QUALITY)
 _reg("violation_summary", lambda t: Q.violation_summary(t.specs), ORACLE_QUALITY)
+
+# G: run scoring
+from ..operators import scoring as G  # noqa: E402
+from .oracle_scoring import ORACLE as ORACLE_SCORING  # noqa: E402
+
+
+def _sessions(t: Tables) -> DataFrame:
+    return G.harvest_sessions(t.session_traces, t.loop_events)
+
+
+def _report(t: Tables) -> DataFrame:
+    return G.flywheel_report(_sessions(t), t.conversations)
+
+
+_reg("harvest_traces", _sessions, ORACLE_SCORING)
+_reg("trajectory_score", lambda t: G.trajectory_score(_sessions(t)), ORACLE_SCORING)
+_reg("gherkin_score", lambda t: t.specs.select("doc_id", G.gherkin_score("text", "node_id").alias("gherkin_score")),
+     ORACLE_SCORING)
+_reg("skill_score", lambda t: t.specs.select("doc_id", G.skill_score("text", "node_id").alias("skill_score")),
+     ORACLE_SCORING)
+_reg("sandbox_score", lambda t: t.test_results.select(
+    "run_id", G.sandbox_score("pass_rate", "exit_code").alias("sandbox_score")), ORACLE_SCORING)
+_reg("scorecard", lambda t: G.scorecard(_sessions(t), t.specs, t.test_results), ORACLE_SCORING)
+_reg("protocol_scorecard", lambda t: G.protocol_scorecard(t.response_log), ORACLE_SCORING)
+_reg("task_success", lambda t: _report(t).select("loop_id", "task_success"), ORACLE_SCORING)
+_reg("tool_use_score", lambda t: _report(t).select("loop_id", "tool_use_quality"), ORACLE_SCORING)
+_reg("instruction_score", lambda t: _report(t).select("loop_id", "instruction_following"), ORACLE_SCORING)
+_reg("flywheel_report", _report, ORACLE_SCORING)
+_reg("loss_clusters", lambda t: G.loss_clusters(_report(t)), ORACLE_SCORING)
+_reg("suite_summary", lambda t: G.suite_summary(_report(t)), ORACLE_SCORING)
