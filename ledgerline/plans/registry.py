@@ -146,3 +146,32 @@ _reg("instruction_score", lambda t: _report(t).select("loop_id", "instruction_fo
 _reg("flywheel_report", _report, ORACLE_SCORING)
 _reg("loss_clusters", lambda t: G.loss_clusters(_report(t)), ORACLE_SCORING)
 _reg("suite_summary", lambda t: G.suite_summary(_report(t)), ORACLE_SCORING)
+
+# H: classification, identity, access
+from ..operators import access as H  # noqa: E402
+from .oracle_access import ORACLE as ORACLE_ACCESS  # noqa: E402
+
+_reg("delivery_path", lambda t: H.delivery_path(t.briefs), ORACLE_ACCESS)
+_reg("domain_route", lambda t: H.domain_routes(t.briefs), ORACLE_ACCESS)
+_reg("access_decision", lambda t: H.access_decisions(t.actors), ORACLE_ACCESS)
+_reg("normalize_identity", lambda t: H.normalize_identity(t.actors), ORACLE_ACCESS)
+_reg("actor_split", lambda t: H.actor_split(t.audit_events), ORACLE_ACCESS)
+_reg("table_allowlist", lambda t: H.table_allowlist(t.briefs), ORACLE_ACCESS)
+_reg("default_roles", lambda t: H.default_role_grants(t.actors), ORACLE_ACCESS)
+
+# I: lifecycle of the loop event log
+from ..operators import lifecycle as L  # noqa: E402
+
+
+def _transitions(t: Tables) -> DataFrame:
+    return L.next_state(t.loop_events)
+
+
+_reg("next_state", _transitions, ORACLE_ACCESS)
+_reg("retry_budget", lambda t: L.retry_budget(t.loop_events), ORACLE_ACCESS)
+_reg("total_retries", lambda t: L.total_retries(L.retry_budget(t.loop_events)), ORACLE_ACCESS)
+_reg("first_gate_resolution", lambda t: L.first_gate_resolution(t.loop_events), ORACLE_ACCESS)
+_reg("latest_loop_state", lambda t: L.latest_loop_state(_transitions(t)), ORACLE_ACCESS)
+_reg("pending_gates", lambda t: L.pending_gates(L.latest_loop_state(_transitions(t))), ORACLE_ACCESS)
+_reg("step_limit", lambda t: L.step_limit(_transitions(t)), ORACLE_ACCESS)
+_reg("stage_durations", lambda t: L.stage_durations(t.loop_events), ORACLE_ACCESS)

@@ -286,8 +286,10 @@ FROM {{events}}"""
 
 
 def _loop_events(d: Dialect) -> str:
-    decision = _case_mod("event_id", 4, ["approve", "approve", "request_changes", "reject"])
-    outcome = _case_mod("event_id", 5, ["pass", "fail_fix", "fail_design", "fail_definition", "fail_spec"])
+    # Gate decisions; every fifth gate event is still unresolved (NULL).
+    decision = ("CASE event_id % 5 WHEN 0 THEN 'approve' WHEN 1 THEN 'approve' "
+                "WHEN 2 THEN 'request_changes' WHEN 3 THEN 'reject' END")
+    outcome = _case_mod("event_id", 6, ["pass", "pass", "fail_fix", "fail_design", "fail_definition", "fail_spec"])
     return f"""
 SELECT event_id, loop_id, node_id, step_name, ts,
        CASE WHEN step_name IN ('GATE_H1', 'GATE_H2') THEN {decision} END AS decision,
@@ -356,11 +358,19 @@ FROM {{documents}}"""
 
 
 def _briefs(d: Dialect) -> str:
+    from .rules import DOMAIN_RULES
     opening = _case_mod("doc_id", 6, BRIEF_OPENINGS)
+    own = " ".join(f"WHEN {i} THEN {d.str_array(*DOMAIN_RULES[dom]['tables'][:2])}" for i, dom in enumerate(DOMAINS))
+    # Every ninth brief also asks for a table of the next domain.
+    extra = " ".join(
+        f"WHEN {i} THEN {d.str_array(*DOMAIN_RULES[dom]['tables'][:2], DOMAIN_RULES[DOMAINS[(i + 1) % 5]]['tables'][0])}"
+        for i, dom in enumerate(DOMAINS))
     return f"""
 SELECT doc_id AS brief_id,
        CASE WHEN doc_id % 4 = 0 THEN upper({_domain_of('doc_id')}) END AS requested_domain,
-       {opening} || text AS brief_text
+       {opening} || text AS brief_text,
+       CASE WHEN doc_id % 9 = 0 THEN (CASE doc_id % 5 {extra} END) ELSE (CASE doc_id % 5 {own} END) END
+         AS requested_tables
 FROM {{documents}}"""
 
 
