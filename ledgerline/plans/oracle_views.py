@@ -197,3 +197,20 @@ ORACLE["energy_billing"] = with_adapters(["billing_events"], f"""
 SELECT account_id, charger_id, cast(event_timestamp AS date) AS day, count(*) AS sessions,
        {money_sum('kwh_consumed')} AS kwh
 FROM billing_events GROUP BY 1, 2, 3""")
+
+ORACLE["multi_touch_attribution"] = with_adapters(["campaign_events"], f"""
+, t AS (SELECT user_id, channel, event_id AS touch_id, event_timestamp AS ts FROM campaign_events
+       WHERE event_type IN ('Click', 'Impression')),
+p AS (SELECT user_id, event_id AS purchase_id, event_timestamp AS ts FROM campaign_events WHERE event_type = 'Purchase'),
+pairs AS (SELECT p.purchase_id, t.channel, t.touch_id, t.ts,
+                 count(*) OVER (PARTITION BY p.purchase_id) AS n,
+                 row_number() OVER (PARTITION BY p.purchase_id ORDER BY t.ts, t.touch_id) AS rk
+          FROM p JOIN t ON t.user_id = p.user_id AND t.ts > p.ts - INTERVAL 30 DAY AND t.ts <= p.ts),
+tot AS (SELECT count(DISTINCT purchase_id) AS purchases FROM pairs),
+c AS (SELECT channel, count(*) AS window_touches, sum(1.0 / n) AS credit,
+             count(*) FILTER (WHERE rk = 1) AS first_touch_purchases FROM pairs GROUP BY channel)
+SELECT channel, window_touches, round(credit, 6) AS touch_credit,
+       round(credit * 100 / (SELECT purchases FROM tot), 4) AS credit_share_pct,
+       first_touch_purchases,
+       {ratio('first_touch_purchases', '(SELECT purchases FROM tot)', 2, 100)} AS first_touch_pct
+FROM c""")
