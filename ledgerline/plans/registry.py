@@ -176,3 +176,22 @@ _reg("latest_loop_state", lambda t: L.latest_loop_state(_transitions(t)), ORACLE
 _reg("pending_gates", lambda t: L.pending_gates(L.latest_loop_state(_transitions(t))), ORACLE_ACCESS)
 _reg("step_limit", lambda t: L.step_limit(_transitions(t)), ORACLE_ACCESS)
 _reg("stage_durations", lambda t: L.stage_durations(t.loop_events), ORACLE_ACCESS)
+
+# A: typed tables and schema catalog
+from ..sources import schemas as S  # noqa: E402
+from .oracle_sources import ORACLE as ORACLE_SOURCES  # noqa: E402
+
+for _tables in S.CATALOG.values():
+    for _tbl in _tables:
+        _reg(f"table_{_tbl}", (lambda name: lambda t: S.typed(t.get(name), name))(_tbl), ORACLE_SOURCES)
+_reg("table_schema", S.schema_catalog, ORACLE_SOURCES)
+_reg("list_tables", S.table_listing, ORACLE_SOURCES)
+_reg("schema_context", S.schema_context, ORACLE_SOURCES)
+
+# J: streaming forms (driven with availableNow into the shared checkpoint folder)
+from ..streaming import streams as J  # noqa: E402
+
+_reg("stream_traces", lambda t: J.stream_traces(t.spark, t.sf_dir), ORACLE_SOURCES)
+_reg("stream_hourly_errors", lambda t: J.stream_hourly_errors(t.spark, t.sf_dir), ORACLE_SOURCES)
+_reg("stream_gate_dedup", lambda t: J.stream_gate_dedup(t.spark, t.sf_dir))
+_reg("stream_latest_state", lambda t: J.stream_latest_state(t.spark, t.sf_dir), ORACLE_SOURCES)
