@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.rules import rule_lookup
+from ..sources.rules import DEFAULT_DOMAIN, DOMAIN_RULES, known_domain
 
 # ---------------------------------------------------------------------------
 # Rule keywords and violation messages of the checks.
@@ -50,9 +50,34 @@ def _msg(template: str, value: Column) -> Column:
     return F.concat(F.lit(head), value, F.lit(tail))
 
 
+def _empty() -> Column:
+    return F.array().cast("array<string>")
+
+
 def _present(*items: tuple[Column, str]) -> Column:
-    """array of the messages whose condition holds, in order."""
-    return F.filter(F.array(*[F.when(cond, F.lit(m)) for cond, m in items]), lambda x: x.isNotNull())
+    """Array of the messages whose condition holds, in order.  Unrolled into
+    ``concat(when(...))`` (code-generated; no interpreted lambda)."""
+    if not items:
+        return _empty()
+    return F.concat(*[F.when(cond, F.array(F.lit(m))).otherwise(_empty()) for cond, m in items])
+
+
+def by_domain(domain: Column | str, build) -> Column:
+    """``build(rules)`` for the row's domain (unknown -> finance), as a CASE
+    over the fixed domains, so per-domain keyword lists unroll too."""
+    d = known_domain(_c(domain))
+    chain = None
+    for name, rules in DOMAIN_RULES.items():
+        if name == DEFAULT_DOMAIN:
+            continue
+        chain = F.when(d == name, build(rules)) if chain is None else chain.when(d == name, build(rules))
+    return chain.otherwise(build(DOMAIN_RULES[DEFAULT_DOMAIN]))
+
+
+def with_case_folds(df: DataFrame, text: str = "text") -> DataFrame:
+    """Add ``_uc`` / ``_lc`` (upper/lower-cased text) once per row, so rules
+    that test many keywords do not re-fold a whole document per keyword."""
+    return df.withColumn("_uc", F.upper(F.col(text))).withColumn("_lc", F.lower(F.col(text)))
 
 
 def is_blank(text: Column | str) -> Column:
@@ -80,10 +105,8 @@ def required_field_violations(text: Column | str) -> Column:
     t = _c(text)
     block = F.regexp_extract(t, FRONTMATTER_RE, 1)
     keys = F.regexp_extract_all(block, F.lit(TOP_LEVEL_KEY_RE), F.lit(1))
-    required = F.array(*[F.lit(f) for f in REQUIRED_FRONTMATTER_FIELDS])
-    missing = F.filter(required, lambda f: ~F.array_contains(keys, f))
-    return F.when(t.rlike(FRONTMATTER_RE), F.transform(missing, lambda f: _msg(MSG_FIELD, f))).otherwise(
-        F.array().cast("array<string>"))
+    missing = _present(*[(~F.array_contains(keys, f), MSG_FIELD.format(f)) for f in REQUIRED_FRONTMATTER_FIELDS])
+    return F.when(t.rlike(FRONTMATTER_RE), missing).otherwise(_empty())
 
 
 # F3
@@ -100,46 +123,47 @@ def metrics_section_violations(text: Column | str) -> Column:
 
 
 # F5
-def prohibited_sql_violations(text: Column | str, domain: Column | str) -> Column:
-    upper = F.upper(_c(text))
-    hits = F.filter(rule_lookup(_c(domain), "prohibited"), lambda p: upper.contains(p))
-    return F.transform(hits, lambda p: _msg(MSG_PROHIBITED, p))
+def prohibited_sql_violations(text: Column | str, domain: Column | str, upper: Column | None = None) -> Column:
+    upper = F.upper(_c(text)) if upper is None else upper
+    return by_domain(domain, lambda r: _present(*[(upper.contains(p), MSG_PROHIBITED.format(p))
+                                                  for p in r["prohibited"]]))
 
 
 # F6
 def missing_metric_violations(text: Column | str, domain: Column | str) -> Column:
     t = _c(text)
-    missing = F.filter(rule_lookup(_c(domain), "metrics"), lambda m: ~t.contains(m))
-    return F.transform(missing, lambda m: _msg(MSG_MISSING_METRIC, m))
+    return by_domain(domain, lambda r: _present(*[(~t.contains(m), MSG_MISSING_METRIC.format(m))
+                                                  for m in r["metrics"]]))
 
 
 # F7
-def tier1_violations(text: Column | str, domain: Column | str) -> Column:
+def tier1_violations(text: Column | str, domain: Column | str, upper: Column | None = None) -> Column:
     t = _c(text)
     parts = F.concat(
         frontmatter_violations(t), required_field_violations(t), gherkin_violations(t),
-        metrics_section_violations(t), prohibited_sql_violations(t, domain), missing_metric_violations(t, domain))
+        metrics_section_violations(t), prohibited_sql_violations(t, domain, upper),
+        missing_metric_violations(t, domain))
     return F.when(is_blank(t), F.array(F.lit(MSG_EMPTY))).otherwise(parts)
 
 
-def domain_rule_violations(text: Column | str, domain: Column | str) -> Column:
+def domain_rule_violations(text: Column | str, domain: Column | str, upper: Column | None = None) -> Column:
     """F5 + F6 (the skill-registry part of tier 1)."""
-    return F.concat(prohibited_sql_violations(text, domain), missing_metric_violations(text, domain))
+    return F.concat(prohibited_sql_violations(text, domain, upper), missing_metric_violations(text, domain))
 
 
 # F8
-def tier2_violations(text: Column | str) -> Column:
+def tier2_violations(text: Column | str, lower: Column | None = None) -> Column:
     t = F.coalesce(_c(text), F.lit(""))
-    low = F.lower(t)
+    low = F.lower(t) if lower is None else F.coalesce(lower, F.lit(""))
     privacy = low.contains(PRIVACY_TERMS[0]) | low.contains(PRIVACY_TERMS[1]) | low.contains(PRIVACY_TERMS[2])
     return _present((privacy, MSG_PRIVACY), (line_count(t) < MIN_SPEC_LINES, MSG_SCOPE))
 
 
 # F9
 def spec_harness(specs: DataFrame) -> DataFrame:
-    s = specs.select("doc_id", "node_id",
-                     tier1_violations("text", "node_id").alias("t1"),
-                     tier2_violations("text").alias("t2"))
+    s = with_case_folds(specs).select("doc_id", "node_id",
+                                      tier1_violations("text", "node_id", F.col("_uc")).alias("t1"),
+                                      tier2_violations("text", F.col("_lc")).alias("t2"))
     failed_t1 = F.size("t1") > 0
     v = F.when(failed_t1, F.col("t1")).otherwise(F.col("t2"))
     return s.select(
@@ -150,28 +174,36 @@ def spec_harness(specs: DataFrame) -> DataFrame:
         F.array_join(v, " | ").alias("violations"))
 
 
+def _report(df: DataFrame, keys: list[str], arr: Column, count_name: str = "violation_count",
+            text_name: str = "violations") -> DataFrame:
+    """Project the array once, then its size and joined text."""
+    return df.select(*keys, arr.alias("_v")).select(
+        *keys, F.size("_v").alias(count_name), F.array_join("_v", " | ").alias(text_name))
+
+
 def rule_report(specs: DataFrame, violations: Column) -> DataFrame:
     """(doc_id, node_id, violation_count, violations) for one rule column."""
-    return specs.select("doc_id", "node_id", F.size(violations).alias("violation_count"),
-                        F.array_join(violations, " | ").alias("violations"))
+    return _report(specs, ["doc_id", "node_id"], violations)
 
 
 # F10
 def acceptance_violations(pass_rate: Column | str, executed: Column | str, domain: Column | str) -> Column:
     rate = _c(pass_rate).cast("double")
-    minimum = rule_lookup(_c(domain), "min_pass_rate").cast("double")
-    low = F.when(rate < minimum, F.array(F.concat(
-        F.lit("Acceptance failure: unit test pass rate "), rate.cast("string"),
-        F.lit("% below required "), minimum.cast("string"), F.lit("%")))).otherwise(F.array().cast("array<string>"))
-    missing = F.filter(rule_lookup(_c(domain), "test_types"),
-                       lambda x: ~F.array_contains(F.coalesce(_c(executed), F.array().cast("array<string>")), x))
-    return F.concat(low, F.transform(missing, lambda x: _msg(MSG_TEST_TYPE, x)))
+    ran = F.coalesce(_c(executed), _empty())
+
+    def build(r):
+        minimum = float(r["min_pass_rate"])
+        low = F.when(rate < F.lit(minimum), F.array(F.concat(
+            F.lit("Acceptance failure: unit test pass rate "), rate.cast("string"),
+            F.lit(f"% below required {minimum}%")))).otherwise(_empty())
+        return F.concat(low, _present(*[(~F.array_contains(ran, x), MSG_TEST_TYPE.format(x))
+                                        for x in r["test_types"]]))
+    return by_domain(domain, build)
 
 
 def acceptance_report(results: DataFrame) -> DataFrame:
     v = acceptance_violations("pass_rate", "executed_test_types", "node_id")
-    return results.select("run_id", "node_id", F.size(v).alias("violation_count"),
-                          F.array_join(v, " | ").alias("violations"))
+    return _report(results, ["run_id", "node_id"], v)
 
 
 # F11
@@ -185,19 +217,17 @@ def review_outcome(results: DataFrame) -> DataFrame:
 # F12
 def forbidden_code_hits(content: Column | str) -> Column:
     c = _c(content)
-    return F.filter(F.array(*[F.lit(p) for p in FORBIDDEN_CODE_PATTERNS]), lambda p: c.contains(p))
+    return _present(*[(c.contains(p), p) for p in FORBIDDEN_CODE_PATTERNS])
 
 
 def forbidden_code_scan(artifacts: DataFrame) -> DataFrame:
-    hits = forbidden_code_hits("content")
-    return artifacts.select("doc_id", "artifact_name", F.size(hits).alias("hit_count"),
-                            F.array_join(hits, " | ").alias("hits"))
+    return _report(artifacts, ["doc_id", "artifact_name"], forbidden_code_hits("content"), "hit_count", "hits")
 
 
 # F13
 def guardrail_hits(output: Column | str) -> Column:
     o = F.coalesce(_c(output), F.lit(""))
-    return F.filter(F.array(*[F.lit(p) for p in GUARDRAIL_TOKENS]), lambda p: o.contains(p))
+    return _present(*[(o.contains(p), p) for p in GUARDRAIL_TOKENS])
 
 
 def final_outputs(conversations: DataFrame) -> DataFrame:
@@ -208,9 +238,7 @@ def final_outputs(conversations: DataFrame) -> DataFrame:
 
 
 def guardrail_scan(conversations: DataFrame) -> DataFrame:
-    hits = guardrail_hits("final_output")
-    return final_outputs(conversations).select("conv_id", F.size(hits).alias("hit_count"),
-                                               F.array_join(hits, " | ").alias("hits"))
+    return _report(final_outputs(conversations), ["conv_id"], guardrail_hits("final_output"), "hit_count", "hits")
 
 
 # F14
@@ -231,7 +259,8 @@ def metric_defaults(specs: DataFrame) -> DataFrame:
 
 # F15
 def violation_summary(specs: DataFrame) -> DataFrame:
-    t1 = tier1_violations("text", "node_id")
-    v = F.when(F.size(t1) > 0, t1).otherwise(tier2_violations("text"))
-    e = specs.select("node_id", F.explode(v).alias("violation"))
+    s = with_case_folds(specs).select("node_id", tier1_violations("text", "node_id", F.col("_uc")).alias("t1"),
+                                      tier2_violations("text", F.col("_lc")).alias("t2"))
+    v = F.when(F.size("t1") > 0, F.col("t1")).otherwise(F.col("t2"))
+    e = s.select("node_id", F.explode(v).alias("violation"))
     return e.groupBy("node_id", "violation").agg(F.count(F.lit(1)).alias("specs"))

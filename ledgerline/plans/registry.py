@@ -11,6 +11,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
+from pyspark.sql import functions as _F
+
 from ..operators import views as V
 from ..sources.tables import Tables
 from .oracle_views import ORACLE as ORACLE_VIEWS
@@ -64,8 +66,6 @@ _reg("convert_currency", lambda t: C.convert_currency(t.invoices, t.exchange_rat
 _reg("pct_variance", lambda t: C.monthly_revenue_variance(t.invoices), ORACLE_FORMULAS)
 
 # E: artifact catalog, audit, telemetry
-from pyspark.sql import functions as _F  # noqa: E402
-
 from ..operators import catalog as E  # noqa: E402
 from .oracle_catalog import ORACLE as ORACLE_CATALOG  # noqa: E402
 
@@ -98,7 +98,7 @@ from .oracle_quality import ORACLE as ORACLE_QUALITY  # noqa: E402
 
 def _rule(fn):
     def plan(t: Tables) -> DataFrame:
-        return Q.rule_report(t.specs, fn())
+        return Q.rule_report(Q.with_case_folds(t.specs), fn())
     return plan
 
 
@@ -106,10 +106,11 @@ _reg("spec_frontmatter", _rule(lambda: Q.frontmatter_violations("text")), ORACLE
 _reg("spec_required_fields", _rule(lambda: Q.required_field_violations("text")), ORACLE_QUALITY)
 _reg("spec_gherkin", _rule(lambda: Q.gherkin_violations("text")), ORACLE_QUALITY)
 _reg("spec_metrics_section", _rule(lambda: Q.metrics_section_violations("text")), ORACLE_QUALITY)
-_reg("spec_prohibited_sql", _rule(lambda: Q.prohibited_sql_violations("text", "node_id")), ORACLE_QUALITY)
+_reg("spec_prohibited_sql", _rule(lambda: Q.prohibited_sql_violations("text", "node_id", _F.col("_uc"))),
+     ORACLE_QUALITY)
 _reg("spec_missing_metrics", _rule(lambda: Q.missing_metric_violations("text", "node_id")), ORACLE_QUALITY)
-_reg("tier1_violations", _rule(lambda: Q.tier1_violations("text", "node_id")), ORACLE_QUALITY)
-_reg("tier2_policy", _rule(lambda: Q.tier2_violations("text")), ORACLE_QUALITY)
+_reg("tier1_violations", _rule(lambda: Q.tier1_violations("text", "node_id", _F.col("_uc"))), ORACLE_QUALITY)
+_reg("tier2_policy", _rule(lambda: Q.tier2_violations("text", _F.col("_lc"))), ORACLE_QUALITY)
 _reg("spec_harness", lambda t: Q.spec_harness(t.specs), ORACLE_QUALITY)
 _reg("acceptance_criteria", lambda t: Q.acceptance_report(t.test_results), ORACLE_QUALITY)
 _reg("review_outcome", lambda t: Q.review_outcome(t.test_results), ORACLE_QUALITY)

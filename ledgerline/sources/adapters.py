@@ -100,6 +100,8 @@ BRIEF_OPENINGS = [
 ]
 
 K = "cast(regexp_extract(props, '([0-9]+)', 1) as int)"
+# Events with the props number extracted once per row (referenced as ``k``).
+EVENTS_K = f"(SELECT *, {K} AS k FROM {{events}}) AS e"
 NL = "chr(10)"
 
 
@@ -193,12 +195,12 @@ FROM {events} WHERE event_type IN ('signup', 'purchase')"""
 def _charger_telemetry(d: Dialect) -> str:
     return f"""
 SELECT event_id AS reading_id, user_id AS charger_id,
-       '5.14.' || cast({K} % 4 AS string) AS firmware_version,
+       '5.14.' || cast(k % 4 AS string) AS firmware_version,
        220.0 + value % 20.0 AS voltage,
        value % 32.0 AS current_amperes,
        20.0 + value % 80.0 AS temperature_celsius,
        ts AS event_timestamp
-FROM {{events}}"""
+FROM {EVENTS_K}"""
 
 
 def _firmware_releases(d: Dialect) -> str:
@@ -211,30 +213,30 @@ FROM (VALUES ('5.14.0', 'DEPRECATED'), ('5.14.1', 'GA'), ('5.14.2', 'GA'), ('5.1
 def _error_logs(d: Dialect) -> str:
     return f"""
 SELECT event_id AS log_id, user_id AS charger_id,
-       'E' || cast({K} % 10 AS string) AS error_code,
+       'E' || cast(k % 10 AS string) AS error_code,
        CASE WHEN value >= 50 THEN 'CRITICAL' WHEN value >= 20 THEN 'WARNING' ELSE 'INFO' END AS severity,
        ts AS log_timestamp
-FROM {{events}} WHERE event_type = 'error'"""
+FROM {EVENTS_K} WHERE event_type = 'error'"""
 
 
 def _campaign_events(d: Dialect) -> str:
     return f"""
-SELECT event_id, {K} % 50 AS campaign_id,
-       {_case_mod(f'({K} % 50)', 3, ['Search', 'Social', 'Affiliate'])} AS channel,
+SELECT event_id, k % 50 AS campaign_id,
+       {_case_mod(f'(k % 50)', 3, ['Search', 'Social', 'Affiliate'])} AS channel,
        user_id,
        {d.sha256('cast(user_id AS string)')} AS user_id_hashed,
        CASE event_type WHEN 'purchase' THEN 'Purchase' WHEN 'signup' THEN 'Signup'
                        WHEN 'click' THEN 'Click' ELSE 'Impression' END AS event_type,
        user_id % 4 <> 0 AS consent_granted,
        ts AS event_timestamp
-FROM {{events}} WHERE event_type <> 'error'"""
+FROM {EVENTS_K} WHERE event_type <> 'error'"""
 
 
 def _user_acquisitions(d: Dialect) -> str:
     return f"""
-SELECT event_id AS acquisition_id, {K} % 50 AS campaign_id,
+SELECT event_id AS acquisition_id, k % 50 AS campaign_id,
        cast(value AS decimal(18,2)) AS cac_usd, ts AS converted_at
-FROM {{events}} WHERE event_type = 'signup'"""
+FROM {EVENTS_K} WHERE event_type = 'signup'"""
 
 
 def _ad_spend(d: Dialect) -> str:
@@ -275,14 +277,14 @@ def _session_traces(d: Dialect) -> str:
     return f"""
 SELECT event_id, '01KZZ' || lpad(cast(user_id AS string), 14, '0') AS loop_id,
        {_domain_of('user_id')} AS node_id,
-       {_state_of(K)} AS step_name,
+       {_state_of('k')} AS step_name,
        'model-default' AS model_name,
-       cast({K} * 10 AS bigint) AS input_tokens,
-       cast({K} * 4 AS bigint) AS output_tokens,
+       cast(k * 10 AS bigint) AS input_tokens,
+       cast(k * 4 AS bigint) AS output_tokens,
        value AS duration_ms,
        CASE WHEN event_type = 'error' THEN 'FAILED' ELSE 'SUCCESS' END AS status,
        ts
-FROM {{events}}"""
+FROM {EVENTS_K}"""
 
 
 def _loop_events(d: Dialect) -> str:
