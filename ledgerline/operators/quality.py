@@ -75,38 +75,56 @@ def by_domain(domain: Column | str, build) -> Column:
 
 
 def with_case_folds(df: DataFrame, text: str = "text") -> DataFrame:
-    """Add ``_uc`` / ``_lc`` (upper/lower-cased text) once per row, so rules
-    that test many keywords do not re-fold a whole document per keyword."""
-    return df.withColumn("_uc", F.upper(F.col(text))).withColumn("_lc", F.lower(F.col(text)))
+    """Per-row text features computed once (a projection Catalyst keeps,
+    since each feature is used by several rules): upper/lower-cased text,
+    frontmatter presence and keys, blankness, line count."""
+    t = F.col(text)
+    has_fm = t.rlike(FRONTMATTER_RE)
+    return (df.withColumn("_uc", F.upper(t)).withColumn("_lc", F.lower(t))
+            .withColumn("_fm", has_fm)
+            .withColumn("_keys", frontmatter_keys(t))
+            .withColumn("_blank", is_blank(t))
+            .withColumn("_lines", line_count(t)))
+
+
+def features() -> dict[str, Column]:
+    """Column references to the features added by :func:`with_case_folds`."""
+    return {"upper": F.col("_uc"), "has_fm": F.col("_fm"), "keys": F.col("_keys"), "blank": F.col("_blank")}
+
+
+def frontmatter_keys(text: Column | str) -> Column:
+    block = F.regexp_extract(_c(text), FRONTMATTER_RE, 1)
+    return F.regexp_extract_all(block, F.lit(TOP_LEVEL_KEY_RE), F.lit(1))
 
 
 def is_blank(text: Column | str) -> Column:
     t = _c(text)
-    return t.isNull() | (F.regexp_replace(t, r"[\t\n\x0B\f\r ]", "") == "")
+    return t.isNull() | t.rlike(r"\A[\t\n\x0B\f\r ]*\z")
 
 
 def line_count(text: Column | str) -> Column:
-    """Number of lines as Python ``len(text.splitlines())``."""
-    t = F.replace(_c(text), F.lit("\r\n"), F.lit("\n"))
-    breaks = F.length(t) - F.length(F.regexp_replace(t, LINE_BREAK_CLASS, ""))
-    trailing = F.when(t.rlike(LINE_BREAK_CLASS + r"\z"), 1).otherwise(0)
+    """Number of lines as Python ``len(text.splitlines())``: line breaks
+    (``\\r\\n`` counted once) + 1, minus a trailing break; one regex pass."""
+    t = _c(text)
+    breaks = F.regexp_count(t, F.lit("\r\n|" + LINE_BREAK_CLASS))
+    trailing = F.when(F.substring(t, -1, 1).rlike(LINE_BREAK_CLASS), 1).otherwise(0)
     return F.when(F.coalesce(t, F.lit("")) == "", 0).otherwise(breaks + 1 - trailing)
 
 
 # F1
-def frontmatter_violations(text: Column | str) -> Column:
-    t = _c(text)
-    return F.when(t.rlike(FRONTMATTER_RE), F.array().cast("array<string>")).otherwise(
-        F.array(F.lit(MSG_NO_FRONTMATTER)))
+def frontmatter_violations(text: Column | str, has_fm: Column | None = None) -> Column:
+    has_fm = _c(text).rlike(FRONTMATTER_RE) if has_fm is None else has_fm
+    return F.when(has_fm, _empty()).otherwise(F.array(F.lit(MSG_NO_FRONTMATTER)))
 
 
 # F2
-def required_field_violations(text: Column | str) -> Column:
+def required_field_violations(text: Column | str, has_fm: Column | None = None,
+                              keys: Column | None = None) -> Column:
     t = _c(text)
-    block = F.regexp_extract(t, FRONTMATTER_RE, 1)
-    keys = F.regexp_extract_all(block, F.lit(TOP_LEVEL_KEY_RE), F.lit(1))
+    has_fm = t.rlike(FRONTMATTER_RE) if has_fm is None else has_fm
+    keys = frontmatter_keys(t) if keys is None else keys
     missing = _present(*[(~F.array_contains(keys, f), MSG_FIELD.format(f)) for f in REQUIRED_FRONTMATTER_FIELDS])
-    return F.when(t.rlike(FRONTMATTER_RE), missing).otherwise(_empty())
+    return F.when(has_fm, missing).otherwise(_empty())
 
 
 # F3
@@ -137,13 +155,15 @@ def missing_metric_violations(text: Column | str, domain: Column | str) -> Colum
 
 
 # F7
-def tier1_violations(text: Column | str, domain: Column | str, upper: Column | None = None) -> Column:
+def tier1_violations(text: Column | str, domain: Column | str, upper: Column | None = None,
+                     has_fm: Column | None = None, keys: Column | None = None,
+                     blank: Column | None = None) -> Column:
     t = _c(text)
     parts = F.concat(
-        frontmatter_violations(t), required_field_violations(t), gherkin_violations(t),
+        frontmatter_violations(t, has_fm), required_field_violations(t, has_fm, keys), gherkin_violations(t),
         metrics_section_violations(t), prohibited_sql_violations(t, domain, upper),
         missing_metric_violations(t, domain))
-    return F.when(is_blank(t), F.array(F.lit(MSG_EMPTY))).otherwise(parts)
+    return F.when(is_blank(t) if blank is None else blank, F.array(F.lit(MSG_EMPTY))).otherwise(parts)
 
 
 def domain_rule_violations(text: Column | str, domain: Column | str, upper: Column | None = None) -> Column:
@@ -152,18 +172,19 @@ def domain_rule_violations(text: Column | str, domain: Column | str, upper: Colu
 
 
 # F8
-def tier2_violations(text: Column | str, lower: Column | None = None) -> Column:
+def tier2_violations(text: Column | str, lower: Column | None = None, lines: Column | None = None) -> Column:
     t = F.coalesce(_c(text), F.lit(""))
     low = F.lower(t) if lower is None else F.coalesce(lower, F.lit(""))
+    n = line_count(t) if lines is None else lines
     privacy = low.contains(PRIVACY_TERMS[0]) | low.contains(PRIVACY_TERMS[1]) | low.contains(PRIVACY_TERMS[2])
-    return _present((privacy, MSG_PRIVACY), (line_count(t) < MIN_SPEC_LINES, MSG_SCOPE))
+    return _present((privacy, MSG_PRIVACY), (n < MIN_SPEC_LINES, MSG_SCOPE))
 
 
 # F9
 def spec_harness(specs: DataFrame) -> DataFrame:
     s = with_case_folds(specs).select("doc_id", "node_id",
-                                      tier1_violations("text", "node_id", F.col("_uc")).alias("t1"),
-                                      tier2_violations("text", F.col("_lc")).alias("t2"))
+                                      tier1_violations("text", "node_id", **features()).alias("t1"),
+                                      tier2_violations("text", F.col("_lc"), F.col("_lines")).alias("t2"))
     failed_t1 = F.size("t1") > 0
     v = F.when(failed_t1, F.col("t1")).otherwise(F.col("t2"))
     return s.select(
@@ -259,8 +280,8 @@ def metric_defaults(specs: DataFrame) -> DataFrame:
 
 # F15
 def violation_summary(specs: DataFrame) -> DataFrame:
-    s = with_case_folds(specs).select("node_id", tier1_violations("text", "node_id", F.col("_uc")).alias("t1"),
-                                      tier2_violations("text", F.col("_lc")).alias("t2"))
+    s = with_case_folds(specs).select("node_id", tier1_violations("text", "node_id", **features()).alias("t1"),
+                                      tier2_violations("text", F.col("_lc"), F.col("_lines")).alias("t2"))
     v = F.when(F.size("t1") > 0, F.col("t1")).otherwise(F.col("t2"))
     e = s.select("node_id", F.explode(v).alias("violation"))
     return e.groupBy("node_id", "violation").agg(F.count(F.lit(1)).alias("specs"))

@@ -42,18 +42,20 @@ def state_position(step: Column | str) -> Column:
 
 
 # G1
-def gherkin_score(text: Column | str, domain: Column | str) -> Column:
+def gherkin_score(text: Column | str, domain: Column | str, feats: dict | None = None) -> Column:
+    """Score of the spec contract; ``feats`` are precomputed text features
+    (:func:`quality.with_case_folds`), else computed inline."""
     t = F.col(text) if isinstance(text, str) else text
-    n = F.size(Q.tier1_violations(t, domain))
+    n = F.size(Q.tier1_violations(t, domain, **(feats or {})))
     return (F.when(t.isNull() | (t == ""), F.lit(0.0))
             .when(n == 0, F.lit(1.0))
             .otherwise(_score(_dec(1) - F.least(_dec("0.25") * n, _dec(1)))))
 
 
 # G3
-def skill_score(text: Column | str, domain: Column | str) -> Column:
+def skill_score(text: Column | str, domain: Column | str, upper: Column | None = None) -> Column:
     t = F.col(text) if isinstance(text, str) else text
-    n = F.size(Q.domain_rule_violations(t, domain))
+    n = F.size(Q.domain_rule_violations(t, domain, upper))
     return (F.when(t.isNull() | (t == ""), F.lit(0.0))
             .when(n == 0, F.lit(1.0))
             .otherwise(_score(F.greatest(_dec(1) - _dec("0.3") * n, _dec(0)))))
@@ -177,15 +179,18 @@ def suite_summary(report: DataFrame) -> DataFrame:
 def scorecard(sessions: DataFrame, specs: DataFrame, results: DataFrame) -> DataFrame:
     """Quality index per run: spec contract, graph conformance, skill rules,
     sandbox reliability.  Run r's spec and test results are document r."""
-    sp = specs.select(F.col("doc_id").alias("run_key"), "text", "node_id")
+    sp = Q.with_case_folds(specs).select(
+        F.col("doc_id").alias("run_key"), "text", "node_id",
+        gherkin_score("text", "node_id", Q.features()).alias("gherkin_contract_score"),
+        skill_score("text", "node_id", F.col("_uc")).alias("skill_compliance_score"))
     tr = results.select(F.col("run_id").alias("run_key"), "pass_rate", "exit_code")
     s = (sessions.withColumn("run_key", _session_key(F.col("loop_id")))
          .join(sp, "run_key", "left").join(tr, "run_key", "left"))
     s = s.select(
         "loop_id",
-        gherkin_score("text", "node_id").alias("gherkin_contract_score"),
+        "gherkin_contract_score",
         fx.half_up_ratio("matched_steps", "steps", 2).alias("graph_conformance_score"),
-        skill_score("text", "node_id").alias("skill_compliance_score"),
+        "skill_compliance_score",
         sandbox_score("pass_rate", "exit_code").alias("sandbox_reliability_score"))
     agg = (_dec("0.3") * _dec(F.col("gherkin_contract_score")) + _dec("0.25") * _dec(F.col("graph_conformance_score"))
            + _dec("0.25") * _dec(F.col("skill_compliance_score"))

@@ -102,15 +102,16 @@ def _rule(fn):
     return plan
 
 
-_reg("spec_frontmatter", _rule(lambda: Q.frontmatter_violations("text")), ORACLE_QUALITY)
-_reg("spec_required_fields", _rule(lambda: Q.required_field_violations("text")), ORACLE_QUALITY)
+_reg("spec_frontmatter", _rule(lambda: Q.frontmatter_violations("text", _F.col("_fm"))), ORACLE_QUALITY)
+_reg("spec_required_fields", _rule(lambda: Q.required_field_violations("text", _F.col("_fm"), _F.col("_keys"))),
+     ORACLE_QUALITY)
 _reg("spec_gherkin", _rule(lambda: Q.gherkin_violations("text")), ORACLE_QUALITY)
 _reg("spec_metrics_section", _rule(lambda: Q.metrics_section_violations("text")), ORACLE_QUALITY)
 _reg("spec_prohibited_sql", _rule(lambda: Q.prohibited_sql_violations("text", "node_id", _F.col("_uc"))),
      ORACLE_QUALITY)
 _reg("spec_missing_metrics", _rule(lambda: Q.missing_metric_violations("text", "node_id")), ORACLE_QUALITY)
-_reg("tier1_violations", _rule(lambda: Q.tier1_violations("text", "node_id", _F.col("_uc"))), ORACLE_QUALITY)
-_reg("tier2_policy", _rule(lambda: Q.tier2_violations("text", _F.col("_lc"))), ORACLE_QUALITY)
+_reg("tier1_violations", _rule(lambda: Q.tier1_violations("text", "node_id", **Q.features())), ORACLE_QUALITY)
+_reg("tier2_policy", _rule(lambda: Q.tier2_violations("text", _F.col("_lc"), _F.col("_lines"))), ORACLE_QUALITY)
 _reg("spec_harness", lambda t: Q.spec_harness(t.specs), ORACLE_QUALITY)
 _reg("acceptance_criteria", lambda t: Q.acceptance_report(t.test_results), ORACLE_QUALITY)
 _reg("review_outcome", lambda t: Q.review_outcome(t.test_results), ORACLE_QUALITY)
@@ -134,10 +135,10 @@ def _report(t: Tables) -> DataFrame:
 
 _reg("harvest_traces", _sessions, ORACLE_SCORING)
 _reg("trajectory_score", lambda t: G.trajectory_score(_sessions(t)), ORACLE_SCORING)
-_reg("gherkin_score", lambda t: t.specs.select("doc_id", G.gherkin_score("text", "node_id").alias("gherkin_score")),
-     ORACLE_SCORING)
-_reg("skill_score", lambda t: t.specs.select("doc_id", G.skill_score("text", "node_id").alias("skill_score")),
-     ORACLE_SCORING)
+_reg("gherkin_score", lambda t: Q.with_case_folds(t.specs).select(
+    "doc_id", G.gherkin_score("text", "node_id", Q.features()).alias("gherkin_score")), ORACLE_SCORING)
+_reg("skill_score", lambda t: Q.with_case_folds(t.specs).select(
+    "doc_id", G.skill_score("text", "node_id", _F.col("_uc")).alias("skill_score")), ORACLE_SCORING)
 _reg("sandbox_score", lambda t: t.test_results.select(
     "run_id", G.sandbox_score("pass_rate", "exit_code").alias("sandbox_score")), ORACLE_SCORING)
 _reg("scorecard", lambda t: G.scorecard(_sessions(t), t.specs, t.test_results), ORACLE_SCORING)
