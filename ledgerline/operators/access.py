@@ -130,9 +130,12 @@ def actor_split(audit: DataFrame) -> DataFrame:
 
 # H6
 def table_allowlist(briefs: DataFrame) -> DataFrame:
-    """Requested tables outside the routed domain's allowlist."""
+    """Per brief: requested tables outside the routed domain's allowlist
+    (count 0 and empty list when all are allowed).  Every brief is kept: a
+    filter on the routed domain would be pushed by Catalyst below the
+    case-folding projection and re-fold the text once per keyword."""
     routed = _folded(briefs).withColumn("domain", route_domain("brief_text", "requested_domain", F.col("_lc")))
     bad = F.array_except(F.col("requested_tables"), rule_lookup(F.col("domain"), "tables"))
     out = routed.select("brief_id", "domain", bad.alias("bad"))
-    return out.filter(F.size("bad") > 0).select(
-        "brief_id", "domain", F.size("bad").alias("denied_tables"), F.array_join("bad", ",").alias("tables"))
+    return out.select("brief_id", "domain", F.size("bad").alias("denied_tables"),
+                      F.array_join("bad", ",").alias("tables"))

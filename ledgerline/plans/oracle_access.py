@@ -57,7 +57,7 @@ ORACLE["table_allowlist"] = with_adapters(["briefs"], f"""
 , r AS (SELECT brief_id, {ROUTE} AS domain, requested_tables FROM briefs),
 b AS (SELECT brief_id, domain, list_filter(requested_tables, lambda t: NOT list_contains({rule_case('domain', 'tables')}, t)) AS bad
       FROM r)
-SELECT brief_id, domain, len(bad) AS denied_tables, array_to_string(bad, ',') AS tables FROM b WHERE len(bad) > 0""")
+SELECT brief_id, domain, len(bad) AS denied_tables, array_to_string(bad, ',') AS tables FROM b""")
 
 ORACLE["default_roles"] = with_adapters(["actors"], f"""
 SELECT request_id, node_id, array_to_string({rule_case('node_id', 'roles')}, ',') AS granted_roles
