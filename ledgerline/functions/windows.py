@@ -21,6 +21,18 @@ from pyspark.sql import functions as F
 _AGG = {"sum": F.sum, "max": F.max, "min": F.min}
 
 
+def _join_carry(src: DataFrame, per_bucket: DataFrame, cols: list[str]) -> DataFrame:
+    """Join the per-(key, bucket) carry back, NULL-safe on the key columns
+    (a NULL key value is a group of its own, as in a window partition)."""
+    ren = per_bucket.select(*[F.col(c).alias(f"_pb_{c}") for c in cols],
+                            *[c for c in per_bucket.columns if c not in cols])
+    cond = None
+    for c in cols:
+        e = F.col(c).eqNullSafe(F.col(f"_pb_{c}"))
+        cond = e if cond is None else cond & e
+    return src.join(ren, cond, "inner").drop(*[f"_pb_{c}" for c in cols])
+
+
 def running(df: DataFrame, keys: Sequence[str], bucket: str, order: Sequence[Column | str],
             value: Column | str, name: str, agg: str = "sum", inclusive: bool = True) -> DataFrame:
     """Add ``name`` = running ``agg`` (sum/max/min) of ``value`` per ``keys``
@@ -35,7 +47,7 @@ def running(df: DataFrame, keys: Sequence[str], bucket: str, order: Sequence[Col
     per_bucket = src.groupBy(*keys, bucket).agg(fn("_v").alias("_bt"))
     w_b = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     per_bucket = per_bucket.withColumn("_before", fn("_bt").over(w_b)).drop("_bt")
-    out = src.join(per_bucket, [*keys, bucket], "inner")
+    out = _join_carry(src, per_bucket, [*keys, bucket])
     if agg == "sum":
         combined = F.coalesce(F.col("_before"), F.lit(0)) + F.coalesce(F.col("_within"), F.lit(0))
     elif agg == "max":
@@ -69,7 +81,7 @@ def neighbour(df: DataFrame, keys: Sequence[str], bucket: str, order: Sequence[C
     w_b = Window.partitionBy(*keys).orderBy(bucket)
     carry = F.lag("_bv").over(w_b) if direction == "prev" else F.lead("_bv").over(w_b)
     per_bucket = per_bucket.withColumn("_carry", carry).drop("_bv")
-    out = src.join(per_bucket, [*keys, bucket], "inner")
+    out = _join_carry(src, per_bucket, [*keys, bucket])
     out = out.withColumn(name, F.when(F.col("_edge"), F.col("_carry")).otherwise(F.col("_nb")))
     return out.drop("_v", "_nb", "_edge", "_carry")
 

@@ -33,7 +33,9 @@ def _review_destination(outcome: Column) -> Column:
 
 
 def _charges(events: DataFrame) -> DataFrame:
-    """Events that charge (or try to charge) a retry, with destination and cap."""
+    """Every event with its retry ``destination`` (NULL when it charges
+    nothing) and whether the charge is capped (failures) or not (gate
+    "request changes")."""
     st = F.col("step_name")
     harness_fail = (st == "SPEC_HARNESS") & ~F.coalesce(F.col("harness_passed"), F.lit(False))
     review_fail = (st == "REVIEW") & (F.coalesce(F.col("review_outcome"), F.lit("pass")) != "pass")
@@ -42,21 +44,27 @@ def _charges(events: DataFrame) -> DataFrame:
     dest = (F.when(harness_fail | h1_changes, "SPECIFY")
             .when(review_fail, _review_destination(F.col("review_outcome")))
             .when(h2_changes, "IMPLEMENT"))
-    capped = harness_fail | review_fail
-    return events.withColumn("destination", dest).withColumn("capped", capped).filter(
-        F.col("destination").isNotNull())
+    return events.withColumn("destination", dest).withColumn("capped", harness_fail | review_fail)
+
+
+def _with_budget(events: DataFrame) -> DataFrame:
+    """Events with ``earlier`` (charge events of the same loop and
+    destination before this one) and ``escalated``.  A capped failure
+    escalates once 3 charges exist; until then every event charges, so
+    "charges so far" equals the running count of earlier charge events.
+    Non-charging events form their own (loop, NULL) groups and are ignored."""
+    c = _charges(events).withColumn("day", F.to_date("ts"))
+    c = running(c, ["loop_id", "destination"], "day", ["ts", "event_id"], F.lit(1), "earlier", inclusive=False)
+    esc = F.col("destination").isNotNull() & F.col("capped") & (F.col("earlier") >= MAX_RETRIES)
+    return c.withColumn("escalated", esc).drop("day")
 
 
 # I2
 def retry_budget(events: DataFrame) -> DataFrame:
     """Per charge event: retries charged before it for its destination, and
-    whether it escalates.  A capped failure escalates once 3 charges exist;
-    until then every event charges, so "charges so far" equals the running
-    count of earlier charge events (capped at 3 for the decision)."""
-    c = _charges(events).select("loop_id", "event_id", "ts", "step_name", "review_outcome", "destination",
-                                "capped").withColumn("day", F.to_date("ts"))
-    c = running(c, ["loop_id", "destination"], "day", ["ts", "event_id"], F.lit(1), "earlier", inclusive=False)
-    escalated = F.col("capped") & (F.col("earlier") >= MAX_RETRIES)
+    whether it escalates (with the reason text)."""
+    c = _with_budget(events).filter(F.col("destination").isNotNull())
+    escalated = F.col("escalated")
     reason = (F.when(escalated & (F.col("step_name") == "SPEC_HARNESS"),
                      F.lit(f"Spec harness validation failed after {MAX_RETRIES} retries."))
               .when(escalated, F.concat(F.lit("Reviewer returned '"), F.col("review_outcome"),
@@ -73,11 +81,10 @@ def total_retries(budget: DataFrame) -> DataFrame:
 
 
 # I1
-def next_state(events: DataFrame, budget: DataFrame | None = None) -> DataFrame:
-    """Next state per event from the routing rules; retry caps come from
-    :func:`retry_budget`."""
-    budget = retry_budget(events) if budget is None else budget
-    e = events.join(budget.select("event_id", "escalated"), "event_id", "left")
+def next_state(events: DataFrame) -> DataFrame:
+    """Next state per event from the routing rules; retry caps come from the
+    running charge count computed on the same frame (no join back)."""
+    e = _with_budget(events)
     st, dec = F.col("step_name"), F.col("decision")
     esc = F.coalesce(F.col("escalated"), F.lit(False))
     outcome = F.coalesce(F.col("review_outcome"), F.lit("pass"))
