@@ -22,39 +22,58 @@ _AGG = {"sum": F.sum, "max": F.max, "min": F.min}
 
 
 def _join_carry(src: DataFrame, per_bucket: DataFrame, cols: list[str]) -> DataFrame:
-    """Join the per-(key, bucket) carry back, NULL-safe on the key columns
-    (a NULL key value is a group of its own, as in a window partition)."""
-    ren = per_bucket.select(*[F.col(c).alias(f"_pb_{c}") for c in cols],
-                            *[c for c in per_bucket.columns if c not in cols])
-    cond = None
-    for c in cols:
-        e = F.col(c).eqNullSafe(F.col(f"_pb_{c}"))
-        cond = e if cond is None else cond & e
-    return src.join(ren, cond, "inner").drop(*[f"_pb_{c}" for c in cols])
+    """Join the per-(key, bucket) carry back.  Key columns must be non-NULL
+    (use a sentinel); a plain equi-join lets AQE broadcast the small carry
+    table and keeps the big side's (key, bucket) partitioning."""
+    return src.join(per_bucket, cols, "inner")
+
+
+def running_many(df: DataFrame, keys: Sequence[str], bucket: str, order: Sequence[Column | str],
+                 specs: Sequence[tuple]) -> DataFrame:
+    """Several running aggregates per ``keys`` in ``order`` in ONE pass.
+
+    ``specs``: ``(name, value, agg, inclusive, descending)`` with ``agg`` in
+    sum/max/min; ``descending=True`` aggregates over the following rows.
+    All row-level windows share one exchange on (keys, bucket); the
+    per-bucket carries come from one small aggregate and one join.
+    """
+    keys = list(keys)
+    src = df
+    for i, (_, value, _, _, _) in enumerate(specs):
+        src = src.withColumn(f"_v{i}", F.col(value) if isinstance(value, str) else value)
+    per_bucket = src.groupBy(*keys, bucket).agg(
+        *[_AGG[agg](f"_v{i}").alias(f"_bt{i}") for i, (_, _, agg, _, _) in enumerate(specs)])
+    rows = src
+    for i, (_, _, agg, inclusive, descending) in enumerate(specs):
+        ordering = edge_order_desc(order) if descending else list(order)
+        w_in = (Window.partitionBy(*keys, bucket).orderBy(*ordering)
+                .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1))
+        rows = rows.withColumn(f"_w{i}", _AGG[agg](f"_v{i}").over(w_in))
+        b_order = F.col(bucket).desc() if descending else F.col(bucket)
+        w_b = Window.partitionBy(*keys).orderBy(b_order).rowsBetween(Window.unboundedPreceding, -1)
+        per_bucket = per_bucket.withColumn(f"_b{i}", _AGG[agg](f"_bt{i}").over(w_b))
+    per_bucket = per_bucket.drop(*[f"_bt{i}" for i in range(len(specs))])
+    out = _join_carry(rows, per_bucket, [*keys, bucket])
+    for i, (name, _, agg, _, _) in enumerate(specs):
+        before, within = F.col(f"_b{i}"), F.col(f"_w{i}")
+        if agg == "sum":
+            combined = F.coalesce(before, F.lit(0)) + F.coalesce(within, F.lit(0))
+        elif agg == "max":
+            combined = F.greatest(before, within)
+        else:
+            combined = F.least(before, within)
+        out = out.withColumn(name, combined).drop(f"_v{i}", f"_w{i}", f"_b{i}")
+    return out
 
 
 def running(df: DataFrame, keys: Sequence[str], bucket: str, order: Sequence[Column | str],
-            value: Column | str, name: str, agg: str = "sum", inclusive: bool = True) -> DataFrame:
+            value: Column | str, name: str, agg: str = "sum", inclusive: bool = True,
+            descending: bool = False) -> DataFrame:
     """Add ``name`` = running ``agg`` (sum/max/min) of ``value`` per ``keys``
-    in ``order``; ``inclusive=False`` excludes the current row."""
-    fn = _AGG[agg]
-    value = F.col(value) if isinstance(value, str) else value
-    keys = list(keys)
-    src = df.withColumn("_v", value)
-    w_in = (Window.partitionBy(*keys, bucket).orderBy(*order)
-            .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1))
-    src = src.withColumn("_within", fn("_v").over(w_in))
-    per_bucket = src.groupBy(*keys, bucket).agg(fn("_v").alias("_bt"))
-    w_b = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    per_bucket = per_bucket.withColumn("_before", fn("_bt").over(w_b)).drop("_bt")
-    out = _join_carry(src, per_bucket, [*keys, bucket])
-    if agg == "sum":
-        combined = F.coalesce(F.col("_before"), F.lit(0)) + F.coalesce(F.col("_within"), F.lit(0))
-    elif agg == "max":
-        combined = F.greatest(F.col("_before"), F.col("_within"))
-    else:
-        combined = F.least(F.col("_before"), F.col("_within"))
-    return out.withColumn(name, combined).drop("_v", "_within", "_before")
+    in ``order``; ``inclusive=False`` excludes the current row.
+    ``descending=True`` runs from the end (an aggregate over the *following*
+    rows).  Key columns must be non-NULL."""
+    return running_many(df, keys, bucket, order, [(name, value, agg, inclusive, descending)])
 
 
 def neighbour(df: DataFrame, keys: Sequence[str], bucket: str, order: Sequence[Column | str],

@@ -53,10 +53,11 @@ def _with_budget(events: DataFrame) -> DataFrame:
     escalates once 3 charges exist; until then every event charges, so
     "charges so far" equals the running count of earlier charge events.
     Non-charging events form their own (loop, NULL) groups and are ignored."""
-    c = _charges(events).withColumn("day", F.to_date("ts"))
-    c = running(c, ["loop_id", "destination"], "day", ["ts", "event_id"], F.lit(1), "earlier", inclusive=False)
+    c = (_charges(events).withColumn("day", F.to_date("ts"))
+         .withColumn("_dest", F.coalesce(F.col("destination"), F.lit(""))))  # non-NULL key
+    c = running(c, ["loop_id", "_dest"], "day", ["ts", "event_id"], F.lit(1), "earlier", inclusive=False)
     esc = F.col("destination").isNotNull() & F.col("capped") & (F.col("earlier") >= MAX_RETRIES)
-    return c.withColumn("escalated", esc).drop("day")
+    return c.withColumn("escalated", esc).drop("day", "_dest")
 
 
 # I2

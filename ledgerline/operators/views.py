@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import formulas as fx
 from ..functions.joins import broadcast_fixed, broadcast_if_small
-from ..functions.windows import neighbour, running
+from ..functions.windows import neighbour, running, running_many
 
 
 def _computed_at(df: DataFrame, with_ts: bool) -> DataFrame:
@@ -323,33 +323,18 @@ TOUCH_TYPES = ["Click", "Impression"]
 DAY_US = 86_400_000_000
 
 
-def _prefix_counts(touches: DataFrame, queries: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """Count touches with time <= x per key, for every query point.
-
-    ``touches``: keys + x (+ touch_id, channel); ``queries``: keys + x + tag
-    columns.  Touches sort before queries at equal time, so the running
-    count at a query row is #touches with time <= x.  The running count is
-    split by (key, day), so no key is processed by a single task.  For touch
-    rows the same count is the touch's rank within the key.
-    """
-    extra_t = [] if "channel" in keys else ["channel"]
-    extra_q = [] if "channel" in keys else [F.lit(None).cast("string").alias("channel")]
-    t = touches.select(*keys, "x", F.lit(0).alias("kind"), F.lit(1).alias("w"), "touch_id", *extra_t,
-                       F.lit(None).cast("long").alias("purchase_id"), F.lit(None).cast("string").alias("side"))
-    q = queries.select(*keys, "x", F.lit(1).alias("kind"), F.lit(0).alias("w"),
-                       F.lit(None).cast("long").alias("touch_id"), *extra_q, "purchase_id", "side")
-    pts = t.unionByName(q).withColumn("day", F.floor(F.col("x") / F.lit(DAY_US)))
-    return running(pts, keys, "day", ["x", "kind", "touch_id"], "w", name).drop("day", "w")
-
-
 def multi_touch_attribution(events: DataFrame, lookback_days: int = 30) -> DataFrame:
     """Linear multi-touch attribution.  Touches (Click/Impression) of the
     purchasing user with time in (purchase - lookback, purchase] share the
     purchase equally; the earliest such touch is the first touch.
 
-    No touch x purchase pairs are built: per purchase, the number of touches
-    in the window (in total and per channel) is a difference of two prefix
-    counts, and the first touch is the touch ranked prefix(lo) + 1.
+    No touch x purchase pairs are built.  For every purchase and every
+    channel the user has touches in, two query points (p - lookback and p)
+    are merged into the user's touch timeline of that channel; one ordered
+    pass per (user, channel, day) gives at each query point the number of
+    touches up to it and the first touch after it.  Touches in the window =
+    difference of the two counts; the purchase total is the sum over
+    channels and the first touch the earliest of the per-channel firsts.
     """
     window_us = lookback_days * DAY_US
     us = F.unix_micros(F.col("event_timestamp").cast("timestamp"))
@@ -358,46 +343,46 @@ def multi_touch_attribution(events: DataFrame, lookback_days: int = 30) -> DataF
         "user_id", "channel", "x", F.col("event_id").alias("touch_id"))
     purchases = ev.filter(F.col("event_type") == "Purchase").select(
         "user_id", F.col("event_id").alias("purchase_id"), F.col("x").alias("p_x"))
-
-    def bounds(df: DataFrame) -> DataFrame:
-        hi = df.withColumn("x", F.col("p_x")).withColumn("side", F.lit("hi"))
-        lo = df.withColumn("x", F.col("p_x") - F.lit(window_us)).withColumn("side", F.lit("lo"))
-        return hi.unionByName(lo)
-
-    # Totals per purchase, and touch ranks per user.
-    pu = _prefix_counts(touches, bounds(purchases), ["user_id"], "cnt")
-    per_purchase = (pu.filter(F.col("kind") == 1).groupBy("user_id", "purchase_id").agg(
-        F.max(F.when(F.col("side") == "hi", F.col("cnt"))).alias("hi"),
-        F.max(F.when(F.col("side") == "lo", F.col("cnt"))).alias("lo"))
-        .withColumn("n", F.col("hi") - F.col("lo"))
-        .filter(F.col("n") > 0))
-    ranks = pu.filter(F.col("kind") == 0).select("user_id", F.col("cnt").alias("rank"),
-                                                 F.col("channel").alias("first_channel"))
-    first = (per_purchase.withColumn("rank", F.col("lo") + 1)
-             .join(ranks, ["user_id", "rank"]).groupBy("first_channel")
-             .agg(F.count(F.lit(1)).alias("first_touch_purchases"))
-             .withColumnRenamed("first_channel", "channel"))
-
-    # Per purchase and channel of the user: touches of that channel in window.
+    # Channels are few per user: pair each purchase with its user's channels.
     user_channels = touches.select("user_id", "channel").distinct()
-    pc_q = (per_purchase.select("user_id", "purchase_id", "n")
-            .join(purchases.select("purchase_id", "p_x"), "purchase_id")
-            .join(user_channels, "user_id"))
-    pc = _prefix_counts(touches, bounds(pc_q).drop("n"), ["user_id", "channel"], "cnt")
-    pcc = (pc.filter(F.col("kind") == 1).groupBy("user_id", "channel", "purchase_id").agg(
-        (F.max(F.when(F.col("side") == "hi", F.col("cnt")))
-         - F.max(F.when(F.col("side") == "lo", F.col("cnt")))).alias("c"))
-        .filter(F.col("c") > 0)
-        .join(per_purchase.select("purchase_id", "n"), "purchase_id"))
-    credit = pcc.groupBy("channel").agg(
-        F.sum(F.col("c") / F.col("n")).alias("credit"), F.sum("c").alias("window_touches"))
-    # Purchases with at least one touch: a scalar subquery (no join).
-    total = per_purchase.select(F.count(F.lit(1))).scalar()
-    out = credit.join(first, "channel", "full_outer").withColumn("purchases", total)
+    q = purchases.join(user_channels, "user_id")
+    points = q.select("user_id", "channel", "purchase_id", F.explode(F.array(
+        F.struct(F.col("p_x").alias("x"), F.lit(True).alias("hi")),
+        F.struct((F.col("p_x") - F.lit(window_us)).alias("x"), F.lit(False).alias("hi")))).alias("pt"))
+    pts = (touches.select("user_id", "channel", "x", F.lit(0).alias("kind"), "touch_id",
+                          F.lit(None).cast("long").alias("purchase_id"), F.lit(None).cast("boolean").alias("hi"))
+           .unionByName(points.select("user_id", "channel", F.col("pt.x").alias("x"), F.lit(1).alias("kind"),
+                                      F.lit(None).cast("long").alias("touch_id"), "purchase_id",
+                                      F.col("pt.hi").alias("hi")))
+           .withColumn("day", F.floor(F.col("x") / F.lit(DAY_US))))
+    order = ["x", "kind", "touch_id"]
+    keys = ["user_id", "channel"]
+    # One pass: touches at or before each row (touches sort before queries at
+    # equal time) and the first touch strictly after each row.
+    pts = running_many(pts, keys, "day", order, [
+        ("upto", (F.col("kind") == 0).cast("long"), "sum", True, False),
+        ("next_touch", F.when(F.col("kind") == 0, F.struct("x", "touch_id")), "min", False, True)])
+    qc = (pts.filter(F.col("kind") == 1).groupBy("user_id", "channel", "purchase_id").agg(
+        F.max(F.when(F.col("hi"), F.col("upto"))).alias("hi_n"),
+        F.max(F.when(~F.col("hi"), F.col("upto"))).alias("lo_n"),
+        F.max(F.when(~F.col("hi"), F.col("next_touch"))).alias("first"))
+        .withColumn("c", F.col("hi_n") - F.col("lo_n"))
+        .filter(F.col("c") > 0))
+    # Per purchase (a handful of channel rows): total and earliest first touch.
+    wp = Window.partitionBy("purchase_id")
+    qc = (qc.withColumn("n", F.sum("c").over(wp))
+          .withColumn("is_first", F.col("first") == F.min("first").over(wp)))
+    per_channel = qc.groupBy("channel").agg(
+        F.sum("c").alias("window_touches"),
+        F.sum(F.col("c") / F.col("n")).alias("credit"),
+        F.count_if("is_first").alias("first_touch_purchases"))
+    # Each purchase has exactly one first touch: the total over the (few)
+    # channel rows is the number of purchases with a touch.
+    total = F.sum("first_touch_purchases").over(Window.partitionBy(F.lit(1)))
+    out = per_channel.withColumn("purchases", total)
     return out.select(
-        "channel",
-        F.coalesce("window_touches", F.lit(0)).alias("window_touches"),
-        F.round(F.coalesce("credit", F.lit(0.0)), 6).alias("touch_credit"),
-        F.round(F.coalesce("credit", F.lit(0.0)) * 100 / F.col("purchases"), 4).alias("credit_share_pct"),
-        F.coalesce("first_touch_purchases", F.lit(0)).alias("first_touch_purchases"),
-        fx.half_up_ratio(F.coalesce("first_touch_purchases", F.lit(0)), "purchases", 2, 100).alias("first_touch_pct"))
+        "channel", "window_touches",
+        F.round("credit", 6).alias("touch_credit"),
+        F.round(F.col("credit") * 100 / F.col("purchases"), 4).alias("credit_share_pct"),
+        "first_touch_purchases",
+        fx.half_up_ratio("first_touch_purchases", "purchases", 2, 100).alias("first_touch_pct"))

@@ -36,3 +36,11 @@ def test_neighbours_match_lag_lead(spark):
     got = neighbour(df, ["k"], "b", ["t", "id"], "t", "p", "prev")
     got = neighbour(got, ["k"], "b", ["t", "id"], "t", "n", "next")
     assert {r.id: (r.p, r.n) for r in exp.collect()} == {r.id: (r.p, r.n) for r in got.collect()}
+
+
+def test_running_descending_min_matches_following_frame(spark):
+    df = _data(spark, seed=5)
+    w = Window.partitionBy("k").orderBy("t", "id").rowsBetween(1, Window.unboundedFollowing)
+    exp = df.withColumn("f", F.min(F.struct("t", "id")).over(w))
+    got = running(df, ["k"], "b", ["t", "id"], F.struct("t", "id"), "f", "min", inclusive=False, descending=True)
+    assert {r.id: r.f for r in exp.collect()} == {r.id: r.f for r in got.collect()}
