@@ -39,12 +39,13 @@ _GUARD = "['python3 deploy_view.py', '<YOUR_PROJECT_ID>', 'pip install', 'gcloud
 REPORT = SESSIONS + f""",
 fo AS (SELECT conv_id, arg_max(text, turn) AS final_output FROM conversations WHERE role = 'assistant' GROUP BY conv_id),
 base AS (SELECT s.loop_id,
-                CASE WHEN s.final_state = 'DONE' AND s.h1_approved AND s.h2_approved THEN 1.0 ELSE 0.0 END AS task_success,
+                CASE WHEN s.final_state = 'DONE' AND s.h1_approved AND s.h2_approved THEN 1.0 ELSE 0.0 END::double
+                  AS task_success,
                 {ratio('s.matched_steps', 's.steps', 2)} AS trajectory_quality,
                 CASE WHEN s.failed_tools = 0 THEN 1.0 ELSE {score2('greatest(0, 1 - 0.3 * s.failed_tools)')} END
                   AS tool_use_quality,
                 CASE WHEN len(list_filter({_GUARD}, lambda p: contains(coalesce(fo.final_output, ''), p))) > 0
-                     THEN 0.0 ELSE 1.0 END AS instruction_following
+                     THEN 0.0 ELSE 1.0 END::double AS instruction_following
          FROM sess s LEFT JOIN fo ON cast(substr(s.loop_id, 6) AS bigint) = fo.conv_id),
 rep AS (SELECT *, {score2('0.35 * cast(task_success AS decimal(10,4)) + 0.25 * cast(trajectory_quality AS decimal(10,4)) + 0.20 * cast(tool_use_quality AS decimal(10,4)) + 0.20 * cast(instruction_following AS decimal(10,4))')}
                 AS aggregate_score FROM base),
@@ -115,11 +116,11 @@ FROM sc2""")
 
 ORACLE["protocol_scorecard"] = with_adapters(["response_log"], f"""
 , b AS (SELECT response_id,
-              CASE WHEN protocol_ok THEN 1.0 ELSE 0.0 END AS protocol_score,
-              CASE WHEN correct_domain THEN 1.0 ELSE 0.5 END AS routing_score,
-              CASE WHEN has_artifacts THEN 1.0 ELSE 0.5 END AS artifact_score,
-              CASE WHEN lifecycle_ok THEN 1.0 ELSE 0.0 END AS lifecycle_score
+              CASE WHEN protocol_ok THEN 1.0 ELSE 0.0 END::double AS protocol_score,
+              CASE WHEN correct_domain THEN 1.0 ELSE 0.5 END::double AS routing_score,
+              CASE WHEN has_artifacts THEN 1.0 ELSE 0.5 END::double AS artifact_score,
+              CASE WHEN lifecycle_ok THEN 1.0 ELSE 0.0 END::double AS lifecycle_score
        FROM response_log),
-c AS (SELECT *, {score2('0.35 * protocol_score + 0.25 * routing_score + 0.20 * artifact_score + 0.20 * lifecycle_score')}
+c AS (SELECT *, {score2('0.35 * cast(protocol_score AS decimal(10,4)) + 0.25 * cast(routing_score AS decimal(10,4)) + 0.20 * cast(artifact_score AS decimal(10,4)) + 0.20 * cast(lifecycle_score AS decimal(10,4))')}
                AS aggregate_score FROM b)
 SELECT *, aggregate_score >= 0.85 AS passed FROM c""")

@@ -44,3 +44,13 @@ def test_running_descending_min_matches_following_frame(spark):
     exp = df.withColumn("f", F.min(F.struct("t", "id")).over(w))
     got = running(df, ["k"], "b", ["t", "id"], F.struct("t", "id"), "f", "min", inclusive=False, descending=True)
     assert {r.id: r.f for r in exp.collect()} == {r.id: r.f for r in got.collect()}
+
+
+def test_row_level_window_is_partitioned_by_key_and_bucket(spark):
+    """The hot key is split: the row-level window's partition spec carries
+    the bucket, and the big side is shuffled once."""
+    import re
+    out = running(_data(spark), ["k"], "b", ["t", "id"], "v", "s")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"windowspecdefinition\(k#\d+L?, b#\d+L?, t#\d+L? ASC", plan)
+    assert re.search(r"Exchange hashpartitioning\(k#\d+L?, b#\d+L?", plan)
