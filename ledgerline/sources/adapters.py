@@ -149,12 +149,15 @@ def _exchange_rate_history(d: Dialect) -> str:
     # Yearly EUR rates derived from the order-date range of the data: one row
     # per (year, target) for every year that has orders; the seed rates are
     # used in turn (even years the first, odd years the second).
+    years = "(SELECT DISTINCT cast(year(o_orderdate) AS int) AS y FROM {orders})"
     return f"""
-SELECT make_date(y, 1, 1) AS rate_date, 'EUR' AS base_currency, target_currency,
-       CASE WHEN target_currency = 'USD' THEN (CASE WHEN y % 2 = 0 THEN 1.0850 ELSE 1.0865 END)
-            ELSE (CASE WHEN y % 2 = 0 THEN 0.8540 ELSE 0.8530 END) END AS rate
-FROM (SELECT DISTINCT cast(year(o_orderdate) AS int) AS y FROM {{orders}}) AS years,
-     (VALUES ('USD'), ('GBP')) AS c(target_currency)"""
+SELECT make_date(y, 1, 1) AS rate_date, 'EUR' AS base_currency, 'USD' AS target_currency,
+       CASE WHEN y % 2 = 0 THEN 1.0850 ELSE 1.0865 END AS rate
+FROM {years} AS yu
+UNION ALL
+SELECT make_date(y, 1, 1) AS rate_date, 'EUR' AS base_currency, 'GBP' AS target_currency,
+       CASE WHEN y % 2 = 0 THEN 0.8540 ELSE 0.8530 END AS rate
+FROM {years} AS yg"""
 
 
 def _billing_events(d: Dialect) -> str:
