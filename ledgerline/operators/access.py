@@ -29,7 +29,7 @@ DOMAIN_KEYWORDS = [
     ("sales", ["sale", "crm", "pipeline"]),
     ("finance", ["finance", "invoice", "currency", "revenue", "variance"]),
 ]
-AGENT_EMAIL_PREFIX = "sa-sdo-"
+AGENT_EMAIL_PREFIX = "sa-agent-"
 
 
 def _c(x: Column | str) -> Column:

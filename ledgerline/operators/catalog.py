@@ -13,7 +13,7 @@ from ..functions import formulas as fx
 from ..functions.windows import running
 
 DEFAULT_BUCKET = "analytics-artifacts"
-DEFAULT_CREATOR = "sdo-engine"
+DEFAULT_CREATOR = "delivery-engine"
 
 
 # E2 --------------------------------------------------------------------------
@@ -196,14 +196,14 @@ def token_cost(traces: DataFrame) -> DataFrame:
 
 
 # E15 -------------------------------------------------------------------------
-SPAN_DEFAULT_ATTRS = {"gen_ai.system": "vertex_ai", "gen_ai.request.model": "default-model"}
+SPAN_DEFAULT_ATTRS = {"gen_ai.system": "model-provider", "gen_ai.request.model": "default-model"}
 
 
 def spans(traces: DataFrame, caller_attrs: Column | None = None) -> DataFrame:
-    """One span per trace row: name ``sdo.node.<step>``, default attributes
+    """One span per trace row: name ``pipeline.node.<step>``, default attributes
     overridden by caller keys (the caller map wins on duplicate keys)."""
     defaults = F.create_map(
-        F.lit("sdo.loop_id"), F.col("loop_id"), F.lit("sdo.node_name"), F.col("step_name"),
+        F.lit("run.loop_id"), F.col("loop_id"), F.lit("run.node_name"), F.col("step_name"),
         *[x for k, v in SPAN_DEFAULT_ATTRS.items() for x in (F.lit(k), F.lit(v))])
     if caller_attrs is None:
         attrs = defaults
@@ -211,7 +211,7 @@ def spans(traces: DataFrame, caller_attrs: Column | None = None) -> DataFrame:
         keep = F.map_filter(defaults, lambda k, v: ~F.array_contains(F.map_keys(caller_attrs), k))
         attrs = F.map_concat(keep, caller_attrs)
     return traces.select(
-        F.concat(F.lit("sdo.node."), F.lower("step_name")).alias("span_name"),
+        F.concat(F.lit("pipeline.node."), F.lower("step_name")).alias("span_name"),
         "loop_id", "duration_ms", attrs.alias("attributes"))
 
 

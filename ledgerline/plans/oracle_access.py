@@ -49,7 +49,7 @@ SELECT request_id, actor_type,
 FROM actors""")
 
 ORACLE["actor_split"] = with_adapters(["audit_events"], """
-SELECT node_id, CASE WHEN starts_with(actor_email, 'sa-sdo-') THEN 'agent' ELSE 'human' END AS actor_kind,
+SELECT node_id, CASE WHEN starts_with(actor_email, 'sa-agent-') THEN 'agent' ELSE 'human' END AS actor_kind,
        count(*) AS actions
 FROM audit_events GROUP BY 1, 2""")
 

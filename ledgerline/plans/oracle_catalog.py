@@ -18,7 +18,7 @@ _RECORDS = """
                 'gs://analytics-artifacts/processes/' || domain || '/' || loop_id || '/' || artifact_name AS gcs_uri,
                 sha256(content) AS content_sha256,
                 cast(strlen(content) AS bigint) AS size_bytes,
-                created_at, 'sdo-engine' AS created_by
+                created_at, 'delivery-engine' AS created_by
          FROM artifacts)"""
 
 ORACLE["artifact_records"] = with_adapters(["artifacts"], _RECORDS + "\nSELECT * FROM rec")
@@ -97,7 +97,7 @@ SELECT node_id, loop_id, sum(input_tokens) AS input_tokens, sum(output_tokens) A
 FROM session_traces GROUP BY node_id, loop_id""")
 
 ORACLE["span_stats"] = with_adapters(["session_traces"], f"""
-SELECT 'sdo.node.' || lower(step_name) AS span_name, count(*) AS spans,
+SELECT 'pipeline.node.' || lower(step_name) AS span_name, count(*) AS spans,
        {ratio('sum(cast(cast(duration_ms AS decimal(18,2)) * 100 AS bigint))', 'count(duration_ms)', 0)} / 100
          AS avg_ms,
        quantile_cont(duration_ms, 0.5) AS p50_ms, quantile_cont(duration_ms, 0.95) AS p95_ms

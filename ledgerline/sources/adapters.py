@@ -319,7 +319,7 @@ FROM (SELECT event_id AS trace_event_id, loop_id, node_id, step_name, ts,
              row_number() OVER (PARTITION BY loop_id ORDER BY ts, event_id) AS seq,
              CASE WHEN step_name IN ('GATE_H1', 'GATE_H2') THEN 'human' ELSE 'agent' END AS actor_type,
              CASE WHEN step_name IN ('GATE_H1', 'GATE_H2') THEN 'reviewer' || right(loop_id, 3) || '@example.com'
-                  ELSE 'sa-sdo-' || node_id || '@agents.example.com' END AS actor_email,
+                  ELSE 'sa-agent-' || node_id || '@agents.example.com' END AS actor_email,
              'STATE_TRANSITION' AS intent_kind
       FROM {{session_traces}}) AS s
 WHERE trace_event_id % 53 <> 0"""

@@ -20,8 +20,8 @@ from .adapters import DOMAINS
 DOMAIN_RULES = {
     "finance": {
         "roles": ["finance_admin", "financial_controller", "finance_analyst"],
-        "tables": ["sdo_finance_demo.invoices", "sdo_finance_demo.billing_events",
-                   "sdo_finance_demo.exchange_rates", "sdo_finance_demo.revenue_summary"],
+        "tables": ["finance_demo.invoices", "finance_demo.billing_events",
+                   "finance_demo.exchange_rates", "finance_demo.revenue_summary"],
         "metrics": ["target_sla_seconds", "baseline_error_rate", "reconciliation_variance_tolerance_pct"],
         "prohibited": ["DROP TABLE", "DELETE FROM", "TRUNCATE", "ALTER TABLE"],
         "min_pass_rate": 100.0, "min_coverage_pct": 90.0, "max_query_cost_usd": 2.50,
@@ -29,7 +29,7 @@ DOMAIN_RULES = {
     },
     "sales": {
         "roles": ["sales_lead", "commercial_ops", "finance_admin"],
-        "tables": ["sdo_sales_demo.opportunities", "sdo_sales_demo.accounts", "sdo_sales_demo.lead_conversions"],
+        "tables": ["sales_demo.opportunities", "sales_demo.accounts", "sales_demo.lead_conversions"],
         "metrics": ["target_sla_seconds", "baseline_error_rate", "conversion_variance_pct"],
         "prohibited": ["DROP TABLE", "DELETE FROM", "TRUNCATE"],
         "min_pass_rate": 100.0, "min_coverage_pct": 85.0, "max_query_cost_usd": 1.50,
@@ -37,8 +37,8 @@ DOMAIN_RULES = {
     },
     "firmware": {
         "roles": ["firmware_engineer", "embedded_lead", "iot_operator"],
-        "tables": ["sdo_firmware_demo.charger_telemetry", "sdo_firmware_demo.firmware_releases",
-                   "sdo_firmware_demo.error_logs"],
+        "tables": ["firmware_demo.charger_telemetry", "firmware_demo.firmware_releases",
+                   "firmware_demo.error_logs"],
         "metrics": ["target_sla_seconds", "baseline_error_rate", "telemetry_ingestion_delay_ms"],
         "prohibited": ["DROP TABLE", "DELETE FROM", "TRUNCATE"],
         "min_pass_rate": 100.0, "min_coverage_pct": 90.0, "max_query_cost_usd": 3.00,
@@ -46,8 +46,8 @@ DOMAIN_RULES = {
     },
     "marketing": {
         "roles": ["marketing_manager", "growth_analyst"],
-        "tables": ["sdo_marketing_demo.campaign_events", "sdo_marketing_demo.user_acquisitions",
-                   "sdo_marketing_demo.ad_spend"],
+        "tables": ["marketing_demo.campaign_events", "marketing_demo.user_acquisitions",
+                   "marketing_demo.ad_spend"],
         "metrics": ["target_sla_seconds", "baseline_error_rate", "cac_calculation_variance_pct"],
         "prohibited": ["DROP TABLE", "DELETE FROM", "TRUNCATE"],
         "min_pass_rate": 100.0, "min_coverage_pct": 85.0, "max_query_cost_usd": 1.00,
@@ -55,8 +55,8 @@ DOMAIN_RULES = {
     },
     "logistics": {
         "roles": ["supply_chain_lead", "plant_manager", "finance_admin"],
-        "tables": ["sdo_logistics_demo.inventory", "sdo_logistics_demo.warehouse_dispatch",
-                   "sdo_logistics_demo.parts_catalog"],
+        "tables": ["logistics_demo.inventory", "logistics_demo.warehouse_dispatch",
+                   "logistics_demo.parts_catalog"],
         "metrics": ["target_sla_seconds", "baseline_error_rate", "dispatch_sla_adherence_pct"],
         "prohibited": ["DROP TABLE", "DELETE FROM", "TRUNCATE"],
         "min_pass_rate": 100.0, "min_coverage_pct": 85.0, "max_query_cost_usd": 1.50,

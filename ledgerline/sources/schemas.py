@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 # Datasets, tables and declared columns (name, type).
 # ---------------------------------------------------------------------------
 CATALOG = {
-    "sdo_finance_demo": {
+    "finance_demo": {
         "invoices": [("invoice_id", "STRING"), ("account_id", "STRING"), ("amount", "NUMERIC"),
                      ("currency", "STRING"), ("status", "STRING"), ("issue_date", "DATE"), ("due_date", "DATE")],
         "exchange_rates": [("rate_date", "DATE"), ("base_currency", "STRING"), ("target_currency", "STRING"),
@@ -23,13 +23,13 @@ CATALOG = {
         "billing_events": [("event_id", "STRING"), ("account_id", "STRING"), ("charger_id", "STRING"),
                            ("kwh_consumed", "FLOAT64"), ("event_timestamp", "TIMESTAMP")],
     },
-    "sdo_sales_demo": {
+    "sales_demo": {
         "opportunities": [("opp_id", "STRING"), ("account_name", "STRING"), ("amount_eur", "NUMERIC"),
                           ("stage", "STRING"), ("close_date", "DATE")],
         "accounts": [("account_id", "STRING"), ("region", "STRING"), ("tier", "STRING")],
         "lead_conversions": [("lead_id", "STRING"), ("converted_flag", "INT64"), ("conversion_timestamp", "TIMESTAMP")],
     },
-    "sdo_firmware_demo": {
+    "firmware_demo": {
         "charger_telemetry": [("charger_id", "STRING"), ("firmware_version", "STRING"), ("voltage", "FLOAT64"),
                               ("current_amperes", "FLOAT64"), ("temperature_celsius", "FLOAT64"),
                               ("event_timestamp", "TIMESTAMP")],
@@ -38,14 +38,14 @@ CATALOG = {
         "error_logs": [("log_id", "STRING"), ("charger_id", "STRING"), ("error_code", "STRING"),
                        ("severity", "STRING"), ("log_timestamp", "TIMESTAMP")],
     },
-    "sdo_marketing_demo": {
+    "marketing_demo": {
         "campaign_events": [("event_id", "STRING"), ("campaign_id", "STRING"), ("channel", "STRING"),
                             ("user_id_hashed", "STRING"), ("event_type", "STRING"), ("event_timestamp", "TIMESTAMP")],
         "user_acquisitions": [("acquisition_id", "STRING"), ("campaign_id", "STRING"), ("cac_usd", "NUMERIC"),
                               ("converted_at", "TIMESTAMP")],
         "ad_spend": [("spend_id", "STRING"), ("channel", "STRING"), ("amount_usd", "NUMERIC"), ("spend_date", "DATE")],
     },
-    "sdo_logistics_demo": {
+    "logistics_demo": {
         "inventory": [("part_id", "STRING"), ("warehouse_id", "STRING"), ("quantity_on_hand", "INT64"),
                       ("reorder_point", "INT64"), ("last_updated", "TIMESTAMP")],
         "warehouse_dispatch": [("dispatch_id", "STRING"), ("order_id", "STRING"), ("dispatch_time_hours", "FLOAT64"),
@@ -58,7 +58,7 @@ CATALOG = {
 # zone-less (the driver files carry no zone).
 SPARK_TYPES = {"STRING": "string", "NUMERIC": "decimal(18,2)", "FLOAT64": "double", "INT64": "bigint",
                "DATE": "date", "TIMESTAMP": "timestamp_ntz"}
-DOMAIN_DATASET = {d: f"sdo_{d}_demo" for d in ["finance", "sales", "firmware", "marketing", "logistics"]}
+DOMAIN_DATASET = {d: f"{d}_demo" for d in ["finance", "sales", "firmware", "marketing", "logistics"]}
 CONTEXT_TABLES = 3
 
 

@@ -48,10 +48,10 @@ def write_rates(rates: DataFrame, path: str) -> None:
 
 # A9
 SEED_INVOICES = [
-    ("INV-2026-001", "ACC-WBX-901", "1250.00", "EUR", "PAID", "2026-08-01", "2026-08-15"),
-    ("INV-2026-002", "ACC-WBX-902", "8400.50", "USD", "PAID", "2026-08-02", "2026-08-16"),
-    ("INV-2026-003", "ACC-WBX-903", "3100.00", "GBP", "PAID", "2026-08-03", "2026-08-17"),
-    ("INV-2026-004", "ACC-WBX-904", "500.00", "EUR", "PENDING", "2026-08-10", "2026-08-24"),
+    ("INV-2026-001", "ACC-001", "1250.00", "EUR", "PAID", "2026-08-01", "2026-08-15"),
+    ("INV-2026-002", "ACC-002", "8400.50", "USD", "PAID", "2026-08-02", "2026-08-16"),
+    ("INV-2026-003", "ACC-003", "3100.00", "GBP", "PAID", "2026-08-03", "2026-08-17"),
+    ("INV-2026-004", "ACC-004", "500.00", "EUR", "PENDING", "2026-08-10", "2026-08-24"),
 ]
 
 

@@ -13,8 +13,8 @@ def test_artifact_record_golden(spark):
     df = spark.createDataFrame([("finance", "01KZZTEST001", "spec.md", content, datetime(2026, 1, 1))],
                                "domain string, loop_id string, artifact_name string, content string, "
                                "created_at timestamp_ntz")
-    r = E.artifact_records(df, bucket="sdo-test-artifacts").first()
-    assert r.gcs_uri == "gs://sdo-test-artifacts/processes/finance/01KZZTEST001/spec.md"
+    r = E.artifact_records(df, bucket="test-artifacts").first()
+    assert r.gcs_uri == "gs://test-artifacts/processes/finance/01KZZTEST001/spec.md"
     assert r.artifact_type == "SPECIFICATION"
     assert r.content_sha256 == hashlib.sha256(content.encode()).hexdigest()
     assert r.size_bytes == len(content.encode())
@@ -57,9 +57,9 @@ def test_span_attributes_caller_wins(spark):
     df = spark.createDataFrame([("L1", "INTAKE", 1.0)], "loop_id string, step_name string, duration_ms double")
     caller = F.create_map(F.lit("gen_ai.request.model"), F.lit("custom"), F.lit("extra"), F.lit("1"))
     r = E.spans(df, caller).first()
-    assert r.span_name == "sdo.node.intake"
+    assert r.span_name == "pipeline.node.intake"
     assert r.attributes["gen_ai.request.model"] == "custom" and r.attributes["extra"] == "1"
-    assert r.attributes["sdo.loop_id"] == "L1"
+    assert r.attributes["run.loop_id"] == "L1"
 
 
 def test_token_cost(spark):
