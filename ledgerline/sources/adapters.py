@@ -137,29 +137,26 @@ FROM {{orders}}"""
 
 
 def _exchange_rates(d: Dialect) -> str:
-    rows = ", ".join(
-        f"(DATE '{r[0]}', '{r[1]}', '{r[2]}', cast({r[3]} AS decimal(10,4)))" for r in SEED_RATES
-    )
-    return f"""
-SELECT rate_date, base_currency, target_currency, cast(rate AS double) AS rate
-FROM (VALUES {rows}) AS t(rate_date, base_currency, target_currency, rate)"""
-
-
-def _exchange_rate_history(d: Dialect) -> str:
-    # Yearly EUR rates derived from the order-date range of the data: one row
-    # per (year, target) for every year that has orders; the seed rates are
-    # used in turn (even years the first, odd years the second).
+    # EUR rates derived from the data: one rate per (year with orders,
+    # target currency); the seed rates are used in turn (even years the first,
+    # odd years the second).  B1 joins on the currency only, so every PAID
+    # non-EUR invoice fans out over the yearly rates of its currency.
     years = "(SELECT DISTINCT cast(year(o_orderdate) AS int) AS y FROM {orders})"
     return f"""
 SELECT make_date(y, 1, 1) AS rate_date, 'EUR' AS base_currency, 'USD' AS target_currency,
-       CASE WHEN y % 2 = 0 THEN 1.0850 ELSE 1.0865 END AS rate
+       cast(CASE WHEN y % 2 = 0 THEN 1.0850 ELSE 1.0865 END AS double) AS rate
 FROM {years} AS yu
 UNION ALL
 SELECT make_date(y, 1, 1) AS rate_date, 'EUR' AS base_currency, 'GBP' AS target_currency,
-       CASE WHEN y % 2 = 0 THEN 0.8540 ELSE 0.8530 END AS rate
+       cast(CASE WHEN y % 2 = 0 THEN 0.8540 ELSE 0.8530 END AS double) AS rate
 FROM {years} AS yg"""
 
 
+def _exchange_rate_history(d: Dialect) -> str:
+    # The as-of views (B6, C9) read the same yearly rates.
+    return "SELECT * FROM {exchange_rates}"
+
+
 def _billing_events(d: Dialect) -> str:
     return """
 SELECT event_id, user_id % 40 AS account_id, user_id AS charger_id,
@@ -207,10 +204,13 @@ FROM {EVENTS_K}"""
 
 
 def _firmware_releases(d: Dialect) -> str:
-    return """
-SELECT 'REL-' || version AS release_id, version, DATE '2024-01-01' AS release_date, status
-FROM (VALUES ('5.14.0', 'DEPRECATED'), ('5.14.1', 'GA'), ('5.14.2', 'GA'), ('5.14.3', 'STAGING'))
-     AS t(version, status)"""
+    # Releases seen in the telemetry: one row per firmware version, released
+    # on the first day it reports; status by patch number.
+    status = "CASE right(version, 1) WHEN '0' THEN 'DEPRECATED' WHEN '3' THEN 'STAGING' ELSE 'GA' END"
+    return f"""
+SELECT 'REL-' || version AS release_id, version, release_date, {status} AS status
+FROM (SELECT '5.14.' || cast(k % 4 AS string) AS version, min(cast(ts AS date)) AS release_date
+      FROM {EVENTS_K} GROUP BY 1) AS v"""
 
 
 def _error_logs(d: Dialect) -> str:
@@ -426,14 +426,14 @@ FROM {events}"""
 
 ADAPTERS: dict[str, tuple[tuple[str, ...], object]] = {
     "invoices": (("orders",), _invoices),
-    "exchange_rates": ((), _exchange_rates),
-    "exchange_rate_history": (("orders",), _exchange_rate_history),
+    "exchange_rates": (("orders",), _exchange_rates),
+    "exchange_rate_history": (("exchange_rates",), _exchange_rate_history),
     "billing_events": (("events",), _billing_events),
     "opportunities": (("orders", "customer"), _opportunities),
     "accounts": (("customer", "nation", "region"), _accounts),
     "lead_conversions": (("events",), _lead_conversions),
     "charger_telemetry": (("events",), _charger_telemetry),
-    "firmware_releases": ((), _firmware_releases),
+    "firmware_releases": (("events",), _firmware_releases),
     "error_logs": (("events",), _error_logs),
     "campaign_events": (("events",), _campaign_events),
     "user_acquisitions": (("events",), _user_acquisitions),

@@ -60,12 +60,11 @@ def hourly_errors(stream: DataFrame) -> DataFrame:
 
 
 def spark_errors(events: DataFrame) -> DataFrame:
-    """error_logs rows of an events stream; event time cast to TIMESTAMP
-    (watermarks need it; the session time zone is UTC)."""
-    sev = (F.when(F.col("value") >= 50, "CRITICAL").when(F.col("value") >= 20, "WARNING").otherwise("INFO"))
-    return (events.filter(F.col("event_type") == "error")
-            .select(F.col("event_id").alias("log_id"), F.col("user_id").alias("charger_id"), sev.alias("severity"),
-                    F.col("ts").cast("timestamp").alias("event_time")))
+    """error_logs rows of an events stream (the same adapter as the batch
+    table); event time cast to TIMESTAMP (watermarks reject TIMESTAMP_NTZ;
+    the session time zone is UTC, so wall-clock values are unchanged)."""
+    logs = events.sparkSession.sql(adapter_sql("error_logs", SPARK), events=events)
+    return logs.withColumn("event_time", F.col("log_timestamp").cast("timestamp"))
 
 
 def stream_hourly_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
