@@ -27,15 +27,19 @@ def _scratch(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/streams/{name}-{uuid.uuid4().hex[:8]}"
 
 
-def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Streaming read of the driver's events file (a one-file glob, so the
-    folder's other tables are not picked up)."""
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{sf_dir}/events.parque[t]")
+EVENTS_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
 
-def traces_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(adapter_sql("session_traces", SPARK), events=event_stream(spark, sf_dir))
+def event_stream(spark: SparkSession, sf_dir: str, source: str | None = None) -> DataFrame:
+    """Streaming read of the events files: by default the driver's events
+    file (a one-file glob, so the folder's other tables are not picked up),
+    or any folder/glob of event parquet files (``source``)."""
+    path = source or f"{sf_dir}/events.parque[t]"
+    return spark.readStream.schema(EVENTS_SCHEMA).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def traces_stream(spark: SparkSession, sf_dir: str, source: str | None = None) -> DataFrame:
+    return spark.sql(adapter_sql("session_traces", SPARK), events=event_stream(spark, sf_dir, source))
 
 
 # J1
@@ -99,31 +103,51 @@ def stream_gate_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # J4
-def stream_latest_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _versions(spark: SparkSession, root: str) -> list[tuple[int, str]]:
+    """Snapshot folders ``v<epoch>`` under ``root`` on the shared filesystem
+    (so a restarted driver finds them too), sorted by epoch."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return []
+    out = []
+    for st in fs.listStatus(path):
+        name = st.getPath().getName()
+        if st.isDirectory() and name.startswith("v") and name[1:].isdigit() and \
+                fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
+            out.append((int(name[1:]), st.getPath().toString()))
+    return sorted(out)
+
+
+def stream_latest_state(spark: SparkSession, sf_dir: str, out: str | None = None,
+                        source: str | None = None) -> DataFrame:
     """Current step per loop: a streaming aggregation in update mode whose
     changed rows are upserted by ``foreachBatch`` into versioned snapshot
-    folders (each batch writes a new version; readers take the newest)."""
-    out = _scratch(spark, "latest_state")
-    latest = (traces_stream(spark, sf_dir).groupBy("loop_id")
+    folders.  Batch ``e`` merges its updates into the newest committed
+    snapshot older than ``e`` and writes ``v<e>``; a replayed batch rewrites
+    its own version, so recovery after a failure is idempotent."""
+    out = out or _scratch(spark, "latest_state")
+    latest = (traces_stream(spark, sf_dir, source).groupBy("loop_id")
               .agg(F.max_by(F.struct("step_name", "ts", "event_id"), F.struct("ts", "event_id")).alias("s"))
               .select("loop_id", F.col("s.step_name").alias("current_step"), F.col("s.ts").alias("updated_at"),
                       F.col("s.event_id").alias("event_id")))
-    versions: list[str] = []
+    snapshots = f"{out}/snapshots"
 
     def upsert(batch: DataFrame, epoch: int) -> None:
-        target = f"{out}/v{epoch:08d}"
-        if versions:
-            prev = batch.sparkSession.read.parquet(versions[-1])
+        session = batch.sparkSession
+        older = [p for e, p in _versions(session, snapshots) if e < epoch]
+        merged = batch
+        if older:
+            prev = session.read.parquet(older[-1])
             merged = prev.unionByName(batch).groupBy("loop_id").agg(
                 F.max_by(F.struct("current_step", "updated_at", "event_id"),
                          F.struct("updated_at", "event_id")).alias("s")).select(
                 "loop_id", "s.current_step", "s.updated_at", "s.event_id")
-        else:
-            merged = batch
-        merged.write.mode("overwrite").parquet(target)
-        versions.append(target)
+        merged.write.mode("overwrite").parquet(f"{snapshots}/v{epoch:08d}")
 
     q = (latest.writeStream.outputMode("update").foreachBatch(upsert)
          .option("checkpointLocation", f"{out}/_checkpoint").trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.parquet(versions[-1]).select("loop_id", "current_step", "updated_at")
+    newest = _versions(spark, snapshots)[-1][1]
+    return spark.read.parquet(newest).select("loop_id", "current_step", "updated_at")
