@@ -215,6 +215,21 @@ def spans(traces: DataFrame, caller_attrs: Column | None = None) -> DataFrame:
         "loop_id", "duration_ms", attrs.alias("attributes"))
 
 
+def attributes_text(attrs: Column | str) -> Column:
+    """Canonical text of an attribute map: ``k=v`` pairs sorted by key, ``;``."""
+    a = F.col(attrs) if isinstance(attrs, str) else attrs
+    return F.array_join(F.transform(F.array_sort(F.map_entries(a)),
+                                    lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
+
+
+def span_rows(traces: DataFrame) -> DataFrame:
+    """Span per trace row with the caller's attributes (model, status)
+    overriding the defaults; attributes rendered as sorted text."""
+    caller = F.create_map(F.lit("gen_ai.request.model"), F.col("model_name"), F.lit("status"), F.col("status"))
+    s = spans(traces.select("event_id", "loop_id", "step_name", "duration_ms", "model_name", "status"), caller)
+    return s.select("span_name", "loop_id", "duration_ms", attributes_text("attributes").alias("attributes"))
+
+
 def span_stats(traces: DataFrame) -> DataFrame:
     """Per span name: count, avg, p50, p95 duration.  Exact percentiles:
     Spark's ``percentile`` keeps a value->count map per group (map-side

@@ -137,14 +137,15 @@ def pending_gates(latest: DataFrame) -> DataFrame:
 
 # I7
 def step_limit(transitions: DataFrame, limit: int = MAX_STEPS) -> DataFrame:
-    """Runs of consecutive steps without a pause or terminal state; runs of
-    at least ``limit`` steps are escalated by the step limit."""
+    """Runs of consecutive steps of a loop up to (and including) a pause or
+    terminal state, with their length; a run of at least ``limit`` steps is
+    escalated by the step limit (``escalated``)."""
     stop = F.col("next_state").isin(PAUSE_STATES + TERMINAL_STATES).cast("int")
     t = transitions.withColumn("stop", stop).withColumn("day", F.to_date("ts"))
     t = running(t, ["loop_id"], "day", ["ts", "event_id"], "stop", "segment", inclusive=False)
     g = t.groupBy("loop_id", "segment").agg(F.count(F.lit(1)).alias("steps"))
-    return g.filter(F.col("steps") >= limit).select(
-        "loop_id", F.col("segment").cast("long").alias("segment"), "steps")
+    return g.select("loop_id", F.col("segment").cast("long").alias("segment"), "steps",
+                    (F.col("steps") >= limit).alias("escalated"))
 
 
 # I8

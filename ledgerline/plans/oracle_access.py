@@ -126,7 +126,8 @@ ORACLE["step_limit"] = with_adapters(_LE, BUDGET + """
                                   OVER (PARTITION BY loop_id ORDER BY ts, event_id
                                         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS segment
          FROM tr)
-SELECT loop_id, cast(segment AS bigint) AS segment, count(*) AS steps FROM seg GROUP BY 1, 2 HAVING count(*) >= 25""")
+SELECT loop_id, cast(segment AS bigint) AS segment, count(*) AS steps, count(*) >= 25 AS escalated
+FROM seg GROUP BY 1, 2""")
 ORACLE["first_gate_resolution"] = with_adapters(_LE, """
 SELECT loop_id, event_id, step_name AS gate, decision,
        row_number() OVER (PARTITION BY loop_id, step_name ORDER BY ts, event_id) AS resolution_rank,

@@ -102,3 +102,14 @@ SELECT 'pipeline.node.' || lower(step_name) AS span_name, count(*) AS spans,
          AS avg_ms,
        quantile_cont(duration_ms, 0.5) AS p50_ms, quantile_cont(duration_ms, 0.95) AS p95_ms
 FROM session_traces GROUP BY 1""")
+
+ORACLE["span_rows"] = with_adapters(["session_traces"], """
+, s AS (SELECT 'pipeline.node.' || lower(step_name) AS span_name, loop_id, duration_ms,
+              map_concat(map(['run.loop_id', 'run.node_name', 'gen_ai.system', 'gen_ai.request.model'],
+                             [loop_id, step_name, 'model-provider', 'default-model']),
+                         map(['gen_ai.request.model', 'status'], [model_name, status])) AS a
+       FROM session_traces)
+SELECT span_name, loop_id, duration_ms,
+       array_to_string(list_transform(list_sort(map_keys(a)), lambda k: k || '=' || map_extract_value(a, k)), ';')
+         AS attributes
+FROM s""")

@@ -90,6 +90,7 @@ _reg("audit_integrity", lambda t: E.audit_integrity(t.audit_events), ORACLE_CATA
 _reg("id_collisions", lambda t: E.id_collisions(t.audit_events, E.artifact_records(t.artifacts)), ORACLE_CATALOG)
 _reg("token_cost", lambda t: E.token_cost(t.session_traces), ORACLE_CATALOG)
 _reg("span_stats", lambda t: E.span_stats(t.session_traces), ORACLE_CATALOG)
+_reg("span_rows", lambda t: E.span_rows(t.session_traces), ORACLE_CATALOG)
 
 # F: specification / document quality checks
 from ..operators import quality as Q  # noqa: E402

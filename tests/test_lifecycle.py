@@ -38,4 +38,4 @@ def test_latest_state_and_step_limit(spark):
     latest = L.latest_loop_state(tr).first()
     assert latest.current_state == "IMPLEMENT"
     seg = L.step_limit(tr).collect()
-    assert [(r.segment, r.steps) for r in seg] == [(0, 27)]
+    assert [(r.segment, r.steps, r.escalated) for r in seg] == [(0, 27, True)]
