@@ -131,10 +131,10 @@ FROM (SELECT doc_id, artifact_name, list_filter({_FORBIDDEN}, lambda p: contains
 
 _GUARD = "['python3 deploy_view.py', '<YOUR_PROJECT_ID>', 'pip install', 'gcloud ']"
 _FINAL = """
-fo AS (SELECT conv_id, arg_max(text, turn) AS final_output FROM conversations WHERE role = 'assistant' GROUP BY conv_id)"""
-ORACLE["guardrail_tokens"] = f"""WITH {_FINAL}
+fo AS (SELECT conv_id, arg_max(text, turn) AS final_output FROM conversation_turns WHERE role = 'assistant' GROUP BY conv_id)"""
+ORACLE["guardrail_tokens"] = with_adapters(["conversation_turns"], f""",{_FINAL}
 SELECT conv_id, len(h) AS hit_count, array_to_string(h, ' | ') AS hits
-FROM (SELECT conv_id, list_filter({_GUARD}, lambda p: contains(coalesce(final_output, ''), p)) AS h FROM fo) s"""
+FROM (SELECT conv_id, list_filter({_GUARD}, lambda p: contains(coalesce(final_output, ''), p)) AS h FROM fo) s""")
 
 ORACLE["metric_defaults"] = with_adapters(["specs"], """
 SELECT metric, count(*) AS specs,

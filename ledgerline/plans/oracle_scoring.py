@@ -37,7 +37,7 @@ sess AS (SELECT a.loop_id, a.steps, a.matched_steps, l.final_state, a.failed_too
 _GUARD = "['python3 deploy_view.py', '<YOUR_PROJECT_ID>', 'pip install', 'gcloud ']"
 
 REPORT = SESSIONS + f""",
-fo AS (SELECT conv_id, arg_max(text, turn) AS final_output FROM conversations WHERE role = 'assistant' GROUP BY conv_id),
+fo AS (SELECT conv_id, arg_max(text, turn) AS final_output FROM conversation_turns WHERE role = 'assistant' GROUP BY conv_id),
 base AS (SELECT s.loop_id,
                 CASE WHEN s.final_state = 'DONE' AND s.h1_approved AND s.h2_approved THEN 1.0 ELSE 0.0 END::double
                   AS task_success,
@@ -61,7 +61,7 @@ rep2 AS (SELECT *, aggregate_score >= 0.85 AS passed,
                   AS rubric_verdict
          FROM rep)"""
 
-_ADAPTERS = ["session_traces", "loop_events"]
+_ADAPTERS = ["session_traces", "loop_events", "conversation_turns"]
 
 ORACLE: dict[str, str] = {}
 ORACLE["harvest_traces"] = with_adapters(_ADAPTERS, SESSIONS + "\nSELECT * FROM sess")

@@ -117,7 +117,7 @@ _reg("spec_harness", lambda t: Q.spec_harness(t.specs), ORACLE_QUALITY)
 _reg("acceptance_criteria", lambda t: Q.acceptance_report(t.test_results), ORACLE_QUALITY)
 _reg("review_outcome", lambda t: Q.review_outcome(t.test_results), ORACLE_QUALITY)
 _reg("forbidden_code_scan", lambda t: Q.forbidden_code_scan(t.artifacts), ORACLE_QUALITY)
-_reg("guardrail_tokens", lambda t: Q.guardrail_scan(t.conversations), ORACLE_QUALITY)
+_reg("guardrail_tokens", lambda t: Q.guardrail_scan(t.conversation_turns), ORACLE_QUALITY)
 _reg("metric_defaults", lambda t: Q.metric_defaults(t.specs), ORACLE_QUALITY)
 _reg("violation_summary", lambda t: Q.violation_summary(t.specs), ORACLE_QUALITY)
 
@@ -131,7 +131,7 @@ def _sessions(t: Tables) -> DataFrame:
 
 
 def _report(t: Tables) -> DataFrame:
-    return G.flywheel_report(_sessions(t), t.conversations)
+    return G.flywheel_report(_sessions(t), t.conversation_turns)
 
 
 _reg("harvest_traces", _sessions, ORACLE_SCORING)

@@ -138,17 +138,18 @@ FROM {{orders}}"""
 
 def _exchange_rates(d: Dialect) -> str:
     # EUR rates derived from the data: one rate per (year with orders,
-    # target currency); the seed rates are used in turn (even years the first,
-    # odd years the second).  B1 joins on the currency only, so every PAID
-    # non-EUR invoice fans out over the yearly rates of its currency.
+    # target currency), moving around the first seed rate of the currency in
+    # steps of 0.0300 (USD) / 0.0250 (GBP) with the year, so some weeks drift
+    # past the 5 % reconciliation tolerance.  B1 joins on the currency only,
+    # so every PAID non-EUR invoice fans out over the yearly rates.
     years = "(SELECT DISTINCT cast(year(o_orderdate) AS int) AS y FROM {orders})"
     return f"""
 SELECT make_date(y, 1, 1) AS rate_date, 'EUR' AS base_currency, 'USD' AS target_currency,
-       cast(CASE WHEN y % 2 = 0 THEN 1.0850 ELSE 1.0865 END AS double) AS rate
+       cast(1.0850 + 0.0300 * (y % 5 - 2) AS double) AS rate
 FROM {years} AS yu
 UNION ALL
 SELECT make_date(y, 1, 1) AS rate_date, 'EUR' AS base_currency, 'GBP' AS target_currency,
-       cast(CASE WHEN y % 2 = 0 THEN 0.8540 ELSE 0.8530 END AS double) AS rate
+       cast(0.8540 + 0.0250 * (y % 5 - 2) AS double) AS rate
 FROM {years} AS yg"""
 
 
@@ -331,7 +332,9 @@ def _artifacts(d: Dialect) -> str:
 SELECT doc_id, '01KZZ' || lpad(cast(doc_id AS string), 14, '0') AS loop_id,
        {_domain_of('doc_id')} AS domain,
        {_case_mod('doc_id', 4, names)} AS artifact_name,
-       text AS content,
+       CASE WHEN doc_id % 4 = 2 AND doc_id % 3 = 0 THEN 'import os' || {NL} || 'os.system(cmd)' || {NL} || text
+            WHEN doc_id % 4 = 2 AND doc_id % 5 = 1 THEN 'value = eval(expr)' || {NL} || '__import__(name)' || {NL} || text
+            ELSE text END AS content,
        {d.ts_from_epoch_seconds('1767225600 + doc_id * 60')} AS created_at
 FROM {{documents}}"""
 
@@ -414,6 +417,16 @@ SELECT c_custkey AS request_id,
 FROM {{customer}}"""
 
 
+def _conversation_turns(d: Dialect) -> str:
+    # Some assistant turns carry the tokens the guardrail rule looks for.
+    return """
+SELECT conv_id, turn, role,
+       CASE WHEN role = 'assistant' AND (conv_id + turn) % 7 = 0 THEN text || ' Then run pip install reporting-kit.'
+            WHEN role = 'assistant' AND (conv_id + turn) % 11 = 0 THEN text || ' Replace <YOUR_PROJECT_ID> first.'
+            ELSE text END AS text
+FROM {conversations}"""
+
+
 def _response_log(d: Dialect) -> str:
     return """
 SELECT event_id AS response_id, cast(user_id AS string) AS bench_id,
@@ -450,6 +463,7 @@ ADAPTERS: dict[str, tuple[tuple[str, ...], object]] = {
     "test_results": (("documents",), _test_results),
     "actors": (("customer",), _actors),
     "response_log": (("events",), _response_log),
+    "conversation_turns": (("conversations",), _conversation_turns),
 }
 
 
