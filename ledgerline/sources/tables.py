@@ -27,6 +27,11 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(target, key)
 
 
+# Parquet schemas of the driver files, read once per process (schema
+# inference opens a file footer; the files are read-only inputs).
+_SCHEMAS: dict[str, object] = {}
+
+
 class Tables:
     """Lazy loader: ``t.orders`` (driver parquet) or ``t.invoices`` (adapter).
 
@@ -40,7 +45,13 @@ class Tables:
         self._frames: dict[str, DataFrame] = {}
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(os.path.join(self.sf_dir, f"{name}.parquet"))
+        path = os.path.join(self.sf_dir, f"{name}.parquet")
+        schema = _SCHEMAS.get(path)
+        if schema is None:
+            df = self.spark.read.parquet(path)
+            _SCHEMAS[path] = df.schema
+            return df
+        return self.spark.read.schema(schema).parquet(path)
 
     def get(self, name: str) -> DataFrame:
         if name not in self._frames:
