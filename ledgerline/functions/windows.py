@@ -8,7 +8,9 @@ earlier buckets comes from a small per-bucket table (one row per key and
 bucket) whose own window is cheap even for the hottest key.
 
 The bucket must be non-decreasing in the ordering (``bucket = f(ts)`` with
-the order starting with ``ts``).
+the order starting with ``ts``).  Its granularity is the caller's choice: one
+bucket of the hottest key must fit a task, and the carry table (one row per
+key and bucket) must stay small; the library uses the day of the event time.
 """
 
 from __future__ import annotations
