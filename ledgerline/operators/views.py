@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import formulas as fx
 from ..functions.joins import broadcast_fixed, broadcast_if_small
-from ..functions.windows import neighbour, running, running_many
+from ..functions.windows import neighbour, running_many
 
 
 def _computed_at(df: DataFrame, with_ts: bool) -> DataFrame:
