@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..session import checkpoint_dir
 from ..sources.adapters import SPARK, adapter_sql
 
+FILES_PER_TRIGGER = 64  # files per micro-batch when catching up on a backlog
 ERROR_WINDOW = "1 hour"
 ERROR_LATENESS = "2 hours"
 GATE_LATENESS = "1 hour"
@@ -35,7 +36,7 @@ def event_stream(spark: SparkSession, sf_dir: str, source: str | None = None) ->
     file (a one-file glob, so the folder's other tables are not picked up),
     or any folder/glob of event parquet files (``source``)."""
     path = source or f"{sf_dir}/events.parque[t]"
-    return spark.readStream.schema(EVENTS_SCHEMA).option("maxFilesPerTrigger", 1).parquet(path)
+    return spark.readStream.schema(EVENTS_SCHEMA).option("maxFilesPerTrigger", FILES_PER_TRIGGER).parquet(path)
 
 
 def traces_stream(spark: SparkSession, sf_dir: str, source: str | None = None) -> DataFrame:
@@ -120,33 +121,35 @@ def _versions(spark: SparkSession, root: str) -> list[tuple[int, str]]:
     return sorted(out)
 
 
+def _latest_per_loop(df: DataFrame) -> DataFrame:
+    key = F.struct("updated_at", "event_id")
+    return (df.groupBy("loop_id")
+            .agg(F.max_by(F.struct("current_step", "updated_at", "event_id"), key).alias("s"))
+            .select("loop_id", "s.current_step", "s.updated_at", "s.event_id"))
+
+
 def stream_latest_state(spark: SparkSession, sf_dir: str, out: str | None = None,
                         source: str | None = None) -> DataFrame:
-    """Current step per loop: a streaming aggregation in update mode whose
-    changed rows are upserted by ``foreachBatch`` into versioned snapshot
-    folders.  Batch ``e`` merges its updates into the newest committed
-    snapshot older than ``e`` and writes ``v<e>``; a replayed batch rewrites
-    its own version, so recovery after a failure is idempotent."""
+    """Current step per loop, kept as versioned snapshot folders.
+
+    The stream itself is stateless: ``foreachBatch`` reduces each
+    micro-batch to its newest row per loop and merges it with the newest
+    committed snapshot older than the batch, writing ``v<epoch>``.  The
+    snapshot *is* the state (on the shared filesystem), so nothing grows in
+    the state store, and a replayed batch rewrites its own version
+    (idempotent recovery)."""
     out = out or _scratch(spark, "latest_state")
-    latest = (traces_stream(spark, sf_dir, source).groupBy("loop_id")
-              .agg(F.max_by(F.struct("step_name", "ts", "event_id"), F.struct("ts", "event_id")).alias("s"))
-              .select("loop_id", F.col("s.step_name").alias("current_step"), F.col("s.ts").alias("updated_at"),
-                      F.col("s.event_id").alias("event_id")))
+    rows = traces_stream(spark, sf_dir, source).select(
+        "loop_id", F.col("step_name").alias("current_step"), F.col("ts").alias("updated_at"), "event_id")
     snapshots = f"{out}/snapshots"
 
     def upsert(batch: DataFrame, epoch: int) -> None:
         session = batch.sparkSession
         older = [p for e, p in _versions(session, snapshots) if e < epoch]
-        merged = batch
-        if older:
-            prev = session.read.parquet(older[-1])
-            merged = prev.unionByName(batch).groupBy("loop_id").agg(
-                F.max_by(F.struct("current_step", "updated_at", "event_id"),
-                         F.struct("updated_at", "event_id")).alias("s")).select(
-                "loop_id", "s.current_step", "s.updated_at", "s.event_id")
-        merged.write.mode("overwrite").parquet(f"{snapshots}/v{epoch:08d}")
-
-    q = (latest.writeStream.outputMode("update").foreachBatch(upsert)
+        merged = batch if not older else session.read.parquet(older[-1]).unionByName(batch)
+        _latest_per_loop(merged).write.mode("overwrite").parquet(f"{snapshots}/v{epoch:08d}")
+
+    q = (rows.writeStream.outputMode("append").foreachBatch(upsert)
          .option("checkpointLocation", f"{out}/_checkpoint").trigger(availableNow=True).start())
     q.awaitTermination()
     newest = _versions(spark, snapshots)[-1][1]
