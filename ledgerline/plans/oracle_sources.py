@@ -47,6 +47,12 @@ ctx AS (SELECT dataset, string_agg(line, chr(10) ORDER BY table_pos) AS context,
 SELECT dom.domain, dom.dataset, ctx.context, cast(ctx.num_rows AS bigint) AS num_rows
 FROM dom JOIN ctx ON dom.dataset = ctx.dataset""")
 
+_NULLS = " UNION ALL ".join(
+    f"SELECT '{ds}' AS dataset, '{tbl}' AS table_name, '{n}' AS column_name, "
+    f"count(*) FILTER (WHERE {n} IS NULL) AS null_count FROM {tbl}"
+    for ds, tables in CATALOG.items() for tbl, cols in tables.items() for n, _ in cols)
+ORACLE["required_null_counts"] = with_adapters(_ALL, "\nSELECT * FROM (" + _NULLS + ") AS n")
+
 # Streaming == batch.
 ORACLE["stream_traces"] = with_adapters(["session_traces"], "SELECT * FROM session_traces")
 ORACLE["stream_hourly_errors"] = with_adapters(["error_logs"], """

@@ -190,6 +190,7 @@ for _tables in S.CATALOG.values():
 _reg("table_schema", S.schema_catalog, ORACLE_SOURCES)
 _reg("list_tables", S.table_listing, ORACLE_SOURCES)
 _reg("schema_context", S.schema_context, ORACLE_SOURCES)
+_reg("required_null_counts", S.required_null_counts, ORACLE_SOURCES)
 
 # J: streaming forms (driven with availableNow into the shared checkpoint folder)
 from ..streaming import streams as J  # noqa: E402

@@ -88,6 +88,23 @@ def required_nulls(df: DataFrame, table: str) -> DataFrame:
     return df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols])
 
 
+def required_null_counts(tables) -> DataFrame:
+    """REQUIRED enforcement over every domain table: one row per declared
+    column with its NULL count (one aggregation per table, unpivoted)."""
+    frames = []
+    for ds, tbls in CATALOG.items():
+        for tbl, cols in tbls.items():
+            agg = typed(tables.get(tbl), tbl).agg(
+                *[F.count_if(F.col(n).isNull()).alias(n) for n, _ in cols])
+            long = agg.unpivot([], [n for n, _ in cols], "column_name", "null_count")
+            frames.append(long.select(F.lit(ds).alias("dataset"), F.lit(tbl).alias("table_name"),
+                                      "column_name", "null_count"))
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
+
+
 def catalog_frame(spark: SparkSession) -> DataFrame:
     rows = [(ds, tbl, i + 1, n, t, "REQUIRED")
             for ds, tables in CATALOG.items() for tbl, cols in tables.items() for i, (n, t) in enumerate(cols)]
