@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import formulas as fx
+from ..functions.timeutil import trunc_date
 from .views import asof_rates
 
 
 def stage_conversion_rate(opps: DataFrame) -> DataFrame:
-    g = (opps.withColumn("month", F.to_date(F.date_trunc("month", "close_date")))
+    g = (opps.withColumn("month", trunc_date("month", "close_date"))
          .groupBy("month").agg(F.count_if(F.col("stage") == "Won").alias("won"),
                                F.count(F.lit(1)).alias("total")))
     return g.withColumn("conversion_rate_pct", fx.stage_conversion_rate("won", "total"))
@@ -34,11 +35,11 @@ def safe_temperature(telemetry: DataFrame) -> DataFrame:
 
 def cac_monthly(ad_spend: DataFrame, acquisitions: DataFrame, events: DataFrame) -> DataFrame:
     """Monthly spend per channel over acquisitions of that channel and month."""
-    spend = (ad_spend.withColumn("month", F.to_date(F.date_trunc("month", "spend_date")))
+    spend = (ad_spend.withColumn("month", trunc_date("month", "spend_date"))
              .groupBy("channel", "month").agg(F.sum(fx.cents("amount_usd")).alias("spend_cents")))
     cc = events.select("campaign_id", "channel").distinct()
     acq = (acquisitions.join(F.broadcast(cc), "campaign_id")
-           .withColumn("month", F.to_date(F.date_trunc("month", "converted_at")))
+           .withColumn("month", trunc_date("month", "converted_at"))
            .groupBy("channel", "month").agg(F.count(F.lit(1)).alias("acquisitions")))
     j = (spend.join(acq, ["channel", "month"], "full_outer")
          .select("channel", "month",
@@ -76,7 +77,7 @@ def convert_currency(invoices: DataFrame, rates: DataFrame) -> DataFrame:
 def monthly_revenue_variance(invoices: DataFrame) -> DataFrame:
     """Month-over-month variance of PAID revenue per currency."""
     m = (invoices.filter(F.col("status") == "PAID")
-         .withColumn("month", F.to_date(F.date_trunc("month", "issue_date")))
+         .withColumn("month", trunc_date("month", "issue_date"))
          .groupBy("currency", "month").agg(F.sum("amount").cast("double").alias("revenue")))
     # One row per (currency, month): a small post-aggregation window.
     w = Window.partitionBy("currency").orderBy("month")

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import formulas as fx
+from ..functions.timeutil import epoch_micros
 from ..functions.windows import neighbour, running
 
 MAX_RETRIES = 3
@@ -126,7 +127,7 @@ def latest_loop_state(transitions: DataFrame) -> DataFrame:
 # I6
 def pending_gates(latest: DataFrame) -> DataFrame:
     now = latest.select(F.max("updated_at")).scalar()
-    age_us = F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col("updated_at").cast("timestamp"))
+    age_us = epoch_micros(now) - epoch_micros("updated_at")
     category = (F.when(F.col("current_state").isin(PAUSE_STATES), "PENDING_GATE")
                 .when(F.col("current_state").isin(TERMINAL_STATES), "TERMINAL").otherwise("ACTIVE"))
     return latest.select(
@@ -152,7 +153,7 @@ def step_limit(transitions: DataFrame, limit: int = MAX_STEPS) -> DataFrame:
 def stage_durations(events: DataFrame) -> DataFrame:
     """Time from each step to the next step of the loop, per state (gate
     states give the gate wait)."""
-    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    us = epoch_micros("ts")
     t = events.select("loop_id", "event_id", "ts", "step_name").withColumn("us", us).withColumn("day", F.to_date("ts"))
     t = neighbour(t, ["loop_id"], "day", ["ts", "event_id"], "us", "next_us", direction="next")
     d = t.filter(F.col("next_us").isNotNull()).withColumn("dur_us", F.col("next_us") - F.col("us"))

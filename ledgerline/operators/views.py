@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import formulas as fx
 from ..functions.joins import broadcast_fixed, broadcast_if_small
+from ..functions.timeutil import epoch_micros, trunc_date, trunc_ntz
 from ..functions.windows import neighbour, running_many
 
 
@@ -128,7 +129,7 @@ def asof_rates(invoices: DataFrame, rates: DataFrame, date_col: str = "issue_dat
 def weekly_fx_variance(invoices: DataFrame, rates: DataFrame) -> DataFrame:
     paid = invoices.filter(F.col("status") == "PAID")
     j = asof_rates(paid, rates)
-    j = (j.withColumn("week_start", F.to_date(F.date_trunc("week", F.col("issue_date"))))
+    j = (j.withColumn("week_start", trunc_date("week", "issue_date"))
          .withColumn("usd", fx.convert_currency("amount", F.coalesce("asof_rate", F.lit(1.0))).cast("decimal(18,2)"))
          .withColumn("fixed_usd", fx.convert_currency("amount", F.coalesce("first_rate", F.lit(1.0))).cast("decimal(18,2)")))
     g = j.groupBy("week_start", "currency").agg(
@@ -141,20 +142,20 @@ def weekly_fx_variance(invoices: DataFrame, rates: DataFrame) -> DataFrame:
 
 # B7 ------------------------------------------------------------------------
 def monthly_pipeline_by_stage(opps: DataFrame) -> DataFrame:
-    return (opps.withColumn("month", F.to_date(F.date_trunc("month", F.col("close_date"))))
+    return (opps.withColumn("month", trunc_date("month", "close_date"))
             .groupBy("month", "stage")
             .agg(F.count("opp_id").alias("opportunities"), money_sum("amount_eur").alias("pipeline_eur")))
 
 
 # B8 ------------------------------------------------------------------------
 def hourly_error_telemetry(errors: DataFrame, telemetry: DataFrame) -> DataFrame:
-    e = (errors.withColumn("hour", F.date_trunc("hour", F.col("log_timestamp")))
+    e = (errors.withColumn("hour", trunc_ntz("hour", "log_timestamp"))
          .groupBy("hour").agg(
              F.count(F.lit(1)).alias("error_count"),
              F.count_if(F.col("severity") == "CRITICAL").alias("critical_count"),
              F.count_if(F.col("severity") == "WARNING").alias("warning_count"),
              F.count_if(F.col("severity") == "INFO").alias("info_count")))
-    t = (telemetry.withColumn("hour", F.date_trunc("hour", F.col("event_timestamp")))
+    t = (telemetry.withColumn("hour", trunc_ntz("hour", "event_timestamp"))
          .groupBy("hour").agg(
              F.count(F.lit(1)).alias("readings"),
              exact_avg("temperature_celsius").alias("avg_temperature"),
@@ -230,7 +231,7 @@ def telemetry_ingestion_delay(telemetry: DataFrame) -> DataFrame:
     avg (3 dp, HALF_UP) and max per charger.  The previous reading is found
     per (charger, day) with a carry from earlier days, so one hot charger
     does not collapse into one task."""
-    us = F.unix_micros(F.col("event_timestamp").cast("timestamp"))
+    us = epoch_micros("event_timestamp")
     t = (telemetry.select("charger_id", "reading_id", "event_timestamp")
          .withColumn("us", us)
          .withColumn("day", F.to_date("event_timestamp")))
@@ -304,7 +305,7 @@ def funnel_conversion(events: DataFrame) -> DataFrame:
 
 # B19 -----------------------------------------------------------------------
 def cohort_retention(events: DataFrame) -> DataFrame:
-    wk = events.select("user_id", F.to_date(F.date_trunc("week", F.col("event_timestamp"))).alias("week")).distinct()
+    wk = events.select("user_id", trunc_date("week", "event_timestamp").alias("week")).distinct()
     first = wk.groupBy("user_id").agg(F.min("week").alias("cohort_week"))
     j = wk.join(first, "user_id")
     return (j.withColumn("weeks_since", (F.datediff("week", "cohort_week") / 7).cast("int"))
@@ -337,7 +338,7 @@ def multi_touch_attribution(events: DataFrame, lookback_days: int = 30) -> DataF
     channels and the first touch the earliest of the per-channel firsts.
     """
     window_us = lookback_days * DAY_US
-    us = F.unix_micros(F.col("event_timestamp").cast("timestamp"))
+    us = epoch_micros("event_timestamp")
     ev = events.select("event_id", "user_id", "channel", "event_type", us.alias("x"))
     touches = ev.filter(F.col("event_type").isin(TOUCH_TYPES)).select(
         "user_id", "channel", "x", F.col("event_id").alias("touch_id"))

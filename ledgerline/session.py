@@ -18,7 +18,7 @@ from pyspark.sql import SparkSession
 _LOCAL_CONF = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
-    "spark.sql.session.timeZone": "UTC",
+    "spark.sql.session.timeZone": os.environ.get("LEDGERLINE_TZ", "UTC"),
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",

@@ -38,8 +38,8 @@ class Dialect:
         return f"map([{keys}], [{vals}])"
 
     def ts_from_epoch_seconds(self, expr: str) -> str:
-        if self.name == "spark":
-            return f"cast(timestamp_seconds({expr}) AS timestamp_ntz)"
+        if self.name == "spark":  # zone-free: seconds after the NTZ epoch
+            return f"timestampadd(SECOND, {expr}, TIMESTAMP_NTZ '1970-01-01 00:00:00')"
         return f"make_timestamp(cast({expr} AS bigint) * 1000000)"
 
     def idiv(self, a: str, b: str) -> str:

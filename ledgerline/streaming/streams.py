@@ -15,6 +15,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.timeutil import instant_to_ntz, ntz_to_instant
 from ..session import checkpoint_dir
 from ..sources.adapters import SPARK, adapter_sql
 
@@ -60,16 +61,16 @@ def hourly_errors(stream: DataFrame) -> DataFrame:
     return (errors.withWatermark("event_time", ERROR_LATENESS)
             .groupBy(F.window("event_time", ERROR_WINDOW), "severity")
             .agg(F.count(F.lit(1)).alias("errors"))
-            .select(F.col("window.start").cast("timestamp_ntz").alias("window_start"),
-                    F.col("window.end").cast("timestamp_ntz").alias("window_end"), "severity", "errors"))
+            .select(instant_to_ntz("window.start").alias("window_start"),
+                    instant_to_ntz("window.end").alias("window_end"), "severity", "errors"))
 
 
 def spark_errors(events: DataFrame) -> DataFrame:
     """error_logs rows of an events stream (the same adapter as the batch
-    table); event time cast to TIMESTAMP (watermarks reject TIMESTAMP_NTZ;
-    the session time zone is UTC, so wall-clock values are unchanged)."""
+    table); event time as a TIMESTAMP instant read as UTC (watermarks reject
+    TIMESTAMP_NTZ), independent of the session time zone."""
     logs = events.sparkSession.sql(adapter_sql("error_logs", SPARK), events=events)
-    return logs.withColumn("event_time", F.col("log_timestamp").cast("timestamp"))
+    return logs.withColumn("event_time", ntz_to_instant("log_timestamp"))
 
 
 def stream_hourly_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,7 +87,7 @@ def stream_hourly_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 # J3
 def gate_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = spark.sql(adapter_sql("loop_events", SPARK), session_traces=traces_stream(spark, sf_dir))
-    return ev.filter(F.col("decision").isNotNull()).withColumn("event_time", F.col("ts").cast("timestamp"))
+    return ev.filter(F.col("decision").isNotNull()).withColumn("event_time", ntz_to_instant("ts"))
 
 
 def stream_gate_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
