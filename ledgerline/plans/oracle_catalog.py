@@ -100,7 +100,7 @@ ORACLE["span_stats"] = with_adapters(["session_traces"], f"""
 SELECT 'pipeline.node.' || lower(step_name) AS span_name, count(*) AS spans,
        {ratio('sum(cast(cast(duration_ms AS decimal(18,2)) * 100 AS bigint))', 'count(duration_ms)', 0)} / 100
          AS avg_ms,
-       quantile_cont(duration_ms, 0.5) AS p50_ms, quantile_cont(duration_ms, 0.95) AS p95_ms
+       round(quantile_cont(duration_ms, 0.5), 6) AS p50_ms, round(quantile_cont(duration_ms, 0.95), 6) AS p95_ms
 FROM session_traces GROUP BY 1""")
 
 ORACLE["span_rows"] = with_adapters(["session_traces"], """
