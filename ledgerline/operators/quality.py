@@ -182,6 +182,10 @@ def tier2_violations(text: Column | str, lower: Column | None = None, lines: Col
 
 # F9
 def spec_harness(specs: DataFrame) -> DataFrame:
+    """Tier 1 decides; tier 2 only when tier 1 is clean.  Note: a filter on
+    the result's ``passed``/``violation_count`` is pushed by Catalyst below
+    this projection with the rule expressions inlined (correct, but one very
+    large generated method); aggregate, join or write the result first."""
     s = with_case_folds(specs).select("doc_id", "node_id",
                                       tier1_violations("text", "node_id", **features()).alias("t1"),
                                       tier2_violations("text", F.col("_lc"), F.col("_lines")).alias("t2"))
