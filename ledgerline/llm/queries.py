@@ -7,11 +7,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, ngram_join, packing, suffix_dedup
+from . import mixing, ngram_join, packing, suffix_dedup, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_ngram_jaccard": lambda s, d: ngram_join.op4_ngram_jaccard(table(s, d, "documents")),
+    "op5_toxicity": lambda s, d: toxicity.op5_toxicity(table(s, d, "documents"), table(s, d, "labels")),
     "op6_mixing": lambda s, d: mixing.op6_mixing(table(s, d, "documents")),
     "op7_packing": lambda s, d: packing.op7_packing(table(s, d, "documents")),
     "op9_suffix_dedup": lambda s, d: suffix_dedup.op9_suffix_dedup(table(s, d, "documents")),
