@@ -87,12 +87,13 @@ def connected_components(edges: DataFrame, name: str = "cc") -> DataFrame:
             return labels
 
 
-def salted_rank(df: DataFrame, keys: list[str], order: list[str], salt: Column, buckets: int = 64) -> DataFrame:
+def salted_rank(df: DataFrame, keys: list[str], order: list[str], salt: Column, buckets: int | None = 64) -> DataFrame:
     """Add ``rank`` (1..n) of each row within ``keys``, in the order of
     (salt bucket, order).  Rows of a hot key are ranked in ``buckets`` tasks;
-    the carry between buckets comes from one row per (keys, bucket).  Keys
+    the carry between buckets comes from one row per (keys, bucket).  Without
+    ``buckets`` the salt itself is the bucket (a range of the order).  Keys
     may be null."""
-    src = df.withColumn("__b", F.pmod(salt, F.lit(buckets)).cast("int"))
+    src = df.withColumn("__b", salt if buckets is None else F.pmod(salt, F.lit(buckets)).cast("int"))
     inside = Window.partitionBy(*keys, "__b").orderBy(*order)
     before = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     carry = (src.groupBy(*keys, "__b").agg(F.count(F.lit(1)).alias("__n"))

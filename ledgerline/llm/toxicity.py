@@ -394,9 +394,8 @@ def score(docs: DataFrame, model: Model, text: str = "text", spans: bool = False
     """``row`` (the input row) with ``score`` and, if asked for, ``spans``
     (character offsets of the tokens that are toxic with at least one half)."""
     source = docs.select(F.struct("*").alias("row"), F.col(text).cast("binary").alias("__text"))
-    schema = source.select("row").schema.add("score", "double")
-    if spans:
-        schema = schema.add("spans", "array<struct<start:int,end:int,p:double>>")
+    found = [F.expr("array(named_struct('start', 0, 'end', 0, 'p', 0D))").alias("spans")] if spans else []
+    schema = source.select("row", F.lit(0.0).alias("score"), *found).schema
     return source.mapInArrow(_score_rows(model, ["row"], spans), schema)
 
 
