@@ -60,6 +60,10 @@ ORACLE["stream_hourly_errors"] = with_adapters(["error_logs"], """
        FROM error_logs GROUP BY 1, 2)
 SELECT window_start, window_start + INTERVAL 1 HOUR AS window_end, severity, errors FROM w
 WHERE window_start + INTERVAL 1 HOUR <= (SELECT max(log_timestamp) FROM error_logs) - INTERVAL 2 HOUR""")
+ORACLE["stream_gate_dedup"] = with_adapters(["loop_events"], """
+SELECT loop_id, step_name AS gate, decision, event_id, ts FROM
+  (SELECT *, row_number() OVER (PARTITION BY loop_id, step_name ORDER BY ts, event_id) AS rn
+   FROM loop_events WHERE decision IS NOT NULL) x WHERE rn = 1""")
 ORACLE["stream_latest_state"] = with_adapters(["session_traces"], """
 SELECT loop_id, step_name AS current_step, ts AS updated_at FROM
   (SELECT loop_id, step_name, ts, row_number() OVER (PARTITION BY loop_id ORDER BY ts DESC, event_id DESC) AS rn

@@ -197,5 +197,5 @@ from ..streaming import streams as J  # noqa: E402
 
 _reg("stream_traces", lambda t: J.stream_traces(t.spark, t.sf_dir), ORACLE_SOURCES)
 _reg("stream_hourly_errors", lambda t: J.stream_hourly_errors(t.spark, t.sf_dir), ORACLE_SOURCES)
-_reg("stream_gate_dedup", lambda t: J.stream_gate_dedup(t.spark, t.sf_dir))
+_reg("stream_gate_dedup", lambda t: J.stream_gate_dedup(t.spark, t.sf_dir), ORACLE_SOURCES)
 _reg("stream_latest_state", lambda t: J.stream_latest_state(t.spark, t.sf_dir), ORACLE_SOURCES)

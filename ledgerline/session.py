@@ -2,13 +2,14 @@
 
 On a cluster the session is created by the platform; the library only reads
 settings from it.  ``checkpoint_dir`` returns the shared folder named by
-``spark.checkpoint.dir`` and only invents one (under a fresh scratch folder)
-when the setting is absent, which happens in local tests.
+``spark.checkpoint.dir``.  Where the setting is absent it makes a scratch
+folder in local mode (tests, bench) and raises on a cluster.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -42,12 +43,15 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared checkpoint folder from the session; set one only when unset."""
+    """Shared checkpoint folder from the session; in local mode one is made if
+    it is unset."""
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = os.path.join(tempfile.mkdtemp(prefix="ledgerline-ckpt-"), "ckpt")
         spark.conf.set("spark.checkpoint.dir", configured)
     spark.sparkContext.setCheckpointDir(configured)

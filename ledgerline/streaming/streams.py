@@ -1,28 +1,32 @@
 """Structured Streaming forms of the telemetry pipelines.
 
-Sources are file streams over the driver's parquet files; every query keeps
-its state and progress in a checkpoint folder under the session's shared
-``spark.checkpoint.dir`` so a restarted driver or lost executor resumes
-without loss or duplicates.  ``run_available`` drives a query with the
-``availableNow`` trigger (all data present, then stop) and returns a batch
-DataFrame over its output table.
+Sources are file streams over the driver's parquet files.  J2-J4 are
+stateless streams: each micro-batch is reduced to partial results (counts,
+first and newest rows per key), written under the batch's own number, and the
+partial results are merged when the table is read.  Counts add up and "first"
+and "newest" go by event time, so the answer is the batch answer for any
+number, size and order of files; a replayed batch overwrites its own part.
+
+Every stream keeps its progress and output under the session's shared
+``spark.checkpoint.dir``.  ``start_*`` returns the running query (the caller
+waits, stops or schedules it), ``read_*`` the merged table; the registered
+``stream_*`` forms run the stream over all data present and read the result.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
-from ..functions.timeutil import instant_to_ntz, ntz_to_instant
+from ..functions.timeutil import trunc_ntz
 from ..session import checkpoint_dir
 from ..sources.adapters import SPARK, adapter_sql
 
-FILES_PER_TRIGGER = 64  # files per micro-batch when catching up on a backlog
-ERROR_WINDOW = "1 hour"
-ERROR_LATENESS = "2 hours"
-GATE_LATENESS = "1 hour"
+ERROR_LATENESS_HOURS = 2  # an error window is final this long after its end
 
 
 def _scratch(spark: SparkSession, name: str) -> str:
@@ -32,126 +36,134 @@ def _scratch(spark: SparkSession, name: str) -> str:
 EVENTS_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
 
-def event_stream(spark: SparkSession, sf_dir: str, source: str | None = None) -> DataFrame:
+def event_stream(spark: SparkSession, sf_dir: str, source: str | None = None,
+                 files_per_trigger: int | None = None) -> DataFrame:
     """Streaming read of the events files: by default the driver's events
     file (a one-file glob, so the folder's other tables are not picked up),
-    or any folder/glob of event parquet files (``source``)."""
-    path = source or f"{sf_dir}/events.parque[t]"
-    return spark.readStream.schema(EVENTS_SCHEMA).option("maxFilesPerTrigger", FILES_PER_TRIGGER).parquet(path)
+    or any folder/glob of event parquet files (``source``).
+    ``files_per_trigger`` only paces a backlog; it never changes a result."""
+    reader = spark.readStream.schema(EVENTS_SCHEMA)
+    if files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    return reader.parquet(source or f"{sf_dir}/events.parque[t]")
 
 
-def traces_stream(spark: SparkSession, sf_dir: str, source: str | None = None) -> DataFrame:
-    return spark.sql(adapter_sql("session_traces", SPARK), events=event_stream(spark, sf_dir, source))
+def traces_of(events: DataFrame) -> DataFrame:
+    return events.sparkSession.sql(adapter_sql("session_traces", SPARK), events=events)
+
+
+def errors_of(events: DataFrame) -> DataFrame:
+    return events.sparkSession.sql(adapter_sql("error_logs", SPARK), events=events)
+
+
+def gates_of(events: DataFrame) -> DataFrame:
+    log = events.sparkSession.sql(adapter_sql("loop_events", SPARK), session_traces=traces_of(events))
+    return log.filter(F.col("decision").isNotNull())
+
+
+def start_partials(rows: DataFrame, reduce: Callable[[DataFrame], DataFrame], out: str) -> StreamingQuery:
+    """Write ``reduce`` of every micro-batch to ``out/parts/epoch=<n>``."""
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        reduce(batch).write.mode("overwrite").parquet(f"{out}/parts/epoch={epoch}")
+
+    return (rows.writeStream.outputMode("append").foreachBatch(write)
+            .option("checkpointLocation", f"{out}/_checkpoint").trigger(availableNow=True).start())
+
+
+def read_partials(spark: SparkSession, out: str) -> DataFrame:
+    """Partial results of all micro-batches; the column ``epoch`` names the
+    micro-batch."""
+    return spark.read.option("basePath", f"{out}/parts").parquet(f"{out}/parts")
+
+
+def compact(spark: SparkSession, out: str, merge: Callable[[DataFrame], DataFrame], to: str) -> None:
+    """Write the merged partial results as one table (between runs)."""
+    merge(read_partials(spark, out)).write.mode("overwrite").parquet(to)
+
+
+def _finished(query: StreamingQuery) -> None:
+    query.awaitTermination()
 
 
 # J1
-def stream_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
+def start_traces(spark: SparkSession, sf_dir: str, out: str, source: str | None = None,
+                 files_per_trigger: int | None = None) -> StreamingQuery:
     """Ingest telemetry events and append them to a Parquet table."""
-    out = _scratch(spark, "traces")
-    q = (traces_stream(spark, sf_dir).writeStream.format("parquet").outputMode("append")
-         .option("checkpointLocation", f"{out}/_checkpoint").option("path", f"{out}/data")
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
+    return (traces_of(event_stream(spark, sf_dir, source, files_per_trigger)).writeStream.format("parquet")
+            .outputMode("append").option("checkpointLocation", f"{out}/_checkpoint").option("path", f"{out}/data")
+            .trigger(availableNow=True).start())
+
+
+def stream_traces(spark: SparkSession, sf_dir: str, out: str | None = None, source: str | None = None,
+                  files_per_trigger: int | None = None) -> DataFrame:
+    out = out or _scratch(spark, "traces")
+    _finished(start_traces(spark, sf_dir, out, source, files_per_trigger))
     return spark.read.parquet(f"{out}/data")
 
 
 # J2
-def hourly_errors(stream: DataFrame) -> DataFrame:
-    errors = spark_errors(stream)
-    return (errors.withWatermark("event_time", ERROR_LATENESS)
-            .groupBy(F.window("event_time", ERROR_WINDOW), "severity")
-            .agg(F.count(F.lit(1)).alias("errors"))
-            .select(instant_to_ntz("window.start").alias("window_start"),
-                    instant_to_ntz("window.end").alias("window_end"), "severity", "errors"))
-
-
-def spark_errors(events: DataFrame) -> DataFrame:
-    """error_logs rows of an events stream (the same adapter as the batch
-    table); event time as a TIMESTAMP instant read as UTC (watermarks reject
-    TIMESTAMP_NTZ), independent of the session time zone."""
-    logs = events.sparkSession.sql(adapter_sql("error_logs", SPARK), events=events)
-    return logs.withColumn("event_time", ntz_to_instant("log_timestamp"))
-
-
-def stream_hourly_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tumbling 1 h error counts per severity; windows are emitted once the
-    2 h watermark closes them (append mode), later rows are dropped."""
-    out = _scratch(spark, "hourly_errors")
-    q = (hourly_errors(event_stream(spark, sf_dir)).writeStream.format("parquet").outputMode("append")
-         .option("checkpointLocation", f"{out}/_checkpoint").option("path", f"{out}/data")
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
-    return spark.read.parquet(f"{out}/data")
+def error_counts(errors: DataFrame) -> DataFrame:
+    """Additive partial result: errors per hour and severity, and the newest
+    error time (it decides which windows are final)."""
+    return (errors.groupBy(trunc_ntz("hour", "log_timestamp").alias("window_start"), "severity")
+            .agg(F.count(F.lit(1)).alias("errors"), F.max("log_timestamp").alias("newest")))
+
+
+def merge_error_counts(parts: DataFrame) -> DataFrame:
+    """Counts of the windows that ended at least two hours before the newest
+    error.  A row that arrives late still counts in its own window."""
+    merged = parts.groupBy("window_start", "severity").agg(F.sum("errors").alias("errors"))
+    newest = parts.select(F.max("newest")).scalar()
+    end = F.col("window_start") + F.expr("INTERVAL 1 HOUR")
+    return (merged.filter(end <= newest - F.expr(f"INTERVAL {ERROR_LATENESS_HOURS} HOURS"))
+            .select("window_start", end.alias("window_end"), "severity", "errors"))
+
+
+def stream_hourly_errors(spark: SparkSession, sf_dir: str, out: str | None = None, source: str | None = None,
+                         files_per_trigger: int | None = None) -> DataFrame:
+    """Tumbling 1 h error counts per severity of all final windows."""
+    out = out or _scratch(spark, "hourly_errors")
+    rows = errors_of(event_stream(spark, sf_dir, source, files_per_trigger))
+    _finished(start_partials(rows, error_counts, out))
+    return merge_error_counts(read_partials(spark, out))
 
 
 # J3
-def gate_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = spark.sql(adapter_sql("loop_events", SPARK), session_traces=traces_stream(spark, sf_dir))
-    return ev.filter(F.col("decision").isNotNull()).withColumn("event_time", ntz_to_instant("ts"))
-
-
-def stream_gate_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First resolution per (loop, gate) as it arrives; a repeat within the
-    lateness bound is dropped (a later one is a conflict, as in I4)."""
-    out = _scratch(spark, "gate_dedup")
-    dedup = (gate_stream(spark, sf_dir).withWatermark("event_time", GATE_LATENESS)
-             .dropDuplicatesWithinWatermark(["loop_id", "step_name"])
-             .select("loop_id", F.col("step_name").alias("gate"), "decision", "event_id", "ts"))
-    q = (dedup.writeStream.format("parquet").outputMode("append")
-         .option("checkpointLocation", f"{out}/_checkpoint").option("path", f"{out}/data")
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
-    return spark.read.parquet(f"{out}/data")
+def _at_edge(rows: DataFrame, keys: list[str], value: Column, order: Column, first: bool) -> DataFrame:
+    pick = F.min_by if first else F.max_by
+    return rows.groupBy(*keys).agg(pick(value, order).alias("s")).select(*keys, "s.*")
+
+
+def first_gates(rows: DataFrame) -> DataFrame:
+    """First resolution (event time, then event id) per loop and gate; applied
+    to partial results it merges them."""
+    return _at_edge(rows, ["loop_id", "gate"], F.struct("decision", "event_id", "ts"), F.struct("ts", "event_id"), True)
+
+
+def stream_gate_dedup(spark: SparkSession, sf_dir: str, out: str | None = None, source: str | None = None,
+                      files_per_trigger: int | None = None) -> DataFrame:
+    """The effective resolution of every (loop, gate): the EFFECTIVE rows of
+    I4, whatever order the events arrive in."""
+    out = out or _scratch(spark, "gate_dedup")
+    rows = (gates_of(event_stream(spark, sf_dir, source, files_per_trigger))
+            .select("loop_id", F.col("step_name").alias("gate"), "decision", "event_id", "ts"))
+    _finished(start_partials(rows, first_gates, out))
+    return first_gates(read_partials(spark, out))
 
 
 # J4
-def _versions(spark: SparkSession, root: str) -> list[tuple[int, str]]:
-    """Snapshot folders ``v<epoch>`` under ``root`` on the shared filesystem
-    (so a restarted driver finds them too), sorted by epoch."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(root)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return []
-    out = []
-    for st in fs.listStatus(path):
-        name = st.getPath().getName()
-        if st.isDirectory() and name.startswith("v") and name[1:].isdigit() and \
-                fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
-            out.append((int(name[1:]), st.getPath().toString()))
-    return sorted(out)
-
-
-def _latest_per_loop(df: DataFrame) -> DataFrame:
-    key = F.struct("updated_at", "event_id")
-    return (df.groupBy("loop_id")
-            .agg(F.max_by(F.struct("current_step", "updated_at", "event_id"), key).alias("s"))
-            .select("loop_id", "s.current_step", "s.updated_at", "s.event_id"))
-
-
-def stream_latest_state(spark: SparkSession, sf_dir: str, out: str | None = None,
-                        source: str | None = None) -> DataFrame:
-    """Current step per loop, kept as versioned snapshot folders.
-
-    The stream itself is stateless: ``foreachBatch`` reduces each
-    micro-batch to its newest row per loop and merges it with the newest
-    committed snapshot older than the batch, writing ``v<epoch>``.  The
-    snapshot *is* the state (on the shared filesystem), so nothing grows in
-    the state store, and a replayed batch rewrites its own version
-    (idempotent recovery)."""
+def latest_states(rows: DataFrame) -> DataFrame:
+    """Newest row per loop; applied to partial results it merges them."""
+    return _at_edge(rows, ["loop_id"], F.struct("current_step", "updated_at", "event_id"),
+                    F.struct("updated_at", "event_id"), False)
+
+
+def stream_latest_state(spark: SparkSession, sf_dir: str, out: str | None = None, source: str | None = None,
+                        files_per_trigger: int | None = None) -> DataFrame:
+    """Current step per loop."""
     out = out or _scratch(spark, "latest_state")
-    rows = traces_stream(spark, sf_dir, source).select(
+    rows = traces_of(event_stream(spark, sf_dir, source, files_per_trigger)).select(
         "loop_id", F.col("step_name").alias("current_step"), F.col("ts").alias("updated_at"), "event_id")
-    snapshots = f"{out}/snapshots"
-
-    def upsert(batch: DataFrame, epoch: int) -> None:
-        session = batch.sparkSession
-        older = [p for e, p in _versions(session, snapshots) if e < epoch]
-        merged = batch if not older else session.read.parquet(older[-1]).unionByName(batch)
-        _latest_per_loop(merged).write.mode("overwrite").parquet(f"{snapshots}/v{epoch:08d}")
-
-    q = (rows.writeStream.outputMode("append").foreachBatch(upsert)
-         .option("checkpointLocation", f"{out}/_checkpoint").trigger(availableNow=True).start())
-    q.awaitTermination()
-    newest = _versions(spark, snapshots)[-1][1]
-    return spark.read.parquet(newest).select("loop_id", "current_step", "updated_at")
+    _finished(start_partials(rows, latest_states, out))
+    return latest_states(read_partials(spark, out)).select("loop_id", "current_step", "updated_at")

@@ -2,8 +2,10 @@
 import json
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
+from ledgerline.operators import lifecycle as L
 from ledgerline.sources import sinks
 from ledgerline.sources.benchmarks import read_benchmarks
 from ledgerline.streaming import streams as J
@@ -84,3 +86,31 @@ def test_stream_latest_state_resumes_from_checkpoint(spark, small, scratch):
     exp = {r.loop_id: r.s for r in small.session_traces.groupBy("loop_id").agg(
         F.max_by("step_name", F.struct("ts", "event_id")).alias("s")).collect()}
     assert {r.loop_id: r.current_step for r in got.collect()} == exp
+
+
+def _layout(spark, scratch, name):
+    """The events as five files in time order, reversed or shuffled; the file
+    stream takes files by modification time, so they are written in turn."""
+    ev = spark.read.parquet(os.path.join(SF_SMALL, "events.parquet"))
+    slices = {"ordered": [0, 1, 2, 3, 4], "reversed": [4, 3, 2, 1, 0], "shuffled": [2, 0, 4, 1, 3]}[name]
+    us = F.unix_micros(F.to_timestamp("ts"))
+    low, high = ev.select(F.min(us), F.max(us)).first()
+    cut = F.least(F.floor((us - low) * 5 / (high - low + 1)), F.lit(4))
+    folder = os.path.join(scratch, name)
+    for place, k in enumerate(slices):
+        ev.filter(cut == k).coalesce(1).write.parquet(os.path.join(folder, f"part_{place}"))
+    return os.path.join(folder, "*", "*.parquet")
+
+
+@pytest.mark.parametrize("name", ["ordered", "reversed", "shuffled"])
+def test_streams_give_the_batch_answer_for_any_file_layout(spark, small, scratch, name):
+    source = _layout(spark, scratch, name)
+    for run in (J.stream_traces, J.stream_hourly_errors, J.stream_gate_dedup, J.stream_latest_state):
+        many = run(spark, SF_SMALL, source=source, files_per_trigger=1)
+        one = run(spark, SF_SMALL)
+        assert many.exceptAll(one).count() == 0 and one.exceptAll(many).count() == 0, run.__name__
+    gates = J.stream_gate_dedup(spark, SF_SMALL, source=source, files_per_trigger=1)
+    effective = (L.first_gate_resolution(small.loop_events).filter("status = 'EFFECTIVE'")
+                 .select("loop_id", "gate", "decision", "event_id"))
+    got = gates.select("loop_id", "gate", "decision", "event_id")
+    assert got.exceptAll(effective).count() == 0 and effective.exceptAll(got).count() == 0
