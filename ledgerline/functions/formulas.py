@@ -30,13 +30,34 @@ def idiv(a: ColumnOrName, b: ColumnOrName) -> Column:
 
 def half_up_ratio(num: ColumnOrName, den: ColumnOrName, scale: int = 2,
                   factor: int = 1) -> Column:
-    """``round(num * factor / den, scale)`` HALF_UP, exactly, for integral
-    non-negative ``num`` and positive ``den``; 0.0 when ``den`` is 0."""
+    """``round(num * factor / den, scale)`` HALF_UP (ties away from zero),
+    exactly, for integral ``num`` and positive ``den``; 0.0 when ``den`` is 0."""
     num = col(num).cast("decimal(38,0)")
     den = col(den).cast("decimal(38,0)")
     unit = 10 ** scale
-    q = idiv(num * F.lit(2 * factor * unit) + den, den * F.lit(2))
-    return F.when(den == 0, F.lit(0.0)).otherwise(q.cast("double") / F.lit(float(unit)))
+    q = idiv(F.abs(num) * F.lit(2 * factor * unit) + den, den * F.lit(2)).cast("double") / F.lit(float(unit))
+    return F.when(den == 0, F.lit(0.0)).when(num < 0, -q).otherwise(q)
+
+
+FINE = 8  # decimals at which measured (non-money) values enter exact sums
+
+
+def fine_units(value: ColumnOrName) -> Column:
+    """A measured value as an integral number of 1e-8 units (decimal(38,0))."""
+    return (col(value).cast(f"decimal(26,{FINE})") * F.lit(10 ** FINE)).cast("decimal(38,0)")
+
+
+def fine_sum(value: ColumnOrName, scale: int) -> Column:
+    """Sum at full scale, rounded HALF_UP to ``scale`` places once, at the end."""
+    return F.round(F.sum(col(value).cast(f"decimal(26,{FINE})")), scale).cast("double")
+
+
+def fine_avg(value: ColumnOrName, scale: int) -> Column:
+    """Average at full scale, rounded HALF_UP to ``scale`` places once, at the
+    end; NULL for a group without values."""
+    n = F.count(col(value)).cast("decimal(38,0)")
+    return F.when(n > 0, half_up_ratio(F.sum(fine_units(value)), n * F.lit(10 ** (FINE - scale)), 0)
+                  / F.lit(float(10 ** scale)))
 
 
 def cents(amount: ColumnOrName) -> Column:
@@ -61,10 +82,11 @@ def mask_pii(value: ColumnOrName) -> Column:
 
 # C3
 def power_kw(voltage: ColumnOrName, current: ColumnOrName) -> Column:
-    """round(V * A / 1000, 3) HALF_UP, computed on decimals, returned as double."""
-    v = col(voltage).cast("decimal(12,4)")
-    a = col(current).cast("decimal(12,4)")
-    return F.round(v * a * F.lit(0.001).cast("decimal(4,3)"), 3).cast("double")
+    """round(V * A / 1000, 3) HALF_UP: the exact product in watts, rounded to
+    whole watts, as kilowatts."""
+    v = col(voltage).cast("decimal(18,8)")
+    a = col(current).cast("decimal(18,8)")
+    return F.round(v * a, 0).cast("double") / F.lit(1000.0)
 
 
 # C4
@@ -103,6 +125,26 @@ def convert_currency(amount: ColumnOrName, rate: ColumnOrName) -> Column:
     return F.round(prod, 2).cast("double")
 
 
+RATE_UNITS = 10_000  # rates have four decimals
+
+
+def rate_units(rate: ColumnOrName) -> Column:
+    return (col(rate).cast("decimal(10,4)") * F.lit(RATE_UNITS)).cast("decimal(38,0)")
+
+
+def to_usd(amount: ColumnOrName, currency: ColumnOrName, eur_to_currency: ColumnOrName,
+           eur_to_usd: ColumnOrName) -> Column:
+    """An amount in USD, 2 dp HALF_UP in one rounding: USD stays, EUR is
+    multiplied by the EUR-to-USD rate, any other currency is divided by its EUR
+    rate first.  NULL if a rate that it needs is missing."""
+    c, money = col(currency), col(amount).cast("decimal(18,2)")
+    amount_cents = (money * F.lit(100)).cast("decimal(38,0)")
+    den = F.when(c == "EUR", F.lit(RATE_UNITS).cast("decimal(38,0)")).otherwise(rate_units(eur_to_currency))
+    converted = half_up_ratio(amount_cents * rate_units(eur_to_usd), den, 0) / F.lit(100.0)
+    return (F.when(c == "USD", money.cast("double"))
+            .when(den.isNotNull() & (den > 0) & col(eur_to_usd).isNotNull(), converted))
+
+
 # C10
 def pct_variance(old: ColumnOrName, new: ColumnOrName) -> Column:
     """abs(new - old) / old (a fraction, not x100); 0.0 when old is 0."""

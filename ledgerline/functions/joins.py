@@ -1,25 +1,12 @@
-"""Join helpers: size-checked broadcast."""
+"""Join helpers: which joins may force a broadcast."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Rows above which a dimension is not broadcast (a few tens of MB of narrow rows).
-BROADCAST_MAX_ROWS = 2_000_000
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast ``df`` only after proving it has at most ``max_rows`` rows.
-
-    The check is ``limit(max_rows + 1).count()`` so it stops early on a large
-    input.  Above the bound the frame is returned as is and Spark plans a
-    shuffle join (AQE may still switch to broadcast at runtime).
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
 
 def broadcast_fixed(df: DataFrame) -> DataFrame:
-    """Broadcast a table whose size is fixed by construction (rule tables)."""
+    """Broadcast a table whose size is fixed by construction (rule tables).
+    Every other join is left to the planner and AQE, which go by size."""
     return F.broadcast(df)

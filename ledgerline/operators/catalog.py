@@ -111,17 +111,15 @@ def health_30d(traces: DataFrame, days: int = 30) -> DataFrame:
     trace timestamp is "now"; a scalar subquery, not a join)."""
     now = traces.select(F.max("ts")).scalar()
     recent = traces.filter(F.col("ts") > now - F.expr(f"INTERVAL {days} DAYS"))
-    ms = (F.col("duration_ms").cast("decimal(18,3)") * 1000).cast("long")
     g = recent.groupBy("node_id").agg(
         F.count(F.lit(1)).alias("executions"),
-        F.sum(ms).alias("_sum_ums"),
+        fx.fine_avg("duration_ms", 3).alias("avg_latency_ms"),
         F.count_if(F.col("status") == "FAILED").alias("_failed"))
-    g = (g.withColumn("avg_latency_ms", fx.half_up_ratio("_sum_ums", "executions", 0) / F.lit(1000.0))
-         .withColumn("error_rate_pct", fx.half_up_ratio("_failed", "executions", 2, 100)))
+    g = g.withColumn("error_rate_pct", fx.half_up_ratio("_failed", "executions", 2, 100))
     sla = (F.col("avg_latency_ms") < F.lit(LATENCY_SLA_MS)) & (F.col("error_rate_pct") <= F.lit(MAX_ERROR_RATE_PCT))
     return (g.withColumn("sla_conformance", sla)
             .withColumn("status", F.when(sla, "HEALTHY").otherwise("DEGRADED"))
-            .drop("_sum_ums", "_failed"))
+            .drop("_failed"))
 
 
 # E10-E11 ---------------------------------------------------------------------
@@ -157,17 +155,19 @@ def audit_keys(audit: DataFrame) -> DataFrame:
 
 
 # E12 -------------------------------------------------------------------------
-def audit_integrity(audit: DataFrame) -> DataFrame:
-    """Per loop with a defect: hash mismatches, missing and repeated seq."""
+def audit_integrity(audit: DataFrame, first_seq: int = 1) -> DataFrame:
+    """Per loop with a defect: hash mismatches, missing and repeated seq.
+    Records are numbered from ``first_seq``, so missing first records count;
+    a cut tail shows only if the number of records was sealed elsewhere."""
     recomputed = F.sha2(canonical_json("payload"), 256)
     g = audit.groupBy("loop_id").agg(
         F.count(F.lit(1)).alias("records"),
         F.countDistinct("seq").alias("_distinct"),
-        F.min("seq").alias("_min"), F.max("seq").alias("_max"),
+        F.max("seq").alias("_max"),
         F.count_if(recomputed != F.col("stored_hash")).alias("hash_mismatches"))
-    g = (g.withColumn("missing_seq", F.col("_max") - F.col("_min") + 1 - F.col("_distinct"))
+    g = (g.withColumn("missing_seq", F.col("_max") - F.lit(first_seq) + 1 - F.col("_distinct"))
          .withColumn("repeated_seq", F.col("records") - F.col("_distinct"))
-         .drop("_distinct", "_min", "_max"))
+         .drop("_distinct", "_max"))
     return g.filter((F.col("missing_seq") > 0) | (F.col("repeated_seq") > 0) | (F.col("hash_mismatches") > 0))
 
 
@@ -196,6 +196,7 @@ def token_cost(traces: DataFrame) -> DataFrame:
 
 
 # E15 -------------------------------------------------------------------------
+SPAN_SLICE_MS = 16.0  # width of the slices in which span durations are ranked
 SPAN_DEFAULT_ATTRS = {"gen_ai.system": "model-provider", "gen_ai.request.model": "default-model"}
 
 
@@ -231,15 +232,28 @@ def span_rows(traces: DataFrame) -> DataFrame:
 
 
 def span_stats(traces: DataFrame) -> DataFrame:
-    """Per span name: count, avg, p50, p95 duration.  Exact percentiles:
-    Spark's ``percentile`` keeps a value->count map per group (map-side
-    combined), so memory follows distinct durations, not rows."""
-    s = spans(traces)
-    return s.groupBy("span_name").agg(
-        F.count(F.lit(1)).alias("spans"),
-        (fx.half_up_ratio(F.sum((F.col("duration_ms").cast("decimal(18,2)") * 100).cast("long")),
-                          F.count("duration_ms"), 0) / F.lit(100.0)).alias("avg_ms"),
-        # Interpolated percentiles rounded to 6 places: the exact values have
-        # few decimals, and engines differ only in floating-point noise.
-        F.round(F.percentile("duration_ms", F.lit(0.5)), 6).alias("p50_ms"),
-        F.round(F.percentile("duration_ms", F.lit(0.95)), 6).alias("p95_ms"))
+    """Per span name: count, average, p50, p95 duration.
+
+    Percentiles are exact without a value map: durations are counted per
+    (span, duration), ranked by a prefix sum in slices of the duration, and
+    the two durations at the ranks of a percentile are interpolated."""
+    s = spans(traces).select("span_name", F.col("duration_ms").cast("double").alias("x"), "duration_ms")
+    totals = s.groupBy("span_name").agg(F.count(F.lit(1)).alias("spans"), F.count("x").alias("n"),
+                                        fx.fine_avg("duration_ms", 2).alias("avg_ms"))
+    values = (s.filter(F.col("x").isNotNull()).groupBy("span_name", "x").agg(F.count(F.lit(1)).alias("times"))
+              .withColumn("slice", F.floor(F.col("x") / SPAN_SLICE_MS)))
+    ranked = running(values, ["span_name"], "slice", ["x"], "times", "upto").join(
+        totals.select("span_name", "n"), "span_name")
+    picks, out = [], []
+    for name, q in (("p50_ms", 0.5), ("p95_ms", 0.95)):
+        at = (F.col("n") - 1) * F.lit(q)
+        for side, rank in (("low", F.floor(at)), ("high", F.ceil(at))):
+            hit = (F.col("upto") > rank) & (F.col("upto") - F.col("times") <= rank)
+            picks.append(F.max(F.when(hit, F.col("x"))).alias(f"{name}_{side}"))
+        part = at - F.floor(at)
+        low, high = F.col(f"{name}_low"), F.col(f"{name}_high")
+        # Rounded to 6 places: the values have few decimals, and engines
+        # differ only in floating-point noise.
+        out.append(F.round(low + (high - low) * part, 6).alias(name))
+    picked = ranked.groupBy("span_name").agg(*picks)
+    return totals.join(picked, "span_name", "left").select("span_name", "spans", "avg_ms", *out)

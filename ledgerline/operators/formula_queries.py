@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import formulas as fx
 from ..functions.timeutil import trunc_date
-from .views import asof_rates
+from .views import with_usd_rates
 
 
 def stage_conversion_rate(opps: DataFrame) -> DataFrame:
@@ -38,7 +38,7 @@ def cac_monthly(ad_spend: DataFrame, acquisitions: DataFrame, events: DataFrame)
     spend = (ad_spend.withColumn("month", trunc_date("month", "spend_date"))
              .groupBy("channel", "month").agg(F.sum(fx.cents("amount_usd")).alias("spend_cents")))
     cc = events.select("campaign_id", "channel").distinct()
-    acq = (acquisitions.join(F.broadcast(cc), "campaign_id")
+    acq = (acquisitions.join(cc, "campaign_id")
            .withColumn("month", trunc_date("month", "converted_at"))
            .groupBy("channel", "month").agg(F.count(F.lit(1)).alias("acquisitions")))
     j = (spend.join(acq, ["channel", "month"], "full_outer")
@@ -68,10 +68,13 @@ def dispatch_sla_met(dispatch: DataFrame) -> DataFrame:
 
 
 def convert_currency(invoices: DataFrame, rates: DataFrame) -> DataFrame:
-    j = asof_rates(invoices, rates)
-    rate = F.coalesce("asof_rate", F.lit(1.0))
+    """Every invoice in USD at the rates in force (NULL without a rate)."""
+    j = with_usd_rates(invoices, rates)
+    rate = (F.when(F.col("currency") == "USD", F.lit(1.0))
+            .when(F.col("currency") == "EUR", F.col("usd_rate"))
+            .otherwise(F.col("usd_rate") / F.col("own_rate")))
     return j.select("invoice_id", "currency", F.col("amount").cast("double").alias("amount"),
-                    rate.alias("rate"), fx.convert_currency("amount", rate).alias("amount_usd"))
+                    rate.alias("rate"), fx.to_usd("amount", "currency", "own_rate", "usd_rate").alias("amount_usd"))
 
 
 def monthly_revenue_variance(invoices: DataFrame) -> DataFrame:

@@ -49,16 +49,20 @@ def _charges(events: DataFrame) -> DataFrame:
 
 
 def _with_budget(events: DataFrame) -> DataFrame:
-    """Events with ``earlier`` (charge events of the same loop and
-    destination before this one) and ``escalated``.  A capped failure
-    escalates once 3 charges exist; until then every event charges, so
-    "charges so far" equals the running count of earlier charge events.
-    Non-charging events form their own (loop, NULL) groups and are ignored."""
+    """Events with ``escalated`` and ``charges`` (retries charged before, for
+    the same loop and destination).  A capped failure escalates once 3 charges
+    exist and then charges nothing; until then every event charges, so it
+    escalates when 3 charge events came before, and ``charges`` is the running
+    sum of the events that did charge.  Non-charging events form their own
+    (loop, NULL) groups and are ignored."""
     c = (_charges(events).withColumn("day", F.to_date("ts"))
          .withColumn("_dest", F.coalesce(F.col("destination"), F.lit(""))))  # non-NULL key
     c = running(c, ["loop_id", "_dest"], "day", ["ts", "event_id"], F.lit(1), "earlier", inclusive=False)
     esc = F.col("destination").isNotNull() & F.col("capped") & (F.col("earlier") >= MAX_RETRIES)
-    return c.withColumn("escalated", esc).drop("day", "_dest")
+    c = c.withColumn("escalated", esc)
+    c = running(c, ["loop_id", "_dest"], "day", ["ts", "event_id"], (~F.col("escalated")).cast("int"), "charges",
+                inclusive=False)
+    return c.drop("day", "_dest", "earlier")
 
 
 # I2
@@ -73,7 +77,7 @@ def retry_budget(events: DataFrame) -> DataFrame:
                                         F.lit(f"' and retry limit ({MAX_RETRIES}) for node '"),
                                         F.col("destination"), F.lit("' was reached."))))
     return c.select("loop_id", "event_id", "step_name", "destination",
-                    F.col("earlier").cast("long").alias("charges_before"),
+                    F.col("charges").cast("long").alias("charges_before"),
                     (~escalated).alias("charged"), escalated.alias("escalated"), reason.alias("reason"))
 
 

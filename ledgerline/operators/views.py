@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import formulas as fx
-from ..functions.joins import broadcast_fixed, broadcast_if_small
+from ..functions.joins import broadcast_fixed
 from ..functions.timeutil import epoch_micros, trunc_date, trunc_ntz
 from ..functions.windows import neighbour, running_many
 
@@ -21,10 +21,8 @@ def _computed_at(df: DataFrame, with_ts: bool) -> DataFrame:
 
 
 def exact_avg(value: str, scale: int = 4) -> F.Column:
-    """avg(value) HALF_UP to ``scale`` places, exact (integer sum / count).
-    Inputs are taken at ``scale`` decimals."""
-    units = (F.col(value).cast(f"decimal(18,{scale})") * (10 ** scale)).cast("long")
-    return fx.half_up_ratio(F.sum(units), F.count(value), 0) / F.lit(float(10 ** scale))
+    """avg(value) HALF_UP to ``scale`` places, exact; rounded once, at the end."""
+    return fx.fine_avg(value, scale)
 
 
 def money_sum(value: str) -> F.Column:
@@ -38,7 +36,7 @@ def weekly_revenue_variance(invoices: DataFrame, rates: DataFrame, with_ts: bool
     matching rate, as delivered), rate defaults to 1.0."""
     r = rates.filter(F.col("base_currency") == "EUR").select("target_currency", "rate")
     out = (invoices.filter(F.col("status") == "PAID")
-           .join(broadcast_if_small(r), F.col("currency") == F.col("target_currency"), "left")
+           .join(r, F.col("currency") == F.col("target_currency"), "left")
            .select("invoice_id", "account_id",
                    F.col("amount").cast("double").alias("amount_original"),
                    F.col("currency").alias("currency_original"),
@@ -71,14 +69,17 @@ def campaign_attribution(events: DataFrame, acquisitions: DataFrame, with_ts: bo
     Purchase GROUP BY channel`` without building the product rows: both
     sides are pre-aggregated per campaign and multiplied."""
     purchases = events.filter(F.col("event_type") == "Purchase")
+    def wide(name: str) -> F.Column:  # the product grows with the square of the data
+        return F.col(name).cast("decimal(19,0)")
+
     acq = acquisitions.groupBy("campaign_id").agg(
         F.sum(fx.cents("cac_usd")).alias("acq_cents"),
         F.count("cac_usd").alias("acq_n"))
     ev = purchases.groupBy("campaign_id", "channel").agg(F.count(F.lit(1)).alias("ev_n"))
     totals = (ev.join(acq, "campaign_id")
               .groupBy("channel")
-              .agg(F.sum(F.col("ev_n") * F.col("acq_cents")).alias("cents"),
-                   F.sum(F.col("ev_n") * F.col("acq_n")).alias("n")))
+              .agg(F.sum(wide("ev_n") * wide("acq_cents")).alias("cents"),
+                   F.sum(wide("ev_n") * wide("acq_n")).alias("n")))
     users = (purchases.join(acq.select("campaign_id"), "campaign_id", "left_semi")
              .groupBy("channel").agg(F.countDistinct("user_id_hashed").alias("unique_conversions")))
     out = users.join(totals, "channel").select(
@@ -100,43 +101,49 @@ def inventory_turnover_view(inventory: DataFrame, dispatch: DataFrame, with_ts:
 
 
 # B6 ------------------------------------------------------------------------
-def asof_rates(invoices: DataFrame, rates: DataFrame, date_col: str = "issue_date") -> DataFrame:
-    """Attach ``asof_rate`` (latest EUR rate with rate_date <= date) and
-    ``first_rate`` (earliest rate of the currency) to each invoice.
-
-    Scalable as-of join: each rate is expanded to the days it is valid
-    (bounded by the rate calendar, not by the invoices) and joined on
-    (currency, day); dates after the last rate are clamped to it.
-    """
+def rate_calendar(rates: DataFrame, until: F.Column) -> DataFrame:
+    """``currency, day, rate, first_rate``: the EUR rate in force on each day
+    from the currency's first rate to ``until`` (a scalar), and its first
+    rate.  Its size follows the rates and the days, not the invoices."""
     r = (rates.filter(F.col("base_currency") == "EUR")
          .groupBy("target_currency", "rate_date").agg(F.max("rate").alias("rate")))
     w = Window.partitionBy("target_currency").orderBy("rate_date")
-    spans = (r.withColumn("next_date", F.lead("rate_date").over(w))
-             .withColumn("day", F.explode(F.sequence(
-                 F.col("rate_date"),
-                 F.coalesce(F.date_sub("next_date", 1), F.col("rate_date")))))
-             .select(F.col("target_currency").alias("currency"), "day", "rate"))
-    bounds = r.groupBy(F.col("target_currency").alias("currency")).agg(
-        F.max("rate_date").alias("last_date"),
-        F.min_by("rate", "rate_date").alias("first_rate"))
-    keyed = (invoices.join(F.broadcast(bounds), "currency", "left")
-             .withColumn("day", F.least(F.col(date_col), F.col("last_date"))))
-    return (keyed.join(broadcast_if_small(spans), ["currency", "day"], "left")
-            .withColumnRenamed("rate", "asof_rate")
-            .drop("day", "last_date"))
+    end = F.coalesce(F.date_sub(F.lead("rate_date").over(w), 1), F.greatest("rate_date", until))
+    return (r.withColumn("end", end).withColumn("first_rate", F.first("rate").over(w))
+            .select(F.col("target_currency").alias("currency"), "rate", "first_rate",
+                    F.explode(F.sequence("rate_date", "end")).alias("day")))
+
+
+def with_usd_rates(invoices: DataFrame, rates: DataFrame, date_col: str = "issue_date") -> DataFrame:
+    """Each invoice with the EUR rates in force on its date: of its currency
+    (``own_rate``, ``own_first``) and of USD (``usd_rate``, ``usd_first``); NULL
+    where no rate is in force yet.  An as-of join as two equi-joins on days;
+    which side is broadcast is left to the planner."""
+    until = invoices.select(F.max(date_col)).scalar()
+    calendar = rate_calendar(rates, until)
+    own = calendar.select("currency", F.col("day").alias(date_col), F.col("rate").alias("own_rate"),
+                          F.col("first_rate").alias("own_first"))
+    usd = calendar.filter(F.col("currency") == "USD").select(
+        F.col("day").alias(date_col), F.col("rate").alias("usd_rate"), F.col("first_rate").alias("usd_first"))
+    return invoices.join(own, ["currency", date_col], "left").join(usd, date_col, "left")
 
 
 def weekly_fx_variance(invoices: DataFrame, rates: DataFrame) -> DataFrame:
+    """USD amounts of PAID invoices per week and currency at the rates in
+    force and at each currency's first rate; invoices without a rate are
+    counted, not converted."""
     paid = invoices.filter(F.col("status") == "PAID")
-    j = asof_rates(paid, rates)
-    j = (j.withColumn("week_start", trunc_date("week", "issue_date"))
-         .withColumn("usd", fx.convert_currency("amount", F.coalesce("asof_rate", F.lit(1.0))).cast("decimal(18,2)"))
-         .withColumn("fixed_usd", fx.convert_currency("amount", F.coalesce("first_rate", F.lit(1.0))).cast("decimal(18,2)")))
+    j = (with_usd_rates(paid, rates)
+         .withColumn("week_start", trunc_date("week", "issue_date"))
+         .withColumn("usd", fx.to_usd("amount", "currency", "own_rate", "usd_rate"))
+         .withColumn("fixed_usd", F.when(F.col("usd").isNotNull(),
+                                         fx.to_usd("amount", "currency", "own_first", "usd_first"))))
     g = j.groupBy("week_start", "currency").agg(
         F.count(F.lit(1)).alias("invoice_count"),
+        F.count_if(F.col("usd").isNull()).alias("without_rate"),
         money_sum("amount").alias("amount_original"),
-        F.sum("usd").cast("double").alias("amount_usd"),
-        F.sum("fixed_usd").cast("double").alias("amount_usd_fixed_rate"))
+        money_sum("usd").alias("amount_usd"),
+        money_sum("fixed_usd").alias("amount_usd_fixed_rate"))
     return g.withColumn("variance", fx.pct_variance("amount_usd_fixed_rate", "amount_usd"))
 
 
@@ -251,9 +258,11 @@ def telemetry_ingestion_delay(telemetry: DataFrame) -> DataFrame:
 def channel_cac(ad_spend: DataFrame, acquisitions: DataFrame, events: DataFrame) -> DataFrame:
     spend = ad_spend.groupBy("channel").agg(F.sum(fx.cents("amount_usd")).alias("spend_cents"))
     campaign_channel = events.select("campaign_id", "channel").distinct()
-    acq = (acquisitions.join(broadcast_if_small(campaign_channel), "campaign_id")
+    acq = (acquisitions.join(campaign_channel, "campaign_id")
            .groupBy("channel").agg(F.count(F.lit(1)).alias("acquisitions")))
-    j = spend.join(acq, "channel", "left").withColumn("acquisitions", F.coalesce("acquisitions", F.lit(0)))
+    j = (spend.join(acq, "channel", "full_outer")
+         .withColumn("spend_cents", F.coalesce("spend_cents", F.lit(0)))
+         .withColumn("acquisitions", F.coalesce("acquisitions", F.lit(0))))
     return j.select(
         "channel",
         (F.col("spend_cents").cast("double") / F.lit(100.0)).alias("spend_usd"),
@@ -316,7 +325,7 @@ def cohort_retention(events: DataFrame) -> DataFrame:
 def energy_billing(billing: DataFrame) -> DataFrame:
     return (billing.withColumn("day", F.to_date("event_timestamp"))
             .groupBy("account_id", "charger_id", "day")
-            .agg(F.count(F.lit(1)).alias("sessions"), money_sum("kwh_consumed").alias("kwh")))
+            .agg(F.count(F.lit(1)).alias("sessions"), fx.fine_sum("kwh_consumed", 2).alias("kwh")))
 
 
 # B9 ------------------------------------------------------------------------

@@ -78,14 +78,17 @@ BUDGET = f"""
 cnt AS (SELECT *, count(*) OVER (PARTITION BY loop_id, destination ORDER BY ts, event_id
                                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS earlier
         FROM ch WHERE destination IS NOT NULL),
-bud AS (SELECT loop_id, event_id, step_name, destination, earlier AS charges_before,
+cnt2 AS (SELECT *, cast(coalesce(sum(CASE WHEN capped AND earlier >= 3 THEN 0 ELSE 1 END)
+                   OVER (PARTITION BY loop_id, destination ORDER BY ts, event_id
+                         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bigint) AS charges FROM cnt),
+bud AS (SELECT loop_id, event_id, step_name, destination, charges AS charges_before,
                NOT (capped AND earlier >= 3) AS charged, capped AND earlier >= 3 AS escalated,
                CASE WHEN capped AND earlier >= 3 AND step_name = 'SPEC_HARNESS'
                       THEN 'Spec harness validation failed after 3 retries.'
                     WHEN capped AND earlier >= 3
                       THEN 'Reviewer returned ''' || review_outcome || ''' and retry limit (3) for node '''
                            || destination || ''' was reached.' END AS reason
-        FROM cnt),
+        FROM cnt2),
 tr AS (SELECT e.loop_id, e.event_id, e.ts, e.step_name,
               CASE e.step_name WHEN 'INTAKE' THEN 'SPECIFY' WHEN 'SPECIFY' THEN 'SPEC_HARNESS'
                    WHEN 'DESIGN' THEN 'IMPLEMENT' WHEN 'IMPLEMENT' THEN 'REVIEW' WHEN 'CLOSE' THEN 'WATCH'

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..sources.adapters import with_adapters
-from .oracle_views import ratio
+from .oracle_views import avg_exact, ratio
 
 ORACLE: dict[str, str] = {}
 
@@ -51,12 +51,12 @@ FROM session_traces""")
 
 ORACLE["health_30d"] = with_adapters(["session_traces"], f"""
 , g AS (SELECT node_id, count(*) AS executions,
-              sum(cast(cast(duration_ms AS decimal(18,3)) * 1000 AS bigint)) AS s,
+              {avg_exact('duration_ms', 3)} AS avg_latency_ms,
               count(*) FILTER (WHERE status = 'FAILED') AS failed
        FROM session_traces
        WHERE ts > (SELECT max(ts) FROM session_traces) - INTERVAL 30 DAY
        GROUP BY node_id),
-h AS (SELECT node_id, executions, {ratio('s', 'executions', 0)} / 1000 AS avg_latency_ms,
+h AS (SELECT node_id, executions, avg_latency_ms,
              {ratio('failed', 'executions', 2, 100)} AS error_rate_pct FROM g)
 SELECT *, avg_latency_ms < 250.0 AND error_rate_pct <= 0.1 AS sla_conformance,
        CASE WHEN avg_latency_ms < 250.0 AND error_rate_pct <= 0.1 THEN 'HEALTHY' ELSE 'DEGRADED' END AS status
@@ -76,11 +76,11 @@ SELECT loop_id, seq, 'EVT-' || left(loop_id, 8) || '-' || printf('%04d', seq) AS
 FROM audit_events""")
 
 ORACLE["audit_integrity"] = with_adapters(["audit_events"], f"""
-, g AS (SELECT loop_id, count(*) AS records, count(DISTINCT seq) AS d, min(seq) AS mn, max(seq) AS mx,
+, g AS (SELECT loop_id, count(*) AS records, count(DISTINCT seq) AS d, max(seq) AS mx,
               count(*) FILTER (WHERE sha256({_CANON}) <> stored_hash) AS hash_mismatches
        FROM audit_events GROUP BY loop_id)
-SELECT loop_id, records, hash_mismatches, mx - mn + 1 - d AS missing_seq, records - d AS repeated_seq
-FROM g WHERE mx - mn + 1 - d > 0 OR records - d > 0 OR hash_mismatches > 0""")
+SELECT loop_id, records, hash_mismatches, mx - d AS missing_seq, records - d AS repeated_seq
+FROM g WHERE mx - d > 0 OR records - d > 0 OR hash_mismatches > 0""")
 
 ORACLE["id_collisions"] = with_adapters(["audit_events", "artifacts"], """
 , ids AS (SELECT 'event_id' AS id_kind, 'EVT-' || left(loop_id, 8) || '-' || printf('%04d', seq) AS derived_id, loop_id
@@ -98,8 +98,7 @@ FROM session_traces GROUP BY node_id, loop_id""")
 
 ORACLE["span_stats"] = with_adapters(["session_traces"], f"""
 SELECT 'pipeline.node.' || lower(step_name) AS span_name, count(*) AS spans,
-       {ratio('sum(cast(cast(duration_ms AS decimal(18,2)) * 100 AS bigint))', 'count(duration_ms)', 0)} / 100
-         AS avg_ms,
+       {avg_exact('duration_ms', 2)} AS avg_ms,
        round(quantile_cont(duration_ms, 0.5), 6) AS p50_ms, round(quantile_cont(duration_ms, 0.95), 6) AS p95_ms
 FROM session_traces GROUP BY 1""")
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..sources.adapters import with_adapters
-from .oracle_views import cents, ratio, usd
+from .oracle_views import cents, ratio, usd_at
 
 ORACLE: dict[str, str] = {}
 
@@ -22,7 +22,7 @@ FROM opportunities""")
 
 ORACLE["parse_telemetry"] = with_adapters(["charger_telemetry"], """
 SELECT reading_id, cast(voltage AS double) AS voltage, cast(current_amperes AS double) AS current_amperes,
-       cast(round(cast(voltage AS decimal(12,4)) * cast(current_amperes AS decimal(12,4)) * 0.001, 3) AS double)
+       cast(round(cast(voltage AS decimal(19,8)) * cast(current_amperes AS decimal(19,8)), 0) AS double) / 1000
          AS power_kw
 FROM charger_telemetry""")
 
@@ -59,10 +59,15 @@ SELECT dispatch_id, dispatch_time_hours <= sla_target_hours AS sla_met FROM ware
 ORACLE["convert_currency"] = with_adapters(["invoices", "exchange_rate_history"], f"""
 , r AS (SELECT target_currency, rate_date, max(rate) AS rate FROM exchange_rate_history
        WHERE base_currency = 'EUR' GROUP BY 1, 2)
-SELECT i.invoice_id, i.currency, cast(i.amount AS double) AS amount,
-       cast(coalesce(r.rate, 1.0) AS double) AS rate,
-       {usd('i.amount', 'coalesce(r.rate, 1.0)')} AS amount_usd
-FROM invoices i ASOF LEFT JOIN r ON i.currency = r.target_currency AND i.issue_date >= r.rate_date""")
+, u AS (SELECT * FROM r WHERE target_currency = 'USD'),
+j0 AS (SELECT i.*, r.rate AS own_rate
+       FROM invoices i ASOF LEFT JOIN r ON i.currency = r.target_currency AND i.issue_date >= r.rate_date),
+j AS (SELECT j0.*, u.rate AS usd_rate FROM j0 ASOF LEFT JOIN u ON j0.issue_date >= u.rate_date)
+SELECT invoice_id, currency, cast(amount AS double) AS amount,
+       CASE WHEN currency = 'USD' THEN 1.0::DOUBLE WHEN currency = 'EUR' THEN usd_rate
+            ELSE usd_rate / own_rate END AS rate,
+       {usd_at('own_rate', 'usd_rate')} AS amount_usd
+FROM j""").replace("\n, u AS", ",\nu AS")
 
 ORACLE["pct_variance"] = with_adapters(["invoices"], """
 , m AS (SELECT currency, cast(date_trunc('month', issue_date) AS date) AS month,

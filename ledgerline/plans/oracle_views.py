@@ -12,14 +12,15 @@ from ..sources.adapters import with_adapters
 def ratio(num: str, den: str, scale: int = 2, factor: int = 1) -> str:
     """HALF_UP round(num*factor/den, scale) in exact integer arithmetic."""
     u = 10 ** scale
-    return (f"(CASE WHEN ({den}) = 0 THEN 0.0 ELSE cast((cast({num} AS hugeint) * {2 * factor * u} + ({den}))"
-            f" // (2 * cast({den} AS hugeint)) AS double) / {u} END)")
+    return (f"(CASE WHEN ({den}) = 0 THEN 0.0 ELSE (CASE WHEN ({num}) < 0 THEN -1 ELSE 1 END)"
+            f" * (cast((abs(cast({num} AS hugeint)) * {2 * factor * u} + ({den}))"
+            f" // (2 * cast({den} AS hugeint)) AS double) / {u}) END)")
 
 
 def avg_exact(col: str, scale: int = 4) -> str:
-    u = 10 ** scale
-    units = f"sum(cast(cast({col} AS decimal(18,{scale})) * {u} AS bigint))"
-    return f"({ratio(units, f'count({col})', 0)} / {u})"
+    """Average of values at 8 decimals, rounded once."""
+    units = f"cast(sum(cast({col} AS decimal(26,8))) * 100000000 AS hugeint)"
+    return f"(CASE WHEN count({col}) > 0 THEN {ratio(units, f'(count({col}) * {10 ** (8 - scale)})', 0)} / {10 ** scale} END)"
 
 
 def cents(col: str) -> str:
@@ -30,6 +31,15 @@ def money_sum(col: str) -> str:
     return f"cast(sum(cast({col} AS decimal(18,2))) AS double)"
 
 
+def usd_at(own: str, usd_rate: str) -> str:
+    """An amount in USD by the EUR rates of its currency and of USD."""
+    units = "cast(cast({0} AS decimal(10,4)) * 10000 AS hugeint)"
+    num = f"(cast(amount * 100 AS hugeint) * {units.format(usd_rate)})"
+    den = f"(CASE WHEN currency = 'EUR' THEN 10000 ELSE {units.format(own)} END)"
+    return (f"(CASE WHEN currency = 'USD' THEN cast(cast(amount AS decimal(18,2)) AS double)"
+            f" WHEN {usd_rate} IS NOT NULL AND {den} > 0 THEN {ratio(num, den, 0)} / 100 END)")
+
+
 def usd(amount: str, rate: str) -> str:
     return f"cast(round(cast({amount} AS decimal(18,2)) * cast({rate} AS decimal(10,4)), 2) AS double)"
 
@@ -78,14 +88,20 @@ r AS (SELECT target_currency, rate_date, max(rate) AS rate FROM exchange_rate_hi
       WHERE base_currency = 'EUR' GROUP BY target_currency, rate_date),
 firsts AS (SELECT target_currency, arg_min(rate, rate_date) AS first_rate FROM r GROUP BY target_currency),
 paid AS (SELECT * FROM invoices WHERE status = 'PAID'),
-j AS (SELECT p.*, r.rate AS asof_rate, f.first_rate
+u AS (SELECT * FROM r WHERE target_currency = 'USD'),
+j0 AS (SELECT p.*, r.rate AS own_rate, CASE WHEN r.rate IS NOT NULL THEN f.first_rate END AS own_first
       FROM paid p ASOF LEFT JOIN r ON p.currency = r.target_currency AND p.issue_date >= r.rate_date
       LEFT JOIN firsts f ON p.currency = f.target_currency),
+j1 AS (SELECT j0.*, u.rate AS usd_rate, CASE WHEN u.rate IS NOT NULL THEN
+              (SELECT first_rate FROM firsts WHERE target_currency = 'USD') END AS usd_first
+       FROM j0 ASOF LEFT JOIN u ON j0.issue_date >= u.rate_date),
+j AS (SELECT *, {usd_at('own_rate', 'usd_rate')} AS usd FROM j1),
 wk AS (SELECT cast(date_trunc('week', issue_date) AS date) AS week_start, currency,
               count(*) AS invoice_count,
+              count(*) FILTER (WHERE usd IS NULL) AS without_rate,
               {money_sum('amount')} AS amount_original,
-              cast(sum(cast({usd('amount', 'coalesce(asof_rate, 1.0)')} AS decimal(18,2))) AS double) AS amount_usd,
-              cast(sum(cast({usd('amount', 'coalesce(first_rate, 1.0)')} AS decimal(18,2))) AS double) AS amount_usd_fixed_rate
+              {money_sum('usd')} AS amount_usd,
+              {money_sum("CASE WHEN usd IS NOT NULL THEN " + usd_at('own_first', 'usd_first') + " END")} AS amount_usd_fixed_rate
        FROM j GROUP BY 1, 2),
 wkv AS (SELECT *, CASE WHEN amount_usd_fixed_rate = 0 THEN 0.0
                   ELSE abs(amount_usd - amount_usd_fixed_rate) / amount_usd_fixed_rate END AS variance FROM wk)"""
@@ -169,10 +185,10 @@ ORACLE["channel_cac"] = with_adapters(["ad_spend", "user_acquisitions", "campaig
 cc AS (SELECT DISTINCT campaign_id, channel FROM campaign_events),
 a AS (SELECT cc.channel, count(*) AS acquisitions FROM user_acquisitions u JOIN cc ON u.campaign_id = cc.campaign_id
       GROUP BY cc.channel)
-SELECT s.channel, cast(s.spend_cents AS double) / 100 AS spend_usd,
+SELECT coalesce(s.channel, a.channel) AS channel, cast(coalesce(s.spend_cents, 0) AS double) / 100 AS spend_usd,
        coalesce(a.acquisitions, 0) AS acquisitions,
-       {ratio('s.spend_cents', 'coalesce(a.acquisitions, 0)', 0)} / 100 AS cac_usd
-FROM s LEFT JOIN a ON s.channel = a.channel""").replace("\n, s AS", ",\ns AS")
+       {ratio('coalesce(s.spend_cents, 0)', 'coalesce(a.acquisitions, 0)', 0)} / 100 AS cac_usd
+FROM s FULL OUTER JOIN a ON s.channel = a.channel""").replace("\n, s AS", ",\ns AS")
 
 ORACLE["weighted_pipeline"] = with_adapters(["opportunities"], f"""
 , w AS (SELECT * FROM (VALUES ('Prospecting', 0.1), ('Qualified', 0.3), ('Negotiation', 0.6),
@@ -195,7 +211,7 @@ FROM wk JOIN f ON wk.user_id = f.user_id GROUP BY 1, 2""").replace("\n, wk AS",
 
 ORACLE["energy_billing"] = with_adapters(["billing_events"], f"""
 SELECT account_id, charger_id, cast(event_timestamp AS date) AS day, count(*) AS sessions,
-       {money_sum('kwh_consumed')} AS kwh
+       cast(round(sum(cast(kwh_consumed AS decimal(26,8))), 2) AS double) AS kwh
 FROM billing_events GROUP BY 1, 2, 3""")
 
 ORACLE["multi_touch_attribution"] = with_adapters(["campaign_events"], f"""

@@ -9,24 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from .adapters import ADAPTERS, DRIVER_TABLES, SPARK, adapter_sql, dependencies
 
 
-# Text tables whose per-row work (many substring/regex passes over whole
-# documents) is CPU-bound: spread them over all cores when the scan itself
-# yields too few partitions (e.g. one large row group).
-_SPREAD_KEYS = {"documents": "doc_id", "conversations": "conv_id"}
-
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash-repartition ``df`` on ``key`` only if its scan has fewer
-    partitions than the cluster's default parallelism.  The check is a
-    planning-time partition count (no job); on a large input with many
-    files it is false and no shuffle is added."""
-    spark = df.sparkSession
-    target = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
-        return df
-    return df.repartition(target, key)
-
-
 # Parquet schemas of the driver files, read once per process (schema
 # inference opens a file footer; the files are read-only inputs).
 _SCHEMAS: dict[str, object] = {}
@@ -57,8 +39,6 @@ class Tables:
         if name not in self._frames:
             if name in DRIVER_TABLES:
                 df = self.raw(name)
-                if name in _SPREAD_KEYS:
-                    df = spread(df, _SPREAD_KEYS[name])
             elif name in ADAPTERS:
                 deps = {dep: self.get(dep) for dep in dependencies(name)}
                 df = self.spark.sql(adapter_sql(name, SPARK), **deps)

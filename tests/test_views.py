@@ -4,6 +4,7 @@ from datetime import timedelta
 
 from pyspark.sql import functions as F
 
+from ledgerline.operators import formula_queries as C
 from ledgerline.operators import views as V
 from ledgerline.sources import sinks
 
@@ -28,14 +29,63 @@ def test_campaign_attribution_equals_naive_join(small):
     assert got == exp
 
 
-def test_asof_rates_equal_brute_force(small):
+def test_rates_in_force_equal_brute_force(small):
     inv, rates = small.invoices, small.exchange_rate_history
     rr = [(r.target_currency, r.rate_date, r.rate) for r in rates.collect()]
-    got = {r.invoice_id: r.asof_rate for r in V.asof_rates(inv, rates).collect()}
+
+    def rate(currency, day):
+        known = [(d, x) for c, d, x in rr if c == currency and d <= day]
+        return max(known)[1] if known else None
+
+    got = {r.invoice_id: (r.own_rate, r.usd_rate) for r in V.with_usd_rates(inv, rates).collect()}
     for r in inv.collect():
-        cands = [(d, x) for c, d, x in rr if c == r.currency and d <= r.issue_date]
-        exp = max(cands)[1] if cands else None
-        assert got[r.invoice_id] == exp
+        assert got[r.invoice_id] == (rate(r.currency, r.issue_date), rate("USD", r.issue_date))
+
+
+def test_usd_amounts_by_hand(spark):
+    inv = spark.sql("""SELECT * FROM VALUES
+      ('e', 'EUR', 100.00, DATE'2024-01-10'), ('u', 'USD', 100.00, DATE'2024-01-10'),
+      ('g', 'GBP', 100.00, DATE'2024-01-10'), ('r', 'EUR', -12.50, DATE'2024-02-10'),
+      ('x', 'CHF', 100.00, DATE'2024-01-10'), ('o', 'EUR', 100.00, DATE'2023-12-31')
+      AS t(invoice_id, currency, amount, issue_date)""").selectExpr(
+        "invoice_id", "currency", "cast(amount as decimal(18,2)) amount", "issue_date", "'PAID' status")
+    rates = spark.sql("""SELECT * FROM VALUES
+      (DATE'2024-01-01', 'EUR', 'USD', 1.0850D), (DATE'2024-02-01', 'EUR', 'USD', 1.1000D),
+      (DATE'2024-01-01', 'EUR', 'GBP', 0.8540D) AS t(rate_date, base_currency, target_currency, rate)""")
+    got = {r.invoice_id: r.amount_usd for r in C.convert_currency(inv, rates).collect()}
+    # 100 EUR = 108.50; 100 GBP = 100 / 0.854 * 1.085 = 127.05; no rate: NULL
+    assert got == {"e": 108.5, "u": 100.0, "g": 127.05, "r": -13.75, "x": None, "o": None}
+    weekly = V.weekly_fx_variance(inv, rates).collect()
+    assert sum(r.without_rate for r in weekly) == 2
+    row = next(r for r in weekly if r.currency == "EUR" and r.amount_usd == -13.75)
+    assert row.amount_usd_fixed_rate == -13.56  # -12.5 * 1.085 = -13.5625
+
+
+def test_no_rounding_before_an_aggregate(spark):
+    rows = spark.range(1000).selectExpr("1 account_id", "2 charger_id", "0.004D kwh_consumed",
+                                        "timestamp_ntz'2024-01-01 00:00:00' event_timestamp")
+    assert V.energy_billing(rows).first().kwh == 4.0
+    readings = spark.range(1000).selectExpr("1 charger_id", "'f' firmware_version", "230.000049D voltage",
+                                            "10.000004D current_amperes", "20.0D temperature_celsius")
+    row = V.charger_telemetry_agg(readings).first()
+    assert (row.avg_voltage, row.avg_current) == (230.0, 10.0)
+    mixed = spark.sql("SELECT 1 charger_id, 'f' firmware_version, v voltage, v current_amperes, v temperature_celsius"
+                      " FROM VALUES (0.00004D), (0.00004D), (0.00008D) AS t(v)")
+    assert V.charger_telemetry_agg(mixed).first().avg_voltage == 0.0001  # 0.0000533 rounds up; 4 dp inputs give 0.0
+
+
+def test_average_of_refunds_rounds_half_away_from_zero(spark):
+    opps = spark.sql("SELECT 1 opp_id, 'Won' stage, cast(-0.12 as decimal(18,2)) amount_eur UNION ALL"
+                     " SELECT 2, 'Won', cast(-0.13 as decimal(18,2))")
+    assert V.sales_pipeline_conversion(opps).first().avg_deal_size_eur == -0.13
+
+
+def test_channel_without_spend_is_kept(spark):
+    spend = spark.sql("SELECT 'Search' channel, cast(10 as decimal(18,2)) amount_usd")
+    acq = spark.sql("SELECT 1 campaign_id")
+    events = spark.sql("SELECT 1 campaign_id, 'Social' channel")
+    got = {r.channel: (r.spend_usd, r.acquisitions, r.cac_usd) for r in V.channel_cac(spend, acq, events).collect()}
+    assert got == {"Search": (10.0, 0, 0.0), "Social": (0.0, 1, 0.0)}
 
 
 def test_multi_touch_attribution_equals_brute_force(small):
