@@ -2,15 +2,15 @@
 
 A plain ``Window.partitionBy(key)`` puts every row of a key into one task; a
 key holding a third of the data would then be processed by one core.  These
-helpers split each key by a *monotone bucket* (e.g. the day of the event
-time): the row-level window runs per ``(key, bucket)``, and the carry from
-earlier buckets comes from a small per-bucket table (one row per key and
-bucket) whose own window is cheap even for the hottest key.
-
-The bucket must be non-decreasing in the ordering (``bucket = f(ts)`` with
-the order starting with ``ts``).  Its granularity is the caller's choice: one
-bucket of the hottest key must fit a task, and the carry table (one row per
-key and bucket) must stay small; the library uses the day of the event time.
+helpers split each key by a *monotone bucket* (a slice of the event time):
+the row-level window runs per ``(key, bucket)``, and the carry from earlier
+buckets comes from a per-bucket table (one row per key and bucket).  That
+table is carried the same way, in blocks of ``BLOCK`` buckets, so only one row
+per key and block meets in one task.
+
+The bucket must be a whole number that does not decrease in the ordering
+(``slice_of(ts)`` with the order starting with ``ts``).  One bucket of the
+hottest key must fit a task.
 """
 
 from __future__ import annotations
@@ -20,7 +20,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .timeutil import epoch_micros
+
 _AGG = {"sum": F.sum, "max": F.max, "min": F.min}
+SLICE_MICROS = 600_000_000  # ten minutes
+BLOCK = 1024  # buckets (slices) whose carry is computed together
+
+
+def slice_of(ts: Column | str) -> Column:
+    """The ten-minute slice of a TIMESTAMP_NTZ: a whole number."""
+    return F.floor(epoch_micros(ts) / F.lit(SLICE_MICROS))
 
 
 def _join_carry(src: DataFrame, per_bucket: DataFrame, cols: list[str]) -> DataFrame:
@@ -31,13 +40,14 @@ def _join_carry(src: DataFrame, per_bucket: DataFrame, cols: list[str]) -> DataF
 
 
 def running_many(df: DataFrame, keys: Sequence[str], bucket: str, order: Sequence[Column | str],
-                 specs: Sequence[tuple]) -> DataFrame:
+                 specs: Sequence[tuple], levels: int = 2) -> DataFrame:
     """Several running aggregates per ``keys`` in ``order`` in ONE pass.
 
     ``specs``: ``(name, value, agg, inclusive, descending)`` with ``agg`` in
     sum/max/min; ``descending=True`` aggregates over the following rows.
     All row-level windows share one exchange on (keys, bucket); the
-    per-bucket carries come from one small aggregate and one join.
+    per-bucket carries come from one aggregate and one join.  ``levels`` is
+    the number of levels in which the carry itself is computed.
     """
     keys = list(keys)
     src = df
@@ -51,10 +61,21 @@ def running_many(df: DataFrame, keys: Sequence[str], bucket: str, order: Sequenc
         w_in = (Window.partitionBy(*keys, bucket).orderBy(*ordering)
                 .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1))
         rows = rows.withColumn(f"_w{i}", _AGG[agg](f"_v{i}").over(w_in))
-        b_order = F.col(bucket).desc() if descending else F.col(bucket)
-        w_b = Window.partitionBy(*keys).orderBy(b_order).rowsBetween(Window.unboundedPreceding, -1)
-        per_bucket = per_bucket.withColumn(f"_b{i}", _AGG[agg](f"_bt{i}").over(w_b))
-    per_bucket = per_bucket.drop(*[f"_bt{i}" for i in range(len(specs))])
+    if levels > 1:
+        block = F.floor(F.col(bucket) / F.lit(BLOCK))
+        totals = {f"_bt{i}": f"_total{i}" for i in range(len(specs))}
+        carries = [(f"_carry{i}", f"_total{i}", agg, False, descending)
+                   for i, (_, _, agg, _, descending) in enumerate(specs)]
+        per_bucket = running_many(per_bucket.withColumnsRenamed(totals).withColumn("_block", block), keys, "_block",
+                                  [bucket], carries, levels - 1)
+        per_bucket = (per_bucket.drop("_block", *totals.values())
+                      .withColumnsRenamed({f"_carry{i}": f"_b{i}" for i in range(len(specs))}))
+    else:
+        for i, (_, _, agg, _, descending) in enumerate(specs):
+            b_order = F.col(bucket).desc() if descending else F.col(bucket)
+            w_b = Window.partitionBy(*keys).orderBy(b_order).rowsBetween(Window.unboundedPreceding, -1)
+            per_bucket = per_bucket.withColumn(f"_b{i}", _AGG[agg](f"_bt{i}").over(w_b))
+        per_bucket = per_bucket.drop(*[f"_bt{i}" for i in range(len(specs))])
     out = _join_carry(rows, per_bucket, [*keys, bucket])
     for i, (name, _, agg, _, _) in enumerate(specs):
         before, within = F.col(f"_b{i}"), F.col(f"_w{i}")
@@ -79,7 +100,7 @@ def running(df: DataFrame, keys: Sequence[str], bucket: str, order: Sequence[Col
 
 
 def neighbour(df: DataFrame, keys: Sequence[str], bucket: str, order: Sequence[Column | str],
-              value: Column | str, name: str, direction: str = "prev") -> DataFrame:
+              value: Column | str, name: str, direction: str = "prev", levels: int = 2) -> DataFrame:
     """Add ``name`` = ``value`` of the previous (``prev``) or next (``next``)
     row per ``keys`` in ``order``; NULL at the edge of the key."""
     value = F.col(value) if isinstance(value, str) else value
@@ -99,9 +120,15 @@ def neighbour(df: DataFrame, keys: Sequence[str], bucket: str, order: Sequence[C
     sort_key = F.struct(*[F.col(o) if isinstance(o, str) else o for o in order])
     pick = F.max_by if direction == "prev" else F.min_by
     per_bucket = src.groupBy(*keys, bucket).agg(pick("_v", sort_key).alias("_bv"))
-    w_b = Window.partitionBy(*keys).orderBy(bucket)
-    carry = F.lag("_bv").over(w_b) if direction == "prev" else F.lead("_bv").over(w_b)
-    per_bucket = per_bucket.withColumn("_carry", carry).drop("_bv")
+    if levels > 1:
+        block = F.floor(F.col(bucket) / F.lit(BLOCK))
+        per_bucket = neighbour(per_bucket.withColumnRenamed("_bv", "_edge_value").withColumn("_block", block), keys,
+                               "_block", [bucket], "_edge_value", "_carried", direction, levels - 1)
+        per_bucket = per_bucket.drop("_block", "_edge_value").withColumnRenamed("_carried", "_carry")
+    else:
+        w_b = Window.partitionBy(*keys).orderBy(bucket)
+        carry = F.lag("_bv").over(w_b) if direction == "prev" else F.lead("_bv").over(w_b)
+        per_bucket = per_bucket.withColumn("_carry", carry).drop("_bv")
     out = _join_carry(src, per_bucket, [*keys, bucket])
     out = out.withColumn(name, F.when(F.col("_edge"), F.col("_carry")).otherwise(F.col("_nb")))
     return out.drop("_v", "_nb", "_edge", "_carry")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import formulas as fx
-from ..functions.windows import running
+from ..functions.windows import running, slice_of
 
 DEFAULT_BUCKET = "analytics-artifacts"
 DEFAULT_CREATOR = "delivery-engine"
@@ -92,9 +92,9 @@ def gate_audit(traces: DataFrame, n: int = 50) -> DataFrame:
 def events_in_arrival_order(traces: DataFrame) -> DataFrame:
     """Every loop's telemetry numbered in arrival order (ts, event_id).
     The rank is a running count split by day (skew-safe)."""
-    t = traces.select("loop_id", "event_id", "step_name", "ts").withColumn("day", F.to_date("ts"))
-    t = running(t, ["loop_id"], "day", ["ts", "event_id"], F.lit(1), "arrival_seq")
-    return t.drop("day")
+    t = traces.select("loop_id", "event_id", "step_name", "ts").withColumn("slice", slice_of("ts"))
+    t = running(t, ["loop_id"], "slice", ["ts", "event_id"], F.lit(1), "arrival_seq")
+    return t.drop("slice")
 
 
 def events_for_loop(traces: DataFrame, loop_id: str) -> DataFrame:

@@ -3,7 +3,8 @@
 The event log has one row per processed step: (loop_id, event_id, ts,
 step_name, decision, review_outcome, harness_passed).  Ordered per-loop
 logic (retry charges, first resolutions, segments) uses running counts
-split by day (``functions.windows``), so a hot loop is not one task.
+split by ten-minute slices (``functions.windows``), so a hot loop is not one
+task.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import formulas as fx
 from ..functions.timeutil import epoch_micros
-from ..functions.windows import neighbour, running
+from ..functions.windows import neighbour, running, slice_of
 
 MAX_RETRIES = 3
 MAX_STEPS = 25
@@ -55,14 +56,14 @@ def _with_budget(events: DataFrame) -> DataFrame:
     escalates when 3 charge events came before, and ``charges`` is the running
     sum of the events that did charge.  Non-charging events form their own
     (loop, NULL) groups and are ignored."""
-    c = (_charges(events).withColumn("day", F.to_date("ts"))
+    c = (_charges(events).withColumn("slice", slice_of("ts"))
          .withColumn("_dest", F.coalesce(F.col("destination"), F.lit(""))))  # non-NULL key
-    c = running(c, ["loop_id", "_dest"], "day", ["ts", "event_id"], F.lit(1), "earlier", inclusive=False)
+    c = running(c, ["loop_id", "_dest"], "slice", ["ts", "event_id"], F.lit(1), "earlier", inclusive=False)
     esc = F.col("destination").isNotNull() & F.col("capped") & (F.col("earlier") >= MAX_RETRIES)
     c = c.withColumn("escalated", esc)
-    c = running(c, ["loop_id", "_dest"], "day", ["ts", "event_id"], (~F.col("escalated")).cast("int"), "charges",
+    c = running(c, ["loop_id", "_dest"], "slice", ["ts", "event_id"], (~F.col("escalated")).cast("int"), "charges",
                 inclusive=False)
-    return c.drop("day", "_dest", "earlier")
+    return c.drop("slice", "_dest", "earlier")
 
 
 # I2
@@ -114,8 +115,8 @@ def next_state(events: DataFrame) -> DataFrame:
 def first_gate_resolution(events: DataFrame) -> DataFrame:
     g = (events.filter(F.col("decision").isNotNull())
          .select("loop_id", "event_id", "ts", F.col("step_name").alias("gate"), "decision")
-         .withColumn("day", F.to_date("ts")))
-    g = running(g, ["loop_id", "gate"], "day", ["ts", "event_id"], F.lit(1), "resolution_rank")
+         .withColumn("slice", slice_of("ts")))
+    g = running(g, ["loop_id", "gate"], "slice", ["ts", "event_id"], F.lit(1), "resolution_rank")
     return g.select("loop_id", "event_id", "gate", "decision", F.col("resolution_rank").cast("long"),
                     F.when(F.col("resolution_rank") == 1, "EFFECTIVE").otherwise("CONFLICT").alias("status"))
 
@@ -146,8 +147,8 @@ def step_limit(transitions: DataFrame, limit: int = MAX_STEPS) -> DataFrame:
     terminal state, with their length; a run of at least ``limit`` steps is
     escalated by the step limit (``escalated``)."""
     stop = F.col("next_state").isin(PAUSE_STATES + TERMINAL_STATES).cast("int")
-    t = transitions.withColumn("stop", stop).withColumn("day", F.to_date("ts"))
-    t = running(t, ["loop_id"], "day", ["ts", "event_id"], "stop", "segment", inclusive=False)
+    t = transitions.withColumn("stop", stop).withColumn("slice", slice_of("ts"))
+    t = running(t, ["loop_id"], "slice", ["ts", "event_id"], "stop", "segment", inclusive=False)
     g = t.groupBy("loop_id", "segment").agg(F.count(F.lit(1)).alias("steps"))
     return g.select("loop_id", F.col("segment").cast("long").alias("segment"), "steps",
                     (F.col("steps") >= limit).alias("escalated"))
@@ -158,8 +159,8 @@ def stage_durations(events: DataFrame) -> DataFrame:
     """Time from each step to the next step of the loop, per state (gate
     states give the gate wait)."""
     us = epoch_micros("ts")
-    t = events.select("loop_id", "event_id", "ts", "step_name").withColumn("us", us).withColumn("day", F.to_date("ts"))
-    t = neighbour(t, ["loop_id"], "day", ["ts", "event_id"], "us", "next_us", direction="next")
+    t = events.select("loop_id", "event_id", "ts", "step_name").withColumn("us", us).withColumn("slice", slice_of("ts"))
+    t = neighbour(t, ["loop_id"], "slice", ["ts", "event_id"], "us", "next_us", direction="next")
     d = t.filter(F.col("next_us").isNotNull()).withColumn("dur_us", F.col("next_us") - F.col("us"))
     g = d.groupBy("step_name").agg(F.count(F.lit(1)).alias("transitions"), F.sum("dur_us").alias("_s"),
                                    F.max("dur_us").alias("_m"))

@@ -97,9 +97,14 @@ def frontmatter_keys(text: Column | str) -> Column:
     return F.regexp_extract_all(block, F.lit(TOP_LEVEL_KEY_RE), F.lit(1))
 
 
+# The characters that Python's str.strip() removes.
+BLANK_CLASS = (r"[\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}"
+               r"\x{205F}\x{3000}]")
+
+
 def is_blank(text: Column | str) -> Column:
     t = _c(text)
-    return t.isNull() | t.rlike(r"\A[\t\n\x0B\f\r ]*\z")
+    return t.isNull() | t.rlike(rf"\A{BLANK_CLASS}*\z")
 
 
 def line_count(text: Column | str) -> Column:
@@ -213,7 +218,7 @@ def rule_report(specs: DataFrame, violations: Column) -> DataFrame:
 
 # F10
 def acceptance_violations(pass_rate: Column | str, executed: Column | str, domain: Column | str) -> Column:
-    rate = _c(pass_rate).cast("double")
+    rate = F.coalesce(_c(pass_rate).cast("double"), F.lit(0.0))  # a run without a rate passed nothing
     ran = F.coalesce(_c(executed), _empty())
 
     def build(r):
@@ -276,7 +281,7 @@ def metric_default(name: Column | str) -> Column:
 
 
 def metric_defaults(specs: DataFrame) -> DataFrame:
-    names = F.regexp_extract_all(F.col("text"), F.lit(r"(?m)^- ([a-z_]+):"), F.lit(1))
+    names = F.regexp_extract_all(F.col("text"), F.lit(r"(?m)^- ([A-Za-z_][A-Za-z0-9_]*):"), F.lit(1))
     m = specs.select(F.explode(names).alias("metric"))
     return m.groupBy("metric").agg(F.count(F.lit(1)).alias("specs")).withColumn(
         "default_threshold", metric_default("metric"))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import formulas as fx
-from ..functions.windows import running
+from ..functions.windows import running, slice_of
 from ..sources.adapters import PROCESS_STATES
 from . import quality as Q
 
@@ -77,9 +77,9 @@ def trajectory_matches(traces: DataFrame) -> DataFrame:
     the session (equivalent to walking the expected sequence)."""
     t = (traces.select("loop_id", "event_id", "ts", "step_name", "status")
          .withColumn("pos", state_position("step_name"))
-         .withColumn("day", F.to_date("ts")))
-    t = running(t, ["loop_id"], "day", ["ts", "event_id"], "pos", "prev_max", agg="max", inclusive=False)
-    return t.withColumn("matched", F.col("pos") > F.coalesce("prev_max", F.lit(0))).drop("day")
+         .withColumn("slice", slice_of("ts")))
+    t = running(t, ["loop_id"], "slice", ["ts", "event_id"], "pos", "prev_max", agg="max", inclusive=False)
+    return t.withColumn("matched", F.col("pos") > F.coalesce("prev_max", F.lit(0))).drop("slice")
 
 
 def gate_decisions(loop_events: DataFrame) -> DataFrame:
@@ -128,15 +128,11 @@ def instruction_score(final_output: Column | str) -> Column:
     return F.when(F.size(Q.guardrail_hits(final_output)) > 0, 0.0).otherwise(1.0)
 
 
-def _session_key(loop_id: Column) -> Column:
-    """Numeric run key of a session id ('01KZZ' + zero-padded number)."""
-    return F.substring(loop_id, 6, 64).cast("long")
-
-
 # G10 / G11 -------------------------------------------------------------------
 def flywheel_report(sessions: DataFrame, conversations: DataFrame) -> DataFrame:
+    """``sessions`` carry ``run_key``, the key of their conversation."""
     outputs = Q.final_outputs(conversations).withColumnRenamed("conv_id", "run_key")
-    s = sessions.withColumn("run_key", _session_key(F.col("loop_id"))).join(outputs, "run_key", "left")
+    s = sessions.join(outputs, "run_key", "left")
     s = s.select(
         "loop_id",
         task_success("final_state", "h1_approved", "h2_approved").alias("task_success"),
@@ -178,19 +174,21 @@ def suite_summary(report: DataFrame) -> DataFrame:
 # G5 --------------------------------------------------------------------------
 def scorecard(sessions: DataFrame, specs: DataFrame, results: DataFrame) -> DataFrame:
     """Quality index per run: spec contract, graph conformance, skill rules,
-    sandbox reliability.  Run r's spec and test results are document r."""
-    sp = Q.with_case_folds(specs).select(
+    sandbox reliability.  ``sessions`` carry ``run_key``, the key of their
+    spec and test results; a run without a spec scores 0 on both spec scores.
+    Only the specs of the runs are checked."""
+    scored = specs.join(sessions.select(F.col("run_key").alias("doc_id")), "doc_id", "left_semi")
+    sp = Q.with_case_folds(scored).select(
         F.col("doc_id").alias("run_key"), "text", "node_id",
         gherkin_score("text", "node_id", Q.features()).alias("gherkin_contract_score"),
         skill_score("text", "node_id", F.col("_uc")).alias("skill_compliance_score"))
     tr = results.select(F.col("run_id").alias("run_key"), "pass_rate", "exit_code")
-    s = (sessions.withColumn("run_key", _session_key(F.col("loop_id")))
-         .join(sp, "run_key", "left").join(tr, "run_key", "left"))
+    s = sessions.join(sp, "run_key", "left").join(tr, "run_key", "left")
     s = s.select(
         "loop_id",
-        "gherkin_contract_score",
+        F.coalesce("gherkin_contract_score", F.lit(0.0)).alias("gherkin_contract_score"),
         fx.half_up_ratio("matched_steps", "steps", 2).alias("graph_conformance_score"),
-        "skill_compliance_score",
+        F.coalesce("skill_compliance_score", F.lit(0.0)).alias("skill_compliance_score"),
         sandbox_score("pass_rate", "exit_code").alias("sandbox_reliability_score"))
     agg = (_dec("0.3") * _dec(F.col("gherkin_contract_score")) + _dec("0.25") * _dec(F.col("graph_conformance_score"))
            + _dec("0.25") * _dec(F.col("skill_compliance_score"))

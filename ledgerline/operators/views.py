@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import formulas as fx
 from ..functions.joins import broadcast_fixed
 from ..functions.timeutil import epoch_micros, trunc_date, trunc_ntz
-from ..functions.windows import neighbour, running_many
+from ..functions.windows import SLICE_MICROS, neighbour, running_many, slice_of
 
 
 def _computed_at(df: DataFrame, with_ts: bool) -> DataFrame:
@@ -236,13 +236,13 @@ def charger_health(telemetry: DataFrame, errors: DataFrame) -> DataFrame:
 def telemetry_ingestion_delay(telemetry: DataFrame) -> DataFrame:
     """Gap (ms) from each reading to the previous reading of the charger;
     avg (3 dp, HALF_UP) and max per charger.  The previous reading is found
-    per (charger, day) with a carry from earlier days, so one hot charger
+    per (charger, slice) with a carry from earlier slices, so one hot charger
     does not collapse into one task."""
     us = epoch_micros("event_timestamp")
     t = (telemetry.select("charger_id", "reading_id", "event_timestamp")
          .withColumn("us", us)
-         .withColumn("day", F.to_date("event_timestamp")))
-    t = neighbour(t, ["charger_id"], "day", ["event_timestamp", "reading_id"], "us", "prev_us")
+         .withColumn("slice", slice_of("event_timestamp")))
+    t = neighbour(t, ["charger_id"], "slice", ["event_timestamp", "reading_id"], "us", "prev_us")
     gaps = t.filter(F.col("prev_us").isNotNull()).withColumn("gap_us", F.col("us") - F.col("prev_us"))
     g = gaps.groupBy("charger_id").agg(
         F.count(F.lit(1)).alias("gaps"),
@@ -341,7 +341,7 @@ def multi_touch_attribution(events: DataFrame, lookback_days: int = 30) -> DataF
     No touch x purchase pairs are built.  For every purchase and every
     channel the user has touches in, two query points (p - lookback and p)
     are merged into the user's touch timeline of that channel; one ordered
-    pass per (user, channel, day) gives at each query point the number of
+    pass per (user, channel, slice) gives at each query point the number of
     touches up to it and the first touch after it.  Touches in the window =
     difference of the two counts; the purchase total is the sum over
     channels and the first touch the earliest of the per-channel firsts.
@@ -364,12 +364,12 @@ def multi_touch_attribution(events: DataFrame, lookback_days: int = 30) -> DataF
            .unionByName(points.select("user_id", "channel", F.col("pt.x").alias("x"), F.lit(1).alias("kind"),
                                       F.lit(None).cast("long").alias("touch_id"), "purchase_id",
                                       F.col("pt.hi").alias("hi")))
-           .withColumn("day", F.floor(F.col("x") / F.lit(DAY_US))))
+           .withColumn("slice", F.floor(F.col("x") / F.lit(SLICE_MICROS))))
     order = ["x", "kind", "touch_id"]
     keys = ["user_id", "channel"]
     # One pass: touches at or before each row (touches sort before queries at
     # equal time) and the first touch strictly after each row.
-    pts = running_many(pts, keys, "day", order, [
+    pts = running_many(pts, keys, "slice", order, [
         ("upto", (F.col("kind") == 0).cast("long"), "sum", True, False),
         ("next_touch", F.when(F.col("kind") == 0, F.struct("x", "touch_id")), "min", False, True)])
     qc = (pts.filter(F.col("kind") == 1).groupBy("user_id", "channel", "purchase_id").agg(
@@ -388,7 +388,7 @@ def multi_touch_attribution(events: DataFrame, lookback_days: int = 30) -> DataF
         F.count_if("is_first").alias("first_touch_purchases"))
     # Each purchase has exactly one first touch: the total over the (few)
     # channel rows is the number of purchases with a touch.
-    total = F.sum("first_touch_purchases").over(Window.partitionBy(F.lit(1)))
+    total = per_channel.select(F.sum("first_touch_purchases")).scalar()
     out = per_channel.withColumn("purchases", total)
     return out.select(
         "channel", "window_touches",

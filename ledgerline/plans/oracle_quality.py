@@ -23,7 +23,9 @@ def rule_case(domain: str, field: str) -> str:
 
 
 FM = r"'(?s)^---\s*\n(.*?)\n---\s*\n'"
-EMPTY = r"(text IS NULL OR regexp_replace(text, '[\t\n\x0B\f\r ]', '', 'g') = '')"
+BLANK = (r"[\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}"
+         r"\x{205F}\x{3000}]")
+EMPTY = rf"(text IS NULL OR regexp_replace(text, '{BLANK}', '', 'g') = '')"
 BREAKS = r"'[\n\r\x0B\f\x1C\x1D\x1E\x{85}\x{2028}\x{2029}]'"
 
 
@@ -104,7 +106,7 @@ SELECT doc_id, node_id, len(v) = 0 AS passed,
 FROM v""")
 
 
-def f10(rate="pass_rate", executed="executed_test_types", d="node_id"):
+def f10(rate="coalesce(pass_rate, 0.0)", executed="executed_test_types", d="node_id"):
     minimum = rule_case(d, "min_pass_rate")
     low = (f"(CASE WHEN cast({rate} AS double) < {minimum} THEN ['Acceptance failure: unit test pass rate ' || "
            f"cast(cast({rate} AS double) AS varchar) || '% below required ' || cast(cast({minimum} AS double) AS varchar) || '%']"
@@ -142,7 +144,7 @@ SELECT metric, count(*) AS specs,
             WHEN contains(metric, 'seconds') OR contains(metric, 'delay') THEN 5.0
             WHEN contains(metric, 'adherence') OR contains(metric, 'ratio') THEN 0.95
             ELSE 0.001 END::double AS default_threshold
-FROM (SELECT unnest(regexp_extract_all(text, '(?m)^- ([a-z_]+):', 1)) AS metric FROM specs) s
+FROM (SELECT unnest(regexp_extract_all(text, '(?m)^- ([A-Za-z_][A-Za-z0-9_]*):', 1)) AS metric FROM specs) s
 GROUP BY metric""")
 
 ORACLE["violation_summary"] = with_adapters(["specs"], f"""

@@ -102,8 +102,8 @@ ORACLE["sandbox_score"] = with_adapters(["test_results"], f"""
 SELECT run_id, {_G4.replace('tr.', '')} AS sandbox_score FROM test_results""")
 
 ORACLE["scorecard"] = with_adapters(_ADAPTERS + ["specs", "test_results"], SESSIONS + f""",
-sc AS (SELECT s.loop_id, {_G1} AS gherkin_contract_score, {ratio('s.matched_steps', 's.steps', 2)} AS graph_conformance_score,
-              {_G3} AS skill_compliance_score, {_G4} AS sandbox_reliability_score
+sc AS (SELECT s.loop_id, coalesce({_G1}, 0.0) AS gherkin_contract_score, {ratio('s.matched_steps', 's.steps', 2)} AS graph_conformance_score,
+              coalesce({_G3}, 0.0) AS skill_compliance_score, {_G4} AS sandbox_reliability_score
        FROM sess s LEFT JOIN specs sp ON cast(substr(s.loop_id, 6) AS bigint) = sp.doc_id
        LEFT JOIN test_results tr ON cast(substr(s.loop_id, 6) AS bigint) = tr.run_id),
 sc2 AS (SELECT *, {score2('0.3 * cast(gherkin_contract_score AS decimal(10,4)) + 0.25 * cast(graph_conformance_score AS decimal(10,4)) + 0.25 * cast(skill_compliance_score AS decimal(10,4)) + 0.2 * cast(sandbox_reliability_score AS decimal(10,4))')}

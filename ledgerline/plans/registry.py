@@ -130,8 +130,14 @@ def _sessions(t: Tables) -> DataFrame:
     return G.harvest_sessions(t.session_traces, t.loop_events)
 
 
+def _keyed_sessions(t: Tables) -> DataFrame:
+    """Sessions of the fixture with the number in their id as run key (NULL
+    for an id of another form)."""
+    return _sessions(t).withColumn("run_key", _F.expr("try_cast(substring(loop_id, 6) AS bigint)"))
+
+
 def _report(t: Tables) -> DataFrame:
-    return G.flywheel_report(_sessions(t), t.conversation_turns)
+    return G.flywheel_report(_keyed_sessions(t), t.conversation_turns)
 
 
 _reg("harvest_traces", _sessions, ORACLE_SCORING)
@@ -142,7 +148,7 @@ _reg("skill_score", lambda t: Q.with_case_folds(t.specs).select(
     "doc_id", G.skill_score("text", "node_id", _F.col("_uc")).alias("skill_score")), ORACLE_SCORING)
 _reg("sandbox_score", lambda t: t.test_results.select(
     "run_id", G.sandbox_score("pass_rate", "exit_code").alias("sandbox_score")), ORACLE_SCORING)
-_reg("scorecard", lambda t: G.scorecard(_sessions(t), t.specs, t.test_results), ORACLE_SCORING)
+_reg("scorecard", lambda t: G.scorecard(_keyed_sessions(t), t.specs, t.test_results), ORACLE_SCORING)
 _reg("protocol_scorecard", lambda t: G.protocol_scorecard(t.response_log), ORACLE_SCORING)
 _reg("task_success", lambda t: _report(t).select("loop_id", "task_success"), ORACLE_SCORING)
 _reg("tool_use_score", lambda t: _report(t).select("loop_id", "tool_use_quality"), ORACLE_SCORING)

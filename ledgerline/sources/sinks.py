@@ -72,10 +72,15 @@ def seed_rates(spark: SparkSession) -> DataFrame:
 
 # A10
 def write_artifacts(records_with_content: DataFrame, root: str, mode: str = "append") -> None:
-    """Artifact hierarchy ``processes/{domain}/{loop_id}/...`` as a Parquet
-    dataset partitioned by domain and loop."""
-    (records_with_content.repartition("domain", "loop_id")
-     .write.mode(mode).partitionBy("domain", "loop_id").parquet(f"{root}/processes"))
+    """Artifact hierarchy ``processes/{domain}/{date}/...``: one folder per
+    domain and day of creation, rows sorted by loop inside each file (the path
+    of an artifact stays in its ``gcs_uri``).  A salt spreads a hot folder, or
+    a hot loop in it, over several files."""
+    salt = F.pmod(F.hash("artifact_id"), F.lit(FILES_PER_PARTITION_VALUE))
+    (records_with_content.withColumn("created_date", F.to_date("created_at"))
+     .repartition("domain", "created_date", salt)
+     .sortWithinPartitions("domain", "created_date", "loop_id", "artifact_name")
+     .write.mode(mode).partitionBy("domain", "created_date").parquet(f"{root}/processes"))
 
 
 # A11
@@ -83,12 +88,22 @@ def append_telemetry(events: DataFrame, path: str) -> None:
     events.write.mode("append").parquet(path)
 
 
-def append_audit(spark: SparkSession, records: DataFrame, path: str, key: str = "object_key") -> None:
+def _exists(spark: SparkSession, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
+
+
+def append_audit(spark: SparkSession, records: DataFrame, path: str, key: str = "object_key",
+                 order: tuple[str, ...] = ()) -> None:
     """Append audit records; a key already sealed at ``path`` is never
-    replaced (left-anti join against the stored keys first)."""
-    try:
-        stored = spark.read.parquet(path).select(key)
-        fresh = records.join(stored, key, "left_anti")
-    except Exception:  # noqa: BLE001 - first write: nothing sealed yet
-        fresh = records
-    fresh.dropDuplicates([key]).write.mode("append").parquet(path)
+    replaced (left-anti join against the stored keys).  Of a key repeated in
+    ``records`` the first by ``order`` is sealed (without an order, the smallest
+    row).  Only a path that does not exist counts as "nothing sealed yet": an
+    unreadable table raises."""
+    names = records.columns
+    by = F.struct(*[F.col(c) for c in (order or [c for c in names if c != key])])
+    fresh = records.groupBy(key).agg(F.min_by(F.struct(*names), by).alias("first")).select("first.*")
+    if _exists(spark, path):
+        fresh = fresh.join(spark.read.parquet(path).select(key), key, "left_anti").select(*names)
+    fresh.write.mode("append").parquet(path)

@@ -5,10 +5,21 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions.windows import running, slice_of
 from .adapters import ADAPTERS, DRIVER_TABLES, SPARK, adapter_sql, dependencies
 
 
+def _numbered_traces(traces: DataFrame) -> DataFrame:
+    t = traces.select("event_id", "loop_id", "node_id", "step_name", "ts").withColumn("slice", slice_of("ts"))
+    return running(t, ["loop_id"], "slice", ["ts", "event_id"], F.lit(1), "seq").drop("slice")
+
+
+# Adapter tables whose ordered numbering Spark computes in slices of the key.
+SLICED = {"numbered_traces": ("session_traces", _numbered_traces)}
+
+
 # Parquet schemas of the driver files, read once per process (schema
 # inference opens a file footer; the files are read-only inputs).
 _SCHEMAS: dict[str, object] = {}
@@ -39,6 +50,9 @@ class Tables:
         if name not in self._frames:
             if name in DRIVER_TABLES:
                 df = self.raw(name)
+            elif name in SLICED:
+                source, build = SLICED[name]
+                df = build(self.get(source))
             elif name in ADAPTERS:
                 deps = {dep: self.get(dep) for dep in dependencies(name)}
                 df = self.spark.sql(adapter_sql(name, SPARK), **deps)

@@ -114,3 +114,28 @@ def test_streams_give_the_batch_answer_for_any_file_layout(spark, small, scratch
                  .select("loop_id", "gate", "decision", "event_id"))
     got = gates.select("loop_id", "gate", "decision", "event_id")
     assert got.exceptAll(effective).count() == 0 and effective.exceptAll(got).count() == 0
+
+
+def test_audit_append_keeps_the_first_and_raises_on_a_broken_table(spark, scratch):
+    path = os.path.join(scratch, "audit")
+    rows = spark.createDataFrame([("k1", 2, "late"), ("k1", 1, "first"), ("k2", 1, "only")], "object_key string, seq int, v string")
+    sinks.append_audit(spark, rows, path, order=("seq",))
+    assert {(r.object_key, r.v) for r in spark.read.parquet(path).collect()} == {("k1", "first"), ("k2", "only")}
+    broken = os.path.join(scratch, "broken")
+    os.makedirs(broken)
+    with open(os.path.join(broken, "part-0.parquet"), "w") as f:
+        f.write("no parquet")
+    with pytest.raises(Exception):
+        sinks.append_audit(spark, rows, broken, order=("seq",))
+    assert os.listdir(broken) == ["part-0.parquet"]
+
+
+def test_artifact_folders_by_domain_and_day(spark, small, scratch):
+    from ledgerline.operators import catalog as E
+
+    root = os.path.join(scratch, "artifacts")
+    records = E.artifact_records(small.artifacts)
+    sinks.write_artifacts(records, root)
+    back = spark.read.parquet(os.path.join(root, "processes"))
+    assert back.count() == records.count() and {"domain", "created_date"} <= set(back.columns)
+    assert back.select(*records.columns).exceptAll(records).count() == 0

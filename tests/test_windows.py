@@ -54,3 +54,32 @@ def test_row_level_window_is_partitioned_by_key_and_bucket(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"windowspecdefinition\(k#\d+L?, b#\d+L?, t#\d+L? ASC", plan)
     assert re.search(r"Exchange hashpartitioning\(k#\d+L?, b#\d+L?", plan)
+
+
+def test_hot_key_in_one_day_is_split_and_carried_in_two_levels(spark):
+    """A third of the rows share one key and one day; slices and blocks give
+    the plain window's answer and no row-level window groups by the key alone."""
+    from ledgerline.functions import windows as W
+
+    rows = spark.range(4000).selectExpr(
+        "CASE WHEN id % 3 = 0 THEN 'hot' ELSE concat('k', id % 40) END AS k", "id",
+        "timestamp_ntz'2024-05-01 00:00:00' + make_dt_interval(0, 0, 0, (id * 7919) % 86400) AS ts", "id % 10 AS v")
+    df = rows.withColumn("slice", W.slice_of("ts"))
+    w = Window.partitionBy("k").orderBy("ts", "id")
+    exp = (df.withColumn("s", F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("p", F.lag("id").over(w)))
+    block, W.BLOCK = W.BLOCK, 8
+    try:
+        got = W.neighbour(W.running(df, ["k"], "slice", ["ts", "id"], "v", "s"), ["k"], "slice", ["ts", "id"], "id", "p")
+    finally:
+        W.BLOCK = block
+    assert {(r.id, r.s, r.p) for r in exp.collect()} == {(r.id, r.s, r.p) for r in got.collect()}
+
+
+def test_registered_plans_have_no_row_window_over_a_loop_alone(spark, small):
+    import re
+
+    from ledgerline.plans.registry import PLANS
+
+    for name in ("audit_hash", "audit_keys", "audit_integrity", "next_state", "events_for_loop"):
+        plan = PLANS[name](small)._jdf.queryExecution().executedPlan().toString()
+        assert not re.search(r"windowspecdefinition\(loop_id#\d+L?, ts#", plan), name
