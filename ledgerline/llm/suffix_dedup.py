@@ -321,10 +321,9 @@ def _split(window: int, width: int):
                 while low < many:
                     place = (off - low) // width  # distance of the window from its anchor
                     high = min(many, off - place * width + 1)
-                    # the full range, whether or not this snippet holds it all
-                    core_low = max(0, min(off - place * width, len(text)))
-                    core_high = min(len(text), max(0, off - (place + 1) * width + 1) + window)
-                    core = text[core_low: core_high] if width > 1 else text[low: low + window]
+                    # From the start of the range's last window to the end of its
+                    # first one: inside every window of the range.
+                    core = text[off - place * width: off - (place + 1) * width + 1 + window]
                     key = hashlib.blake2b(core, digest_size=8, key=f"{anchor}/{place}/{width}".encode()).digest()
                     out[0].append(int.from_bytes(key, "little", signed=True))
                     out[1].append(name)
@@ -346,7 +345,10 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hea
     rows = docs.mapInArrow(_anchor_rows(window, gram),
                            "k1 long, k2 long, start long, many int, off int, anchor long, snippet long")
     rows = written(rows, "suffix-anchors")
-    shared = rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor")
+    # Written on its own, so that the join below has plain shuffles on both
+    # sides and the planner can split the rows of a very common anchor.
+    shared = written(rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor"),
+                     "suffix-repeated")
     rows = written(rows.join(shared, "anchor"), "suffix-shared")
     same = ["anchor", "snippet", "many", "off"]
     distinct = rows.groupBy(*same).agg(F.count(F.lit(1)).alias("times"),
