@@ -38,8 +38,8 @@ from pyspark.sql import functions as F
 
 from .text import _LOWER, buffers, mix, prefix_hash, span_hash, words
 
-TOXIC_DOCS = 3000  # different toxic texts that training reads at most
-CLEAN_DOCS = 6000  # different clean texts that training reads at most
+TOXIC_DOCS = 2000  # different toxic texts that training reads at most
+CLEAN_DOCS = 4000  # different clean texts that training reads at most
 FOLDS, HELD_OUT = 5, 0
 PREFIXES = (4, 5, 6, 7, 8)  # bytes of a token that are features beside the whole token
 PRIOR = (1.0, 9.0)  # pseudo-counts of toxic and clean documents
@@ -198,78 +198,115 @@ def _curve(features: np.ndarray, weights: tuple[float, float, float]) -> np.ndar
 
 # --- training -------------------------------------------------------------
 
-def _choose_marks(features: np.ndarray, doc: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+def _choose_marks(features: np.ndarray, doc: np.ndarray, toxic: np.ndarray, clean_weight: float = 1.0) -> np.ndarray:
     """Features whose documents are toxic more often than chance allows.
 
-    With ``k`` of ``n`` documents toxic and a base rate ``r``, the chance of
-    such a share is at most ``exp(-n * KL(k/n, r))``; it must stay below one
-    in twice the number of features that are frequent enough to pass at all,
-    and most of the documents must be toxic."""
+    With ``k`` of ``n`` documents toxic and a share ``r`` of toxic documents in
+    the sample, the chance of such a share is at most
+    ``exp(-n * KL(k/n, r))``; it must stay below one in twice the number of
+    features that are frequent enough to pass at all, and with clean documents
+    at their weight in the corpus most of the documents must be toxic.
+
+    ``doc`` is sorted."""
     rate = (toxic.sum() + PRIOR[0]) / (len(toxic) + sum(PRIOR))
-    best: list[np.ndarray] = []
+    marks: list[np.ndarray] = []
     score: list[np.ndarray] = []
+
+    def gain_of(hits: np.ndarray, n: np.ndarray) -> np.ndarray:
+        share = np.clip(hits / np.maximum(n, 1), 1e-9, 1 - 1e-9)
+        gain = n * (share * np.log(share / rate) + (1 - share) * np.log((1 - share) / (1 - rate)))
+        return np.where((share > rate) & (hits > 0.8 * (hits + clean_weight * (n - hits))), gain, 0.0)
+
     for k in range(features.shape[1]):
         value = features[:, k]
-        has = value != 0
-        pair = np.unique(np.stack([value[has], doc[has].astype(np.uint64)], axis=1), axis=0)
-        name, at, n = np.unique(pair[:, 0], return_index=True, return_counts=True)
-        if not len(name):
+        at = np.flatnonzero(value)
+        at = at[np.argsort(value[at], kind="stable")]  # by feature, then document
+        value, owner = value[at], doc[at]
+        new = np.ones(len(value), bool)
+        new[1:] = (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])
+        value, owner = value[new], owner[new]
+        head = np.flatnonzero(np.append(True, value[1:] != value[:-1])) if len(value) else np.zeros(0, np.int64)
+        if not len(head):
             continue
-        hits = np.add.reduceat(toxic[pair[:, 1].astype(np.int64)].astype(float), at)
-        share = np.clip(hits / n, 1e-9, 1 - 1e-9)
-        gain = n * (share * np.log(share / rate) + (1 - share) * np.log((1 - share) / (1 - rate)))
-        frequent = np.sort(n)[::-1]
-        passing = frequent * -np.log(rate) > np.log(2.0 * np.arange(1, len(n) + 1))
-        tested = len(n) if passing.all() else max(1, int(np.argmin(passing)))
-        good = (share > 0.8) & (gain > np.log(2.0 * tested))
-        best.append(name[good])
+        n = np.diff(np.append(head, len(value)))
+        least = np.arange(1, int(n.max()) + 1)  # documents that a feature needs
+        tested = np.maximum(1, len(n) - np.searchsorted(np.sort(n), least, "left"))
+        able = np.flatnonzero(least * -np.log(rate) > np.log(2.0 * tested))
+        if not len(able):
+            continue
+        gain = gain_of(np.add.reduceat(toxic[owner].astype(float), head), n)
+        good = (n >= least[able[0]]) & (gain > np.log(2.0 * tested[able[0]]))
+        marks.append(value[head][good])
         score.append(gain[good])
-    if not best:
+    if not marks:
         return np.zeros(0, np.uint64)
-    names, gains = np.concatenate(best), np.concatenate(score)
-    return np.sort(names[np.argsort(-gains, kind="stable")[:MAX_MARKS]])
-
-
-def _fit_chain(mark: np.ndarray, label: np.ndarray, marks: int, rounds: int = 150) -> tuple[np.ndarray, float, np.ndarray]:
+    found, gains = np.concatenate(marks), np.concatenate(score)
+    return np.sort(found[np.argsort(-gains, kind="stable")[:MAX_MARKS]])
+
+
+def _one_per_copy(whole: np.ndarray, doc: np.ndarray, documents: int, seeds: int = 3) -> np.ndarray:
+    """Which sample documents to learn marks from: the first of each group of
+    near copies (equal minimum of one of ``seeds`` hashes over runs of three
+    tokens).  Words that only a copied text shares would look like marks."""
+    keep = np.ones(documents, bool)
+    whole_run = np.flatnonzero(doc[:-2] == doc[2:]) if len(doc) > 2 else np.zeros(0, np.int64)
+    if not len(whole_run):
+        return keep
+    owner = doc[whole_run]
+    run = mix(mix(whole[whole_run] * np.uint64(3)) + mix(whole[whole_run + 1] * np.uint64(5)) + whole[whole_run + 2])
+    head = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+    for seed in range(1, seeds + 1):
+        least = np.minimum.reduceat(mix(run + np.uint64(seed)), head)
+        first = np.unique(least, return_index=True)[1]
+        later = np.ones(len(head), bool)
+        later[first] = False
+        keep[owner[head][later]] = False
+    return keep
+
+
+def _fit_chain(mark: np.ndarray, label: np.ndarray, marks: int, rounds: int = 90) -> tuple[np.ndarray, float, np.ndarray]:
     """Maximise the conditional likelihood of the labels of the training
     sequences ``(sequences, CHUNK)`` (mark -1: none, -2: padding) with a
     quadratic penalty, by Adam on exact gradients."""
+    mark, label = np.ascontiguousarray(mark.T), np.ascontiguousarray(label.T)  # time first
     real = mark > -2
     weights, bias, move = np.zeros(marks + 1), -2.0, np.zeros((2, 2))
     slot = np.where(mark >= 0, mark, marks)  # the last weight stays 0
-    pairs = real[:, 1:]
+    pairs = real[1:]
     seen_move = np.zeros((2, 2))
-    np.add.at(seen_move, (label[:, :-1][pairs], label[:, 1:][pairs]), 1)
+    np.add.at(seen_move, (label[:-1][pairs], label[1:][pairs]), 1)
     seen_mark = np.bincount(slot[real & (label == 1)], minlength=marks + 1).astype(float)
     seen_bias = float(label[real].sum())
     total = float(real.sum())
     mean, square = np.zeros(marks + 6), np.zeros(marks + 6)
+    steps, count = mark.shape
     for t in range(1, rounds + 1):
-        expo = np.exp(np.clip(bias + weights[slot], -30, 30)) * real
-        emit = np.stack([np.ones_like(expo), expo], axis=2)
-        m = np.exp(np.clip(move, -30, 30))
-        forward, backward = np.empty_like(emit), np.empty_like(emit)
-        scale = np.ones(mark.shape)
-        state = emit[:, 0]
-        for k in range(mark.shape[1]):
-            if k:
-                state = np.where(real[:, k, None], (state @ m) * emit[:, k], state)
-            scale[:, k] = state.sum(axis=1)
-            state = state / scale[:, k, None]
-            forward[:, k] = state
-        state = np.ones((len(mark), 2))
-        backward[:, -1] = state
+        emit = np.where(real, np.exp(np.clip(bias + weights[slot], -30, 30)), 1.0)  # of state 1; state 0 has 1
+        (m00, m01), (m10, m11) = np.exp(np.clip(move, -30, 30))
+        ahead0, ahead1 = np.empty(mark.shape), np.empty(mark.shape)
+        a0, a1 = 1 / (1 + emit[0]), emit[0] / (1 + emit[0])
+        ahead0[0], ahead1[0] = a0, a1
+        for k in range(1, steps):
+            n0, n1 = a0 * m00 + a1 * m10, (a0 * m01 + a1 * m11) * emit[k]
+            scale = 1 / (n0 + n1)
+            a0, a1 = np.where(real[k], n0 * scale, a0), np.where(real[k], n1 * scale, a1)
+            ahead0[k], ahead1[k] = a0, a1
+        p = np.empty(mark.shape)
+        b0, b1 = np.full(count, 0.5), np.full(count, 0.5)
         grad_move = np.zeros((2, 2))
-        for k in range(mark.shape[1] - 1, 0, -1):
-            ahead = emit[:, k] * state
-            both = forward[:, k - 1, :, None] * m[None] * ahead[:, None, :]
-            both /= both.sum(axis=(1, 2), keepdims=True)
-            grad_move += both[real[:, k]].sum(axis=0)
-            nxt = ahead @ m.T
-            state = np.where(real[:, k, None], nxt / nxt.sum(axis=1, keepdims=True), state)
-            backward[:, k - 1] = state
-        p = forward * backward
-        p = np.where(real, p[:, :, 1] / p.sum(axis=2), 0)
+        for k in range(steps - 1, -1, -1):
+            p[k] = ahead1[k] * b1 / (ahead0[k] * b0 + ahead1[k] * b1)
+            if k:
+                live = real[k]
+                n0, n1 = b0, b1 * emit[k]
+                x00, x01 = ahead0[k - 1] * m00 * n0, ahead0[k - 1] * m01 * n1
+                x10, x11 = ahead1[k - 1] * m10 * n0, ahead1[k - 1] * m11 * n1
+                share = live / (x00 + x01 + x10 + x11)
+                grad_move += [[x00 @ share, x01 @ share], [x10 @ share, x11 @ share]]
+                c0, c1 = m00 * n0 + m01 * n1, m10 * n0 + m11 * n1
+                scale = 1 / (c0 + c1)
+                b0, b1 = np.where(live, c0 * scale, b0), np.where(live, c1 * scale, b1)
+        p *= real
         gradient = np.concatenate([
             (np.bincount(slot.ravel(), p.ravel(), marks + 1) - seen_mark)[:-1] + 0.05 * weights[:-1], [0.0],
             [p.sum() - seen_bias + 0.01 * bias], (grad_move - seen_move + 0.05 * move).ravel()]) / np.sqrt(total)
@@ -283,21 +320,26 @@ def _fit_chain(mark: np.ndarray, label: np.ndarray, marks: int, rounds: int = 15
     return weights[:-1], float(bias), move
 
 
-def _fit_curve(features: np.ndarray, toxic: np.ndarray) -> tuple[float, float, float]:
-    """Logistic curve by Newton steps with a quadratic penalty."""
+def _fit_curve(features: np.ndarray, toxic: np.ndarray, clean_weight: float) -> tuple[float, float, float]:
+    """Logistic curve by Newton steps with a quadratic penalty; clean
+    documents count at their weight in the corpus."""
+    weight = np.where(toxic == 1, 1.0, clean_weight)
     w = np.zeros(3)
     penalty = np.diag([1e-3, 0.5, 0.5])
     for _ in range(30):
         p = _curve(features, tuple(w))
-        gradient = features.T @ (p - toxic) + penalty @ w
-        hessian = (features * (p * (1 - p))[:, None]).T @ features + penalty
+        gradient = features.T @ (weight * (p - toxic)) + penalty @ w
+        hessian = (features * (weight * p * (1 - p))[:, None]).T @ features + penalty
         w = w - np.linalg.solve(hessian, gradient)
     return tuple(w.tolist())
 
 
-def fit(texts: list[bytes], toxic: np.ndarray) -> Model:
-    """Model of labelled texts (a bounded sample)."""
-    rate = (toxic.sum() + PRIOR[0]) / (len(toxic) + sum(PRIOR))
+def fit(texts: list[bytes], toxic: np.ndarray, odds: float | None = None) -> Model:
+    """Model of labelled texts (a bounded sample).  ``odds``: toxic per clean
+    label in the corpus, if the sample holds them at another ratio."""
+    clean = float((toxic == 0).sum())
+    clean_weight = toxic.sum() / clean / odds if odds and clean and toxic.any() else 1.0
+    rate = (toxic.sum() + PRIOR[0]) / (toxic.sum() + clean_weight * clean + sum(PRIOR))
     model = Model(curve=(float(np.log(rate / (1 - rate))), 0.0, 0.0))
     if not 0 < toxic.sum() < len(toxic):
         return model
@@ -308,7 +350,8 @@ def fit(texts: list[bytes], toxic: np.ndarray) -> Model:
         parts.append((doc + base, features))
         base += end - first
     doc, features = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-    model.marks = _choose_marks(features, doc, toxic)
+    single = _one_per_copy(features[:, 0], doc, len(texts))[doc]
+    model.marks = _choose_marks(features[single], doc[single], toxic, clean_weight)
     if not len(model.marks):
         return model
     mark = _mark_of(features, model.marks)
@@ -316,18 +359,19 @@ def fit(texts: list[bytes], toxic: np.ndarray) -> Model:
     label = ((mark >= 0) & (toxic[doc] == 1)).astype(np.int64)
     count = np.bincount(doc, minlength=len(texts))
     place = np.arange(len(doc)) - (np.cumsum(count) - count)[doc]
-    piece = np.unique(np.stack([doc, place // CHUNK], axis=1), axis=0, return_inverse=True)[1].ravel()
+    piece = np.cumsum(place % CHUNK == 0) - 1
     shape = (int(piece[-1]) + 1, CHUNK)
     marks, labels = np.full(shape, -2), np.zeros(shape, np.int64)
     marks[piece, place % CHUNK], labels[piece, place % CHUNK] = mark, label
     # Pieces without a mark differ by length only; a bounded part of them
     # keeps the share of plain tokens, every piece with a mark stays.
     some = (marks >= 0).any(axis=1)
-    some[np.flatnonzero(~some)[: max(2000, 3 * int(some.sum()))]] = True
+    plain = np.flatnonzero(~some)
+    some[plain[:: max(1, len(plain) // max(2000, int(some.sum())))]] = True
     model.weights, model.bias, model.transitions = _fit_chain(marks[some], labels[some], len(model.marks))
     at = np.flatnonzero(mark >= 0)
     p = marginals(model, count, doc[at], place[at], mark[at])
-    model.curve = _fit_curve(_document_features(len(texts), doc[at], p), toxic)
+    model.curve = _fit_curve(_document_features(len(texts), doc[at], p), toxic, clean_weight)
     return model
 
 
@@ -350,9 +394,12 @@ def train(docs: DataFrame, labels: DataFrame, toxic_docs: int = TOXIC_DOCS, clea
     rows = (rows.filter("toxic = 1").orderBy("copy").limit(toxic_docs)
             .unionByName(rows.filter("toxic = 0").orderBy("copy").limit(clean_docs)))
 
+    share = known.agg(F.sum("toxic").alias("toxic"), F.count(F.lit(1)).alias("n")).first()
+    odds = share["toxic"] / (share["n"] - share["toxic"]) if share["toxic"] and share["toxic"] < share["n"] else None
+
     def fit_group(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["copy", "toxic"])
-        model = fit([t.encode() for t in group["text"]], group["toxic"].to_numpy())
+        model = fit([t.encode() for t in group["text"]], group["toxic"].to_numpy(), odds)
         return pd.DataFrame({"marks": [model.marks.tobytes()], "weights": [model.weights.tobytes()],
                              "rest": [np.concatenate([[model.bias], model.transitions.ravel(), model.curve]).tobytes()]})
 
