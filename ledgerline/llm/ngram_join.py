@@ -39,7 +39,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import connected_components, partitions, written
@@ -348,9 +348,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", percent: int = P
     parts = partitions(spark)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col("text").cast("binary"))
     wire = (source.mapInArrow(_to_columns(parts), _WIRE)
-            .repartition(parts, "part").sortWithinPartitions("kind", "block")
+            .repartitionById(parts, "part").sortWithinPartitions("kind", "block")
             .mapInArrow(_shared_columns(parts), _WIRE)
-            .repartition(parts, "part").sortWithinPartitions("kind", "part")
+            .repartitionById(parts, "part").sortWithinPartitions("kind", "part")
             .mapInArrow(_matrix_rows(percent), _WIRE)
             .select("kind", "id", "class", "n", F.col("block").alias("prefix"), "entries"))
     wire = written(wire, "ngram-matrix")
@@ -408,8 +408,6 @@ def keep_one_per_group(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     found = written(found, "ngram-found")
     keep = (found.filter("n_shingles = 0 OR id = component_id")
             .groupBy(F.col("id").alias("key")).agg((F.max("n_shingles") > 0).alias("once")))
-    from pyspark.sql import Window
-
     place = F.row_number().over(Window.partitionBy("key").orderBy(F.lit(0)))
     return (keyed.join(keep, "key").withColumn("place", place)
             .filter("NOT once OR place = 1").select("row.*"))
