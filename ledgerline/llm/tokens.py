@@ -14,6 +14,7 @@ import numpy as np
 from .text import _SPACE, words
 
 KEEP = 300_000  # words per generation
+CORES = 600_000  # lower-case letter words whose ids are kept beside them
 
 
 class WordEncoder:
@@ -43,7 +44,7 @@ class WordEncoder:
     def _core(self, word: str) -> bytes:
         found = self.cores.get(word)
         if found is None:
-            if len(self.cores) >= KEEP:
+            if len(self.cores) >= CORES:
                 self.cores.clear()
             found = self.cores[word] = self._ids(word)
         return found
