@@ -26,12 +26,16 @@ def artifact_type(name: Column | str) -> Column:
 
 
 # E1 --------------------------------------------------------------------------
+def artifact_id() -> Column:
+    return F.concat(F.lit("ART-"), F.upper("domain"), F.lit("-"), F.right("loop_id", F.lit(8)), F.lit("-"),
+                    F.replace(F.col("artifact_name"), F.lit("."), F.lit("_")))
+
+
 def artifact_records(artifacts: DataFrame, bucket: str = DEFAULT_BUCKET,
                      created_by: str = DEFAULT_CREATOR) -> DataFrame:
     """Catalog rows for (domain, loop_id, artifact_name, content[, created_at])."""
     return artifacts.select(
-        F.concat(F.lit("ART-"), F.upper("domain"), F.lit("-"), F.right("loop_id", F.lit(8)), F.lit("-"),
-                 F.replace(F.col("artifact_name"), F.lit("."), F.lit("_"))).alias("artifact_id"),
+        artifact_id().alias("artifact_id"),
         "loop_id", "domain", "artifact_name",
         artifact_type("artifact_name").alias("artifact_type"),
         F.concat(F.lit(f"gs://{bucket}/processes/"), F.col("domain"), F.lit("/"), F.col("loop_id"), F.lit("/"),
@@ -63,10 +67,11 @@ def artifact_summary(records: DataFrame) -> DataFrame:
 
 
 # E5-E7 -----------------------------------------------------------------------
-def recent_artifacts(records: DataFrame, n: int = 20) -> DataFrame:
-    return (records.select("artifact_id", "domain", "loop_id", "artifact_name", "artifact_type", "gcs_uri",
-                           "content_sha256", "created_at")
-            .orderBy(F.col("created_at").desc(), F.col("artifact_id").desc()).limit(n))
+def recent_artifacts(artifacts: DataFrame, n: int = 20) -> DataFrame:
+    """The ``n`` newest artifacts; only their contents are hashed."""
+    newest = artifacts.orderBy(F.col("created_at").desc(), artifact_id().desc()).limit(n)
+    return artifact_records(newest).select("artifact_id", "domain", "loop_id", "artifact_name", "artifact_type",
+                                           "gcs_uri", "content_sha256", "created_at")
 
 
 def _trace_cols(traces: DataFrame) -> DataFrame:
@@ -123,13 +128,35 @@ def health_30d(traces: DataFrame, days: int = 30) -> DataFrame:
 
 
 # E10-E11 ---------------------------------------------------------------------
+# The short escapes of JSON.
+JSON_SHORT = {"\\": "\\\\", '"': '\\"', "\n": "\\n", "\r": "\\r", "\t": "\\t", "\b": "\\b", "\f": "\\f"}
+
+
 def _json_escape(c: Column) -> Column:
-    return F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    """JSON string escapes with all other control and non-ASCII characters as
+    ``\\uXXXX`` (surrogate pairs beyond the basic plane).  Characters are only
+    looked at one by one where a text has such a character."""
+
+    def unit(code: Column) -> Column:
+        return F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(code)), 4, "0"))
+
+    def escaped(ch: Column) -> Column:
+        code = F.ascii(ch)
+        out = None
+        for raw, text in JSON_SHORT.items():
+            out = F.when(ch == raw, text) if out is None else out.when(ch == raw, text)
+        above = code - 0x10000
+        return (out.when((code >= 32) & (code <= 126), ch).when(code < 0x10000, unit(code))
+                .otherwise(F.concat(unit(F.lit(0xD800) + F.shiftright(above, 10)),
+                                    unit(F.lit(0xDC00) + above.bitwiseAND(0x3FF)))))
+
+    simple = F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    return F.when(c.rlike(r"[^ -~]"), F.array_join(F.transform(F.split(c, ""), escaped), "")).otherwise(simple)
 
 
 def canonical_json(payload: Column | str) -> Column:
     """JSON text of a map<string,string> with sorted keys and ", " / ": "
-    separators (Python ``json.dumps(sort_keys=True)`` for ASCII text)."""
+    separators (Python ``json.dumps(sort_keys=True)``)."""
     p = F.col(payload) if isinstance(payload, str) else payload
     entries = F.array_sort(F.map_entries(p))
     parts = F.transform(entries, lambda e: F.concat(

@@ -79,7 +79,7 @@ _reg("artifact_records", lambda t: E.artifact_records(t.artifacts), ORACLE_CATAL
 _reg("artifacts_for_loop", lambda t: E.artifacts_for_loops(E.artifact_records(t.artifacts), _failed_loops(t)),
      ORACLE_CATALOG)
 _reg("artifacts_by_domain", lambda t: E.artifact_summary(E.artifact_records(t.artifacts)), ORACLE_CATALOG)
-_reg("recent_artifacts", lambda t: E.recent_artifacts(E.artifact_records(t.artifacts)), ORACLE_CATALOG)
+_reg("recent_artifacts", lambda t: E.recent_artifacts(t.artifacts), ORACLE_CATALOG)
 _reg("recent_traces", lambda t: E.recent_traces(t.session_traces), ORACLE_CATALOG)
 _reg("gate_audit", lambda t: E.gate_audit(t.session_traces), ORACLE_CATALOG)
 _reg("events_for_loop", lambda t: E.events_in_arrival_order(t.session_traces), ORACLE_CATALOG)
@@ -198,6 +198,53 @@ _reg("list_tables", S.table_listing, ORACLE_SOURCES)
 _reg("schema_context", S.schema_context, ORACLE_SOURCES)
 _reg("required_null_counts", S.required_null_counts, ORACLE_SOURCES)
 
+# Sinks, written under the checkpoint folder and read back
+from uuid import uuid4  # noqa: E402
+
+from ..session import checkpoint_dir as _checkpoint_dir  # noqa: E402
+from ..sources import sinks as K  # noqa: E402
+
+
+def _sink(t: Tables, name: str, write) -> DataFrame:
+    path = f"{_checkpoint_dir(t.spark).rstrip('/')}/sinks/{name}-{uuid4().hex}"
+    write(path)
+    return t.spark.read.parquet(path)
+
+
+def _published(t: Tables) -> DataFrame:
+    view = V.weekly_revenue_variance(t.invoices, t.exchange_rates)
+    return t.spark.table(K.publish_view(view, "finance", {"finance": "finance_weekly_revenue"}))
+
+
+def _stored_artifacts(t: Tables) -> DataFrame:
+    records = E.artifact_records(t.artifacts)
+    root = f"{_checkpoint_dir(t.spark).rstrip('/')}/sinks/artifacts-{uuid4().hex}"
+    K.write_artifacts(records, root)
+    return t.spark.read.parquet(f"{root}/processes").select(*records.columns)
+
+
+def _sealed_audit(t: Tables) -> DataFrame:
+    """Audit keys appended, then appended again with another event id: what
+    was sealed first stays."""
+    keys = E.audit_keys(t.audit_events)
+
+    def write(path: str) -> None:
+        K.append_audit(t.spark, keys, path, order=("seq",))
+        K.append_audit(t.spark, keys.withColumn("event_id", _F.lit("CHANGED")), path, order=("seq",))
+
+    return _sink(t, "audit", write)
+
+
+_reg("sink_view", _published, {"sink_view": ORACLE_VIEWS["weekly_revenue_variance"]})
+_reg("sink_invoices", lambda t: _sink(t, "invoices", lambda p: K.write_invoices(S.typed(t.invoices, "invoices"), p, 1)),
+     {"sink_invoices": ORACLE_SOURCES["table_invoices"]})
+_reg("sink_rates", lambda t: _sink(t, "rates", lambda p: K.write_rates(S.typed(t.exchange_rates, "exchange_rates"), p)),
+     {"sink_rates": ORACLE_SOURCES["table_exchange_rates"]})
+_reg("sink_artifacts", _stored_artifacts, {"sink_artifacts": ORACLE_CATALOG["artifact_records"]})
+_reg("sink_audit", _sealed_audit, {"sink_audit": ORACLE_CATALOG["audit_keys"]})
+_reg("sink_traces", lambda t: _sink(t, "traces", lambda p: K.append_telemetry(t.session_traces, p)),
+     {"sink_traces": ORACLE_SOURCES["stream_traces"]})
+
 # J: streaming forms (driven with availableNow into the shared checkpoint folder)
 from ..streaming import streams as J  # noqa: E402
 

@@ -38,8 +38,9 @@ def write_partitioned(df: DataFrame, path: str, partition_col: str, cluster_cols
      .write.mode(mode).partitionBy(partition_col).parquet(path))
 
 
-def write_invoices(invoices: DataFrame, path: str) -> None:
-    write_partitioned(invoices, path, "issue_date", ["currency", "status"], "invoice_id")
+def write_invoices(invoices: DataFrame, path: str, files_per_value: int = FILES_PER_PARTITION_VALUE) -> None:
+    write_partitioned(invoices, path, "issue_date", ["currency", "status"], "invoice_id",
+                      files_per_value=files_per_value)
 
 
 def write_rates(rates: DataFrame, path: str) -> None:

@@ -66,3 +66,15 @@ def test_token_cost(spark):
     df = spark.createDataFrame([("finance", "L1", 1_000_000, 1_000_000)],
                                "node_id string, loop_id string, input_tokens long, output_tokens long")
     assert E.token_cost(df).first().cost_usd == 0.375
+
+
+def test_canonical_json_equals_python(spark):
+    import json
+
+    from ledgerline.operators import catalog as E
+
+    texts = ["plain", 'quote " and \\ slash', "line\nfeed\ttab\r\b\f", "caf\u00e9 \u6f22\u5b57 \U0001f600", "\x00\x1f\x7f", ""]
+    rows = [(i, {"b": t, "a\u00fc": t + "x"}) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "i int, payload map<string,string>").select("i", "payload", E.canonical_json("payload").alias("j"))
+    for r in df.collect():
+        assert r.j == json.dumps(r.payload, sort_keys=True)

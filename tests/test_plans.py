@@ -6,7 +6,7 @@ from __spark_entry__ import queries
 from conftest import SF_SMALL
 from ledgerline.plans.registry import PLANS
 
-BATCH = sorted(n for n in PLANS if not n.startswith("stream_"))
+BATCH = sorted(n for n in PLANS if not n.startswith(("stream_", "sink_")))
 
 
 @pytest.mark.parametrize("name", BATCH)
