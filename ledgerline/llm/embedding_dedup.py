@@ -8,6 +8,9 @@ united.  The order is cut into ranges of the key, and each range also gets the
 first ``window`` vectors that follow it, so neighbours never fall apart and a
 hot label is spread over many tasks.
 
+Places in the order are counted per 4,096th of the key space, so vectors that
+agree in the first 12 bits of a pass are ranked in one task.
+
 A window is bounded, so inside a component with more members than a window
 holds not every pair was compared.  The exact way for those: the members of
 each such component are compared in row blocks, which completes the links

@@ -332,7 +332,6 @@ def _heavy_links(heavy: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     used = heavy.join(placed.select("class", "block"), "class").groupBy("column", "block").agg(
         F.min("label").alias("low"), F.max("label").alias("high"))
     other = used.select("column", F.col("block").alias("second"), F.col("low").alias("low2"), F.col("high").alias("high2"))
-    open_ = (F.least("low", "low2") != F.greatest("high", "high2")) & (F.col("block") <= F.col("second"))
     products = (used.withColumnRenamed("block", "first").join(other, "column")
                 .filter(F.expr("first <= second AND least(low, low2) != greatest(high, high2)"))
                 .select("first", "second").distinct())
