@@ -14,9 +14,17 @@ from ..session import checkpoint_dir
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
+BATCH_ROWS = 1000  # whole documents in an Arrow batch
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def workers_import(spark: SparkSession) -> None:
     """Let Python workers import this package from where the driver has it
-    (as with any package, a cluster installs it or gets it by --py-files)."""
+    (as with any package, a cluster installs it or gets it by --py-files), and
+    keep Arrow batches of whole documents small, unless the session sets its
+    own size."""
+    if int(spark.conf.get(_BATCH)) == 10_000:  # Spark's default
+        spark.conf.set(_BATCH, BATCH_ROWS)
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     path = spark.sparkContext.environment.get("PYTHONPATH", "")
     if root not in path.split(os.pathsep):

@@ -32,15 +32,14 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     follows the text if the table has it."""
     workers_import(spark)
     cut = suffix_dedup.without_repeats(docs, whole_characters=True)
-    left = F.when(F.col("n_removed") == 0, F.col("row.text")).otherwise(F.col("kept").cast("string"))
-    cut = cut.withColumn("left", left)
+    left = F.when(F.col("had_text"), F.col("kept").cast("string"))
     out = []
     for name in docs.columns:
         if name == "text":
-            out.append(F.col("left").alias("text"))
+            out.append(left.alias("text"))
         elif name == "n_chars":
             out.append(F.when(F.col("n_removed") == 0, F.col("row.n_chars"))
-                       .otherwise(F.length("left")).cast(docs.schema["n_chars"].dataType).alias("n_chars"))
+                       .otherwise(F.length(left)).cast(docs.schema["n_chars"].dataType).alias("n_chars"))
         else:
             out.append(F.col("row").getField(name).alias(name))
     return cut.select(*out)

@@ -398,35 +398,42 @@ def _merge(ranges: list[dict]) -> list[tuple[int, int]]:
 
 def without_repeats(docs: DataFrame, text: str = "text", window: int = WINDOW,
                     whole_characters: bool = False) -> DataFrame:
-    """``row`` (the input row) beside ``kept`` (binary: what is left),
-    ``n_bytes, n_removed, n_spans``.  With ``whole_characters`` the rest of a
-    character that lost a byte goes too, so that ``kept`` is valid UTF-8."""
-    keyed = docs.select(*row_key(*docs.columns), F.struct("*").alias("row"))
-    body = F.coalesce(F.col("row")[text].cast("binary"), F.lit(b"")).alias("text")
-    ranges = repeated_ranges(keyed.select("k1", "k2", body), window)
+    """``row`` (the input row without ``text``) beside ``kept`` (binary: what
+    is left), ``had_text, n_bytes, n_removed, n_spans``.  With
+    ``whole_characters`` the rest of a character that lost a byte goes too, so
+    that ``kept`` is valid UTF-8."""
+    others = [c for c in docs.columns if c != text]
+    keyed = docs.select(*row_key(*docs.columns), F.struct(F.lit(0).alias("__"), *others).alias("row"),
+                        F.col(text).isNotNull().alias("had_text"),
+                        F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("text"))
+    ranges = repeated_ranges(keyed.select("k1", "k2", "text"), window)
     spans = ranges.groupBy("k1", "k2").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept, removed, count = [], [], []
-            for body, found in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist()):
-                parts, at, runs = [], 0, _merge(found or [])
+            kept, removed, count, size = [], [], [], []
+            for body, found in zip(batch.column("text"), batch.column("spans")):
+                body, runs = body.as_py(), _merge(found.as_py() or [])
+                parts, at = [], 0
                 for low, high in runs:
                     parts.append(body[at:low])
                     at = high
-                left = b"".join([*parts, body[at:]])
+                left = b"".join([*parts, body[at:]]) if runs else body
                 if whole_characters and runs:
                     left = left.decode("utf-8", "ignore").encode()
                 kept.append(left)
+                size.append(len(body))
                 removed.append(len(body) - len(left))
                 count.append(len(runs))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), pa.array(kept, pa.binary()), pa.array([len(k) + r for k, r in zip(kept, removed)], pa.int64()),
+                [batch.column("row"), batch.column("had_text"), pa.array(kept, pa.binary()), pa.array(size, pa.int64()),
                  pa.array(removed, pa.int64()), pa.array(count, pa.int64())],
-                names=["row", "kept", "n_bytes", "n_removed", "n_spans"])
+                names=["row", "had_text", "kept", "n_bytes", "n_removed", "n_spans"])
 
-    joined = keyed.join(spans, ["k1", "k2"], "left").select("row", body, "spans")
-    schema = joined.select("row").schema.add("kept", "binary").add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long")
+    joined = keyed.join(spans, ["k1", "k2"], "left").select("row", "had_text", "text", "spans")
+    schema = joined.select("row", "had_text", F.col("text").alias("kept")).schema
+    for name in ("n_bytes", "n_removed", "n_spans"):
+        schema = schema.add(name, "long")
     return joined.mapInArrow(cut, schema)
 
 
