@@ -75,6 +75,7 @@ def buffers(column: pa.Array, limit: int = BUFFER) -> Iterator[tuple[int, int, n
         end = max(first + 1, int(np.searchsorted(offsets, offsets[first] + limit, "right")) - 1)
         yield first, end, data[offsets[first]: offsets[end]], offsets[first: end + 1] - offsets[first]
         first = end
+    pa.default_memory_pool().release_unused()  # a worker lives on between stages
 
 
 def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray = _SPACE,

@@ -13,8 +13,8 @@ import numpy as np
 
 from .text import _SPACE, words
 
-KEEP = 300_000  # words per generation
-CORES = 600_000  # lower-case letter words whose ids are kept beside them
+KEEP = 150_000  # words per generation
+CORES = 450_000  # lower-case letter words whose ids are kept beside them
 
 
 class WordEncoder:

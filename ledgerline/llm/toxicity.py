@@ -38,8 +38,8 @@ from pyspark.sql import functions as F
 
 from .text import _LOWER, buffers, mix, prefix_hash, span_hash, words
 
-TOXIC_DOCS = 2000  # different toxic texts that training reads at most
-CLEAN_DOCS = 4000  # different clean texts that training reads at most
+TOXIC_DOCS = 1000  # different toxic texts that training reads at most
+CLEAN_DOCS = 2000  # different clean texts that training reads at most
 FOLDS, HELD_OUT = 5, 0
 PREFIXES = (4, 5, 6, 7, 8)  # bytes of a token that are features beside the whole token
 PRIOR = (1.0, 9.0)  # pseudo-counts of toxic and clean documents
@@ -198,7 +198,8 @@ def _curve(features: np.ndarray, weights: tuple[float, float, float]) -> np.ndar
 
 # --- training -------------------------------------------------------------
 
-def _choose_marks(features: np.ndarray, doc: np.ndarray, toxic: np.ndarray, clean_weight: float = 1.0) -> np.ndarray:
+def _choose_marks(features: np.ndarray, doc: np.ndarray, toxic: np.ndarray, clean_weight: float = 1.0,
+                  use: np.ndarray | None = None) -> np.ndarray:
     """Features whose documents are toxic more often than chance allows.
 
     With ``k`` of ``n`` documents toxic and a share ``r`` of toxic documents in
@@ -219,7 +220,7 @@ def _choose_marks(features: np.ndarray, doc: np.ndarray, toxic: np.ndarray, clea
 
     for k in range(features.shape[1]):
         value = features[:, k]
-        at = np.flatnonzero(value)
+        at = np.flatnonzero(value if use is None else (value != 0) & use)
         at = at[np.argsort(value[at], kind="stable")]  # by feature, then document
         value, owner = value[at], doc[at]
         new = np.ones(len(value), bool)
@@ -350,8 +351,9 @@ def fit(texts: list[bytes], toxic: np.ndarray, odds: float | None = None) -> Mod
         parts.append((doc + base, features))
         base += end - first
     doc, features = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+    del parts
     single = _one_per_copy(features[:, 0], doc, len(texts))[doc]
-    model.marks = _choose_marks(features[single], doc[single], toxic, clean_weight)
+    model.marks = _choose_marks(features, doc, toxic, clean_weight, single)
     if not len(model.marks):
         return model
     mark = _mark_of(features, model.marks)
