@@ -20,11 +20,14 @@ _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 def workers_import(spark: SparkSession) -> None:
     """Let Python workers import this package from where the driver has it
-    (as with any package, a cluster installs it or gets it by --py-files), and
-    keep Arrow batches of whole documents small, unless the session sets its
-    own size."""
+    (as with any package, a cluster installs it or gets it by --py-files).  So
+    that workers stay small between stages, Arrow batches of whole documents
+    are short, unless the session sets its own size, and the workers' C
+    library gives large freed arrays back at once."""
     if int(spark.conf.get(_BATCH)) == 10_000:  # Spark's default
         spark.conf.set(_BATCH, BATCH_ROWS)
+    for name, size in (("MALLOC_MMAP_THRESHOLD_", 4 << 20), ("MALLOC_TRIM_THRESHOLD_", 8 << 20)):
+        spark.sparkContext.environment.setdefault(name, str(size))
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     path = spark.sparkContext.environment.get("PYTHONPATH", "")
     if root not in path.split(os.pathsep):

@@ -44,9 +44,9 @@ from .text import _powers, buffers, mix, prefix_hash, span_hash
 
 WINDOW = 400
 GRAM = 64
-HEAVY = 1024  # different snippets of an anchor that one task sorts together
+HEAVY = 512  # different snippets of an anchor that one task sorts together
 RANGES = (32, 1)  # windows per range when a heavy anchor is split
-BLOCK_BYTES = 1 << 20  # snippet bytes sorted as one text
+BLOCK_BYTES = 1 << 19  # snippet bytes sorted as one text
 SEGMENT = 1 << 21  # windows of a very long document scanned at a time
 PLACE_BITS = 24  # low bits of an anchor's order that hold its place in the buffer
 
