@@ -11,6 +11,12 @@ hot label is spread over many tasks.
 Places in the order are counted per 4,096th of the key space, so vectors that
 agree in the first 12 bits of a pass are ranked in one task.
 
+Neighbours of a pair at the threshold share about ``log2(n / window)`` leading
+bits in a label of ``n`` vectors, so one pass finds it with a chance of about
+``(window / n) ** rho``, where ``2 ** -rho`` is the chance that the two agree
+in one bit.  Labels too large for ``passes`` passes get as many as leave a
+pair at the threshold apart with a chance of at most ``1 - RECALL``.
+
 A window is bounded, so inside a component with more members than a window
 holds not every pair was compared.  The exact way for those: the members of
 each such component are compared in row blocks, which completes the links
@@ -39,7 +45,8 @@ from pyspark.sql import functions as F
 from .common import connected_components, written
 
 COSINE = 0.93
-PASSES = 8
+PASSES = 8  # at least
+RECALL = 0.95  # chance that the passes find a lone pair at the threshold
 WINDOW = 24
 BITS = 60
 RANGE = 512  # vectors of a key range
@@ -65,23 +72,38 @@ def usable(vectors: DataFrame) -> DataFrame:
             .withColumn("dim", F.size("vec")))
 
 
-def _hashes(passes: int, bits: int, seed: int):
-    """key, label, dim, vec -> one row per pass with the concatenated bits."""
+def _rho(cosine: float) -> float:
+    """Bits of agreement that one bit of the code costs a pair at ``cosine``."""
+    return float(-np.log2(1 - np.arccos(np.clip(cosine, 0.0, 1.0)) / np.pi))
+
+
+def passes_needed(sizes: DataFrame, cosine: float, passes: int, window: int) -> DataFrame:
+    """``sizes(label, dim, n)`` -> ``label, dim, passes`` of the labels that
+    need more than ``passes``: at most one per ``enough`` vectors."""
+    rho = _rho(cosine)
+    enough = window * (1 - (1 - RECALL) ** (1 / passes)) ** (-1 / rho) if rho > 0 else float("inf")
+    chance = F.pow(F.lit(float(window)) / F.col("n"), F.lit(rho))
+    need = F.ceil(F.lit(float(np.log(1 - RECALL))) / F.log1p(-chance)).cast("int")
+    return sizes.filter(F.col("n") > F.lit(max(enough, window))).select("label", "dim", F.greatest(need, F.lit(passes)).alias("passes"))
+
+
+def _hashes(bits: int, seed: int):
+    """key, label, dim, passes, vec -> one row per pass with the concatenated
+    bits."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        planes: dict[int, np.ndarray] = {}
+        planes: dict[tuple[int, int], np.ndarray] = {}
         weight = 1 << np.arange(bits - 1, -1, -1, dtype=np.int64)
         for batch in batches:
             for dim, part in batch.groupby("dim"):
-                if dim not in planes:
-                    planes[dim] = np.random.default_rng([seed, int(dim)]).standard_normal((int(dim), passes * bits))
                 unit, _ = _unit(part["vec"].to_list())
-                sign = (unit @ planes[dim] > 0).reshape(len(part), passes, bits)
-                order = (sign @ weight).ravel()
-                yield pd.DataFrame({"pass": np.tile(np.arange(passes, dtype=np.int32), len(part)),
-                                    "label": np.repeat(part["label"].to_numpy(), passes),
-                                    "dim": np.int32(dim), "code": order,
-                                    "key": np.repeat(part["key"].to_numpy(), passes)})
+                label, key, passes = part["label"].to_numpy(), part["key"].to_numpy(), part["passes"].to_numpy()
+                for k in range(int(passes.max())):
+                    if (k, dim) not in planes:
+                        planes[k, dim] = np.random.default_rng([seed, int(dim), k]).standard_normal((int(dim), bits))
+                    at = np.flatnonzero(passes > k)
+                    yield pd.DataFrame({"pass": np.int32(k), "label": label[at], "dim": np.int32(dim),
+                                        "code": (unit[at] @ planes[k, dim] > 0) @ weight, "key": key[at]})
 
     return run
 
@@ -125,9 +147,13 @@ def _block_counts(cosine: float):
 
 def window_links(usable_rows: DataFrame, cosine: float = COSINE, passes: int = PASSES, window: int = WINDOW,
                  bits: int = BITS, seed: int = SEED) -> DataFrame:
-    """Verified pairs ``(a, b)`` of keys, each once."""
-    codes = usable_rows.select("key", "label", "dim", "vec").mapInPandas(
-        _hashes(passes, bits, seed), f"pass int, label {usable_rows.schema['label'].dataType.simpleString()}, dim int, code long, key long")
+    """Verified pairs ``(a, b)`` of keys, each once.  ``passes`` is the least
+    number of passes."""
+    sizes = usable_rows.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("n"))
+    large = F.broadcast(passes_needed(sizes, cosine, passes, window))  # one row per some thousand vectors at most
+    codes = usable_rows.join(large, ["label", "dim"], "left").select(
+        "key", "label", "dim", F.coalesce("passes", F.lit(passes)).alias("passes"), "vec").mapInPandas(
+        _hashes(bits, seed), f"pass int, label {usable_rows.schema['label'].dataType.simpleString()}, dim int, code long, key long")
     codes = written(codes, "vectors-codes")
     group = ["pass", "label", "dim"]
     # Ranges of about RANGE vectors: the codes are random bits, so their

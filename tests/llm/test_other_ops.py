@@ -177,6 +177,21 @@ def test_vector_dedup_awkward_rows(spark):
     assert embedding_dedup.op8_embedding_dedup(table.filter("false")).count() == 0
 
 
+def test_vector_dedup_recall_in_a_large_label(spark):
+    rng = np.random.default_rng(11)
+    first = rng.standard_normal((5000, 32))
+    first /= np.linalg.norm(first, axis=1, keepdims=True)
+    other = rng.standard_normal(first.shape)
+    other -= (other * first).sum(axis=1, keepdims=True) * first
+    other /= np.linalg.norm(other, axis=1, keepdims=True)
+    second = 0.931 * first + np.sqrt(1 - 0.931 ** 2) * other
+    rows = [(2 * k + j, v.tolist(), 1, 32) for k in range(5000) for j, v in enumerate((first[k], second[k]))]
+    table = spark.createDataFrame(rows, "key long, vec array<double>, label int, dim int")
+    found = {tuple(r) for r in embedding_dedup.window_links(table, 0.93, window=1).collect()}
+    # One neighbour among 10,000 stands for the window among 240,000.
+    assert sum((2 * k, 2 * k + 1) in found for k in range(5000)) >= 0.9 * 5000
+
+
 # --- toxicity ---------------------------------------------------------------------------
 
 def test_marginals_equal_plain_forward_backward():
