@@ -22,6 +22,11 @@ holds not every pair was compared.  The exact way for those: the members of
 each such component are compared in row blocks, which completes the links
 (every found component, whatever its size).
 
+Equal vectors of a label count as one *group* in all of this: one of its rows
+stands for it, so copies fill no window and no block, and a group's links weigh
+as many rows as the other group has.  Groups are told apart by a 128-bit digest
+of the components.  Every row then takes over its group's result.
+
 Only rows with equal, non-null labels are compared.  Cosines are computed in
 double precision from the stored values.
 
@@ -51,6 +56,7 @@ WINDOW = 24
 BITS = 60
 RANGE = 512  # vectors of a key range
 BLOCK = 256  # members of a row block when a large component is completed
+COPIES = 4096  # rows of a group of equal vectors that take over its result in one task
 SEED = 20240901
 
 
@@ -127,20 +133,20 @@ def _window_links(cosine: float, window: int):
 
 
 def _block_counts(cosine: float):
-    """Two row blocks of a component (or one with itself) -> for each member
-    the number of links between them."""
+    """Two blocks of a component's groups (or one with itself) -> for each
+    group the number of rows that it links to between them."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         unit, _ = _unit(group["vec"].to_list())
-        key, block = group["key"].to_numpy(), group["block"].to_numpy()
+        key, block, rows = group["key"].to_numpy(), group["block"].to_numpy(), group["n"].to_numpy()
         first, second = group["first"].iloc[0], group["second"].iloc[0]
         a, b = np.flatnonzero(block == first), np.flatnonzero(block == second)
         linked = unit[a] @ unit[b].T >= cosine
         if first == second:
             np.fill_diagonal(linked, False)
-            return pd.DataFrame({"key": key[a], "n": linked.sum(axis=1)})
+            return pd.DataFrame({"key": key[a], "n": linked @ rows[a]})
         return pd.DataFrame({"key": np.concatenate([key[a], key[b]]),
-                             "n": np.concatenate([linked.sum(axis=1), linked.sum(axis=0)])})
+                             "n": np.concatenate([linked @ rows[b], linked.T @ rows[a]])})
 
     return run
 
@@ -184,24 +190,40 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, passes: int = PA
     rows = vectors.select(F.monotonically_increasing_id().alias("key"), F.col("vec_id").cast("long").alias("vec_id"),
                           "label", F.col("embedding").cast("array<double>").alias("vec"))
     rows = written(rows, "vectors")
-    good = usable(rows)
-    links = written(window_links(good, cosine, passes, window), "vectors-links")
+    good = usable(rows).withColumn("digest", F.unhex(F.md5(F.concat_ws(",", F.col("vec").cast("array<string>")).cast("binary"))))
+    # Groups of equal vectors; the row with the least key stands for one.
+    groups = written(good.groupBy("label", "dim", "digest").agg(
+        F.min("key").alias("key"), F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("least")), "vectors-groups")
+    lone = written(groups.select("key", "n").join(good.select("key", "label", "dim", "vec"), "key"), "vectors-lone")
+    links = written(window_links(lone, cosine, passes, window), "vectors-links")
     labels = connected_components(links, "vectors-cc")
     members = labels.select(F.col("node").alias("key"), F.col("label").alias("component"))
     sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("size"), F.ceil(F.count(F.lit(1)) / BLOCK).alias("many"))
-    # Row blocks of every component; pairs of blocks are dealt out as rows.
+    # Blocks of every component; pairs of blocks are dealt out as rows.
     blocks = (members.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("key"), F.col("many")).cast("int")))
     pairs = (sizes.select("component", F.explode(F.sequence(F.lit(0), (F.col("many") - 1).cast("int"))).alias("first"), "many")
              .select("component", "first", F.explode(F.sequence("first", (F.col("many") - 1).cast("int"))).alias("second")))
     ends = pairs.select("component", "first", "second", F.explode(F.array_distinct(F.array("first", "second"))).alias("block"))
-    counted = (blocks.select("component", "block", "key").join(good.select("key", "vec"), "key")
+    counted = (blocks.select("component", "block", "key").join(lone.select("key", "n", "vec"), "key")
                .join(ends, ["component", "block"])
                .groupBy("component", "first", "second").applyInPandas(_block_counts(cosine), "key long, n long")
-               .groupBy("key").agg(F.sum("n").alias("n_links")))
-    least = members.join(rows.select("key", "vec_id"), "key").groupBy("component").agg(F.min("vec_id").alias("component_id"))
-    found = members.join(least, "component").join(counted, "key").select("key", "component_id", "n_links")
+               .groupBy("key").agg(F.sum("n").alias("others")))
+    least = members.join(groups.select("key", "least"), "key").groupBy("component").agg(F.min("least").alias("component_id"))
+    linked = members.join(least, "component").join(counted, "key").select("key", "component_id", "others")
+    found = (groups.join(linked, "key", "left").filter("n > 1 OR others IS NOT NULL")
+             .select("label", "dim", "digest", "n", F.coalesce("component_id", "least").alias("component_id"),
+                     (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links")))
+    # Rows take over their group's result; large groups (at most one per
+    # COPIES rows) are dealt over several tasks.
+    parts = F.ceil(F.col("n") / COPIES).cast("int")
+    on = ["label", "dim", "digest"]
+    large = F.broadcast(groups.filter(F.col("n") > COPIES).select(*on, parts.alias("parts")))
+    copies = found.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("n")
+    taken = (good.select("key", *on).join(large, on, "left")
+             .withColumn("part", F.pmod(F.xxhash64("key"), F.coalesce("parts", F.lit(1))).cast("int"))
+             .join(copies, [*on, "part"]).select("key", "component_id", "n_links"))
     component = F.coalesce("component_id", "vec_id")
-    return (rows.join(found, "key", "left")
+    return (rows.join(taken, "key", "left")
             .select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
                     component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept")))
 

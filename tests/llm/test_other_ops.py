@@ -192,6 +192,38 @@ def test_vector_dedup_recall_in_a_large_label(spark):
     assert sum((2 * k, 2 * k + 1) in found for k in range(5000)) >= 0.9 * 5000
 
 
+def test_vector_dedup_pairs_between_large_groups_of_copies(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "COPIES", 16, raising=False)
+    compared, links = [], embedding_dedup.window_links
+    monkeypatch.setattr(embedding_dedup, "window_links", lambda rows, *more: compared.append(rows.count()) or links(rows, *more))
+    rng = np.random.default_rng(12)
+    rows = []
+    for k in range(300):  # pairs near the threshold; every vector has 40 copies, every fifth none
+        first, other = rng.standard_normal((2, 32))
+        other -= (other @ first) / (first @ first) * first
+        other *= np.sqrt((first @ first) / (other @ other))
+        for j, v in enumerate((first, 0.932 * first + np.sqrt(1 - 0.932 ** 2) * other)):
+            rows += [(k, j, [float(x) for x in v])] * (1 if (2 * k + j) % 5 == 0 else 41)
+    size = {(k, j): 1 if (2 * k + j) % 5 == 0 else 41 for k in range(300) for j in range(2)}
+    order = rng.permutation(len(rows)).tolist()
+    table = spark.createDataFrame([(i, rows[at][2], 7) for i, at in enumerate(order)], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r for r in embedding_dedup.near_duplicates(table, window=2).collect()}
+    assert len(got) == len(rows)
+    ids = {}
+    for i, at in enumerate(order):
+        ids.setdefault(rows[at][:2], []).append(i)
+    joined = 0
+    for k in range(300):
+        both = {j: {(got[i].n_links, got[i].component_id) for i in ids[k, j]} for j in range(2)}
+        apart = all(both[j] == {(size[k, j] - 1, min(ids[k, j]))} for j in range(2))
+        whole = all(both[j] == {(size[k, 0] + size[k, 1] - 1, min(ids[k, 0] + ids[k, 1]))} for j in range(2))
+        assert apart or whole
+        joined += whole
+    assert joined >= 0.9 * 300
+    assert compared == [600]
+    assert all(r.kept == (r.vec_id == r.component_id) for r in got.values())
+
+
 # --- toxicity ---------------------------------------------------------------------------
 
 def test_marginals_equal_plain_forward_backward():
