@@ -1,12 +1,16 @@
 """Licence scan by sentence rules (native).
 
-A text is lower-cased, cut into sentences (line ends; full stops, question and
-exclamation marks, colons and semicolons before white space) and normalised
-(anything but letters and digits becomes one space).  A sentence that is known
-maps to its identifier; the identifiers in text order are the document's
-sequence.  The licence rules are tried in order, the longer ones first: each
-match of a rule's identifiers, adjacent in the sequence, counts for its
-licence and is used up.
+A text is lower-cased, cut (line ends; full stops, question and exclamation
+marks, colons and semicolons before white space) and normalised (anything but
+letters and digits becomes one space).  A known sentence is found from cut to
+cut and maps to its identifier; it may run on over single line ends (also with
+comment marks that hold no letters), colons and semicolons, so hard-wrapped
+notices are read whole, but not over lines without letters and digits, full
+stops, question and exclamation marks.  Of two known sentences that start at
+one place the longer one counts.  The identifiers in text order are the
+document's sequence.  The licence rules are tried in order, the longer ones
+first: each match of a rule's identifiers, adjacent in the sequence, counts for
+its licence and is used up.
 
 All of it is one projection of built-in functions: no shuffle, so neither long
 texts nor hot groups gather anywhere; the tables below are fixed.
@@ -87,20 +91,27 @@ RULES = [
     ("CC-BY-4.0", ["CCBY4-REF"]),
     ("Proprietary", ["ALL-RIGHTS"]),
 ]
-_BREAK = r"[.!?:;]+([ \t\n\r\f]|$)|[\n\r]+"
-_NOISE = r"[^a-z0-9\n]+"
+
+# Cuts in a lower-case text become capitals.  F: a sentence ends (punctuation
+# with a full stop, question or exclamation mark before white space; lines
+# without letters and digits).  L: it may run on (other punctuation before
+# white space; line ends).
+_FULL = (r"(?<![.!?:;])[:;]*+[.!?][.!?:;]*+(?=[ \t\n\r\f]|$)"
+         r"|(?>\r\n|[\n\r])(?>[^a-z0-9\n\r]*+(?>\r\n|[\n\r]))++")
+_LIGHT = r"(?<![.!?:;])[:;]++(?=[ \t\n\r\f]|$)|[\n\r]"
+_NOISE = r"[^a-z0-9FL]+"
+_KNOWN = ("[FL] ?(" + "|".join(s.replace(" ", "[ L]++") for s in sorted(
+    (s for sentences in SENTENCES.values() for s in sentences), key=len, reverse=True)) + ")(?= ?[FL])")
 
 
 def _identifiers(text: Column) -> Column:
     """Identifiers of the known sentences, in text order."""
     known = [x for name, sentences in SENTENCES.items() for s in sentences for x in (F.lit(s), F.lit(name))]
     table = F.create_map(*known)
-    broken = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), _BREAK, "\n")
-    sentences = F.split(F.regexp_replace(broken, _NOISE, " "), "\n")
-    # A known sentence is at least as long as the shortest one of the table.
-    least = min(len(s) for sentences_ in SENTENCES.values() for s in sentences_)
-    long_ = F.filter(sentences, lambda s: F.length(s) >= least)
-    return F.filter(F.transform(long_, lambda s: F.element_at(table, F.trim(s))), lambda x: x.isNotNull())
+    cut = F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), _FULL, "F"), _LIGHT, "L")
+    normal = F.concat(F.lit("F"), F.regexp_replace(cut, _NOISE, " "), F.lit("F"))
+    found = F.regexp_extract_all(normal, F.lit(_KNOWN), F.lit(1))
+    return F.transform(found, lambda s: F.element_at(table, F.regexp_replace(s, "[ L]+", " ")))
 
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:

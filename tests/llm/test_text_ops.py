@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -390,6 +391,55 @@ def test_licence_rules_in_order(spark):
     assert got[5] == got[6] == got[7] == got[8] == ("", 0, "")
 
 
+MIT = """MIT License
+
+Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY."""
+BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED."""
+APACHE = """Copyright 2020 Somebody
+
+Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""
+GPL3 = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
+
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU General Public License for more details."""
+GPL2 = GPL3.replace("software:", "software;").replace("Foundation,", "Foundation;").replace("version 3", "version 2")
+
+
+@pytest.mark.parametrize("width", [38, 72, 10_000])
+@pytest.mark.parametrize("mark,end", [("", "\n"), ("# ", "\n"), (" * ", "\r\n"), ("// ", "\r")])
+def test_licence_notices_are_found_hard_wrapped(spark, width, mark, end):
+    def wrapped(notice):
+        lines = [line for part in notice.split("\n\n") for line in [*textwrap.wrap(part, width, break_long_words=False), ""]]
+        return end.join(mark + line for line in lines)
+
+    notices = {"MIT": MIT, "BSD-2-Clause": BSD, "Apache-2.0": APACHE, "GPL-3.0-or-later": GPL3, "GPL-2.0-or-later": GPL2}
+    rows = [(k, wrapped(notice)) for k, notice in enumerate(notices.values())]
+    rows += [(5, wrapped(MIT) + end + wrapped(GPL2)), (6, wrapped("Released under\n\nthe MIT License.")),
+             (7, wrapped("Released. under the MIT License")), (8, f"a line{end}{mark}All rights reserved{end}{mark}another line")]
+    got = {r.doc_id: (r.licences, r.n_matches, r.unmatched) for r in
+           license_scan.op1_license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[k] for k in range(5)] == [(name, 1, "") for name in notices]
+    assert got[5] == ("GPL-2.0-or-later,MIT", 2, "") and got[6] == got[7] == ("", 0, "") and got[8] == ("Proprietary", 1, "")
+
+
+def test_licence_sentences_hide_no_other():
+    names = {s: name for name, sentences in license_scan.SENTENCES.items() for s in sentences}
+    assert all(names[a] == names[b] for a in names for b in names if f" {a} " in f" {b} ")
+
+
 def test_licence_scan_is_native_and_takes_awkward_rows(awkward, nothing):
     out = license_scan.op1_license_scan(awkward)
     plan = out._jdf.queryExecution().executedPlan().toString()
