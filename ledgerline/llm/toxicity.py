@@ -4,7 +4,8 @@ Tokens are runs of letters (bytes from 0x80 count as letters), digits and
 apostrophes, A-Z lower-cased.  The labels mark documents, so tokens are
 labelled first: a feature (a token, or its first 4 to 8 bytes, which catch
 inflected forms) is a *mark* if the documents that hold it are toxic far more
-often than chance allows; the tokens of toxic documents that carry a mark are
+often than chance allows (all such features are kept; the sample bounds their
+number); the tokens of toxic documents that carry a mark are
 labelled 1, all others 0.  A chain with two states is fitted to these
 sequences (a weight for every mark, a bias, four transition weights; exact
 gradients by forward-backward).  Inference runs over whole texts: tokens
@@ -44,7 +45,6 @@ FOLDS, HELD_OUT = 5, 0
 PREFIXES = (4, 5, 6, 7, 8)  # bytes of a token that are features beside the whole token
 PRIOR = (1.0, 9.0)  # pseudo-counts of toxic and clean documents
 CHUNK = 128  # tokens of a training sequence
-MAX_MARKS = 4096
 
 _GAP = np.ones(256, bool)
 for _low, _high in ((48, 58), (65, 91), (97, 123), (128, 256)):
@@ -211,7 +211,6 @@ def _choose_marks(features: np.ndarray, doc: np.ndarray, toxic: np.ndarray, clea
     ``doc`` is sorted."""
     rate = (toxic.sum() + PRIOR[0]) / (len(toxic) + sum(PRIOR))
     marks: list[np.ndarray] = []
-    score: list[np.ndarray] = []
 
     def gain_of(hits: np.ndarray, n: np.ndarray) -> np.ndarray:
         share = np.clip(hits / np.maximum(n, 1), 1e-9, 1 - 1e-9)
@@ -238,11 +237,7 @@ def _choose_marks(features: np.ndarray, doc: np.ndarray, toxic: np.ndarray, clea
         gain = gain_of(np.add.reduceat(toxic[owner].astype(float), head), n)
         good = (n >= least[able[0]]) & (gain > np.log(2.0 * tested[able[0]]))
         marks.append(value[head][good])
-        score.append(gain[good])
-    if not marks:
-        return np.zeros(0, np.uint64)
-    found, gains = np.concatenate(marks), np.concatenate(score)
-    return np.sort(found[np.argsort(-gains, kind="stable")[:MAX_MARKS]])
+    return np.sort(np.concatenate(marks)) if marks else np.zeros(0, np.uint64)
 
 
 def _one_per_copy(whole: np.ndarray, doc: np.ndarray, documents: int, seeds: int = 3) -> np.ndarray:

@@ -251,6 +251,18 @@ def test_marginals_equal_plain_forward_backward():
     assert np.abs(toxicity.marginals(model, count, doc, place, mark) - expected).max() < 1e-12
 
 
+def test_every_significant_feature_is_a_mark():
+    rng = np.random.default_rng(4)
+    toxic = np.arange(600) % 2 == 0
+    value = np.repeat(np.arange(1, 6001, dtype=np.uint64), 16)  # words of 16 toxic texts each
+    owner = np.concatenate([rng.choice(np.flatnonzero(toxic), 16, replace=False) for _ in range(6000)])
+    common = np.repeat(np.arange(6001, 6101, dtype=np.uint64), 600)  # words of every text
+    features, doc = np.concatenate([value, common]), np.concatenate([owner, np.tile(np.arange(600), 100)])
+    order = np.argsort(doc, kind="stable")
+    marks = toxicity._choose_marks(features[order, None], doc[order], toxic)
+    assert marks.tolist() == list(range(1, 6001))
+
+
 @pytest.fixture(scope="module")
 def labelled(spark):
     rng = random.Random(6)
