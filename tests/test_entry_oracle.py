@@ -9,7 +9,7 @@ sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(
 
 from __spark_entry__ import entry, oracle_sql, queries  # noqa: E402
 from oracle_check import digest, duck  # noqa: E402
-from conftest import SF_SMALL  # noqa: E402
+from paths import SF_SMALL  # noqa: E402
 from ledgerline.plans.registry import PLANS  # noqa: E402
 
 

@@ -3,7 +3,7 @@ no nested-loop or cartesian joins, and every plan reads the driver files."""
 import pytest
 
 from __spark_entry__ import queries
-from conftest import SF_SMALL
+from paths import SF_SMALL
 from ledgerline.plans.registry import PLANS
 
 BATCH = sorted(n for n in PLANS if not n.startswith(("stream_", "sink_")))

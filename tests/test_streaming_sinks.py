@@ -9,7 +9,7 @@ from ledgerline.operators import lifecycle as L
 from ledgerline.sources import sinks
 from ledgerline.sources.benchmarks import read_benchmarks
 from ledgerline.streaming import streams as J
-from conftest import SF_SMALL
+from paths import SF_SMALL
 
 
 def test_stream_traces_equal_batch(spark, small):

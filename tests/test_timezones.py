@@ -2,7 +2,7 @@
 import pytest
 
 from __spark_entry__ import queries
-from conftest import SF_SMALL
+from paths import SF_SMALL
 
 TIME_QUERIES = ["hourly_error_telemetry", "telemetry_ingestion_delay", "multi_touch_attribution",
                 "weekly_fx_variance", "cohort_retention", "stage_durations", "pending_gates", "recent_artifacts",
