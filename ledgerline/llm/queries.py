@@ -7,8 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import (chat_format, embedding_dedup, license_scan, mixing, ngram_join, packing, suffix_dedup, token_counts,
-               topk_search, toxicity)
+from . import (chat_format, embedding_dedup, license_scan, mixing, ngram_join, packing, prefix_trie, suffix_dedup,
+               token_counts, topk_search, toxicity)
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -22,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_embedding_dedup": lambda s, d: embedding_dedup.op8_embedding_dedup(table(s, d, "embeddings")),
     "op9_suffix_dedup": lambda s, d: suffix_dedup.op9_suffix_dedup(table(s, d, "documents")),
     "op10_token_counts": lambda s, d: token_counts.op10_token_counts(table(s, d, "documents")),
+    "op13_prefix_trie": lambda s, d: prefix_trie.op13_prefix_trie(table(s, d, "conversations")),
 }
 
 ORACLE: dict[str, str] = {
@@ -29,4 +30,5 @@ ORACLE: dict[str, str] = {
     "op2_chat_format": chat_format.SQL,
     "op3_topk_search": topk_search.SQL,
     "op6_mixing": mixing.SQL,
+    "op13_prefix_trie": prefix_trie.SQL,
 }
