@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import (chat_format, embedding_dedup, license_scan, mixing, ngram_join, packing, prefix_trie, suffix_dedup,
+from . import (chat_format, embedding_dedup, language_model, license_scan, mixing, ngram_join, packing, prefix_trie, suffix_dedup,
                token_counts, topk_search, toxicity, turn_repair)
 from .common import table
 
@@ -22,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_embedding_dedup": lambda s, d: embedding_dedup.op8_embedding_dedup(table(s, d, "embeddings")),
     "op9_suffix_dedup": lambda s, d: suffix_dedup.op9_suffix_dedup(table(s, d, "documents")),
     "op10_token_counts": lambda s, d: token_counts.op10_token_counts(table(s, d, "documents")),
+    "op11_lm_score": lambda s, d: language_model.op11_lm_score(table(s, d, "documents")),
     "op12_turn_repair": lambda s, d: turn_repair.op12_turn_repair(table(s, d, "conversations")),
     "op13_prefix_trie": lambda s, d: prefix_trie.op13_prefix_trie(table(s, d, "conversations")),
 }
