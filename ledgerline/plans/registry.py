@@ -203,12 +203,18 @@ from uuid import uuid4  # noqa: E402
 
 from ..session import checkpoint_dir as _checkpoint_dir  # noqa: E402
 from ..sources import sinks as K  # noqa: E402
+from ..sources.commits import read_committed  # noqa: E402
 
 
-def _sink(t: Tables, name: str, write) -> DataFrame:
-    path = f"{_checkpoint_dir(t.spark).rstrip('/')}/sinks/{name}-{uuid4().hex}"
-    write(path)
-    return t.spark.read.parquet(path)
+def _sink(t: Tables, name: str, columns: list[str], write) -> DataFrame:
+    root = f"{_checkpoint_dir(t.spark).rstrip('/')}/sinks/{name}-{uuid4().hex}"
+    write(root)
+    return read_committed(t.spark, root).select(*columns)
+
+
+def _sink_typed(t: Tables, name: str, write) -> DataFrame:
+    rows = S.typed(t.get(name), name)
+    return _sink(t, name, rows.columns, lambda root: write(rows, root))
 
 
 def _published(t: Tables) -> DataFrame:
@@ -228,21 +234,21 @@ def _sealed_audit(t: Tables) -> DataFrame:
     was sealed first stays."""
     keys = E.audit_keys(t.audit_events)
 
-    def write(path: str) -> None:
-        K.append_audit(t.spark, keys, path, order=("seq",))
-        K.append_audit(t.spark, keys.withColumn("event_id", _F.lit("CHANGED")), path, order=("seq",))
+    def write(root: str) -> None:
+        K.append_audit(t.spark, keys, root, order=("seq",))
+        K.append_audit(t.spark, keys.withColumn("event_id", _F.lit("CHANGED")), root, order=("seq",))
 
-    return _sink(t, "audit", write)
+    return _sink(t, "audit", keys.columns, write)
 
 
 _reg("sink_view", _published, {"sink_view": ORACLE_VIEWS["weekly_revenue_variance"]})
-_reg("sink_invoices", lambda t: _sink(t, "invoices", lambda p: K.write_invoices(S.typed(t.invoices, "invoices"), p, 1)),
+_reg("sink_invoices", lambda t: _sink_typed(t, "invoices", K.write_invoices),
      {"sink_invoices": ORACLE_SOURCES["table_invoices"]})
-_reg("sink_rates", lambda t: _sink(t, "rates", lambda p: K.write_rates(S.typed(t.exchange_rates, "exchange_rates"), p)),
+_reg("sink_rates", lambda t: _sink_typed(t, "exchange_rates", K.write_rates),
      {"sink_rates": ORACLE_SOURCES["table_exchange_rates"]})
 _reg("sink_artifacts", _stored_artifacts, {"sink_artifacts": ORACLE_CATALOG["artifact_records"]})
 _reg("sink_audit", _sealed_audit, {"sink_audit": ORACLE_CATALOG["audit_keys"]})
-_reg("sink_traces", lambda t: _sink(t, "traces", lambda p: K.append_telemetry(t.session_traces, p)),
+_reg("sink_traces", lambda t: _sink(t, "traces", t.session_traces.columns, lambda root: K.append_telemetry(t.session_traces, root)),
      {"sink_traces": ORACLE_SOURCES["stream_traces"]})
 
 # J: streaming forms (driven with availableNow into the shared checkpoint folder)

@@ -1,8 +1,10 @@
 """Sinks (A7-A11) and seed rows.
 
-Writes are plain DataFrameWriter calls.  Hot partition values (one issue
-date or one loop holding much of the data) are spread over several files by
-a hash salt in the repartition, so no single task writes a hot partition.
+Tables that several writers share (A8, A11) are committed tables
+(``sources.commits``): files are staged and become visible with a numbered
+manifest, so readers never see half a write, a writer that dies leaves nothing
+visible and two writers at once keep the sealing rule.  Hot values (one issue
+date or one loop holding much of the data) are spread over several files.
 """
 
 from __future__ import annotations
@@ -10,8 +12,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .commits import CommitLog
+
 DEFAULT_VIEW = "primary_view"
-FILES_PER_PARTITION_VALUE = 8
+ARTIFACT_FILES = 8  # files of an artifact folder
 
 
 # A7
@@ -23,28 +27,34 @@ def publish_view(df: DataFrame, domain: str | None = None, names: dict[str, str]
     return name
 
 
-def _salted(df: DataFrame, part_col: str, id_col: str, files: int) -> DataFrame:
-    salt = F.pmod(F.hash(F.col(id_col)), F.lit(files))
-    return df.repartition(part_col, salt)
-
-
 # A8
-def write_partitioned(df: DataFrame, path: str, partition_col: str, cluster_cols: list[str], id_col: str,
-                      mode: str = "overwrite", files_per_value: int = FILES_PER_PARTITION_VALUE) -> None:
-    """Date-partitioned, clustered table: one folder per ``partition_col``
-    value, rows sorted by the cluster columns inside each file."""
-    (_salted(df, partition_col, id_col, files_per_value)
-     .sortWithinPartitions(partition_col, *cluster_cols)
-     .write.mode(mode).partitionBy(partition_col).parquet(path))
-
-
-def write_invoices(invoices: DataFrame, path: str, files_per_value: int = FILES_PER_PARTITION_VALUE) -> None:
-    write_partitioned(invoices, path, "issue_date", ["currency", "status"], "invoice_id",
-                      files_per_value=files_per_value)
-
-
-def write_rates(rates: DataFrame, path: str) -> None:
-    write_partitioned(rates, path, "rate_date", ["target_currency"], "target_currency")
+def write_partitioned(df: DataFrame, root: str, date_col: str, cluster_cols: list[str], id_col: str,
+                      replace: bool = False) -> int:
+    """Date-partitioned, clustered table: one folder per month of
+    ``date_col``, rows sorted by day and the cluster columns inside each file.
+    Tasks take ranges of (day, hash of ``id_col``) of about equal size: a task
+    writes few folders, and a hot day is many tasks.  Appends a version or
+    replaces all rows with one; the version is returned."""
+    month = F.date_format(F.col(date_col), "yyyy-MM")
+    rows = (df.withColumn(f"{date_col}_month", F.coalesce(month, F.lit("none")))
+            .repartitionByRange(F.col(date_col), F.hash(id_col))
+            .sortWithinPartitions(f"{date_col}_month", date_col, *cluster_cols))
+    log = CommitLog(df.sparkSession, root)
+    if not replace:
+        return log.append(rows, [f"{date_col}_month"])
+    folder = log.stage(rows, [f"{date_col}_month"])
+    version = log.latest()
+    while not log.commit(version + 1, [folder], log.live(version)):
+        version = log.latest()
+    return version + 1
+
+
+def write_invoices(invoices: DataFrame, root: str, replace: bool = False) -> int:
+    return write_partitioned(invoices, root, "issue_date", ["currency", "status"], "invoice_id", replace)
+
+
+def write_rates(rates: DataFrame, root: str, replace: bool = False) -> int:
+    return write_partitioned(rates, root, "rate_date", ["target_currency"], "target_currency", replace)
 
 
 # A9
@@ -77,7 +87,7 @@ def write_artifacts(records_with_content: DataFrame, root: str, mode: str = "app
     domain and day of creation, rows sorted by loop inside each file (the path
     of an artifact stays in its ``gcs_uri``).  A salt spreads a hot folder, or
     a hot loop in it, over several files."""
-    salt = F.pmod(F.hash("artifact_id"), F.lit(FILES_PER_PARTITION_VALUE))
+    salt = F.pmod(F.hash("artifact_id"), F.lit(ARTIFACT_FILES))
     (records_with_content.withColumn("created_date", F.to_date("created_at"))
      .repartition("domain", "created_date", salt)
      .sortWithinPartitions("domain", "created_date", "loop_id", "artifact_name")
@@ -85,26 +95,25 @@ def write_artifacts(records_with_content: DataFrame, root: str, mode: str = "app
 
 
 # A11
-def append_telemetry(events: DataFrame, path: str) -> None:
-    events.write.mode("append").parquet(path)
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
+def append_telemetry(events: DataFrame, root: str) -> int:
+    return CommitLog(events.sparkSession, root).append(events)
 
 
-def append_audit(spark: SparkSession, records: DataFrame, path: str, key: str = "object_key",
-                 order: tuple[str, ...] = ()) -> None:
-    """Append audit records; a key already sealed at ``path`` is never
-    replaced (left-anti join against the stored keys).  Of a key repeated in
+def append_audit(spark: SparkSession, records: DataFrame, root: str, key: str = "object_key",
+                 order: tuple[str, ...] = ()) -> int:
+    """Append audit records; a key already sealed at ``root`` is never
+    replaced (left-anti join against the sealed keys).  Of a key repeated in
     ``records`` the first by ``order`` is sealed (without an order, the smallest
-    row).  Only a path that does not exist counts as "nothing sealed yet": an
-    unreadable table raises."""
+    row).  If another writer commits first, the staged records are compared
+    with its keys before the next version is claimed."""
     names = records.columns
     by = F.struct(*[F.col(c) for c in (order or [c for c in names if c != key])])
     fresh = records.groupBy(key).agg(F.min_by(F.struct(*names), by).alias("first")).select("first.*")
-    if _exists(spark, path):
-        fresh = fresh.join(spark.read.parquet(path).select(key), key, "left_anti").select(*names)
-    fresh.write.mode("append").parquet(path)
+    log = CommitLog(spark, root)
+    seen = log.latest()
+    sealed = log.frame(log.live(seen), records.schema)
+
+    def unsealed(mine: DataFrame, theirs: DataFrame) -> DataFrame:
+        return mine.join(theirs.select(key), key, "left_anti").select(*names)
+
+    return log.append(fresh if sealed is None else unsealed(fresh, sealed), recheck=unsealed, seen=seen)

@@ -1,32 +1,42 @@
 """Structured Streaming forms of the telemetry pipelines.
 
-Sources are file streams over the driver's parquet files.  J2-J4 are
-stateless streams: each micro-batch is reduced to partial results (counts,
-first and newest rows per key), written under the batch's own number, and the
-partial results are merged when the table is read.  Counts add up and "first"
-and "newest" go by event time, so the answer is the batch answer for any
-number, size and order of files; a replayed batch overwrites its own part.
-
-Every stream keeps its progress and output under the session's shared
+Sources are file streams over the driver's parquet files.
+
+* J1 appends every event to a Parquet table.
+* J2 counts errors per hour in keyed state behind a watermark: a window is
+  written once, when no row for it is awaited any more; rows that arrive for a
+  closed window are dropped and counted (``late_rows``).
+* J3 keeps the first resolution of each (loop, gate) in keyed state that
+  expires by event time, so its size is bounded by the gates of one period.
+* J4 keeps the newest row per loop in state and rewrites only the key buckets
+  that a micro-batch touches, as a version of a committed table
+  (``sources.commits``) that names the micro-batch: a replay changes nothing.
+
+State is kept in RocksDB (``use_rocksdb``) unless the session names another
+store.  Every stream keeps its progress and output under the session's shared
 ``spark.checkpoint.dir``.  ``start_*`` returns the running query (the caller
-waits, stops or schedules it), ``read_*`` the merged table; the registered
-``stream_*`` forms run the stream over all data present and read the result.
+waits, stops or schedules it); the registered ``stream_*`` forms run the stream
+over all data present and read the result.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..functions.timeutil import trunc_ntz
+from ..functions.timeutil import epoch_micros, instant_to_ntz, ntz_to_instant
 from ..session import checkpoint_dir
 from ..sources.adapters import SPARK, adapter_sql
+from ..sources.commits import CommitLog, read_committed
 
-ERROR_LATENESS_HOURS = 2  # an error window is final this long after its end
+ERROR_LATENESS_HOURS = 2  # an error window closes this long after its end
 
 
 def _scratch(spark: SparkSession, name: str) -> str:
@@ -61,27 +71,6 @@ def gates_of(events: DataFrame) -> DataFrame:
     return log.filter(F.col("decision").isNotNull())
 
 
-def start_partials(rows: DataFrame, reduce: Callable[[DataFrame], DataFrame], out: str) -> StreamingQuery:
-    """Write ``reduce`` of every micro-batch to ``out/parts/epoch=<n>``."""
-
-    def write(batch: DataFrame, epoch: int) -> None:
-        reduce(batch).write.mode("overwrite").parquet(f"{out}/parts/epoch={epoch}")
-
-    return (rows.writeStream.outputMode("append").foreachBatch(write)
-            .option("checkpointLocation", f"{out}/_checkpoint").trigger(availableNow=True).start())
-
-
-def read_partials(spark: SparkSession, out: str) -> DataFrame:
-    """Partial results of all micro-batches; the column ``epoch`` names the
-    micro-batch."""
-    return spark.read.option("basePath", f"{out}/parts").parquet(f"{out}/parts")
-
-
-def compact(spark: SparkSession, out: str, merge: Callable[[DataFrame], DataFrame], to: str) -> None:
-    """Write the merged partial results as one table (between runs)."""
-    merge(read_partials(spark, out)).write.mode("overwrite").parquet(to)
-
-
 def _finished(query: StreamingQuery) -> None:
     query.awaitTermination()
 
@@ -102,68 +91,159 @@ def stream_traces(spark: SparkSession, sf_dir: str, out: str | None = None, sour
     return spark.read.parquet(f"{out}/data")
 
 
+# State ------------------------------------------------------------------------
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def use_rocksdb(spark: SparkSession) -> None:
+    """State on the executors' disks instead of their heaps, with changelogs
+    as checkpoints; a store that the session names stays."""
+    if spark.conf.get(_PROVIDER, "").endswith("HDFSBackedStateStoreProvider") or not spark.conf.get(_PROVIDER, ""):
+        spark.conf.set(_PROVIDER, _ROCKSDB)
+        spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+
+
+def late_rows(query: StreamingQuery) -> int:
+    """Rows that the query's stateful operators dropped for being older than
+    the watermark, over the progress that Spark retains
+    (``spark.sql.streaming.numRecentProgressUpdates``).  An aggregation sees
+    them after its map-side part: late rows of one key and task count once."""
+    return sum(op.numRowsDroppedByWatermark for p in query.recentProgress for op in p.stateOperators)
+
+
 # J2
-def error_counts(errors: DataFrame) -> DataFrame:
-    """Additive partial result: errors per hour and severity, and the newest
-    error time (it decides which windows are final)."""
-    return (errors.groupBy(trunc_ntz("hour", "log_timestamp").alias("window_start"), "severity")
-            .agg(F.count(F.lit(1)).alias("errors"), F.max("log_timestamp").alias("newest")))
+def hourly_error_windows(errors: DataFrame, lateness_hours: int = ERROR_LATENESS_HOURS) -> DataFrame:
+    """Errors per hour and severity behind a watermark (which needs instants:
+    the zone-less wall clock is read as UTC and given back as such)."""
+    return (errors.select(ntz_to_instant("log_timestamp").alias("at"), "severity").withWatermark("at", f"{lateness_hours} hours")
+            .groupBy(F.window("at", "1 hour").alias("w"), "severity").agg(F.count(F.lit(1)).alias("errors"))
+            .select(instant_to_ntz(F.col("w.start")).alias("window_start"), instant_to_ntz(F.col("w.end")).alias("window_end"),
+                    "severity", "errors"))
 
 
-def merge_error_counts(parts: DataFrame) -> DataFrame:
-    """Counts of the windows that ended at least two hours before the newest
-    error.  A row that arrives late still counts in its own window."""
-    merged = parts.groupBy("window_start", "severity").agg(F.sum("errors").alias("errors"))
-    newest = parts.select(F.max("newest")).scalar()
-    end = F.col("window_start") + F.expr("INTERVAL 1 HOUR")
-    return (merged.filter(end <= newest - F.expr(f"INTERVAL {ERROR_LATENESS_HOURS} HOURS"))
-            .select("window_start", end.alias("window_end"), "severity", "errors"))
+def start_hourly_errors(spark: SparkSession, sf_dir: str, out: str, source: str | None = None,
+                        files_per_trigger: int | None = None) -> StreamingQuery:
+    """Closed windows are appended to a Parquet table, each once."""
+    use_rocksdb(spark)
+    windows = hourly_error_windows(errors_of(event_stream(spark, sf_dir, source, files_per_trigger)))
+    return (windows.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{out}/_checkpoint")
+            .option("path", f"{out}/data").trigger(availableNow=True).start())
 
 
 def stream_hourly_errors(spark: SparkSession, sf_dir: str, out: str | None = None, source: str | None = None,
                          files_per_trigger: int | None = None) -> DataFrame:
-    """Tumbling 1 h error counts per severity of all final windows."""
+    """Tumbling 1 h error counts per severity of the windows that ended at
+    least two hours before the newest error."""
     out = out or _scratch(spark, "hourly_errors")
-    rows = errors_of(event_stream(spark, sf_dir, source, files_per_trigger))
-    _finished(start_partials(rows, error_counts, out))
-    return merge_error_counts(read_partials(spark, out))
+    _finished(start_hourly_errors(spark, sf_dir, out, source, files_per_trigger))
+    return spark.read.schema("window_start timestamp_ntz, window_end timestamp_ntz, severity string, errors bigint").parquet(f"{out}/data")
 
 
 # J3
-def _at_edge(rows: DataFrame, keys: list[str], value: Column, order: Column, first: bool) -> DataFrame:
-    pick = F.min_by if first else F.max_by
-    return rows.groupBy(*keys).agg(pick(value, order).alias("s")).select(*keys, "s.*")
-
-
-def first_gates(rows: DataFrame) -> DataFrame:
-    """First resolution (event time, then event id) per loop and gate; applied
-    to partial results it merges them."""
-    return _at_edge(rows, ["loop_id", "gate"], F.struct("decision", "event_id", "ts"), F.struct("ts", "event_id"), True)
+GATE_LATENESS = "2 days"  # a resolution may arrive that late
+GATE_REPEAT_DAYS = 365  # a gate resolved again within that time is a conflict
+_GATE_ROW = "loop_id string, gate string, decision string, event_id bigint, us bigint"
+
+
+def first_gates(resolutions: DataFrame, lateness: str = GATE_LATENESS, repeat_days: int = GATE_REPEAT_DAYS) -> DataFrame:
+    """The first resolution (event time, then event id) per loop and gate.
+
+    Spark's ``dropDuplicatesWithinWatermark`` keeps whichever row of a
+    micro-batch its task reads first; here the rows of a key are put in order,
+    so that resolutions that arrive together are decided by event time too."""
+    keep_ms, columns = repeat_days * 86_400_000, ["loop_id", "gate", "decision", "event_id", "us"]
+
+    def first(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        best = None
+        for rows in batches:
+            row = rows.sort_values(["us", "event_id"]).iloc[:1]
+            best = row if best is None else pd.concat([best, row]).sort_values(["us", "event_id"]).iloc[:1]
+        if best is not None and not state.exists:
+            state.update((int(best["event_id"].iloc[0]),))
+            state.setTimeoutTimestamp(max(int(best["us"].iloc[0]) // 1000 + keep_ms, state.getCurrentWatermarkMs() + 1))
+            yield best[columns]
+
+    rows = resolutions.select("loop_id", "gate", "decision", "event_id", epoch_micros("ts").alias("us"), ntz_to_instant("ts").alias("at"))
+    found = (rows.withWatermark("at", lateness).groupBy("loop_id", "gate")
+             .applyInPandasWithState(first, _GATE_ROW, "event_id bigint", "append", GroupStateTimeout.EventTimeTimeout))
+    return found.select("loop_id", "gate", "decision", "event_id", instant_to_ntz(F.timestamp_micros("us")).alias("ts"))
+
+
+def start_gate_dedup(spark: SparkSession, sf_dir: str, out: str, source: str | None = None,
+                     files_per_trigger: int | None = None, repeat_days: int = GATE_REPEAT_DAYS) -> StreamingQuery:
+    use_rocksdb(spark)
+    rows = (gates_of(event_stream(spark, sf_dir, source, files_per_trigger))
+            .select("loop_id", F.col("step_name").alias("gate"), "decision", "event_id", "ts"))
+    return (first_gates(rows, repeat_days=repeat_days).writeStream.format("parquet").outputMode("append")
+            .option("checkpointLocation", f"{out}/_checkpoint").option("path", f"{out}/data").trigger(availableNow=True).start())
 
 
 def stream_gate_dedup(spark: SparkSession, sf_dir: str, out: str | None = None, source: str | None = None,
                       files_per_trigger: int | None = None) -> DataFrame:
-    """The effective resolution of every (loop, gate): the EFFECTIVE rows of
-    I4, whatever order the events arrive in."""
+    """The effective resolution of every (loop, gate), as the EFFECTIVE rows
+    of I4 for events that arrive in time."""
     out = out or _scratch(spark, "gate_dedup")
-    rows = (gates_of(event_stream(spark, sf_dir, source, files_per_trigger))
-            .select("loop_id", F.col("step_name").alias("gate"), "decision", "event_id", "ts"))
-    _finished(start_partials(rows, first_gates, out))
-    return first_gates(read_partials(spark, out))
+    _finished(start_gate_dedup(spark, sf_dir, out, source, files_per_trigger))
+    return spark.read.schema("loop_id string, gate string, decision string, event_id bigint, ts timestamp_ntz").parquet(f"{out}/data")
 
 
 # J4
+STATE_BUCKETS = 32  # key buckets of the state table: a micro-batch rewrites those it touches
+_STATE_ROW = "loop_id string, current_step string, updated_at timestamp_ntz, event_id bigint"
+
+
 def latest_states(rows: DataFrame) -> DataFrame:
-    """Newest row per loop; applied to partial results it merges them."""
-    return _at_edge(rows, ["loop_id"], F.struct("current_step", "updated_at", "event_id"),
-                    F.struct("updated_at", "event_id"), False)
+    """Newest row (event time, then event id) per loop."""
+    newest = F.max_by(F.struct("current_step", "updated_at", "event_id"), F.struct("updated_at", "event_id"))
+    return rows.groupBy("loop_id").agg(newest.alias("s")).select("loop_id", "s.*")
+
+
+def _bucket_of(folder: str) -> int:
+    return int(folder.rsplit("bucket=", 1)[1])
+
+
+def upsert_states(batch: DataFrame, epoch: int, table: str, buckets: int = STATE_BUCKETS) -> None:
+    """Merge a micro-batch into the state table at ``table``: the buckets of
+    its keys are rewritten, the others stay.  The version names the
+    micro-batch; one that is already in the table is not written again."""
+    spark = batch.sparkSession
+    log = CommitLog(spark, table)
+    version = log.latest()
+    if version and epoch <= log.manifest(version)["note"]["epoch"]:
+        return
+    batch = batch.withColumn("bucket", F.pmod(F.xxhash64("loop_id"), F.lit(buckets)).cast("int")).persist()
+    try:
+        touched = {r.bucket for r in batch.select("bucket").distinct().collect()}  # at most ``buckets`` numbers
+        old = [f for f in log.live(version) if _bucket_of(f) in touched]
+        rows = batch.drop("bucket")
+        if old:
+            rows = rows.unionByName(log.frame(old).select(*rows.columns))
+        merged = latest_states(rows).withColumn("bucket", F.pmod(F.xxhash64("loop_id"), F.lit(buckets)).cast("int"))
+        folder = log.stage(merged.repartition("bucket"), ["bucket"])
+        if not log.commit(version + 1, [f"{folder}/bucket={b}" for b in sorted(touched)], old, {"epoch": epoch}):
+            raise RuntimeError(f"{table} has another writer")
+    finally:
+        batch.unpersist()
+
+
+def start_latest_state(spark: SparkSession, sf_dir: str, out: str, source: str | None = None,
+                       files_per_trigger: int | None = None) -> StreamingQuery:
+    use_rocksdb(spark)
+    rows = traces_of(event_stream(spark, sf_dir, source, files_per_trigger)).select(
+        "loop_id", F.col("step_name").alias("current_step"), F.col("ts").alias("updated_at"), "event_id")
+    return (latest_states(rows).writeStream.outputMode("update")
+            .foreachBatch(lambda batch, epoch: upsert_states(batch, epoch, f"{out}/table"))
+            .option("checkpointLocation", f"{out}/_checkpoint").trigger(availableNow=True).start())
 
 
 def stream_latest_state(spark: SparkSession, sf_dir: str, out: str | None = None, source: str | None = None,
                         files_per_trigger: int | None = None) -> DataFrame:
     """Current step per loop."""
     out = out or _scratch(spark, "latest_state")
-    rows = traces_of(event_stream(spark, sf_dir, source, files_per_trigger)).select(
-        "loop_id", F.col("step_name").alias("current_step"), F.col("ts").alias("updated_at"), "event_id")
-    _finished(start_partials(rows, latest_states, out))
-    return latest_states(read_partials(spark, out)).select("loop_id", "current_step", "updated_at")
+    _finished(start_latest_state(spark, sf_dir, out, source, files_per_trigger))
+    schema = T._parse_datatype_string(_STATE_ROW)
+    return read_committed(spark, f"{out}/table", schema=schema).select("loop_id", "current_step", "updated_at")
