@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import formulas as fx
+from ..functions.canonical import canonical_json, canonical_of, record_json  # noqa: F401 (canonical_json is part of E10)
 from ..functions.windows import running, slice_of
 
 DEFAULT_BUCKET = "analytics-artifacts"
@@ -128,44 +129,9 @@ def health_30d(traces: DataFrame, days: int = 30) -> DataFrame:
 
 
 # E10-E11 ---------------------------------------------------------------------
-# The short escapes of JSON.
-JSON_SHORT = {"\\": "\\\\", '"': '\\"', "\n": "\\n", "\r": "\\r", "\t": "\\t", "\b": "\\b", "\f": "\\f"}
-
-
-def _json_escape(c: Column) -> Column:
-    """JSON string escapes with all other control and non-ASCII characters as
-    ``\\uXXXX`` (surrogate pairs beyond the basic plane).  Characters are only
-    looked at one by one where a text has such a character."""
-
-    def unit(code: Column) -> Column:
-        return F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(code)), 4, "0"))
-
-    def escaped(ch: Column) -> Column:
-        code = F.ascii(ch)
-        out = None
-        for raw, text in JSON_SHORT.items():
-            out = F.when(ch == raw, text) if out is None else out.when(ch == raw, text)
-        above = code - 0x10000
-        return (out.when((code >= 32) & (code <= 126), ch).when(code < 0x10000, unit(code))
-                .otherwise(F.concat(unit(F.lit(0xD800) + F.shiftright(above, 10)),
-                                    unit(F.lit(0xDC00) + above.bitwiseAND(0x3FF)))))
-
-    simple = F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
-    return F.when(c.rlike(r"[^ -~]"), F.array_join(F.transform(F.split(c, ""), escaped), "")).otherwise(simple)
-
-
-def canonical_json(payload: Column | str) -> Column:
-    """JSON text of a map<string,string> with sorted keys and ", " / ": "
-    separators (Python ``json.dumps(sort_keys=True)``)."""
-    p = F.col(payload) if isinstance(payload, str) else payload
-    entries = F.array_sort(F.map_entries(p))
-    parts = F.transform(entries, lambda e: F.concat(
-        F.lit('"'), _json_escape(e["key"]), F.lit('": "'), _json_escape(e["value"]), F.lit('"')))
-    return F.concat(F.lit("{"), F.array_join(parts, ", "), F.lit("}"))
-
-
 def audit_hash(audit: DataFrame) -> DataFrame:
-    return audit.select("loop_id", "seq", F.sha2(canonical_json("payload"), 256).alias("state_snapshot_hash"))
+    """Hash of each record's canonical payload, of any nested type."""
+    return audit.select("loop_id", "seq", F.sha2(canonical_of(audit, "payload"), 256).alias("state_snapshot_hash"))
 
 
 def audit_event_id(loop_id: Column | str, seq: Column | str) -> Column:
@@ -173,20 +139,33 @@ def audit_event_id(loop_id: Column | str, seq: Column | str) -> Column:
                     F.lit("-"), F.format_string("%04d", seq))
 
 
-def audit_keys(audit: DataFrame) -> DataFrame:
+def audit_keys(audit: DataFrame, keep: list[str] | None = None) -> DataFrame:
     eid = audit_event_id("loop_id", "seq")
     return audit.select(
+        *(keep or []),
         "loop_id", "seq", eid.alias("event_id"),
         F.concat(F.lit("audit/"), F.col("node_id"), F.lit("/"), F.col("loop_id"), F.lit("/"),
                  F.format_string("%08d", "seq"), F.lit("/"), eid, F.lit(".json")).alias("object_key"))
 
 
+def audit_records(audit: DataFrame) -> DataFrame:
+    """The sealed record of every audit row as one object: its key, its
+    canonical JSON text and that text's hash."""
+    sealed = audit_keys(audit.select("loop_id", "seq", "node_id", "payload", "ts", "actor_email", "actor_type", "intent_kind"),
+                        keep=["payload", "ts", "actor_email", "actor_type", "intent_kind", "node_id"])
+    sealed = sealed.withColumn("state_snapshot_hash", F.sha2(canonical_of(sealed, "payload"), 256)).withColumnsRenamed(
+        {"payload": "payload_summary", "ts": "timestamp"})
+    text = record_json(sealed, ["event_id", "loop_id", "node_id", "seq", "intent_kind", "actor_email", "actor_type",
+                                "state_snapshot_hash", "payload_summary", "timestamp"])
+    return sealed.select("loop_id", "seq", "object_key", text.alias("record")).withColumn("record_sha256", F.sha2("record", 256))
+
+
 # E12 -------------------------------------------------------------------------
 def audit_integrity(audit: DataFrame, first_seq: int = 1) -> DataFrame:
     """Per loop with a defect: hash mismatches, missing and repeated seq.
     Records are numbered from ``first_seq``, so missing first records count;
     a cut tail shows only if the number of records was sealed elsewhere."""
-    recomputed = F.sha2(canonical_json("payload"), 256)
+    recomputed = F.sha2(canonical_of(audit, "payload"), 256)
     g = audit.groupBy("loop_id").agg(
         F.count(F.lit(1)).alias("records"),
         F.countDistinct("seq").alias("_distinct"),
@@ -198,6 +177,44 @@ def audit_integrity(audit: DataFrame, first_seq: int = 1) -> DataFrame:
     return g.filter((F.col("missing_seq") > 0) | (F.col("repeated_seq") > 0) | (F.col("hash_mismatches") > 0))
 
 
+# Step that produces an artifact of a type.
+PRODUCING_STEP = {"SPECIFICATION": "SPECIFY", "SQL_VIEW": "IMPLEMENT", "PYTHON_CODE": "IMPLEMENT", "TEST_REPORT": "REVIEW"}
+
+
+def artifact_integrity(records: DataFrame, stored: DataFrame, audit: DataFrame) -> DataFrame:
+    """Catalog, store and audit trail against each other: one row per artifact
+    with a defect.
+
+    ``stored`` is the hierarchy as found (``sinks.read_artifacts``): its
+    contents are hashed again and the folder that holds an artifact is compared
+    with the catalog's domain and day.  ``lost``: catalogued, not stored;
+    ``uncatalogued``: stored, not catalogued; ``edited``: some copy has other
+    content; ``moved``: some copy lies in another folder; ``repeated``: more
+    than one copy; ``unaudited``: the loop's trail has records, but none of the
+    step that produces such an artifact."""
+    key = ["loop_id", "artifact_name"]
+    copies = stored.select(*key, F.sha2("content", 256).alias("sha"), "folder").groupBy(*key).agg(
+        F.count(F.lit(1)).alias("copies"), F.min("sha").alias("_s1"), F.max("sha").alias("_s2"),
+        F.min("folder").alias("_f1"), F.max("folder").alias("_f2"))
+    listed = records.select(*key, "domain", "artifact_type", "content_sha256",
+                            F.concat(F.col("domain"), F.lit("/"), F.date_format("created_at", "yyyy-MM-dd")).alias("_place"))
+    trail = audit.groupBy("loop_id").agg(*[F.max((F.col("step_name") == s).cast("int")).alias(f"_{s}")
+                                           for s in sorted(set(PRODUCING_STEP.values()))])
+    made = None
+    for kind, step in PRODUCING_STEP.items():
+        test = F.col("artifact_type") == kind
+        made = F.when(test, F.col(f"_{step}")) if made is None else made.when(test, F.col(f"_{step}"))
+    no = F.lit(False)
+    found = listed.join(copies, key, "full").join(trail, "loop_id", "left").select(
+        *key, "domain", F.coalesce("copies", F.lit(0)).cast("long").alias("copies"),
+        (F.col("content_sha256").isNotNull() & F.col("copies").isNull()).alias("lost"),
+        F.col("content_sha256").isNull().alias("uncatalogued"),
+        F.coalesce((F.col("_s1") != F.col("content_sha256")) | (F.col("_s2") != F.col("content_sha256")), no).alias("edited"),
+        F.coalesce((F.col("_f1") != F.col("_place")) | (F.col("_f2") != F.col("_place")), no).alias("moved"),
+        F.coalesce(F.col("copies") > 1, no).alias("repeated"), F.coalesce(made == 0, no).alias("unaudited"))
+    return found.filter("lost OR uncatalogued OR edited OR moved OR repeated OR unaudited")
+
+
 # E13 -------------------------------------------------------------------------
 def id_collisions(audit: DataFrame, records: DataFrame) -> DataFrame:
     """Derived ids shared by more than one loop."""

@@ -48,10 +48,10 @@ SELECT request_id, actor_type,
        array_to_string({_EFF}, ',') AS roles
 FROM actors""")
 
-ORACLE["actor_split"] = with_adapters(["audit_events"], """
+ORACLE["actor_split"] = with_adapters(["audit_log"], """
 SELECT node_id, CASE WHEN starts_with(actor_email, 'sa-agent-') THEN 'agent' ELSE 'human' END AS actor_kind,
        count(*) AS actions
-FROM audit_events GROUP BY 1, 2""")
+FROM audit_log GROUP BY 1, 2""")
 
 ORACLE["table_allowlist"] = with_adapters(["briefs"], f"""
 , r AS (SELECT brief_id, {ROUTE} AS domain, requested_tables FROM briefs),

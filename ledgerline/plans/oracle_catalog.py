@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..sources.adapters import with_adapters
+from ..sources.adapters import payload_text, with_adapters
 from .oracle_views import avg_exact, ratio
 
 ORACLE: dict[str, str] = {}
@@ -62,9 +62,12 @@ SELECT *, avg_latency_ms < 250.0 AND error_rate_pct <= 0.1 AS sla_conformance,
        CASE WHEN avg_latency_ms < 250.0 AND error_rate_pct <= 0.1 THEN 'HEALTHY' ELSE 'DEGRADED' END AS status
 FROM h""")
 
-_CANON = ("'{' || array_to_string(list_transform(list_sort(map_keys(payload)), "
-          "lambda k: '\"' || replace(replace(k, '\\', '\\\\'), '\"', '\\\"') || '\": \"' || "
-          "replace(replace(map_extract_value(payload, k), '\\', '\\\\'), '\"', '\\\"') || '\"'), ', ') || '}'")
+_BS = "chr(92)"
+_CANON = payload_text(
+    "payload.loop_id", "payload.labels[1]", "payload.step", "payload.seq", "payload.share", "payload.actor.type", "payload.actor.email",
+    f"replace(replace(payload.labels[2], 'Ü', {_BS} || 'u00dc'), '→', {_BS} || 'u2192')",
+    f"coalesce('\"' || replace(replace(replace(replace(payload.note, {_BS}, {_BS} || {_BS}), '\"', {_BS} || '\"'), chr(10), {_BS} || 'n'), "
+    f"chr(9), {_BS} || 't') || '\"', 'null')").replace("{{", "{").replace("}}", "}")
 
 ORACLE["audit_hash"] = with_adapters(["audit_events"], f"""
 SELECT loop_id, seq, sha256({_CANON}) AS state_snapshot_hash FROM audit_events""")
@@ -75,6 +78,31 @@ SELECT loop_id, seq, 'EVT-' || left(loop_id, 8) || '-' || printf('%04d', seq) AS
          || 'EVT-' || left(loop_id, 8) || '-' || printf('%04d', seq) || '.json' AS object_key
 FROM audit_events""")
 
+ORACLE["audit_records"] = with_adapters(["audit_events"], f"""
+, r AS (SELECT *, {_CANON} AS canon, 'EVT-' || left(loop_id, 8) || '-' || printf('%04d', seq) AS event_id FROM audit_events)
+SELECT loop_id, seq, 'audit/' || node_id || '/' || loop_id || '/' || printf('%08d', seq) || '/' || event_id || '.json' AS object_key,
+       sha256('{{"actor_email": "' || actor_email || '", "actor_type": "' || actor_type || '", "event_id": "' || event_id
+         || '", "intent_kind": "' || intent_kind || '", "loop_id": "' || loop_id || '", "node_id": "' || node_id
+         || '", "payload_summary": ' || canon || ', "seq": ' || seq || ', "state_snapshot_hash": "' || sha256(canon)
+         || '", "timestamp": "' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || '"}}') AS record_sha256
+FROM r""")
+
+ORACLE["artifact_integrity"] = with_adapters(["artifacts", "stored_artifacts", "audit_log"], """
+, c AS (SELECT loop_id, artifact_name, count(*) AS copies, min(sha256(content)) AS s1, max(sha256(content)) AS s2,
+              min(domain || '/' || strftime(created_at, '%Y-%m-%d')) AS f1, max(domain || '/' || strftime(created_at, '%Y-%m-%d')) AS f2
+       FROM stored_artifacts GROUP BY 1, 2),
+r AS (SELECT loop_id, artifact_name, domain, sha256(content) AS sha, domain || '/' || strftime(created_at, '%Y-%m-%d') AS place,
+             CASE artifact_name WHEN 'spec.md' THEN 'SPECIFY' WHEN 'test_results.json' THEN 'REVIEW' ELSE 'IMPLEMENT' END AS step
+      FROM artifacts),
+j AS (SELECT coalesce(r.loop_id, c.loop_id) AS loop_id, coalesce(r.artifact_name, c.artifact_name) AS artifact_name, r.domain,
+             coalesce(c.copies, 0) AS copies, c.copies IS NULL AS lost, r.sha IS NULL AS uncatalogued,
+             coalesce(c.s1 <> r.sha OR c.s2 <> r.sha, false) AS edited, coalesce(c.f1 <> r.place OR c.f2 <> r.place, false) AS moved,
+             coalesce(c.copies > 1, false) AS repeated,
+             r.step IS NOT NULL AND EXISTS (SELECT 1 FROM audit_log a WHERE a.loop_id = r.loop_id)
+               AND NOT EXISTS (SELECT 1 FROM audit_log a WHERE a.loop_id = r.loop_id AND a.step_name = r.step) AS unaudited
+      FROM r FULL JOIN c ON r.loop_id = c.loop_id AND r.artifact_name = c.artifact_name)
+SELECT * FROM j WHERE lost OR uncatalogued OR edited OR moved OR repeated OR unaudited""")
+
 ORACLE["audit_integrity"] = with_adapters(["audit_events"], f"""
 , g AS (SELECT loop_id, count(*) AS records, count(DISTINCT seq) AS d, max(seq) AS mx,
               count(*) FILTER (WHERE sha256({_CANON}) <> stored_hash) AS hash_mismatches

@@ -85,6 +85,7 @@ _reg("gate_audit", lambda t: E.gate_audit(t.session_traces), ORACLE_CATALOG)
 _reg("events_for_loop", lambda t: E.events_in_arrival_order(t.session_traces), ORACLE_CATALOG)
 _reg("health_30d", lambda t: E.health_30d(t.session_traces), ORACLE_CATALOG)
 _reg("audit_hash", lambda t: E.audit_hash(t.audit_events), ORACLE_CATALOG)
+_reg("audit_records", lambda t: E.audit_records(t.audit_events).drop("record"), ORACLE_CATALOG)
 _reg("audit_keys", lambda t: E.audit_keys(t.audit_events), ORACLE_CATALOG)
 _reg("audit_integrity", lambda t: E.audit_integrity(t.audit_events), ORACLE_CATALOG)
 _reg("id_collisions", lambda t: E.id_collisions(t.audit_events, E.artifact_records(t.artifacts)), ORACLE_CATALOG)
@@ -165,7 +166,7 @@ _reg("delivery_path", lambda t: H.delivery_path(t.briefs), ORACLE_ACCESS)
 _reg("domain_route", lambda t: H.domain_routes(t.briefs), ORACLE_ACCESS)
 _reg("access_decision", lambda t: H.access_decisions(t.actors), ORACLE_ACCESS)
 _reg("normalize_identity", lambda t: H.normalize_identity(t.actors), ORACLE_ACCESS)
-_reg("actor_split", lambda t: H.actor_split(t.audit_events), ORACLE_ACCESS)
+_reg("actor_split", lambda t: H.actor_split(t.audit_log), ORACLE_ACCESS)
 _reg("table_allowlist", lambda t: H.table_allowlist(t.briefs), ORACLE_ACCESS)
 _reg("default_roles", lambda t: H.default_role_grants(t.actors), ORACLE_ACCESS)
 
@@ -229,6 +230,15 @@ def _stored_artifacts(t: Tables) -> DataFrame:
     return t.spark.read.parquet(f"{root}/processes").select(*records.columns)
 
 
+def _artifact_integrity(t: Tables) -> DataFrame:
+    """The planted store is written as the hierarchy, read back from its files
+    and compared."""
+    root = f"{_checkpoint_dir(t.spark).rstrip('/')}/sinks/store-{uuid4().hex}"
+    planted = t.stored_artifacts.withColumn("artifact_id", _F.concat_ws("-", "loop_id", "artifact_name")).drop("doc_id")
+    K.write_artifacts(planted, root)
+    return E.artifact_integrity(E.artifact_records(t.artifacts), K.read_artifacts(t.spark, root), t.audit_log)
+
+
 def _sealed_audit(t: Tables) -> DataFrame:
     """Audit keys appended, then appended again with another event id: what
     was sealed first stays."""
@@ -247,6 +257,7 @@ _reg("sink_invoices", lambda t: _sink_typed(t, "invoices", K.write_invoices),
 _reg("sink_rates", lambda t: _sink_typed(t, "exchange_rates", K.write_rates),
      {"sink_rates": ORACLE_SOURCES["table_exchange_rates"]})
 _reg("sink_artifacts", _stored_artifacts, {"sink_artifacts": ORACLE_CATALOG["artifact_records"]})
+_reg("artifact_integrity", _artifact_integrity, ORACLE_CATALOG)
 _reg("sink_audit", _sealed_audit, {"sink_audit": ORACLE_CATALOG["audit_keys"]})
 _reg("sink_traces", lambda t: _sink(t, "traces", t.session_traces.columns, lambda root: K.append_telemetry(t.session_traces, root)),
      {"sink_traces": ORACLE_SOURCES["stream_traces"]})

@@ -37,6 +37,15 @@ class Dialect:
         vals = ", ".join(v for _, v in pairs)
         return f"map([{keys}], [{vals}])"
 
+    def struct(self, pairs: list[tuple[str, str]]) -> str:
+        """Struct from (literal name, value expression) pairs."""
+        if self.name == "spark":
+            return "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in pairs) + ")"
+        return "struct_pack(" + ", ".join(f"{k} := {v}" for k, v in pairs) + ")"
+
+    def array(self, *items: str) -> str:
+        return f"array({', '.join(items)})" if self.name == "spark" else f"[{', '.join(items)}]"
+
     def ts_from_epoch_seconds(self, expr: str) -> str:
         if self.name == "spark":  # zone-free: seconds after the NTZ epoch
             return f"timestampadd(SECOND, {expr}, TIMESTAMP_NTZ '1970-01-01 00:00:00')"
@@ -304,23 +313,54 @@ SELECT event_id, loop_id, node_id, step_name, ts,
 FROM {{session_traces}}"""
 
 
+# Columns of an audit record that need no numbering.
+_AUDITED = """event_id AS trace_event_id, loop_id, node_id, step_name, ts,
+       CASE WHEN step_name IN ('GATE_H1', 'GATE_H2') THEN 'human' ELSE 'agent' END AS actor_type,
+       CASE WHEN step_name IN ('GATE_H1', 'GATE_H2') THEN 'reviewer' || right(loop_id, 3) || '@example.com'
+            ELSE 'sa-agent-' || node_id || '@agents.example.com' END AS actor_email,
+       'STATE_TRANSITION' AS intent_kind"""
+
+
+def _audit_log(d: Dialect) -> str:
+    """The audit log without sequence numbers."""
+    return f"""
+SELECT {_AUDITED} FROM {{session_traces}} WHERE event_id % 53 <> 0"""
+
+
+_ESC = "chr(92)"  # a backslash, which the two engines' literals treat differently
+
+
+def payload_text(loop_id: str, node: str, step: str, seq: str, share: str, kind: str, email: str, label: str, note: str) -> str:
+    """SQL of the canonical JSON of an audit payload, from the SQL of its
+    values (``label`` and ``note`` already escaped, ``note`` with its quotes)."""
+    return (f"'{{{{\"actor\": {{{{\"email\": \"' || {email} || '\", \"type\": \"' || {kind} || '\"}}}}, \"attrs\": {{{{\"intent\": "
+            f"\"STATE_TRANSITION\", \"node\": \"' || {node} || '\"}}}}, \"gate\": ' || CASE WHEN {kind} = 'human' THEN 'true' ELSE 'false' END"
+            f" || ', \"labels\": [\"' || {node} || '\", \"' || {label} || '\"], \"loop_id\": \"' || {loop_id} || '\", \"note\": ' || {note}"
+            f" || ', \"seq\": ' || cast({seq} AS string) || ', \"share\": ' || cast({share} AS string) || ', \"step\": \"' || {step} || '\"}}}}'")
+
+
 def _audit_events(d: Dialect) -> str:
-    # Sealed audit log of the traces.  Fixture defects so that the integrity
-    # check has something to find: rows with trace_event_id % 53 = 0 are
-    # missing (seq gaps); rows with % 97 = 0 were altered after sealing
-    # (payload no longer matches stored_hash).
-    original = "'{{\"loop_id\": \"' || loop_id || '\", \"step\": \"' || step_name || '\"}}'"
-    payload = d.str_map([("loop_id", "loop_id"), ("step", "step_name")])
-    tampered = d.str_map([("loop_id", "loop_id"), ("step", "'TAMPERED'")])
+    # Sealed audit log of the traces with nested payloads.  Fixture defects so
+    # that the integrity check has something to find: rows with
+    # trace_event_id % 53 = 0 are missing (seq gaps); rows with % 97 = 0 were
+    # altered after sealing (payload no longer matches stored_hash).
+    share = "cast(seq AS double) / 8"
+    original = payload_text("loop_id", "node_id", "step_name", "seq", share, "actor_type", "actor_email",
+                            f"{_ESC} || 'u00dcbergang ' || {_ESC} || 'u2192 ' || step_name",
+                            f"CASE WHEN seq % 7 = 0 THEN '\"line' || {_ESC} || 'ntab' || {_ESC} || 't' || {_ESC} || '\"end' || {_ESC} || '\"\"' "
+                            "ELSE 'null' END")
+    payload = d.struct([
+        ("loop_id", "loop_id"), ("step", "CASE WHEN trace_event_id % 97 = 0 THEN 'TAMPERED' ELSE step_name END"),
+        ("seq", "cast(seq AS bigint)"), ("share", share), ("gate", "actor_type = 'human'"),
+        ("actor", d.struct([("type", "actor_type"), ("email", "actor_email")])),
+        ("labels", d.array("node_id", "'Übergang → ' || step_name")),
+        ("note", "CASE WHEN seq % 7 = 0 THEN 'line' || chr(10) || 'tab' || chr(9) || '\"end\"' END"),
+        ("attrs", d.str_map([("node", "node_id"), ("intent", "intent_kind")]))])
     return f"""
 SELECT trace_event_id, loop_id, node_id, step_name, ts, seq, actor_type, actor_email, intent_kind,
-       CASE WHEN trace_event_id % 97 = 0 THEN {tampered} ELSE {payload} END AS payload,
+       {payload} AS payload,
        {d.sha256(original)} AS stored_hash
-FROM (SELECT event_id AS trace_event_id, loop_id, node_id, step_name, ts, seq,
-             CASE WHEN step_name IN ('GATE_H1', 'GATE_H2') THEN 'human' ELSE 'agent' END AS actor_type,
-             CASE WHEN step_name IN ('GATE_H1', 'GATE_H2') THEN 'reviewer' || right(loop_id, 3) || '@example.com'
-                  ELSE 'sa-agent-' || node_id || '@agents.example.com' END AS actor_email,
-             'STATE_TRANSITION' AS intent_kind
+FROM (SELECT {_AUDITED}, seq
       FROM {{numbered_traces}}) AS s
 WHERE trace_event_id % 53 <> 0"""
 
@@ -346,6 +386,18 @@ SELECT doc_id, '01KZZ' || lpad(cast(doc_id AS string), 14, '0') AS loop_id,
 FROM {{documents}}"""
 
 
+def _stored_artifacts(d: Dialect) -> str:
+    # What the store holds of the artifacts, with planted defects: lost,
+    # altered, moved to another domain, stored twice, never catalogued.
+    moved = " ".join(f"WHEN {i} THEN '{DOMAINS[(i + 1) % 5]}'" for i in range(5))
+    return f"""
+SELECT doc_id, loop_id, CASE WHEN doc_id % 41 = 7 THEN (CASE doc_id % 5 {moved} END) ELSE domain END AS domain,
+       CASE WHEN doc_id % 47 = 13 AND copy = 1 THEN 'notes.txt' ELSE artifact_name END AS artifact_name,
+       CASE WHEN doc_id % 37 = 3 THEN content || ' ' ELSE content END AS content, created_at
+FROM (SELECT *, 0 AS copy FROM {{artifacts}} WHERE doc_id % 31 <> 5
+      UNION ALL SELECT *, 1 AS copy FROM {{artifacts}} WHERE doc_id % 43 = 11 OR doc_id % 47 = 13) AS a"""
+
+
 def _specs(d: Dialect) -> str:
     metric = "CASE doc_id % 5 " + " ".join(
         f"WHEN {i} THEN '{DOMAIN_METRIC[dom]}'" for i, dom in enumerate(DOMAINS)) + " END"
@@ -464,8 +516,10 @@ ADAPTERS: dict[str, tuple[tuple[str, ...], object]] = {
     "session_traces": (("events",), _session_traces),
     "loop_events": (("session_traces",), _loop_events),
     "numbered_traces": (("session_traces",), _numbered_traces),
+    "audit_log": (("session_traces",), _audit_log),
     "audit_events": (("numbered_traces",), _audit_events),
     "artifacts": (("documents",), _artifacts),
+    "stored_artifacts": (("artifacts",), _stored_artifacts),
     "specs": (("documents",), _specs),
     "briefs": (("documents",), _briefs),
     "test_results": (("documents",), _test_results),

@@ -94,6 +94,15 @@ def write_artifacts(records_with_content: DataFrame, root: str, mode: str = "app
      .write.mode(mode).partitionBy("domain", "created_date").parquet(f"{root}/processes"))
 
 
+def read_artifacts(spark: SparkSession, root: str) -> DataFrame:
+    """The hierarchy as it lies in the store: the rows of every file and the
+    ``folder`` (domain/day) that holds it, from the file's path."""
+    path = F.col("_metadata.file_path")
+    rows = spark.read.parquet(f"{root}/processes")
+    folder = F.concat(F.regexp_extract(path, "domain=([^/]+)/", 1), F.lit("/"), F.regexp_extract(path, "created_date=([^/]+)/", 1))
+    return rows.select("*", folder.alias("folder"))
+
+
 # A11
 def append_telemetry(events: DataFrame, root: str) -> int:
     return CommitLog(events.sparkSession, root).append(events)

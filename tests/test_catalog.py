@@ -78,3 +78,41 @@ def test_canonical_json_equals_python(spark):
     df = spark.createDataFrame(rows, "i int, payload map<string,string>").select("i", "payload", E.canonical_json("payload").alias("j"))
     for r in df.collect():
         assert r.j == json.dumps(r.payload, sort_keys=True)
+
+
+def test_nested_payload_hash_and_sealed_record_equal_python(spark):
+    schema = ("loop_id string, node_id string, seq long, ts timestamp_ntz, actor_email string, actor_type string, intent_kind string, "
+              "payload struct<z:array<string>,a:struct<on:boolean,x:double>>")
+    payload = {"z": ["1", None, 'q"é'], "a": {"on": True, "x": 0.1}}
+    df = spark.createDataFrame([("01KZZ20260101", "finance", 7, datetime(2026, 1, 1, 2, 3, 4, 5), "a@b.c", "agent", "STATE", payload)], schema)
+    text = json.dumps(payload, sort_keys=True)
+    sha = hashlib.sha256(text.encode()).hexdigest()
+    assert E.audit_hash(df).first().state_snapshot_hash == sha
+    r = E.audit_records(df).first()
+    record = {"event_id": "EVT-01KZZ202-0007", "loop_id": "01KZZ20260101", "node_id": "finance", "seq": 7, "intent_kind": "STATE",
+              "actor_email": "a@b.c", "actor_type": "agent", "state_snapshot_hash": sha, "payload_summary": payload,
+              "timestamp": "2026-01-01T02:03:04.000005"}
+    assert r.record == json.dumps(record, sort_keys=True)
+    assert r.record_sha256 == hashlib.sha256(r.record.encode()).hexdigest()
+    assert r.object_key == "audit/finance/01KZZ20260101/00000007/EVT-01KZZ202-0007.json"
+
+
+def test_artifact_integrity_reports_each_planted_defect(spark, scratch):
+    from ledgerline.sources import sinks
+
+    day = datetime(2026, 1, 2, 3)
+    names = ["fine", "lost", "edited", "moved", "moved_day", "repeated", "unaudited"]
+    rows = [(n, "sales", "query.sql", f"SELECT '{n}'", day) for n in names]
+    schema = "loop_id string, domain string, artifact_name string, content string, created_at timestamp_ntz"
+    records = E.artifact_records(spark.createDataFrame(rows, schema), bucket="b")
+    stored = [r for r in rows if r[0] != "lost"] + [rows[5], ("stray", "sales", "notes.txt", "x", day)]
+    stored[1] = ("edited", "sales", "query.sql", "SELECT 'other'", day)
+    stored[2] = ("moved", "finance", *rows[3][2:])
+    stored[3] = ("moved_day", "sales", "query.sql", rows[4][3], datetime(2026, 1, 3))
+    sinks.write_artifacts(spark.createDataFrame(stored, schema).withColumn("artifact_id", F.col("loop_id")), scratch)
+    audit = spark.createDataFrame([(n, "IMPLEMENT") for n in names[:3]] + [("unaudited", "SPECIFY")], "loop_id string, step_name string")
+    flags = ["lost", "uncatalogued", "edited", "moved", "repeated", "unaudited"]
+    got = {r.loop_id: ([f for f in flags if r[f]], r.copies)
+           for r in E.artifact_integrity(records, sinks.read_artifacts(spark, scratch), audit).collect()}
+    assert got == {"lost": (["lost"], 0), "edited": (["edited"], 1), "moved": (["moved"], 1), "moved_day": (["moved"], 1),
+                   "repeated": (["repeated"], 2), "unaudited": (["unaudited"], 1), "stray": (["uncatalogued"], 1)}
