@@ -7,10 +7,12 @@ enforced with a null-count check (Parquet reads come back nullable).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .adapters import EVENTS_K
+
 # ---------------------------------------------------------------------------
 # Datasets, tables and declared columns (name, type).
 # ---------------------------------------------------------------------------
@@ -126,17 +128,69 @@ def table_schema(spark: SparkSession, table: str, dataset: str) -> DataFrame:
     return catalog_frame(spark).filter((F.col("dataset") == dataset) & (F.col("table_name") == table))
 
 
+# How the rows of a table follow from counts per key of its driver files:
+# plain tables add up, DISTINCT ones have so many rows per distinct key, JOINED
+# ones the product of both sides' counts per key, and the inventory one row per
+# (part, warehouse) whose part is known.
+_DISTINCT_ROWS = {"exchange_rates": 2, "firmware_releases": 1}
+_JOINED = ["opportunities", "accounts"]
+_DISTINCT_JOINED = ["inventory"]
+
+
+def _shares(grouped: DataFrame, *shares: tuple[str, Column | None, int, str | None, str | None]) -> DataFrame:
+    """Rows (table, side, key, sub, n) of a file's counts ``n`` for some
+    tables: (table, condition, side, key column, sub-key column)."""
+    def number(name: str | None) -> Column:
+        return (F.lit(None) if name is None else F.col(name)).cast("bigint")
+
+    made = [F.when(F.lit(True) if cond is None else cond, F.struct(
+        F.lit(table).alias("table_name"), F.lit(side).alias("side"), number(key).alias("key"), number(sub).alias("sub"), F.col("n")))
+        for table, cond, side, key, sub in shares]
+    return grouped.select(F.explode(F.filter(F.array(*made), lambda s: s.isNotNull())).alias("s")).select("s.*")
+
+
 def row_counts(tables) -> DataFrame:
-    """True ``count(*)`` of every domain table (replaces the constant 1000):
-    the tables' rows tagged with their name, unioned, and counted in ONE
-    grouped aggregation (map-side partial counts, one small shuffle); the
-    scans read no data columns beyond what the adapters' filters need."""
-    frames = [tables.get(tbl).select(F.lit(ds).alias("dataset"), F.lit(tbl).alias("table_name"))
-              for ds, tbls in CATALOG.items() for tbl in tbls]
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out.groupBy("dataset", "table_name").agg(F.count(F.lit(1)).alias("num_rows"))
+    """True number of rows of every domain table, from one pass over each
+    driver file: its rows are counted per key that some table needs (partial
+    counts in every task), and the tables' numbers follow from those counts.
+    No table is built, and no data column is read but the keys."""
+    n = F.count(F.lit(1)).alias("n")
+    events = tables.spark.sql(f"SELECT k % 4 AS version, event_type FROM {EVENTS_K}", events=tables.events)
+    kind = F.col("event_type")
+    orders = tables.orders.select("o_custkey", F.year("o_orderdate").alias("year"))
+    nations = tables.nation.join(tables.region, F.col("n_regionkey") == F.col("r_regionkey"))
+    shares = [
+        _shares(events.groupBy("version", "event_type").agg(n),
+                ("charger_telemetry", None, 0, None, None), ("firmware_releases", None, 0, "version", None),
+                ("billing_events", kind != "error", 0, None, None), ("campaign_events", kind != "error", 0, None, None),
+                ("error_logs", kind == "error", 0, None, None), ("user_acquisitions", kind == "signup", 0, None, None),
+                ("lead_conversions", kind.isin("signup", "purchase"), 0, None, None)),
+        _shares(orders.groupBy("o_custkey", "year").agg(n), ("invoices", None, 0, None, None),
+                ("exchange_rates", None, 0, "year", None), ("opportunities", F.col("o_custkey").isNotNull(), 0, "o_custkey", None)),
+        _shares(tables.lineitem.groupBy("l_partkey", "l_suppkey").agg(n), ("ad_spend", None, 0, None, None),
+                ("warehouse_dispatch", None, 0, None, None), ("inventory", F.col("l_partkey").isNotNull(), 0, "l_partkey", "l_suppkey")),
+        _shares(tables.part.groupBy("p_partkey").agg(n), ("parts_catalog", None, 0, None, None),
+                ("inventory", F.col("p_partkey").isNotNull(), 1, "p_partkey", None)),
+        _shares(tables.customer.groupBy("c_custkey", "c_nationkey").agg(n),
+                ("accounts", F.col("c_nationkey").isNotNull(), 0, "c_nationkey", None),
+                ("opportunities", F.col("c_custkey").isNotNull(), 1, "c_custkey", None)),
+        _shares(nations.groupBy("n_nationkey").agg(n), ("accounts", None, 1, "n_nationkey", None))]
+    every = shares[0]
+    for s in shares[1:]:
+        every = every.unionByName(s)
+    once = every.groupBy("table_name", "side", "key", "sub").agg(F.sum("n").alias("n"))
+    left, right = F.col("side") == 0, F.col("side") == 1
+    per_key = once.groupBy("table_name", "key").agg(
+        F.coalesce(F.sum(F.when(left, F.col("n"))), F.lit(0)).alias("rows"), F.count_if(left).alias("distinct"),
+        F.coalesce(F.sum(F.when(right, F.col("n"))), F.lit(0)).alias("others"))
+    rows = F.when(F.col("table_name").isin(_JOINED), F.col("rows") * F.col("others"))
+    rows = rows.when(F.col("table_name").isin(_DISTINCT_JOINED), F.when(F.col("others") > 0, F.col("distinct")).otherwise(0))
+    for table, times in _DISTINCT_ROWS.items():
+        rows = rows.when(F.col("table_name") == table, F.col("distinct") * times)
+    counted = per_key.groupBy("table_name").agg(F.sum(rows.otherwise(F.col("rows"))).alias("num_rows"))
+    names = tables.spark.createDataFrame([(ds, t) for ds, tbls in CATALOG.items() for t in tbls], "dataset string, table_name string")
+    return names.join(counted, "table_name", "left").select(
+        "dataset", "table_name", F.coalesce("num_rows", F.lit(0)).cast("long").alias("num_rows"))
 
 
 def schema_catalog(tables) -> DataFrame:
