@@ -4,9 +4,12 @@ A plain ``Window.partitionBy(key)`` puts every row of a key into one task; a
 key holding a third of the data would then be processed by one core.  These
 helpers split each key by a *monotone bucket* (a slice of the event time):
 the row-level window runs per ``(key, bucket)``, and the carry from earlier
-buckets comes from a per-bucket table (one row per key and bucket).  That
-table is carried the same way, in blocks of ``BLOCK`` buckets, so only one row
-per key and block meets in one task.
+buckets comes from one row per key and bucket.  Those rows are bounded by the
+time a key spans (a slice of ten minutes: some 50,000 a year), not by its rows,
+so their window over the key alone is small whatever the key holds.
+
+A helper reads its input twice, once for the rows and once, with partial
+aggregation in every task, for the carries.
 
 The bucket must be a whole number that does not decrease in the ordering
 (``slice_of(ts)`` with the order starting with ``ts``).  One bucket of the
@@ -24,7 +27,6 @@ from .timeutil import epoch_micros
 
 _AGG = {"sum": F.sum, "max": F.max, "min": F.min}
 SLICE_MICROS = 600_000_000  # ten minutes
-BLOCK = 1024  # buckets (slices) whose carry is computed together
 
 
 def slice_of(ts: Column | str) -> Column:
@@ -40,51 +42,53 @@ def _join_carry(src: DataFrame, per_bucket: DataFrame, cols: list[str]) -> DataF
 
 
 def running_many(df: DataFrame, keys: Sequence[str], bucket: str, order: Sequence[Column | str],
-                 specs: Sequence[tuple], levels: int = 2) -> DataFrame:
+                 specs: Sequence[tuple]) -> DataFrame:
     """Several running aggregates per ``keys`` in ``order`` in ONE pass.
 
     ``specs``: ``(name, value, agg, inclusive, descending)`` with ``agg`` in
-    sum/max/min; ``descending=True`` aggregates over the following rows.
-    All row-level windows share one exchange on (keys, bucket); the
-    per-bucket carries come from one aggregate and one join.  ``levels`` is
-    the number of levels in which the carry itself is computed.
+    sum/max/min/last (``last``: the newest value that is not NULL);
+    ``descending=True`` aggregates over the following rows.  All row-level
+    windows share one exchange on (keys, bucket); the carries come from one
+    aggregate, one window over its rows and one join.
     """
     keys = list(keys)
     src = df
     for i, (_, value, _, _, _) in enumerate(specs):
         src = src.withColumn(f"_v{i}", F.col(value) if isinstance(value, str) else value)
+    place = F.struct(*[F.col(o) if isinstance(o, str) else o for o in order])
+
+    def total(i: int, agg: str, descending: bool) -> Column:
+        if agg != "last":
+            return _AGG[agg](f"_v{i}")
+        newest = F.min_by if descending else F.max_by
+        return newest(f"_v{i}", F.when(F.col(f"_v{i}").isNotNull(), place))
+
+    def over(i: int, agg: str, column: str, window) -> Column:
+        return (F.last(column, ignorenulls=True) if agg == "last" else _AGG[agg](column)).over(window)
+
     per_bucket = src.groupBy(*keys, bucket).agg(
-        *[_AGG[agg](f"_v{i}").alias(f"_bt{i}") for i, (_, _, agg, _, _) in enumerate(specs)])
+        *[total(i, agg, descending).alias(f"_bt{i}") for i, (_, _, agg, _, descending) in enumerate(specs)])
+    carries = []
+    for i, (_, _, agg, _, descending) in enumerate(specs):
+        b_order = F.col(bucket).desc() if descending else F.col(bucket)
+        w_b = Window.partitionBy(*keys).orderBy(b_order).rowsBetween(Window.unboundedPreceding, -1)
+        carries.append(over(i, agg, f"_bt{i}", w_b).alias(f"_b{i}"))
+    per_bucket = per_bucket.select(*keys, bucket, *carries)
     rows = src
     for i, (_, _, agg, inclusive, descending) in enumerate(specs):
         ordering = edge_order_desc(order) if descending else list(order)
         w_in = (Window.partitionBy(*keys, bucket).orderBy(*ordering)
                 .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1))
-        rows = rows.withColumn(f"_w{i}", _AGG[agg](f"_v{i}").over(w_in))
-    if levels > 1:
-        block = F.floor(F.col(bucket) / F.lit(BLOCK))
-        totals = {f"_bt{i}": f"_total{i}" for i in range(len(specs))}
-        carries = [(f"_carry{i}", f"_total{i}", agg, False, descending)
-                   for i, (_, _, agg, _, descending) in enumerate(specs)]
-        per_bucket = running_many(per_bucket.withColumnsRenamed(totals).withColumn("_block", block), keys, "_block",
-                                  [bucket], carries, levels - 1)
-        per_bucket = (per_bucket.drop("_block", *totals.values())
-                      .withColumnsRenamed({f"_carry{i}": f"_b{i}" for i in range(len(specs))}))
-    else:
-        for i, (_, _, agg, _, descending) in enumerate(specs):
-            b_order = F.col(bucket).desc() if descending else F.col(bucket)
-            w_b = Window.partitionBy(*keys).orderBy(b_order).rowsBetween(Window.unboundedPreceding, -1)
-            per_bucket = per_bucket.withColumn(f"_b{i}", _AGG[agg](f"_bt{i}").over(w_b))
-        per_bucket = per_bucket.drop(*[f"_bt{i}" for i in range(len(specs))])
+        rows = rows.withColumn(f"_w{i}", over(i, agg, f"_v{i}", w_in))
     out = _join_carry(rows, per_bucket, [*keys, bucket])
     for i, (name, _, agg, _, _) in enumerate(specs):
         before, within = F.col(f"_b{i}"), F.col(f"_w{i}")
         if agg == "sum":
             combined = F.coalesce(before, F.lit(0)) + F.coalesce(within, F.lit(0))
-        elif agg == "max":
-            combined = F.greatest(before, within)
+        elif agg == "last":
+            combined = F.coalesce(within, before)
         else:
-            combined = F.least(before, within)
+            combined = F.greatest(before, within) if agg == "max" else F.least(before, within)
         out = out.withColumn(name, combined).drop(f"_v{i}", f"_w{i}", f"_b{i}")
     return out
 
@@ -92,7 +96,7 @@ def running_many(df: DataFrame, keys: Sequence[str], bucket: str, order: Sequenc
 def running(df: DataFrame, keys: Sequence[str], bucket: str, order: Sequence[Column | str],
             value: Column | str, name: str, agg: str = "sum", inclusive: bool = True,
             descending: bool = False) -> DataFrame:
-    """Add ``name`` = running ``agg`` (sum/max/min) of ``value`` per ``keys``
+    """Add ``name`` = running ``agg`` (sum/max/min/last) of ``value`` per ``keys``
     in ``order``; ``inclusive=False`` excludes the current row.
     ``descending=True`` runs from the end (an aggregate over the *following*
     rows).  Key columns must be non-NULL."""
@@ -100,7 +104,7 @@ def running(df: DataFrame, keys: Sequence[str], bucket: str, order: Sequence[Col
 
 
 def neighbour(df: DataFrame, keys: Sequence[str], bucket: str, order: Sequence[Column | str],
-              value: Column | str, name: str, direction: str = "prev", levels: int = 2) -> DataFrame:
+              value: Column | str, name: str, direction: str = "prev") -> DataFrame:
     """Add ``name`` = ``value`` of the previous (``prev``) or next (``next``)
     row per ``keys`` in ``order``; NULL at the edge of the key."""
     value = F.col(value) if isinstance(value, str) else value
@@ -108,31 +112,35 @@ def neighbour(df: DataFrame, keys: Sequence[str], bucket: str, order: Sequence[C
     order = list(order)
     src = df.withColumn("_v", value)
     w_in = Window.partitionBy(*keys, bucket).orderBy(*order)
-    if direction == "prev":
-        src = src.withColumn("_nb", F.lag("_v").over(w_in))
-        w_edge = w_in
-    else:
-        src = src.withColumn("_nb", F.lead("_v").over(w_in))
-        w_edge = Window.partitionBy(*keys, bucket).orderBy(*edge_order_desc(order))
-    # Is this row the first (prev) / last (next) of its bucket?
-    src = src.withColumn("_edge", F.row_number().over(w_edge) == 1)
+    w_edge = w_in if direction == "prev" else Window.partitionBy(*keys, bucket).orderBy(*edge_order_desc(order))
+    rows = (src.withColumn("_nb", (F.lag if direction == "prev" else F.lead)("_v").over(w_in))
+            .withColumn("_edge", F.row_number().over(w_edge) == 1))  # first (prev) / last (next) of its bucket
     # Value at the far edge of each bucket: last row (for prev) / first row (for next).
-    sort_key = F.struct(*[F.col(o) if isinstance(o, str) else o for o in order])
+    place = F.struct(*[F.col(o) if isinstance(o, str) else o for o in order])
     pick = F.max_by if direction == "prev" else F.min_by
-    per_bucket = src.groupBy(*keys, bucket).agg(pick("_v", sort_key).alias("_bv"))
-    if levels > 1:
-        block = F.floor(F.col(bucket) / F.lit(BLOCK))
-        per_bucket = neighbour(per_bucket.withColumnRenamed("_bv", "_edge_value").withColumn("_block", block), keys,
-                               "_block", [bucket], "_edge_value", "_carried", direction, levels - 1)
-        per_bucket = per_bucket.drop("_block", "_edge_value").withColumnRenamed("_carried", "_carry")
-    else:
-        w_b = Window.partitionBy(*keys).orderBy(bucket)
-        carry = F.lag("_bv").over(w_b) if direction == "prev" else F.lead("_bv").over(w_b)
-        per_bucket = per_bucket.withColumn("_carry", carry).drop("_bv")
-    out = _join_carry(src, per_bucket, [*keys, bucket])
+    per_bucket = src.groupBy(*keys, bucket).agg(pick("_v", place).alias("_bv"))
+    w_b = Window.partitionBy(*keys).orderBy(bucket)
+    carry = F.lag("_bv").over(w_b) if direction == "prev" else F.lead("_bv").over(w_b)
+    out = _join_carry(rows, per_bucket.select(*keys, bucket, carry.alias("_carry")), [*keys, bucket])
     out = out.withColumn(name, F.when(F.col("_edge"), F.col("_carry")).otherwise(F.col("_nb")))
     return out.drop("_v", "_nb", "_edge", "_carry")
 
 
+def as_of(events: DataFrame, facts: DataFrame, keys: Sequence[str], value: str, name: str,
+          ts: str = "ts", ident: str = "event_id") -> DataFrame:
+    """Add ``name`` = ``value`` of the newest row of ``facts`` of the same
+    ``keys`` at or before each event (ties in ``ts`` go to the larger
+    ``ident``); NULL without one.  Facts and events are one ordered stream per
+    key with a running newest value, so a hot key is split like any other and
+    no event is paired with more than one fact."""
+    keys = list(keys)
+    columns = events.columns
+    stream = events.withColumn("_late", F.lit(1)).unionByName(
+        facts.select(*keys, ts, ident, F.struct(F.col(value).alias("v")).alias("_fact"), F.lit(0).alias("_late")), allowMissingColumns=True)
+    stream = stream.withColumn("_slice", slice_of(ts))
+    found = running(stream, keys, "_slice", [ts, "_late", ident], "_fact", "_newest", agg="last")
+    return found.filter("_late = 1").select(*columns, F.col("_newest.v").alias(name))
+
+
 def edge_order_desc(order: Sequence[Column | str]) -> list[Column]:
     return [F.col(o).desc() if isinstance(o, str) else o.desc() for o in order]

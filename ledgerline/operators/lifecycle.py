@@ -9,12 +9,12 @@ task.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import formulas as fx
 from ..functions.timeutil import epoch_micros
-from ..functions.windows import neighbour, running, slice_of
+from ..functions.windows import as_of, neighbour, running, slice_of
 
 MAX_RETRIES = 3
 MAX_STEPS = 25
@@ -52,34 +52,72 @@ def _charges(events: DataFrame) -> DataFrame:
 def _with_budget(events: DataFrame) -> DataFrame:
     """Events with ``escalated`` and ``charges`` (retries charged before, for
     the same loop and destination).  A capped failure escalates once 3 charges
-    exist and then charges nothing; until then every event charges, so it
-    escalates when 3 charge events came before, and ``charges`` is the running
-    sum of the events that did charge.  Non-charging events form their own
-    (loop, NULL) groups and are ignored."""
+    exist and then charges nothing.  So the first three events of a (loop,
+    destination) charge, and after them the uncapped ones: beyond three,
+    ``charges`` is the number of earlier uncapped events plus that of the
+    capped among the first three.  One pass gives all of it: per slice the
+    number of events, of uncapped ones and its first three.  Non-charging
+    events form their own (loop, '') groups and are ignored."""
+    keys, order = ["loop_id", "_dest"], ["ts", "event_id"]
     c = (_charges(events).withColumn("slice", slice_of("ts"))
          .withColumn("_dest", F.coalesce(F.col("destination"), F.lit(""))))  # non-NULL key
-    c = running(c, ["loop_id", "_dest"], "slice", ["ts", "event_id"], F.lit(1), "earlier", inclusive=False)
-    esc = F.col("destination").isNotNull() & F.col("capped") & (F.col("earlier") >= MAX_RETRIES)
-    c = c.withColumn("escalated", esc)
-    c = running(c, ["loop_id", "_dest"], "slice", ["ts", "event_id"], (~F.col("escalated")).cast("int"), "charges",
-                inclusive=False)
-    return c.drop("slice", "_dest", "earlier")
+    inside = Window.partitionBy(*keys, "slice").orderBy(*order)
+    free, first = ~F.col("capped"), F.row_number().over(inside)
+    heads = c.filter(F.col("destination").isNotNull()).select(*keys, "slice", "capped", first.alias("_nth"))
+    capped = [F.max((F.col("capped") & (F.col("_nth") == k)).cast("int")) for k in range(1, MAX_RETRIES + 1)]
+    slices = heads.groupBy(*keys, "slice").agg(F.count(F.lit(1)).alias("_n"), F.count_if(free).alias("_u"), F.array(*capped).alias("_first"))
+    earlier_slices = Window.partitionBy(*keys).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    slices = slices.select(*keys, "slice", "_first", *[F.coalesce(F.sum(n).over(earlier_slices), F.lit(0)).alias(f"{n}0") for n in ("_n", "_u")])
+    missing = F.greatest(F.lit(MAX_RETRIES) - F.col("_n0"), F.lit(0)).cast("int")  # of the first three, still to come
+    among = sum((F.when(missing >= k, F.col("_first")[k - 1]).otherwise(0) for k in range(1, MAX_RETRIES + 1)), F.lit(0))
+    slices = slices.select(*keys, "slice", "_n0", "_u0", F.sum(among).over(Window.partitionBy(*keys)).alias("_capped"))
+    before = inside.rowsBetween(Window.unboundedPreceding, -1)
+    rows = c.withColumn("_n", F.count(F.lit(1)).over(before)).withColumn("_u", F.count_if(free).over(before))
+    out = rows.join(slices, [*keys, "slice"], "left")
+    earlier = F.col("_n0") + F.col("_n")
+    charging = F.col("destination").isNotNull()
+    out = out.withColumn("escalated", F.coalesce(charging & F.col("capped") & (earlier >= MAX_RETRIES), F.lit(False)))
+    out = out.withColumn("charges", F.when(charging, F.when(earlier <= MAX_RETRIES, earlier).otherwise(F.col("_u0") + F.col("_u") + F.col("_capped"))))
+    return out.drop("slice", "_dest", "_n", "_u", "_n0", "_u0", "_capped")
+
+
+# F9 in I1/I2: what the harness said
+def escalation_violations(events: DataFrame, reports: DataFrame) -> DataFrame:
+    """``loop_id, event_id, found``: the violations of the loop's newest
+    harness report at each failed harness step (NULL without a report)."""
+    failed = (F.col("step_name") == "SPEC_HARNESS") & ~F.coalesce(F.col("harness_passed"), F.lit(False))
+    steps = events.filter(failed).select("loop_id", "event_id", "ts")
+    return as_of(steps, reports, ["loop_id"], "violations", "found").select("loop_id", "event_id", "found")
+
+
+def _harness_reason(found: Column) -> Column:
+    listed = F.coalesce(F.array_join(found, ", "), F.lit("Unknown violations"))
+    return F.concat(F.lit(f"Spec harness validation failed after {MAX_RETRIES} retries. Violations: "), listed)
+
+
+def _with_found(rows: DataFrame, events: DataFrame, reports: DataFrame | None) -> DataFrame:
+    if reports is None:
+        return rows.withColumn("found", F.lit(None).cast("array<string>"))
+    return rows.join(escalation_violations(events, reports), ["loop_id", "event_id"], "left")
+
+
+def _reason(escalated: Column, destination: Column) -> Column:
+    """Why an event escalated."""
+    return (F.when(escalated & (F.col("step_name") == "SPEC_HARNESS"), _harness_reason(F.col("found")))
+            .when(escalated, F.concat(F.lit("Reviewer returned '"), F.col("review_outcome"),
+                                      F.lit(f"' and retry limit ({MAX_RETRIES}) for node '"), destination, F.lit("' was reached."))))
 
 
 # I2
-def retry_budget(events: DataFrame) -> DataFrame:
+def retry_budget(events: DataFrame, reports: DataFrame | None = None) -> DataFrame:
     """Per charge event: retries charged before it for its destination, and
-    whether it escalates (with the reason text)."""
-    c = _with_budget(events).filter(F.col("destination").isNotNull())
+    whether it escalates, with the reason; ``reports`` (loop_id, event_id, ts,
+    violations) are the harness reports that the reason lists."""
+    c = _with_found(_with_budget(events).filter(F.col("destination").isNotNull()), events, reports)
     escalated = F.col("escalated")
-    reason = (F.when(escalated & (F.col("step_name") == "SPEC_HARNESS"),
-                     F.lit(f"Spec harness validation failed after {MAX_RETRIES} retries."))
-              .when(escalated, F.concat(F.lit("Reviewer returned '"), F.col("review_outcome"),
-                                        F.lit(f"' and retry limit ({MAX_RETRIES}) for node '"),
-                                        F.col("destination"), F.lit("' was reached."))))
     return c.select("loop_id", "event_id", "step_name", "destination",
                     F.col("charges").cast("long").alias("charges_before"),
-                    (~escalated).alias("charged"), escalated.alias("escalated"), reason.alias("reason"))
+                    (~escalated).alias("charged"), escalated.alias("escalated"), _reason(escalated, F.col("destination")).alias("reason"))
 
 
 # I3
@@ -88,10 +126,25 @@ def total_retries(budget: DataFrame) -> DataFrame:
 
 
 # I1
-def next_state(events: DataFrame) -> DataFrame:
+def transitions(events: DataFrame) -> DataFrame:
     """Next state per event from the routing rules; retry caps come from the
     running charge count computed on the same frame (no join back)."""
-    e = _with_budget(events)
+    return _routed(_with_budget(events)).select("loop_id", "event_id", "ts", "step_name", "next_state")
+
+
+def next_state(events: DataFrame, reports: DataFrame | None = None) -> DataFrame:
+    """Transitions with the reason of those that end or escalate a loop
+    without its being done."""
+    e = _with_found(_routed(_with_budget(events)), events, reports)
+    rejected = F.col("step_name").isin("GATE_H1", "GATE_H2") & (F.col("next_state") == "CLOSED")
+    gate = F.when(F.col("step_name") == "GATE_H1", "Gate H1").otherwise("Gate H2")
+    reason = (F.when(rejected, F.concat(gate, F.lit(" rejected by human reviewer ("), F.col("reviewer"), F.lit(").")))
+              .otherwise(_reason((F.col("next_state") == "ESCALATED") & F.col("escalated"), F.col("destination"))))
+    return e.select("loop_id", "event_id", "ts", "step_name", "next_state", reason.alias("reason"))
+
+
+def _routed(e: DataFrame) -> DataFrame:
+    """``next_state`` of events with their retry budget."""
     st, dec = F.col("step_name"), F.col("decision")
     esc = F.coalesce(F.col("escalated"), F.lit(False))
     outcome = F.coalesce(F.col("review_outcome"), F.lit("pass"))
@@ -108,7 +161,7 @@ def next_state(events: DataFrame) -> DataFrame:
              .when(st == "GATE_H2", F.when(dec.isNull(), "WAIT_GATE_H2").when(dec == "approve", "CLOSE")
                    .when(dec == "request_changes", "REVIEW").otherwise("CLOSED"))
              .otherwise(st))
-    return e.select("loop_id", "event_id", "ts", "step_name", chain.alias("next_state"))
+    return e.withColumn("next_state", chain)
 
 
 # I4
@@ -130,8 +183,10 @@ def latest_loop_state(transitions: DataFrame) -> DataFrame:
 
 
 # I6
-def pending_gates(latest: DataFrame) -> DataFrame:
-    now = latest.select(F.max("updated_at")).scalar()
+def pending_gates(latest: DataFrame, events: DataFrame | None = None) -> DataFrame:
+    """Category of every loop and the age of its pending gate, as of the
+    newest event (of ``events``, which is cheaper to read than the states)."""
+    now = (latest.select(F.max("updated_at")) if events is None else events.select(F.max("ts"))).scalar()
     age_us = epoch_micros(now) - epoch_micros("updated_at")
     category = (F.when(F.col("current_state").isin(PAUSE_STATES), "PENDING_GATE")
                 .when(F.col("current_state").isin(TERMINAL_STATES), "TERMINAL").otherwise("ACTIVE"))

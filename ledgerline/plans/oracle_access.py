@@ -84,7 +84,9 @@ cnt2 AS (SELECT *, cast(coalesce(sum(CASE WHEN capped AND earlier >= 3 THEN 0 EL
 bud AS (SELECT loop_id, event_id, step_name, destination, charges AS charges_before,
                NOT (capped AND earlier >= 3) AS charged, capped AND earlier >= 3 AS escalated,
                CASE WHEN capped AND earlier >= 3 AND step_name = 'SPEC_HARNESS'
-                      THEN 'Spec harness validation failed after 3 retries.'
+                      THEN 'Spec harness validation failed after 3 retries. Violations: ' || (
+                        SELECT coalesce(max_by(array_to_string(h.violations, ', '), (h.ts, h.event_id)), 'Unknown violations')
+                        FROM harness_reports h WHERE h.loop_id = cnt2.loop_id AND h.ts <= cnt2.ts)
                     WHEN capped AND earlier >= 3
                       THEN 'Reviewer returned ''' || review_outcome || ''' and retry limit (3) for node '''
                            || destination || ''' was reached.' END AS reason
@@ -102,14 +104,19 @@ tr AS (SELECT e.loop_id, e.event_id, e.ts, e.step_name,
                                            ELSE {_DEST.replace('review_outcome', 'e.review_outcome')} END
                    WHEN 'GATE_H2' THEN CASE WHEN e.decision IS NULL THEN 'WAIT_GATE_H2' WHEN e.decision = 'approve' THEN 'CLOSE'
                                             WHEN e.decision = 'request_changes' THEN 'REVIEW' ELSE 'CLOSED' END
-                   ELSE e.step_name END AS next_state
+                   ELSE e.step_name END AS next_state,
+              CASE WHEN e.step_name = 'GATE_H1' AND e.decision NOT IN ('approve', 'request_changes')
+                     THEN 'Gate H1 rejected by human reviewer (' || e.reviewer || ').'
+                   WHEN e.step_name = 'GATE_H2' AND e.decision NOT IN ('approve', 'request_changes')
+                     THEN 'Gate H2 rejected by human reviewer (' || e.reviewer || ').'
+                   WHEN b.escalated THEN b.reason END AS reason
        FROM loop_events e LEFT JOIN bud b ON e.event_id = b.event_id),
 latest AS (SELECT loop_id, current_state, updated_at FROM
            (SELECT loop_id, next_state AS current_state, ts AS updated_at,
                    row_number() OVER (PARTITION BY loop_id ORDER BY ts DESC, event_id DESC) AS rn FROM tr) x
            WHERE rn = 1)"""
 
-_LE = ["loop_events"]
+_LE = ["loop_events", "harness_reports"]
 ORACLE["retry_budget"] = with_adapters(_LE, BUDGET + "\nSELECT * FROM bud")
 ORACLE["total_retries"] = with_adapters(_LE, BUDGET + """
 SELECT loop_id, count(*) FILTER (WHERE charged) AS total_retries FROM bud GROUP BY loop_id""")

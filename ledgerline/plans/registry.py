@@ -175,15 +175,15 @@ from ..operators import lifecycle as L  # noqa: E402
 
 
 def _transitions(t: Tables) -> DataFrame:
-    return L.next_state(t.loop_events)
+    return L.transitions(t.loop_events)
 
 
-_reg("next_state", _transitions, ORACLE_ACCESS)
-_reg("retry_budget", lambda t: L.retry_budget(t.loop_events), ORACLE_ACCESS)
+_reg("next_state", lambda t: L.next_state(t.loop_events, t.harness_reports), ORACLE_ACCESS)
+_reg("retry_budget", lambda t: L.retry_budget(t.loop_events, t.harness_reports), ORACLE_ACCESS)
 _reg("total_retries", lambda t: L.total_retries(L.retry_budget(t.loop_events)), ORACLE_ACCESS)
 _reg("first_gate_resolution", lambda t: L.first_gate_resolution(t.loop_events), ORACLE_ACCESS)
 _reg("latest_loop_state", lambda t: L.latest_loop_state(_transitions(t)), ORACLE_ACCESS)
-_reg("pending_gates", lambda t: L.pending_gates(L.latest_loop_state(_transitions(t))), ORACLE_ACCESS)
+_reg("pending_gates", lambda t: L.pending_gates(L.latest_loop_state(_transitions(t)), t.loop_events), ORACLE_ACCESS)
 _reg("step_limit", lambda t: L.step_limit(_transitions(t)), ORACLE_ACCESS)
 _reg("stage_durations", lambda t: L.stage_durations(t.loop_events), ORACLE_ACCESS)
 

@@ -309,7 +309,8 @@ def _loop_events(d: Dialect) -> str:
 SELECT event_id, loop_id, node_id, step_name, ts,
        CASE WHEN step_name IN ('GATE_H1', 'GATE_H2') THEN {decision} END AS decision,
        CASE WHEN step_name = 'REVIEW' THEN {outcome} END AS review_outcome,
-       CASE WHEN step_name = 'SPEC_HARNESS' THEN event_id % 3 <> 0 END AS harness_passed
+       CASE WHEN step_name = 'SPEC_HARNESS' THEN event_id % 3 <> 0 END AS harness_passed,
+       CASE WHEN step_name IN ('GATE_H1', 'GATE_H2') THEN 'reviewer' || right(loop_id, 3) || '@example.com' END AS reviewer
 FROM {{session_traces}}"""
 
 
@@ -321,6 +322,16 @@ _AUDITED = """event_id AS trace_event_id, loop_id, node_id, step_name, ts,
        'STATE_TRANSITION' AS intent_kind"""
 
 
+def _harness_reports(d: Dialect) -> str:
+    # What the harness said of a loop's specification, each time it was written.
+    lists = [[], ["Specification content is empty."], ["Missing mandatory Gherkin keyword Then."],
+             ["Missing required frontmatter field created_at.", "Missing mandatory Gherkin keyword Given."]]
+    arms = " ".join(f"WHEN {i} THEN {d.str_array(*[v for v in vs])}" for i, vs in enumerate(lists))
+    return f"""
+SELECT event_id, loop_id, ts, CASE event_id % 4 {arms} END AS violations
+FROM {{session_traces}} WHERE step_name = 'SPECIFY'"""
+
+
 def _audit_log(d: Dialect) -> str:
     """The audit log without sequence numbers."""
     return f"""
@@ -515,6 +526,7 @@ ADAPTERS: dict[str, tuple[tuple[str, ...], object]] = {
     "parts_catalog": (("part",), _parts_catalog),
     "session_traces": (("events",), _session_traces),
     "loop_events": (("session_traces",), _loop_events),
+    "harness_reports": (("session_traces",), _harness_reports),
     "numbered_traces": (("session_traces",), _numbered_traces),
     "audit_log": (("session_traces",), _audit_log),
     "audit_events": (("numbered_traces",), _audit_events),

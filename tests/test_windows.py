@@ -56,9 +56,9 @@ def test_row_level_window_is_partitioned_by_key_and_bucket(spark):
     assert re.search(r"Exchange hashpartitioning\(k#\d+L?, b#\d+L?", plan)
 
 
-def test_hot_key_in_one_day_is_split_and_carried_in_two_levels(spark):
-    """A third of the rows share one key and one day; slices and blocks give
-    the plain window's answer and no row-level window groups by the key alone."""
+def test_hot_key_in_one_day_is_split_and_carried(spark):
+    """A third of the rows share one key and one day; slices give the plain
+    window's answer and no row-level window groups by the key alone."""
     from ledgerline.functions import windows as W
 
     rows = spark.range(4000).selectExpr(
@@ -67,11 +67,7 @@ def test_hot_key_in_one_day_is_split_and_carried_in_two_levels(spark):
     df = rows.withColumn("slice", W.slice_of("ts"))
     w = Window.partitionBy("k").orderBy("ts", "id")
     exp = (df.withColumn("s", F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("p", F.lag("id").over(w)))
-    block, W.BLOCK = W.BLOCK, 8
-    try:
-        got = W.neighbour(W.running(df, ["k"], "slice", ["ts", "id"], "v", "s"), ["k"], "slice", ["ts", "id"], "id", "p")
-    finally:
-        W.BLOCK = block
+    got = W.neighbour(W.running(df, ["k"], "slice", ["ts", "id"], "v", "s"), ["k"], "slice", ["ts", "id"], "id", "p")
     assert {(r.id, r.s, r.p) for r in exp.collect()} == {(r.id, r.s, r.p) for r in got.collect()}
 
 
@@ -83,3 +79,45 @@ def test_registered_plans_have_no_row_window_over_a_loop_alone(spark, small):
     for name in ("audit_hash", "audit_keys", "audit_integrity", "next_state", "events_for_loop"):
         plan = PLANS[name](small)._jdf.queryExecution().executedPlan().toString()
         assert not re.search(r"windowspecdefinition\(loop_id#\d+L?, ts#", plan), name
+
+
+def test_newest_value_that_is_not_null(spark):
+    df = _data(spark, seed=3).withColumn("x", F.when(F.col("v") > 7, F.col("id")))
+    w = Window.partitionBy("k").orderBy("t", "id")
+    exp = (df.withColumn("l", F.last("x", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+           .withColumn("n", F.first("x", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))))
+    got = running(df, ["k"], "b", ["t", "id"], "x", "l", "last")
+    got = running(got, ["k"], "b", ["t", "id"], "x", "n", "last", inclusive=False, descending=True)
+    assert {r.id: (r.l, r.n) for r in exp.collect()} == {r.id: (r.l, r.n) for r in got.collect()}
+
+
+def test_as_of_equals_a_search_of_all_facts(spark):
+    """Facts before, at and after events, ties, null values, a hot key."""
+    from ledgerline.functions.windows import as_of
+
+    rnd = random.Random(9)
+
+    def rows(n, first):
+        return [("hot" if rnd.random() < 0.4 else f"k{rnd.randint(0, 12)}", first + i, rnd.randint(0, 200)) for i in range(n)]
+
+    events, facts = rows(400, 0), [(*r, rnd.choice([None, r[1], -r[1]])) for r in rows(300, 1000)]
+
+    def ts(df):
+        return df.withColumn("ts", F.expr("timestamp_ntz'2024-05-01 00:00:00' + make_dt_interval(0, 0, t)"))
+
+    got = {r.event_id: r.x for r in as_of(
+        ts(spark.createDataFrame(events, "k string, event_id long, t int")),
+        ts(spark.createDataFrame(facts, "k string, event_id long, t int, v long")), ["k"], "v", "x").collect()}
+    assert len(got) == 400
+    for k, i, t in events:
+        past = [(ft, fi, v) for fk, fi, ft, v in facts if fk == k and ft <= t]
+        assert got[i] == (max(past, key=lambda p: p[:2])[2] if past else None), i
+
+
+def test_plans_read_the_events_a_bounded_number_of_times(small):
+    from ledgerline.plans.registry import PLANS
+
+    for name, most in (("latest_loop_state", 2), ("total_retries", 2), ("stage_durations", 2), ("first_gate_resolution", 2),
+                       ("step_limit", 4), ("retry_budget", 6)):
+        plan = PLANS[name](small)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Relation [") <= most, name
