@@ -75,7 +75,8 @@ def trajectory_matches(traces: DataFrame) -> DataFrame:
     """Per trace row: does the step advance the process?  A step matches iff
     its graph position exceeds the running max of all earlier positions of
     the session (equivalent to walking the expected sequence)."""
-    t = (traces.select("loop_id", "event_id", "ts", "step_name", "status")
+    domain = ["node_id"] if "node_id" in traces.columns else []
+    t = (traces.select("loop_id", "event_id", "ts", "step_name", "status", *domain)
          .withColumn("pos", state_position("step_name"))
          .withColumn("slice", slice_of("ts")))
     t = running(t, ["loop_id"], "slice", ["ts", "event_id"], "pos", "prev_max", agg="max", inclusive=False)
@@ -96,6 +97,7 @@ def harvest_sessions(traces: DataFrame, loop_events: DataFrame) -> DataFrame:
     """One row per session from the event log (aggregates only)."""
     m = trajectory_matches(traces)
     s = m.groupBy("loop_id").agg(
+        F.min("node_id").alias("domain"),
         F.count(F.lit(1)).alias("steps"),
         F.count_if("matched").alias("matched_steps"),
         F.max_by("step_name", F.struct("ts", "event_id")).alias("final_state"),
@@ -104,7 +106,7 @@ def harvest_sessions(traces: DataFrame, loop_events: DataFrame) -> DataFrame:
     g = gate_decisions(loop_events)
     s = s.join(g, "loop_id", "left")
     return s.select(
-        "loop_id", "steps", "matched_steps", "final_state", "failed_tools", "started_at", "ended_at",
+        "loop_id", "domain", "steps", "matched_steps", "final_state", "failed_tools", "started_at", "ended_at",
         F.coalesce(F.col("h1_decision") == "approve", F.lit(False)).alias("h1_approved"),
         F.coalesce(F.col("h2_decision") == "approve", F.lit(False)).alias("h2_approved"))
 
@@ -134,7 +136,7 @@ def flywheel_report(sessions: DataFrame, conversations: DataFrame) -> DataFrame:
     outputs = Q.final_outputs(conversations).withColumnRenamed("conv_id", "run_key")
     s = sessions.join(outputs, "run_key", "left")
     s = s.select(
-        "loop_id",
+        "loop_id", "domain",
         task_success("final_state", "h1_approved", "h2_approved").alias("task_success"),
         fx.half_up_ratio("matched_steps", "steps", 2).alias("trajectory_quality"),
         tool_use_score("failed_tools").alias("tool_use_quality"),
@@ -163,12 +165,24 @@ def loss_clusters(report: DataFrame) -> DataFrame:
 
 
 # G12
-def suite_summary(report: DataFrame) -> DataFrame:
-    hundredths = (F.col("aggregate_score").cast("decimal(10,2)") * 100).cast("long")
-    g = report.agg(F.count(F.lit(1)).alias("sessions"), F.sum(hundredths).alias("_s"),
-                   F.bool_and("passed").alias("all_passed"))
-    g = g.withColumn("mean_aggregate_score", fx.half_up_ratio("_s", "sessions", 0) / F.lit(100.0))
-    return g.withColumn("gate_passed", F.col("mean_aggregate_score") >= PASS_GATE).drop("_s")
+ALL_DOMAINS = "ALL"
+
+
+def suite_summary(reports: dict[str, DataFrame]) -> DataFrame:
+    """Mean score, all-passed and gate of each suite (a report with ``domain``,
+    ``aggregate_score`` and ``passed``), per domain and over all domains: the
+    reports are united and both groupings come from one pass."""
+    runs = None
+    for suite, report in reports.items():
+        part = report.select(F.lit(suite).alias("suite"), "domain", "aggregate_score", "passed")
+        runs = part if runs is None else runs.unionByName(part)
+    runs = runs.withColumn("_hundredths", (F.col("aggregate_score").cast("decimal(10,2)") * 100).cast("long"))
+    g = runs.groupingSets([["suite", "domain"], ["suite"]], "suite", "domain").agg(
+        F.grouping("domain").alias("_all"), F.count(F.lit(1)).alias("runs"), F.sum("_hundredths").alias("_s"),
+        F.bool_and("passed").alias("all_passed"))
+    g = g.withColumn("mean_aggregate_score", fx.half_up_ratio("_s", "runs", 0) / F.lit(100.0))
+    return g.select("suite", F.when(F.col("_all") == 1, ALL_DOMAINS).otherwise(F.col("domain")).alias("domain"), "runs",
+                    "mean_aggregate_score", "all_passed", (F.col("mean_aggregate_score") >= PASS_GATE).alias("gate_passed"))
 
 
 # G5 --------------------------------------------------------------------------
@@ -185,7 +199,7 @@ def scorecard(sessions: DataFrame, specs: DataFrame, results: DataFrame) -> Data
     tr = results.select(F.col("run_id").alias("run_key"), "pass_rate", "exit_code")
     s = sessions.join(sp, "run_key", "left").join(tr, "run_key", "left")
     s = s.select(
-        "loop_id",
+        "loop_id", "domain",
         F.coalesce("gherkin_contract_score", F.lit(0.0)).alias("gherkin_contract_score"),
         fx.half_up_ratio("matched_steps", "steps", 2).alias("graph_conformance_score"),
         F.coalesce("skill_compliance_score", F.lit(0.0)).alias("skill_compliance_score"),
@@ -208,6 +222,7 @@ def protocol_scorecard(responses: DataFrame) -> DataFrame:
     a = F.when(F.col("has_artifacts"), 1.0).otherwise(0.5)
     lc = F.when(F.col("lifecycle_ok"), 1.0).otherwise(0.0)
     agg = _dec("0.35") * _dec(p) + _dec("0.25") * _dec(r) + _dec("0.20") * _dec(a) + _dec("0.20") * _dec(lc)
-    out = responses.select("response_id", p.alias("protocol_score"), r.alias("routing_score"),
+    domain = [F.col("node_id").alias("domain")] if "node_id" in responses.columns else []
+    out = responses.select("response_id", *domain, p.alias("protocol_score"), r.alias("routing_score"),
                            a.alias("artifact_score"), lc.alias("lifecycle_score"), _score(agg).alias("aggregate_score"))
     return out.withColumn("passed", F.col("aggregate_score") >= PASS_GATE)

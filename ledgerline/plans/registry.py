@@ -156,7 +156,9 @@ _reg("tool_use_score", lambda t: _report(t).select("loop_id", "tool_use_quality"
 _reg("instruction_score", lambda t: _report(t).select("loop_id", "instruction_following"), ORACLE_SCORING)
 _reg("flywheel_report", _report, ORACLE_SCORING)
 _reg("loss_clusters", lambda t: G.loss_clusters(_report(t)), ORACLE_SCORING)
-_reg("suite_summary", lambda t: G.suite_summary(_report(t)), ORACLE_SCORING)
+_reg("suite_summary", lambda t: G.suite_summary({
+    "delivery": G.scorecard(_keyed_sessions(t), t.specs, t.test_results),
+    "protocol": G.protocol_scorecard(t.response_log), "flywheel": _report(t)}), ORACLE_SCORING)
 
 # H: classification, identity, access
 from ..operators import access as H  # noqa: E402

@@ -498,13 +498,13 @@ FROM {conversations}"""
 
 
 def _response_log(d: Dialect) -> str:
-    return """
-SELECT event_id AS response_id, cast(user_id AS string) AS bench_id,
+    return f"""
+SELECT event_id AS response_id, cast(user_id AS string) AS bench_id, {_domain_of('user_id')} AS node_id,
        event_id % 2 = 0 AS protocol_ok,
        event_id % 3 <> 0 AS has_artifacts,
        event_id % 5 <> 0 AS correct_domain,
        event_id % 7 <> 0 AS lifecycle_ok
-FROM {events}"""
+FROM {{events}}"""
 
 
 ADAPTERS: dict[str, tuple[tuple[str, ...], object]] = {

@@ -63,3 +63,12 @@ def test_tool_use_and_protocol(spark):
                                  "correct_domain boolean, lifecycle_ok boolean")
     got = {r.response_id: (r.aggregate_score, r.passed) for r in G.protocol_scorecard(resp).collect()}
     assert got == {1: (1.0, True), 2: (0.23, False)}  # .25*.5 + .2*.5 = .225 -> .23
+
+
+def test_suites_per_domain_and_in_all(spark):
+    schema = "domain string, aggregate_score double, passed boolean"
+    reports = {"a": spark.createDataFrame([("sales", 0.9, True), ("sales", 0.81, False), (None, 1.0, True)], schema),
+               "b": spark.createDataFrame([("finance", 0.85, True)], schema), "c": spark.createDataFrame([], schema)}
+    got = {(r.suite, r.domain): (r.runs, r.mean_aggregate_score, r.all_passed, r.gate_passed) for r in G.suite_summary(reports).collect()}
+    assert got == {("a", "sales"): (2, 0.86, False, True), ("a", None): (1, 1.0, True, True), ("a", "ALL"): (3, 0.9, False, True),
+                   ("b", "finance"): (1, 0.85, True, True), ("b", "ALL"): (1, 0.85, True, True)}
