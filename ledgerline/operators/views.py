@@ -7,7 +7,7 @@ results are deterministic.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import formulas as fx
@@ -333,10 +333,12 @@ TOUCH_TYPES = ["Click", "Impression"]
 DAY_US = 86_400_000_000
 
 
-def multi_touch_attribution(events: DataFrame, lookback_days: int = 30) -> DataFrame:
-    """Linear multi-touch attribution.  Touches (Click/Impression) of the
-    purchasing user with time in (purchase - lookback, purchase] share the
-    purchase equally; the earliest such touch is the first touch.
+def touch_shares(events: DataFrame, lookback_days: int = 30) -> DataFrame:
+    """Shares of the touches in each purchase: one row per purchase and channel
+    with a touch, ``c`` of the purchase's ``n`` touches, the purchase's time
+    ``p_x`` (epoch micros) and whether the channel holds the first touch.
+    Touches (Click/Impression) of the purchasing user with time in (purchase -
+    lookback, purchase] count.
 
     No touch x purchase pairs are built.  For every purchase and every
     channel the user has touches in, two query points (p - lookback and p)
@@ -373,6 +375,7 @@ def multi_touch_attribution(events: DataFrame, lookback_days: int = 30) -> DataF
         ("upto", (F.col("kind") == 0).cast("long"), "sum", True, False),
         ("next_touch", F.when(F.col("kind") == 0, F.struct("x", "touch_id")), "min", False, True)])
     qc = (pts.filter(F.col("kind") == 1).groupBy("user_id", "channel", "purchase_id").agg(
+        F.max(F.when(F.col("hi"), F.col("x"))).alias("p_x"),
         F.max(F.when(F.col("hi"), F.col("upto"))).alias("hi_n"),
         F.max(F.when(~F.col("hi"), F.col("upto"))).alias("lo_n"),
         F.max(F.when(~F.col("hi"), F.col("next_touch"))).alias("first"))
@@ -380,9 +383,14 @@ def multi_touch_attribution(events: DataFrame, lookback_days: int = 30) -> DataF
         .filter(F.col("c") > 0))
     # Per purchase (a handful of channel rows): total and earliest first touch.
     wp = Window.partitionBy("purchase_id")
-    qc = (qc.withColumn("n", F.sum("c").over(wp))
-          .withColumn("is_first", F.col("first") == F.min("first").over(wp)))
-    per_channel = qc.groupBy("channel").agg(
+    return qc.select("purchase_id", "channel", "p_x", "c", F.sum("c").over(wp).alias("n"),
+                     (F.col("first") == F.min("first").over(wp)).alias("is_first"))
+
+
+def multi_touch_attribution(events: DataFrame, lookback_days: int = 30) -> DataFrame:
+    """Linear multi-touch attribution: the touches before a purchase share it
+    equally; the earliest of them is the first touch."""
+    per_channel = touch_shares(events, lookback_days).groupBy("channel").agg(
         F.sum("c").alias("window_touches"),
         F.sum(F.col("c") / F.col("n")).alias("credit"),
         F.count_if("is_first").alias("first_touch_purchases"))
@@ -396,3 +404,42 @@ def multi_touch_attribution(events: DataFrame, lookback_days: int = 30) -> DataF
         F.round(F.col("credit") * 100 / F.col("purchases"), 4).alias("credit_share_pct"),
         "first_touch_purchases",
         fx.half_up_ratio("first_touch_purchases", "purchases", 2, 100).alias("first_touch_pct"))
+
+
+CREDIT_UNITS = 10 ** 12  # a purchase in the units in which credits are added
+
+
+def daily_credits(shares: DataFrame) -> DataFrame:
+    """Exact credits per channel, day of purchase and number of touches ``n``:
+    ``touches`` n-ths of a purchase.  As whole numbers over their denominator
+    they lose nothing: over all channels the touches of an ``n`` are ``n``
+    times its purchases."""
+    day = F.date_add(F.to_date(F.lit("1970-01-01")), F.floor(F.col("p_x") / F.lit(DAY_US)).cast("int"))
+    return shares.groupBy("channel", day.alias("day"), "n").agg(F.sum("c").alias("touches"))
+
+
+def attributed_cac(events: DataFrame, ad_spend: DataFrame, lookback_days: int = 30) -> DataFrame:
+    """Cost of an attributed purchase per channel: the channel's spend by its
+    fractional credits, in all (``cac_usd``) and over the days on which it earned
+    credit (``credited_cac_usd``); the spend of the other days is ``idle_usd``.
+
+    No touch is paired with a purchase and no purchase with spend: credits are
+    whole numbers per (channel, day, n), turned into 1e-12 purchases once per
+    such group, and meet the spend per (channel, day)."""
+    n, touches = F.col("n").cast("decimal(38,0)"), F.col("touches").cast("decimal(20,0)")
+    units = fx.idiv(touches * F.lit(CREDIT_UNITS), n).cast("decimal(38,0)")
+    credit = daily_credits(touch_shares(events, lookback_days)).groupBy("channel", "day").agg(F.sum(units).alias("units"))
+    spend = ad_spend.groupBy("channel", F.col("spend_date").alias("day")).agg(F.sum(fx.cents("amount_usd")).alias("cents"))
+    days = credit.join(spend, ["channel", "day"], "full").groupBy("channel").agg(
+        F.coalesce(F.sum("cents"), F.lit(0)).alias("cents"),
+        F.coalesce(F.sum(F.when(F.col("units") > 0, F.col("cents"))), F.lit(0)).alias("credited"),
+        F.coalesce(F.sum("units"), F.lit(0)).alias("units"), F.count_if(F.col("units") > 0).alias("credit_days"))
+
+    def dollars(cents: Column) -> Column:
+        return cents.cast("double") / F.lit(100.0)
+
+    return days.select(
+        "channel", "credit_days", fx.half_up_ratio("units", F.lit(CREDIT_UNITS), 6).alias("credited_purchases"),
+        dollars(F.col("cents")).alias("spend_usd"), dollars(F.col("cents") - F.col("credited")).alias("idle_usd"),
+        (fx.half_up_ratio("cents", "units", 0, CREDIT_UNITS) / F.lit(100.0)).alias("cac_usd"),
+        (fx.half_up_ratio("credited", "units", 0, CREDIT_UNITS) / F.lit(100.0)).alias("credited_cac_usd"))

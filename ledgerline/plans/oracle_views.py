@@ -230,3 +230,19 @@ SELECT channel, window_touches, round(credit, 6) AS touch_credit,
        first_touch_purchases,
        {ratio('first_touch_purchases', '(SELECT purchases FROM tot)', 2, 100)} AS first_touch_pct
 FROM c""")
+
+ORACLE["attributed_cac"] = with_adapters(["campaign_events", "campaign_spend"], f"""
+, t AS (SELECT user_id, channel, event_timestamp AS ts FROM campaign_events WHERE event_type IN ('Click', 'Impression')),
+p AS (SELECT user_id, event_id AS purchase_id, event_timestamp AS ts FROM campaign_events WHERE event_type = 'Purchase'),
+pairs AS (SELECT p.purchase_id, cast(p.ts AS date) AS day, t.channel, count(*) OVER (PARTITION BY p.purchase_id) AS n
+          FROM p JOIN t ON t.user_id = p.user_id AND t.ts > p.ts - INTERVAL 30 DAY AND t.ts <= p.ts),
+g AS (SELECT channel, day, n, count(*) AS touches FROM pairs GROUP BY 1, 2, 3),
+cr AS (SELECT channel, day, sum(cast(touches AS hugeint) * 1000000000000 // n) AS units FROM g GROUP BY 1, 2),
+sp AS (SELECT channel, spend_date AS day, sum({cents('amount_usd')}) AS cents FROM campaign_spend GROUP BY 1, 2),
+d AS (SELECT coalesce(cr.channel, sp.channel) AS channel, cr.units, sp.cents FROM cr FULL JOIN sp ON cr.channel = sp.channel AND cr.day = sp.day),
+c AS (SELECT channel, coalesce(sum(cents), 0) AS cents, coalesce(sum(cents) FILTER (units > 0), 0) AS credited,
+             coalesce(sum(units), 0) AS units, count(*) FILTER (units > 0) AS credit_days FROM d GROUP BY 1)
+SELECT channel, credit_days, {ratio('units', '1000000000000', 6)} AS credited_purchases, cast(cents AS double) / 100 AS spend_usd,
+       cast(cents - credited AS double) / 100 AS idle_usd, {ratio('cents', 'units', 0, 10 ** 12)} / 100 AS cac_usd,
+       {ratio('credited', 'units', 0, 10 ** 12)} / 100 AS credited_cac_usd
+FROM c""")

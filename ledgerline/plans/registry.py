@@ -49,6 +49,7 @@ _reg("funnel_conversion", lambda t: V.funnel_conversion(t.campaign_events), ORAC
 _reg("cohort_retention", lambda t: V.cohort_retention(t.campaign_events), ORACLE_VIEWS)
 _reg("energy_billing", lambda t: V.energy_billing(t.billing_events), ORACLE_VIEWS)
 _reg("multi_touch_attribution", lambda t: V.multi_touch_attribution(t.campaign_events), ORACLE_VIEWS)
+_reg("attributed_cac", lambda t: V.attributed_cac(t.campaign_events, t.campaign_spend), ORACLE_VIEWS)
 
 # C: formulas applied to whole tables
 from ..operators import formula_queries as C  # noqa: E402

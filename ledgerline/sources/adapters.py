@@ -261,6 +261,16 @@ SELECT l_orderkey * 10 + l_linenumber AS spend_id,
 FROM {lineitem}"""
 
 
+def _campaign_spend(d: Dialect) -> str:
+    # The spend on days of the campaign month; a channel rests one day in nine.
+    return """
+SELECT l_orderkey * 10 + l_linenumber AS spend_id,
+       CASE l_returnflag WHEN 'A' THEN 'Search' WHEN 'N' THEN 'Social' ELSE 'Affiliate' END AS channel,
+       cast(l_extendedprice AS decimal(18,2)) AS amount_usd,
+       cast('2024-01-01' AS date) + cast(l_orderkey % 40 AS int) AS spend_date
+FROM {lineitem} WHERE l_orderkey % 9 <> 4"""
+
+
 def _inventory(d: Dialect) -> str:
     return """
 SELECT l_partkey AS part_id, l_suppkey AS warehouse_id,
@@ -521,6 +531,7 @@ ADAPTERS: dict[str, tuple[tuple[str, ...], object]] = {
     "campaign_events": (("events",), _campaign_events),
     "user_acquisitions": (("events",), _user_acquisitions),
     "ad_spend": (("lineitem",), _ad_spend),
+    "campaign_spend": (("lineitem",), _campaign_spend),
     "inventory": (("lineitem", "part"), _inventory),
     "warehouse_dispatch": (("lineitem",), _warehouse_dispatch),
     "parts_catalog": (("part",), _parts_catalog),

@@ -116,3 +116,36 @@ def test_multi_touch_attribution_equals_brute_force(small):
         assert abs(r.touch_credit - credit[ch]) < 1e-6
         assert r.first_touch_purchases == first[ch]
         assert abs(r.first_touch_pct - round(100 * first[ch] / purchases, 2)) < 0.0051
+
+
+def test_credits_add_up_to_the_purchases(small):
+    """As fractions, the credits of all channels are the purchases exactly."""
+    from fractions import Fraction
+
+    shares = V.touch_shares(small.campaign_events)
+    purchases = shares.select("purchase_id").distinct().count()
+    rows = V.daily_credits(shares).collect()
+    assert sum(Fraction(r.touches, r.n) for r in rows) == purchases > 0
+    per_n = defaultdict(int)
+    for r in rows:
+        per_n[r.n] += r.touches
+    assert all(touches % n == 0 for n, touches in per_n.items())
+
+
+def test_attributed_cac_by_hand(spark):
+    from datetime import date, datetime
+    from decimal import Decimal
+
+    def ev(i, user, channel, kind, day):
+        return (i, user, channel, kind, datetime(2024, 1, day, 12))
+
+    events = spark.createDataFrame(
+        [ev(1, 1, "A", "Click", 1), ev(2, 1, "A", "Impression", 2), ev(3, 1, "B", "Click", 2), ev(4, 1, "C", "Purchase", 3),
+         ev(5, 2, "B", "Click", 4), ev(6, 2, "B", "Purchase", 5), ev(7, 3, "A", "Purchase", 6)],
+        "event_id long, user_id long, channel string, event_type string, event_timestamp timestamp_ntz")
+    spend = spark.createDataFrame(
+        [("A", Decimal("10.00"), date(2024, 1, 3)), ("A", Decimal("5.00"), date(2024, 1, 4)), ("B", Decimal("4.00"), date(2024, 1, 3)),
+         ("B", Decimal("6.00"), date(2024, 1, 5)), ("D", Decimal("1.00"), date(2024, 1, 5))],
+        "channel string, amount_usd decimal(18,2), spend_date date")
+    got = {r.channel: tuple(r)[1:] for r in V.attributed_cac(events, spend).collect()}
+    assert got == {"A": (1, 0.666667, 15.0, 5.0, 22.5, 15.0), "B": (2, 1.333333, 10.0, 0.0, 7.5, 7.5), "D": (0, 0.0, 1.0, 1.0, 0.0, 0.0)}
