@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.frontmatter import block_defect
 from ..sources.rules import DEFAULT_DOMAIN, DOMAIN_RULES, known_domain
 
 # ---------------------------------------------------------------------------
@@ -83,13 +84,15 @@ def with_case_folds(df: DataFrame, text: str = "text") -> DataFrame:
     return (df.withColumn("_uc", F.upper(t)).withColumn("_lc", F.lower(t))
             .withColumn("_fm", has_fm)
             .withColumn("_keys", frontmatter_keys(t))
+            .withColumn("_defect", F.when(has_fm, block_defect(F.regexp_extract(t, FRONTMATTER_RE, 1))))
             .withColumn("_blank", is_blank(t))
             .withColumn("_lines", line_count(t)))
 
 
 def features() -> dict[str, Column]:
     """Column references to the features added by :func:`with_case_folds`."""
-    return {"upper": F.col("_uc"), "has_fm": F.col("_fm"), "keys": F.col("_keys"), "blank": F.col("_blank")}
+    return {"upper": F.col("_uc"), "has_fm": F.col("_fm"), "keys": F.col("_keys"), "blank": F.col("_blank"),
+            "defect": F.col("_defect")}
 
 
 def frontmatter_keys(text: Column | str) -> Column:
@@ -124,12 +127,15 @@ def frontmatter_violations(text: Column | str, has_fm: Column | None = None) ->
 
 # F2
 def required_field_violations(text: Column | str, has_fm: Column | None = None,
-                              keys: Column | None = None) -> Column:
+                              keys: Column | None = None, defect: Column | None = None) -> Column:
+    """Frontmatter that is no mapping or cannot be read is one violation; else
+    each required field that is missing is one."""
     t = _c(text)
     has_fm = t.rlike(FRONTMATTER_RE) if has_fm is None else has_fm
     keys = frontmatter_keys(t) if keys is None else keys
+    defect = block_defect(F.regexp_extract(t, FRONTMATTER_RE, 1)) if defect is None else defect
     missing = _present(*[(~F.array_contains(keys, f), MSG_FIELD.format(f)) for f in REQUIRED_FRONTMATTER_FIELDS])
-    return F.when(has_fm, missing).otherwise(_empty())
+    return F.when(has_fm, F.when(defect.isNotNull(), F.array(defect)).otherwise(missing)).otherwise(_empty())
 
 
 # F3
@@ -162,10 +168,10 @@ def missing_metric_violations(text: Column | str, domain: Column | str) -> Colum
 # F7
 def tier1_violations(text: Column | str, domain: Column | str, upper: Column | None = None,
                      has_fm: Column | None = None, keys: Column | None = None,
-                     blank: Column | None = None) -> Column:
+                     blank: Column | None = None, defect: Column | None = None) -> Column:
     t = _c(text)
     parts = F.concat(
-        frontmatter_violations(t, has_fm), required_field_violations(t, has_fm, keys), gherkin_violations(t),
+        frontmatter_violations(t, has_fm), required_field_violations(t, has_fm, keys, defect), gherkin_violations(t),
         metrics_section_violations(t), prohibited_sql_violations(t, domain, upper),
         missing_metric_violations(t, domain))
     return F.when(is_blank(t) if blank is None else blank, F.array(F.lit(MSG_EMPTY))).otherwise(parts)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from ..sources.adapters import with_adapters
 from ..sources.rules import DOMAIN_RULES
+from .oracle_frontmatter import block_defect
 
 
 def _q(s: str) -> str:
@@ -36,8 +37,11 @@ def f1(t="text"):
 def f2(t="text"):
     keys = f"regexp_extract_all(regexp_extract({t}, {FM}, 1), '(?m)^([A-Za-z_][A-Za-z0-9_]*)[ \\t]*:', 1)"
     req = "['id', 'title', 'node_id', 'created_at', 'target_repository']"
-    return (f"(CASE WHEN regexp_matches({t}, {FM}) THEN list_transform(list_filter({req}, lambda f: NOT list_contains({keys}, f)),"
-            f" lambda f: 'Missing required frontmatter field ''' || f || '''.') ELSE []::varchar[] END)")
+    missing = (f"list_transform(list_filter({req}, lambda f: NOT list_contains({keys}, f)),"
+               f" lambda f: 'Missing required frontmatter field ''' || f || '''.')")
+    defect = block_defect(f"regexp_extract({t}, {FM}, 1)")
+    return (f"(CASE WHEN regexp_matches({t}, {FM}) THEN list_transform([{defect}], lambda e: CASE WHEN e[1] IS NOT NULL THEN e "
+            f"ELSE {missing} END)[1] ELSE []::varchar[] END)")
 
 
 def f3(t="text"):

@@ -106,7 +106,7 @@ def _rule(fn):
 
 
 _reg("spec_frontmatter", _rule(lambda: Q.frontmatter_violations("text", _F.col("_fm"))), ORACLE_QUALITY)
-_reg("spec_required_fields", _rule(lambda: Q.required_field_violations("text", _F.col("_fm"), _F.col("_keys"))),
+_reg("spec_required_fields", _rule(lambda: Q.required_field_violations("text", _F.col("_fm"), _F.col("_keys"), _F.col("_defect"))),
      ORACLE_QUALITY)
 _reg("spec_gherkin", _rule(lambda: Q.gherkin_violations("text")), ORACLE_QUALITY)
 _reg("spec_metrics_section", _rule(lambda: Q.metrics_section_violations("text")), ORACLE_QUALITY)

@@ -425,8 +425,13 @@ def _specs(d: Dialect) -> str:
     return f"""
 SELECT doc_id, {_domain_of('doc_id')} AS node_id,
   CASE WHEN doc_id % 7 = 0 THEN '' ELSE
-    '---' || {NL} || 'id: SPEC-' || cast(doc_id AS string) || {NL}
-    || 'title: Specification ' || cast(doc_id AS string) || {NL}
+    '---' || {NL} || CASE WHEN doc_id % 29 = 3 THEN '' ELSE 'id: SPEC-' || cast(doc_id AS string) || {NL} END
+    || CASE WHEN doc_id % 29 = 3 THEN '- a list' || {NL} || '- of items' || {NL} || '---' || {NL}
+            WHEN doc_id % 31 = 3 THEN 'title: "Specification ' ELSE 'title: Specification ' END || cast(doc_id AS string) || {NL}
+    || CASE WHEN doc_id % 23 = 3 THEN chr(9) || 'nested: tab' || {NL} WHEN doc_id % 37 = 3 THEN 'id: again' || {NL}
+            WHEN doc_id % 41 = 3 THEN 'owner: team: data' || {NL} WHEN doc_id % 43 = 3 THEN '  deeper: key' || {NL}
+            WHEN doc_id % 47 = 3 THEN 'tags: [a, b' || {NL} WHEN doc_id % 53 = 3 THEN 'tags:' || {NL} || '  - a' || {NL} || '  - b' || {NL}
+            ELSE '' END
     || 'node_id: ' || {_domain_of('doc_id')} || {NL}
     || CASE WHEN doc_id % 11 = 0 THEN '' ELSE 'created_at: 2026-01-01T00:00:00' || {NL} END
     || 'target_repository: analytics-views' || {NL} || '---' || {NL} END

@@ -112,3 +112,45 @@ def test_forbidden_and_guardrails(spark):
     df = spark.createDataFrame([("x = eval(y); os.system('ls')", "please pip install foo")], "c string, o string")
     r = df.select(Q.forbidden_code_hits("c").alias("f"), Q.guardrail_hits("o").alias("g")).first()
     assert r.f == ["os.system", "eval("] and r.g == ["pip install"]
+
+
+BAD = "Failed to parse YAML frontmatter: "
+CASES = [
+    ("id: 1\ntitle: x", None), ("a: b\n\n# note\nc: 'it''s'\nd: \"q\\\" # x\"  # end", None), ("a: http://x:80/y\nt: 10:30:00", None),
+    ("a:\n  b: c\n\n  d: e\nf: |\n  free: text: here\n  \"open", None), ("a: [1, 2]\nb: {x: 1,\n  y: [2]}\nc: d", None),
+    ("a:\n- x\n- y\nb: c", None), ("a: \"two\n  lines\"\nb: c", None), ("a: plain\n  goes on\nb: c", None), ("'quoted key': v\nb:", None),
+    ("a: it's fine\nb: say \"x\"", None), ("a: x # note: fine", None), ("a: b\r\nc: d", None),
+    ("- a\n- b", "YAML frontmatter is not a valid dictionary."), ("just text\nmore", "YAML frontmatter is not a valid dictionary."),
+    ("", "YAML frontmatter is not a valid dictionary."), ("# only a note", "YAML frontmatter is not a valid dictionary."),
+    ("a: b\n\tc: d", BAD + "line 2: a tab in the indentation"), ("a: \"open\nb: c", BAD + "a quote is not closed"),
+    ("a: 'open", BAD + "a quote is not closed"), ("a: 'x' y", BAD + "line 1: text after a closing quote"),
+    ("a: [1\nb: c", BAD + "a bracket is not closed"), ("a: [1]]", BAD + "line 1: a bracket is closed twice"),
+    ("a: [1,\n 2]}", BAD + "line 2: a bracket is closed twice"), ("a: @x", BAD + "line 1: a value cannot begin with @"),
+    ("a: b: c", BAD + "line 1: a second colon in a value"), ("a: b\nwords", BAD + "line 2: text without a key"),
+    ("a: b\n- c", BAD + "line 2: a list item among keys"), ("- c\na: b", BAD + "line 2: a key among list items"),
+    ("text\na: b", BAD + "line 2: a key after text"), ("  a: b", BAD + "line 1: an indented line that belongs to nothing"),
+    ("a: b\n  c: d", BAD + "line 2: a key under a value"), ("a: 1\nb: 2\na: 3", BAD + "line 3: key 'a' is repeated"),
+]
+
+
+def test_malformed_frontmatter(spark):
+    import duckdb
+
+    from ledgerline.functions.frontmatter import block_defect
+    from ledgerline.plans.oracle_quality import f2
+
+    df = spark.createDataFrame([(i, block) for i, (block, _) in enumerate(CASES)], "i int, block string")
+    got = {r.i: r.d for r in df.select("i", block_defect(F.col("block")).alias("d")).collect()}
+    assert [got[i] for i in range(len(CASES))] == [d for _, d in CASES]
+    texts = df.select("i", F.concat(F.lit("---\n"), "block", F.lit("\n---\nFeature: x")).alias("text"))
+    found = {r.i: list(r.v) for r in texts.select("i", Q.required_field_violations("text").alias("v")).collect()}
+    for i, (block, defect) in enumerate(CASES):
+        if defect is None:
+            assert all(v.startswith("Missing required") for v in found[i]), block
+        else:
+            assert found[i] == [defect], block
+    rows = [tuple(r) for r in texts.collect()]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t (i int, text varchar)")
+    con.executemany("INSERT INTO t VALUES (?, ?)", rows)
+    assert dict(con.execute(f"SELECT i, {f2()} FROM t").fetchall()) == found
