@@ -17,7 +17,9 @@ Defined cases: a null text or role is empty; null scores count 0; ties in
 score go to the smaller leaf id; a parent that is not there makes a root;
 rows by turn: ties in turn are ordered by role and text, a null turn comes
 last, a null conv_id is a conversation of its own; an empty table gives no
-rows.  Extra columns are ignored.
+rows; a very long conversation is one record by nature, its path takes log2 of
+its turns in joins.  Extra columns are ignored, also those named like the
+operator's own (tree, node, place, score).
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -86,12 +89,15 @@ def paths(messages: DataFrame, top: int = 1) -> DataFrame:
     chosen = (tables[-1].join(inner, "node", "left_anti")
               .select("tree", "node", (F.col("total") / F.col("steps")).alias("score"), "steps")
               .withColumn("branch", F.row_number().over(best)).filter(F.col("branch") <= top))
-    path = chosen.select("tree", F.col("node").alias("path"), "branch", "score", "node", F.col("steps").alias("place"))
+    known = [written(chosen.select("tree", F.col("node").alias("path"), "branch", "score", "node", F.col("steps").alias("place")),
+                     "tree-path")]
     for k in range(len(tables) - 2, -1, -1):  # the last table has no ancestors left
         up = tables[k].filter("up IS NOT NULL").select(F.col("node").alias("from"), "up")
+        path = reduce(DataFrame.unionByName, known)
         jump = (path.join(up, path["node"] == up["from"])
                 .select("tree", "path", "branch", "score", F.col("up").alias("node"), (F.col("place") - (1 << k)).alias("place")))
-        path = path.unionByName(jump)
+        known.append(written(jump, f"tree-path{k}"))  # so that every round's plan is one join of tables
+    path = reduce(DataFrame.unionByName, known)
     return path.join(base.select("node", "role", "text"), "node").drop("node")
 
 

@@ -47,6 +47,18 @@ def test_template_round_trip():
     assert [chat_format.unescape(made[a:b]) for a, b in spans] == ["ends with <", "\\"]
 
 
+@pytest.mark.parametrize("turns", [600, 2000])
+def test_long_conversations_take_few_joins(spark, turns):
+    """The plan of the paths is a union of tables and one join, whatever the
+    depth; every turn is there in order."""
+    rows = spark.range(turns).selectExpr("CAST(1 AS BIGINT) AS conv_id", "id AS turn", "IF(id % 2 = 0, 'user', 'assistant') AS role",
+                                         "concat('turn ', id) AS text")
+    path = chat_format.paths(chat_format.conversation_trees(rows))
+    plan = path._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1 and plan.count("Relation [") <= 14
+    assert [r.text for r in path.orderBy("place").collect()] == [f"turn {i}" for i in range(turns)]
+
+
 def test_best_branches_of_reply_trees(spark):
     rng = random.Random(4)
     rows, parent = [], {}
