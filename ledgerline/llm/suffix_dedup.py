@@ -32,7 +32,7 @@ ignored (``drop_repeats`` keeps them).
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -339,9 +339,23 @@ def _split(window: int, width: int):
     return run
 
 
+def _merged_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Touching and overlapping ranges of a snippet as one."""
+    for batch in batches:
+        lows, highs = [], []
+        for low, high in zip(batch.column("lows").to_pylist(), batch.column("highs").to_pylist()):
+            runs = _merge(zip(low, high))
+            lows.append([r[0] for r in runs])
+            highs.append([r[1] for r in runs])
+        yield pa.RecordBatch.from_arrays([batch.column("name"), pa.array(lows, pa.list_(pa.int32())), pa.array(highs, pa.list_(pa.int32()))],
+                                         names=["name", "lows", "highs"])
+
+
 def repeated_ranges(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, heavy: int = HEAVY) -> DataFrame:
-    """``k1, k2, low, high`` (bytes): the removed runs, possibly touching, of
-    the documents ``k1, k2, text`` (text as binary)."""
+    """``k1, k2, start, lows, highs``: per place of a snippet in the documents
+    ``k1, k2, text`` (text as binary) the ranges of windows from ``start`` on
+    that repeat, apart from each other.  A range of windows low to high removes
+    the bytes from start + low to start + high + window - 1."""
     rows = docs.mapInArrow(_anchor_rows(window, gram),
                            "k1 long, k2 long, start long, many int, off int, anchor long, snippet long")
     rows = written(rows, "suffix-anchors")
@@ -379,16 +393,16 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hea
     found = solved[0]
     for more in solved[1:]:
         found = found.unionByName(more)
-    found = written(found, "suffix-found")
-    ranges = found.select("name", F.explode(F.arrays_zip("lows", "highs")).alias("r"))
-    return (rows.select("k1", "k2", "start", name).join(ranges, "name")
-            .select("k1", "k2", (F.col("start") + F.col("r.lows")).alias("low"),
-                    (F.col("start") + F.col("r.highs") + (window - 1)).alias("high")).distinct())
+    # A snippet solved in parts gets its ranges merged before they meet its
+    # places, so the join has one row per place, however often it was split.
+    parts = found.groupBy("name").agg(F.flatten(F.collect_list("lows")).alias("lows"), F.flatten(F.collect_list("highs")).alias("highs"))
+    ranges = written(parts.mapInArrow(_merged_ranges, parts.schema), "suffix-found")
+    return rows.select("k1", "k2", "start", name).join(ranges, "name").select("k1", "k2", "start", "lows", "highs")
 
 
-def _merge(ranges: list[dict]) -> list[tuple[int, int]]:
+def _merge(ranges: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
-    for low, high in sorted((r["low"], r["high"]) for r in ranges):
+    for low, high in sorted(ranges):
         if out and low <= out[-1][1]:
             out[-1] = (out[-1][0], max(high, out[-1][1]))
         else:
@@ -407,13 +421,15 @@ def without_repeats(docs: DataFrame, text: str = "text", window: int = WINDOW,
                         F.col(text).isNotNull().alias("had_text"),
                         F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("text"))
     ranges = repeated_ranges(keyed.select("k1", "k2", "text"), window)
-    spans = ranges.groupBy("k1", "k2").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
+    spans = ranges.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "lows", "highs")).alias("spans"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept, removed, count, size = [], [], [], []
             for body, found in zip(batch.column("text"), batch.column("spans")):
-                body, runs = body.as_py(), _merge(found.as_py() or [])
+                body = body.as_py()
+                runs = _merge((p["start"] + low, p["start"] + high + window - 1)
+                              for p in found.as_py() or [] for low, high in zip(p["lows"], p["highs"]))
                 parts, at = [], 0
                 for low, high in runs:
                     parts.append(body[at:low])
