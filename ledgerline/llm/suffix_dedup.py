@@ -458,5 +458,6 @@ def without_repeats(docs: DataFrame, text: str = "text", window: int = WINDOW,
 def op9_suffix_dedup(docs: DataFrame) -> DataFrame:
     slim = docs.select("doc_id", "text")
     out = without_repeats(slim)
+    text = F.when(F.col("had_text"), F.make_valid_utf8(F.col("kept").cast("string")))  # a character cut in two reads U+FFFD
     return out.select(F.col("row.doc_id").alias("doc_id"), "n_bytes", "n_removed", "n_spans",
-                      F.sha2("kept", 256).alias("kept_sha256"))
+                      F.sha2("kept", 256).alias("kept_sha256"), text.alias("text"))

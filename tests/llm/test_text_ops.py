@@ -138,7 +138,7 @@ def test_two_stage_suffix_array_equals_sorting(body):
 
 def test_suffix_dedup_equals_brute_force_on_the_table(spark, documents):
     rows = [(r.doc_id, (r.text or "").encode()) for r in documents.select("doc_id", "text").collect()]
-    assert collections.Counter(tuple(r) for r in suffix_dedup.op9_suffix_dedup(documents).collect()) == removed(rows, 400)
+    assert collections.Counter(tuple(r)[:5] for r in suffix_dedup.op9_suffix_dedup(documents).collect()) == removed(rows, 400)
 
 
 @pytest.mark.parametrize("heavy", [1024, 2])
@@ -154,7 +154,7 @@ def test_suffix_dedup_passages_copies_and_runs(spark, monkeypatch, heavy):
              (106, letters(399)), (107, ""), (108, None), (109, copy[200:620])]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     expected = removed([(i, (t or "").encode()) for i, t in rows], 400)
-    assert collections.Counter(tuple(r) for r in suffix_dedup.op9_suffix_dedup(docs).collect()) == expected
+    assert collections.Counter(tuple(r)[:5] for r in suffix_dedup.op9_suffix_dedup(docs).collect()) == expected
 
 
 def test_suffix_dedup_long_document_in_segments(spark, monkeypatch):
@@ -172,7 +172,7 @@ def test_suffix_dedup_long_document_in_segments(spark, monkeypatch):
 
 def test_suffix_dedup_awkward_rows(awkward, nothing):
     rows = [(r.doc_id, (r.text or "").encode()) for r in awkward.collect()]
-    assert collections.Counter(tuple(r) for r in suffix_dedup.op9_suffix_dedup(awkward).collect()) == removed(rows, 400)
+    assert collections.Counter(tuple(r)[:5] for r in suffix_dedup.op9_suffix_dedup(awkward).collect()) == removed(rows, 400)
     assert suffix_dedup.op9_suffix_dedup(nothing).count() == 0
 
 
