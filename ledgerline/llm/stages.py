@@ -12,6 +12,13 @@ from . import mixing, ngram_join, packing, suffix_dedup, toxicity
 from .common import table, workers_import
 
 
+# Bytes of the strings that the suffix_dedup stage removes.  A passage of 50
+# words is some 280 bytes or more (the least of those that repeat in the given
+# tables has 285); the window lies below that, so that all of its bytes are
+# covered, and well above a common sentence.
+STAGE_WINDOW = 256
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below one half, as learned from the
     labels of ``sf_dir``."""
@@ -27,11 +34,12 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the bytes of passages that start at several places.
+    """Documents without the bytes of passages (``STAGE_WINDOW`` bytes or
+    more) that start at several places.
     A character cut in two goes as a whole; null texts stay null; ``n_chars``
     follows the text if the table has it."""
     workers_import(spark)
-    cut = suffix_dedup.without_repeats(docs, whole_characters=True)
+    cut = suffix_dedup.without_repeats(docs, window=STAGE_WINDOW, whole_characters=True)
     left = F.when(F.col("had_text"), F.col("kept").cast("string"))
     out = []
     for name in docs.columns:

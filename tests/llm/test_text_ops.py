@@ -450,3 +450,22 @@ def test_licence_scan_is_native_and_takes_awkward_rows(awkward, nothing):
 def test_mixing_is_native(documents):
     plan = mixing.op6_mixing(documents)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "CartesianProduct" not in plan
+
+
+def test_stage_cuts_passages_of_fifty_words(spark):
+    """A passage of 52 words (below the operator's 400 bytes) goes wherever it
+    stands; documents without it stay as they are."""
+    from ledgerline.llm import stages
+
+    rng = random.Random(8)
+    prose = lambda n: " ".join("".join(rng.choices("abcdefgh", k=rng.randint(2, 8))) for _ in range(n))
+    passage = prose(52)
+    assert 256 < len(passage) < 400
+    rows = [(i, f"{prose(60)} {passage} {prose(30)}" if i % 5 == 0 else prose(100), "s", 1) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
+    got = {r.doc_id: r for r in stages.cut_repeats(spark, docs, "").collect()}
+    for i, text, _, _ in rows:
+        if i % 5:
+            assert got[i].text == text and got[i].n_chars == 1
+        else:
+            assert passage[10:-10] not in got[i].text and got[i].n_chars == len(got[i].text) < len(text) - len(passage) + 3
