@@ -76,23 +76,26 @@ def paths(messages: DataFrame, top: int = 1) -> DataFrame:
     step = (base.select("tree", "node", "parent", F.coalesce("score", F.lit(0.0)).alias("total"))
             .join(known, F.col("parent") == F.col("up_node"), "left")
             .select("tree", "node", F.col("up_node").alias("up"), "total", F.lit(1).cast("long").alias("steps")))
-    tables = [written(step, "tree-up0")]
-    while tables[-1].filter("up IS NOT NULL").limit(1).count():
-        last = tables[-1]
-        ahead = last.select(F.col("node").alias("n2"), F.col("up").alias("up2"), F.col("total").alias("t2"), F.col("steps").alias("s2"))
-        tables.append(written(
-            last.join(ahead, last["up"] == ahead["n2"], "left")
-            .select("tree", "node", F.col("up2").alias("up"), (F.col("total") + F.coalesce("t2", F.lit(0.0))).alias("total"),
-                    (F.col("steps") + F.coalesce("s2", F.lit(0))).alias("steps")), f"tree-up{len(tables)}"))
+    step = written(step, "tree-up0")
+    tables, done = [step.filter("up IS NOT NULL")], [step.filter("up IS NULL")]  # done: the root is reached
+    while tables[-1].limit(1).count():
+        last = tables[-1]  # only messages that deep are joined again
+        ahead = reduce(DataFrame.unionByName, [last, *done]).select(
+            F.col("node").alias("n2"), F.col("up").alias("up2"), F.col("total").alias("t2"), F.col("steps").alias("s2"))
+        step = written(last.join(ahead, last["up"] == ahead["n2"]).select(
+            "tree", "node", F.col("up2").alias("up"), (F.col("total") + F.col("t2")).alias("total"),
+            (F.col("steps") + F.col("s2")).alias("steps")), f"tree-up{len(tables)}")
+        tables.append(step.filter("up IS NOT NULL"))
+        done.append(step.filter("up IS NULL"))
     inner = base.select(F.col("parent").alias("node")).filter("node IS NOT NULL").distinct()
     best = Window.partitionBy("tree").orderBy(F.col("score").desc(), "node")
-    chosen = (tables[-1].join(inner, "node", "left_anti")
+    chosen = (reduce(DataFrame.unionByName, done).join(inner, "node", "left_anti")
               .select("tree", "node", (F.col("total") / F.col("steps")).alias("score"), "steps")
               .withColumn("branch", F.row_number().over(best)).filter(F.col("branch") <= top))
     known = [written(chosen.select("tree", F.col("node").alias("path"), "branch", "score", "node", F.col("steps").alias("place")),
                      "tree-path")]
     for k in range(len(tables) - 2, -1, -1):  # the last table has no ancestors left
-        up = tables[k].filter("up IS NOT NULL").select(F.col("node").alias("from"), "up")
+        up = tables[k].select(F.col("node").alias("from"), "up")
         path = reduce(DataFrame.unionByName, known)
         jump = (path.join(up, path["node"] == up["from"])
                 .select("tree", "path", "branch", "score", F.col("up").alias("node"), (F.col("place") - (1 << k)).alias("place")))
