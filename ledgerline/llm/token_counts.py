@@ -42,8 +42,8 @@ def _leaf_rows(encoder: WordEncoder, data: np.ndarray, offsets: np.ndarray) -> t
     stretch of ``LEAF`` bytes; a document's first leaf starts at its start."""
     doc, start, end, h = words(data, offsets, _SPACE, lower=False)
     distinct, at, inverse = np.unique(h, return_index=True, return_inverse=True)
-    blobs = encoder.lookup(distinct, start[at], end[at], data)
-    tokens = np.fromiter((len(b) >> 2 for b in blobs), np.int64, len(blobs))[inverse] if len(blobs) else np.zeros(0, np.int64)
+    _, size = encoder.lookup(distinct, start[at], end[at], data)
+    tokens = size.astype(np.int64)[inverse]
     stretch = (start - offsets[doc]) // LEAF
     new = np.ones(len(doc), bool)
     new[1:] = (doc[1:] != doc[:-1]) | (stretch[1:] != stretch[:-1])
@@ -181,7 +181,7 @@ class Document:
 
 
 def count_tokens(text: str, encoder: WordEncoder) -> int:
-    return sum(len(encoder.word(w)) >> 2 for w in _SPLIT.findall(text.encode("utf-8", "replace")))
+    return sum(len(encoder.word(w)) for w in _SPLIT.findall(text.encode("utf-8", "replace")))
 
 
 def apply_edits(trees: DataFrame, edits: str = "edits", text: str = "text", with_text: bool = False,

@@ -469,3 +469,23 @@ def test_stage_cuts_passages_of_fifty_words(spark):
             assert got[i].text == text and got[i].n_chars == 1
         else:
             assert passage[10:-10] not in got[i].text and got[i].n_chars == len(got[i].text) < len(text) - len(passage) + 3
+
+
+def test_remembered_words_keep_their_ids_when_the_memory_is_small(documents, monkeypatch):
+    """Ids equal the tokenizer's on whole texts, also while words are dropped
+    from memory and met again."""
+    from ledgerline.llm import tokens
+
+    encoder = tokens.WordEncoder("word_bpe_49k.json")
+    texts = [(r.text or "") for r in documents.select("text").limit(60).collect()] + ["", " \n", "İstanbul ŞŞ. <|im_end|> x,", "a. a, A. ,."]
+    expected = [encoder.tokenizer.encode(t, add_special_tokens=False).ids + [1] for t in texts]
+    for keep, cores in ((1_500_000, 250_000), (300, 50)):
+        monkeypatch.setattr(tokens, "KEEP", keep)
+        monkeypatch.setattr(tokens, "CORES", cores)
+        encoder = tokens.WordEncoder("word_bpe_49k.json")
+        for _ in range(2):
+            for part in (texts[:20], texts[20:45], texts[45:]):
+                raw = [t.encode() for t in part]
+                flat, counts = encoder.encode(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]), 1)
+                got = np.split(flat, np.cumsum(counts)[:-1])
+                assert [g.tolist() for g in got] == [expected[texts.index(t)] for t in part]
