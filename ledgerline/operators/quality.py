@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.frontmatter import block_defect
-from ..sources.rules import DEFAULT_DOMAIN, DOMAIN_RULES, known_domain
+from ..sources.rules import DEFAULT_DOMAIN, DOMAIN_RULES, known_domain, rule_tables
 
 # ---------------------------------------------------------------------------
 # Rule keywords and violation messages of the checks.
@@ -182,6 +182,29 @@ def domain_rule_violations(text: Column | str, domain: Column | str, upper: Colu
     return F.concat(prohibited_sql_violations(text, domain, upper), missing_metric_violations(text, domain))
 
 
+# A6
+def rule_usage(specs: DataFrame) -> DataFrame:
+    """The manifests' metrics and prohibited patterns, one row per rule, with
+    the number of specifications that break it.  A specification names the
+    rules it breaks in one projection; only (domain, rule) counts are grouped
+    and joined to the rule tables."""
+    text, upper = F.coalesce(F.col("text"), F.lit("")), F.col("_upper")
+
+    def rule(kind: str, value: str) -> Column:
+        return F.array(F.struct(F.lit(kind).alias("kind"), F.lit(value).alias("value")))
+
+    none = F.array().cast("array<struct<kind:string,value:string>>")
+    broken = by_domain("node_id", lambda r: F.concat(
+        *[F.when(~text.contains(m), rule("metrics", m)).otherwise(none) for m in r["metrics"]],
+        *[F.when(upper.contains(p), rule("prohibited_patterns", p)).otherwise(none) for p in r["prohibited"]]))
+    found = (specs.withColumn("_upper", F.upper(text)).select(known_domain(F.col("node_id")).alias("domain"), F.explode(broken).alias("r"))
+             .groupBy("domain", "r.kind", "r.value").agg(F.count(F.lit(1)).alias("broken")))
+    tables = rule_tables(specs.sparkSession)
+    rules = [tables[kind].select("domain", F.lit(kind).alias("kind"), "pos", "value") for kind in ("metrics", "prohibited_patterns")]
+    return rules[0].unionByName(rules[1]).join(found, ["domain", "kind", "value"], "left").select(
+        "domain", "kind", "pos", "value", F.coalesce("broken", F.lit(0)).cast("long").alias("broken"))
+
+
 # F8
 def tier2_violations(text: Column | str, lower: Column | None = None, lines: Column | None = None) -> Column:
     t = F.coalesce(_c(text), F.lit(""))

@@ -156,3 +156,11 @@ ORACLE["violation_summary"] = with_adapters(["specs"], f"""
 SELECT node_id, violation, count(*) AS specs
 FROM (SELECT node_id, unnest(CASE WHEN len(t1) > 0 THEN t1 ELSE t2 END) AS violation FROM s) u
 GROUP BY node_id, violation""")
+
+
+_RULES = ", ".join(f"({_q(d)}, {_q(kind)}, {i + 1}, {_q(v)})" for d, r in DOMAIN_RULES.items()
+                   for kind, field in (("metrics", "metrics"), ("prohibited_patterns", "prohibited")) for i, v in enumerate(r[field]))
+ORACLE["rule_usage"] = with_adapters(["specs"], f"""
+SELECT r.domain, r.kind, r.pos, r.value, count(*) FILTER (CASE r.kind WHEN 'metrics' THEN NOT contains(coalesce(s.text, ''), r.value)
+         ELSE contains(upper(coalesce(s.text, '')), r.value) END AND s.node_id IS NOT NULL) AS broken
+FROM (VALUES {_RULES}) AS r(domain, kind, pos, value) LEFT JOIN specs s ON s.node_id = r.domain GROUP BY 1, 2, 3, 4""")

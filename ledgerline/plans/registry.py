@@ -115,6 +115,7 @@ _reg("spec_prohibited_sql", _rule(lambda: Q.prohibited_sql_violations("text", "n
 _reg("spec_missing_metrics", _rule(lambda: Q.missing_metric_violations("text", "node_id")), ORACLE_QUALITY)
 _reg("tier1_violations", _rule(lambda: Q.tier1_violations("text", "node_id", **Q.features())), ORACLE_QUALITY)
 _reg("tier2_policy", _rule(lambda: Q.tier2_violations("text", _F.col("_lc"), _F.col("_lines"))), ORACLE_QUALITY)
+_reg("rule_usage", lambda t: Q.rule_usage(t.specs), ORACLE_QUALITY)
 _reg("spec_harness", lambda t: Q.spec_harness(t.specs), ORACLE_QUALITY)
 _reg("acceptance_criteria", lambda t: Q.acceptance_report(t.test_results), ORACLE_QUALITY)
 _reg("review_outcome", lambda t: Q.review_outcome(t.test_results), ORACLE_QUALITY)

@@ -154,3 +154,12 @@ def test_malformed_frontmatter(spark):
     con.execute("CREATE TABLE t (i int, text varchar)")
     con.executemany("INSERT INTO t VALUES (?, ?)", rows)
     assert dict(con.execute(f"SELECT i, {f2()} FROM t").fetchall()) == found
+
+
+def test_rules_with_their_breaches(spark):
+    df = spark.createDataFrame([("finance", "drop table x; target_sla_seconds"), ("unknown", "baseline_error_rate"), ("sales", None)],
+                               "node_id string, text string")
+    got = {(r.domain, r.value): r.broken for r in Q.rule_usage(df).collect()}
+    assert got["finance", "DROP TABLE"] == 1 and got["finance", "target_sla_seconds"] == 1 and got["finance", "baseline_error_rate"] == 1
+    assert got["finance", "reconciliation_variance_tolerance_pct"] == 2 and got["sales", "conversion_variance_pct"] == 1
+    assert got["logistics", "TRUNCATE"] == 0 and len(got) == 31
