@@ -30,6 +30,10 @@ def _reg(name: str, plan: Callable[[Tables], DataFrame], oracle: dict[str, str]
 # B: domain views
 _reg("weekly_revenue_variance", lambda t: V.weekly_revenue_variance(t.invoices, t.exchange_rates), ORACLE_VIEWS)
 _reg("sales_pipeline_conversion", lambda t: V.sales_pipeline_conversion(t.opportunities), ORACLE_VIEWS)
+# The stamp itself differs from run to run; that it is there and of this run does not
+_reg("sales_pipeline_stamped", lambda t: V.sales_pipeline_conversion(t.opportunities, with_ts=True).withColumn(
+    "stamped", _F.abs(_F.unix_micros("computed_at") - _F.unix_micros(_F.current_timestamp())) < 3_600_000_000).drop("computed_at"),
+    {"sales_pipeline_stamped": f"SELECT *, true AS stamped FROM ({ORACLE_VIEWS['sales_pipeline_conversion']}) AS v"})
 _reg("charger_telemetry_agg", lambda t: V.charger_telemetry_agg(t.charger_telemetry), ORACLE_VIEWS)
 _reg("campaign_attribution", lambda t: V.campaign_attribution(t.campaign_events, t.user_acquisitions), ORACLE_VIEWS)
 _reg("inventory_turnover_view", lambda t: V.inventory_turnover_view(t.inventory, t.warehouse_dispatch), ORACLE_VIEWS)
