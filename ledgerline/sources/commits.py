@@ -40,6 +40,7 @@ class CommitLog:
         self.spark, self.root = spark, root.rstrip("/")
         self._jvm = spark.sparkContext._jvm
         self._conf = spark.sparkContext._jsc.hadoopConfiguration()
+        self._staged: dict[str, str] = {}  # folder -> schema, for the manifest
 
     # --- files ---------------------------------------------------------------
 
@@ -94,7 +95,8 @@ class CommitLog:
 
     def commit(self, version: int, add: Sequence[str], drop: Sequence[str] = (), note: dict | None = None) -> bool:
         """Claim ``version``; false if another writer has it."""
-        made = {"version": version, "add": list(add), "drop": list(drop), "note": note or {}}
+        schema = next((self._staged[f] for f in add if f in self._staged), None)
+        made = {"version": version, "add": list(add), "drop": list(drop), "note": note or {}, "schema": schema}
         name, draft = f"{version:020d}.json", f".{uuid.uuid4().hex}.draft"
         self._write(draft, json.dumps(made))
         renames = getattr(self._jvm.org.apache.hadoop.fs, "Options$Rename")
@@ -125,6 +127,7 @@ class CommitLog:
         folder = f"data/{uuid.uuid4().hex}"
         writer = df.write.partitionBy(*partition_by) if partition_by else df.write
         writer.parquet(f"{self.root}/{folder}")
+        self._staged[folder] = df.schema.json()
         return folder
 
     def frame(self, folders: Sequence[str], schema: T.StructType | None = None) -> DataFrame | None:
@@ -135,8 +138,13 @@ class CommitLog:
         return reader.parquet(*[f"{self.root}/{f}" for f in folders])
 
     def read(self, version: int | None = None, schema: T.StructType | None = None) -> DataFrame:
-        """The committed rows, of now or of a version."""
-        found = self.frame(self.live(version), schema)
+        """The committed rows, of now or of a version, in the schema of that
+        version unless another is given (a partitioned write without rows leaves
+        no file to take it from)."""
+        at = self.latest() if version is None else version
+        if schema is None and at and self.manifest(at)["schema"]:
+            schema = T.StructType.fromJson(json.loads(self.manifest(at)["schema"]))
+        found = self.frame(self.live(at), schema)
         if found is not None:
             return found
         if schema is None:

@@ -81,3 +81,11 @@ def test_interleaved_writers_seal_each_key_once(spark, scratch, monkeypatch, ove
     expected = {"k0": "old", "k1": "theirs", "k2": "theirs" if overtaken == 2 else "mine", "k3": "mine"}
     got = _values(spark, scratch)
     assert len(got) == 4 and dict(got) == expected
+
+
+def test_partitioned_write_without_rows(spark, scratch):
+    log = CommitLog(spark, scratch)
+    log.append(_rows(spark), ["v"])
+    assert log.read().columns == ["object_key", "v"] and log.read().count() == 0
+    log.append(_rows(spark, ("a", "1"), ("b", "2")), ["v"])
+    assert _values(spark, scratch) == [("a", "1"), ("b", "2")]
