@@ -49,7 +49,7 @@ def _charges(events: DataFrame) -> DataFrame:
     return events.withColumn("destination", dest).withColumn("capped", harness_fail | review_fail)
 
 
-def _with_budget(events: DataFrame) -> DataFrame:
+def _with_budget(events: DataFrame, charging_only: bool = False) -> DataFrame:
     """Events with ``escalated`` and ``charges`` (retries charged before, for
     the same loop and destination).  A capped failure escalates once 3 charges
     exist and then charges nothing.  So the first three events of a (loop,
@@ -57,10 +57,11 @@ def _with_budget(events: DataFrame) -> DataFrame:
     ``charges`` is the number of earlier uncapped events plus that of the
     capped among the first three.  One pass gives all of it: per slice the
     number of events, of uncapped ones and its first three.  Non-charging
-    events form their own (loop, '') groups and are ignored."""
+    events form their own (loop, '') groups and are ignored, or left out."""
     keys, order = ["loop_id", "_dest"], ["ts", "event_id"]
     c = (_charges(events).withColumn("slice", slice_of("ts"))
          .withColumn("_dest", F.coalesce(F.col("destination"), F.lit(""))))  # non-NULL key
+    c = c.filter(F.col("destination").isNotNull()) if charging_only else c
     inside = Window.partitionBy(*keys, "slice").orderBy(*order)
     free, first = ~F.col("capped"), F.row_number().over(inside)
     heads = c.filter(F.col("destination").isNotNull()).select(*keys, "slice", "capped", first.alias("_nth"))
@@ -113,7 +114,7 @@ def retry_budget(events: DataFrame, reports: DataFrame | None = None) -> DataFra
     """Per charge event: retries charged before it for its destination, and
     whether it escalates, with the reason; ``reports`` (loop_id, event_id, ts,
     violations) are the harness reports that the reason lists."""
-    c = _with_found(_with_budget(events).filter(F.col("destination").isNotNull()), events, reports)
+    c = _with_found(_with_budget(events, charging_only=True), events, reports)
     escalated = F.col("escalated")
     return c.select("loop_id", "event_id", "step_name", "destination",
                     F.col("charges").cast("long").alias("charges_before"),
