@@ -16,8 +16,9 @@ import numpy as np
 HEAD, WIDTH = 2048, 64
 GROUPS = HEAD // WIDTH
 HIDDEN = 32
-SCORE_LANES, SCORE_WINDOW = 256, 48
-TRAIN_LANES, TRAIN_WINDOW = 32, 32
+SCORE_LANES, SCORE_WINDOW = 192, 24
+TRAIN_LANES, TRAIN_WINDOW = (32, 128), 32  # least and most lanes
+TRAIN_STEPS = 256  # steps of the parameters before lanes are added
 RATE = 0.08
 LOG10 = float(np.log(10.0))
 
@@ -93,10 +94,6 @@ def lanes(codes: np.ndarray, sizes: np.ndarray, width: int) -> tuple[np.ndarray,
     return target, before, owner, length
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1.0 / (1.0 + np.exp(-np.clip(x, -30, 30)))
-
-
 def _starts(owner: np.ndarray, at: int, end: int) -> np.ndarray:
     """Where a text begins, for the steps ``at`` to ``end``."""
     if at == 0:
@@ -115,13 +112,6 @@ def _by_group(target: np.ndarray) -> list[tuple[int, np.ndarray]]:
     return [(g, order[a:b]) for g, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())) if b > a]
 
 
-def _soft(logits: np.ndarray) -> np.ndarray:
-    """Log probabilities, in place."""
-    logits -= logits.max(1, keepdims=True)
-    logits -= np.log(np.exp(logits).sum(1, keepdims=True))
-    return logits
-
-
 _SAFE = 60.0  # float32 powers of e and their sums stay finite up to there
 
 
@@ -135,6 +125,21 @@ def _picked(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
     return own - np.log(logits.sum(1))
 
 
+def _soft(logits: np.ndarray, at: np.ndarray) -> float:
+    """Probabilities less one at column ``at`` of each row, in place: the
+    slope of the loss, which is returned."""
+    most = float(logits.max())
+    if most > _SAFE or most < -_SAFE:
+        logits -= logits.max(1, keepdims=True)
+    rows = np.arange(len(at))
+    own = logits[rows, at]
+    np.exp(logits, out=logits)
+    total = logits @ np.ones(logits.shape[1], np.float32)
+    logits *= np.reciprocal(total)[:, None]
+    logits[rows, at] -= 1
+    return float(np.log(total).sum() - own.sum())
+
+
 def score(net: Network, codes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Natural log probability of each text's codes."""
     out = np.zeros(len(sizes))
@@ -185,87 +190,164 @@ def score(net: Network, codes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
-def train(net: Network, codes: np.ndarray, sizes: np.ndarray, rate: float = RATE) -> tuple[float, int]:
-    """One pass over the texts by truncated backpropagation through time:
-    (summed loss, tokens).  The state runs on from window to window, the
-    gradient stops at a window's start."""
-    if not len(sizes):
-        return 0.0, 0
-    target, before, owner, length = lanes(codes, sizes, TRAIN_LANES)
-    h = HIDDEN
-    state = np.zeros((target.shape[1], h), np.float32)
-    square = {name: np.full(shape, 1e-6, np.float32) for name, shape in net.shapes.items()}
-    loss, tokens = 0.0, 0
-
-    def step(name: str, grad: np.ndarray, rows=slice(None)) -> None:
-        seen = square[name]
+_LONG = 12  # places of a code that are summed at once
+
+
+def _sums(codes: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct codes, sums of their rows of ``values``).  Codes with few
+    places are summed place by place over all of them."""
+    order = np.argsort(codes, kind="stable")
+    ordered, values = codes[order], values[order]
+    first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+    many = np.diff(np.append(first, len(ordered)))
+    by = np.argsort(-many, kind="stable")
+    first, many = first[by], many[by]
+    out = values[first]
+    long = int(np.searchsorted(-many, -_LONG, "right"))
+    for i, (a, n) in enumerate(zip(first[:long].tolist(), many[:long].tolist())):
+        values[a: a + n].sum(0, out=out[i])
+    for k in range(1, _LONG - 1):
+        end = int(np.searchsorted(-many, -k, "left"))  # codes with more than k places
+        if end <= long:
+            break
+        out[long:end] += values[first[long:end] + k]
+    return ordered[first], out
+
+
+class Trainer:
+    """Truncated backpropagation through time over texts that come in parts:
+    the state runs on from window to window, the gradient stops at a window's
+    start.  Every token is learned from once."""
+
+    def __init__(self, net: Network, rate: float = RATE):
+        self.net, self.rate = net, rate
+        self.square = {name: np.full(shape, 1e-6, np.float32) for name, shape in net.shapes.items()}
+        self.loss, self.tokens = 0.0, 0
+
+    def learn(self, texts: list[np.ndarray]) -> None:
+        if texts:
+            self.pass_over(np.concatenate(texts), np.array([len(t) for t in texts]))
+
+    def _step(self, name: str, grad: np.ndarray, rows=slice(None)) -> None:
+        seen = self.square[name]
         seen[rows] += grad * grad
-        getattr(net, name)[rows] -= rate * grad / np.sqrt(seen[rows])
-
-    for at in range(0, len(target), TRAIN_WINDOW):
-        end = min(at + TRAIN_WINDOW, len(target))
-        live = int(np.searchsorted(-length, -at, "left"))
-        steps = end - at
-        goal2, text2 = target[at:end, :live], owner[at:end, :live]
-        enter = net.enter[before[at:end, :live]]
-        keepers = (~_starts(owner[:, :live], at, end)).astype(np.float32)[:, :, None]
-        was = np.empty((steps, live, h), np.float32)
-        sums = np.empty((steps, live, h), np.float32)
-        reset, keep, fill = np.empty_like(was), np.empty_like(was), np.empty_like(was)
-        hidden = np.empty_like(was)
-        now = state[:live]
+        getattr(self.net, name)[rows] -= self.rate * grad / np.sqrt(seen[rows])
+
+    def pass_over(self, codes: np.ndarray, sizes: np.ndarray) -> None:
+        least, most = TRAIN_LANES
+        target, before, owner, length = lanes(codes, sizes, min(most, max(least, len(codes) // (TRAIN_WINDOW * TRAIN_STEPS))))
+        state = np.zeros((target.shape[1], HIDDEN), np.float32)
+        with np.errstate(over="ignore"):  # exp of a large number is infinite and its gate 0
+            for at in range(0, len(target), TRAIN_WINDOW):
+                end = min(at + TRAIN_WINDOW, len(target))
+                live = int(np.searchsorted(-length, -at, "left"))
+                self._window(target[at:end, :live], before[at:end, :live], owner[at:end, :live] >= 0,
+                             _starts(owner[:, :live], at, end), state[:live])
+
+    def _window(self, target: np.ndarray, before: np.ndarray, there: np.ndarray, begins: np.ndarray, state: np.ndarray) -> None:
+        """Steps x lanes of one window; ``state`` is moved on."""
+        net, h = self.net, HIDDEN
+        steps, live = target.shape
+        enter = net.enter[before]
+        any_begins = begins.any(1).tolist()
+        was, hidden, fill, sums = (np.empty((steps, live, h), np.float32) for _ in range(4))
+        gates = np.empty((steps, live, 2 * h), np.float32)
+        s = np.empty((live, 3 * h), np.float32)
+        now = state.copy()
         for t in range(steps):
-            now = now * keepers[t]
-            a, s = enter[t], now @ net.recur
-            gates = _sigmoid(a[:, : 2 * h] + s[:, : 2 * h])
-            was[t], sums[t], reset[t], keep[t] = now, s[:, 2 * h:], gates[:, :h], gates[:, h:]
-            fill[t] = np.tanh(a[:, 2 * h:] + reset[t] * sums[t])
-            now = fill[t] + keep[t] * (now - fill[t])
+            if any_begins[t]:
+                now[begins[t]] = 0
+            was[t] = now
+            np.matmul(now, net.recur, out=s)
+            a, gate, new = enter[t], gates[t], fill[t]
+            np.add(a[:, : 2 * h], s[:, : 2 * h], out=gate)
+            np.negative(gate, out=gate)
+            np.exp(gate, out=gate)
+            gate += 1
+            np.reciprocal(gate, out=gate)
+            sums[t] = s[:, 2 * h:]
+            np.multiply(gate[:, :h], sums[t], out=new)
+            new += a[:, 2 * h:]
+            np.tanh(new, out=new)
+            now -= new
+            now *= gate[:, h:]
+            now += new
             hidden[t] = now
-        state[:live] = now
-        inside = np.flatnonzero(text2.ravel() >= 0)
-        goal = goal2.ravel()[inside]
-        flat = hidden.reshape(-1, h)[inside]
+        state[:] = now
+        inside = np.flatnonzero(there.ravel())
+        whole = len(inside) == steps * live
+        goal, flat = target.ravel(), hidden.reshape(-1, h)
+        if not whole:
+            goal, flat = goal[inside], flat[inside]
         n = len(goal)
-        group = np.where(goal < HEAD, goal // WIDTH, goal.astype(np.int64) - HEAD + GROUPS)
-        logs = _soft(flat @ net.group + net.group_bias)
-        loss -= float(logs[np.arange(n), group].sum())
-        share = np.exp(logs)
-        share[np.arange(n), group] -= 1
+        group = np.where(goal < HEAD, goal // WIDTH, goal.astype(np.int32) - HEAD + GROUPS)
+        share = flat @ net.group
+        share += net.group_bias
+        self.loss += _soft(share, group)
         share /= n
         pull = share @ net.group.T
         dgroup, dgroup_bias = flat.T @ share, share.sum(0)
+        dword, dword_bias = np.zeros_like(net.word), np.zeros_like(net.word_bias)
         for g, places in _by_group(goal):
-            logs = _soft(flat[places] @ net.word[g] + net.word_bias[g])
-            mine = goal[places] % WIDTH
-            loss -= float(logs[np.arange(len(places)), mine].sum())
-            part = np.exp(logs)
-            part[np.arange(len(places)), mine] -= 1
+            mine = flat[places]
+            part = mine @ net.word[g]
+            part += net.word_bias[g]
+            self.loss += _soft(part, goal[places] % WIDTH)
             part /= n
             pull[places] += part @ net.word[g].T
-            step("word", flat[places].T @ part, g)
-            step("word_bias", part.sum(0), g)
-        step("group", dgroup)
-        step("group_bias", dgroup_bias)
-        above = np.zeros((steps * live, h), np.float32)
-        above[inside] = pull
+            np.matmul(mine.T, part, out=dword[g])
+            np.matmul(np.ones(len(part), np.float32), part, out=dword_bias[g])
+        self._step("word", dword)
+        self._step("word_bias", dword_bias)
+        self._step("group", dgroup)
+        self._step("group_bias", dgroup_bias)
+        if whole:
+            above = pull
+        else:
+            above = np.zeros((steps * live, h), np.float32)
+            above[inside] = pull
         above = above.reshape(steps, live, h)
-        into = np.empty((steps, live, 3 * h), np.float32)
-        drecur = np.zeros_like(net.recur)
-        back = np.zeros((live, h), np.float32)
+        # Slopes that do not depend on what comes back from later steps.
+        reset, keep = np.ascontiguousarray(gates[:, :, :h]), np.ascontiguousarray(gates[:, :, h:])
+        rest = 1 - keep
+        by_keep = was - fill
+        by_keep *= keep
+        by_keep *= rest
+        fill *= fill
+        by_fill = np.subtract(1, fill, out=fill)
+        by_fill *= rest
+        by_reset = np.subtract(1, reset, out=rest)
+        by_reset *= reset
+        by_reset *= sums
+        dreset, dkeep, dfill, dsum = (np.empty((steps, live, h), np.float32) for _ in range(4))
+        back_reset, back_keep, back_fill = (np.ascontiguousarray(net.recur[:, k * h: (k + 1) * h].T) for k in range(3))
+        d, made = np.zeros((live, h), np.float32), np.empty((live, h), np.float32)
         for t in range(steps - 1, -1, -1):
-            d = above[t] + back
-            dz = d * (was[t] - fill[t]) * keep[t] * (1 - keep[t])
-            dn = d * (1 - keep[t]) * (1 - fill[t] * fill[t])
-            dr = dn * sums[t] * reset[t] * (1 - reset[t])
-            into[t, :, :h], into[t, :, h: 2 * h], into[t, :, 2 * h:] = dr, dz, dn
-            ds = np.concatenate([dr, dz, dn * reset[t]], 1)
-            drecur += was[t].T @ ds
-            back = (ds @ net.recur.T + d * keep[t]) * keepers[t]
-        step("recur", np.clip(drecur, -1, 1))
-        codes_in = before[at:end, :live].ravel()[inside]
-        order = np.argsort(codes_in, kind="stable")
-        rows, first = np.unique(codes_in[order], return_index=True)
-        step("enter", np.add.reduceat(into.reshape(-1, 3 * h)[inside][order], first), rows)
-        tokens += n
-    return loss, tokens
+            d += above[t]
+            np.multiply(d, by_fill[t], out=dfill[t])
+            np.multiply(dfill[t], by_reset[t], out=dreset[t])
+            np.multiply(dfill[t], reset[t], out=dsum[t])
+            np.multiply(d, by_keep[t], out=dkeep[t])
+            d *= keep[t]
+            for slope, back in ((dreset, back_reset), (dkeep, back_keep), (dsum, back_fill)):
+                d += np.matmul(slope[t], back, out=made)
+            if any_begins[t]:
+                d[begins[t]] = 0
+        into = np.concatenate([x.reshape(-1, h) for x in (dreset, dkeep, dfill)], 1)
+        states = was.reshape(-1, h).T
+        drecur = np.concatenate([states @ x.reshape(-1, h) for x in (dreset, dkeep, dsum)], 1)
+        self._step("recur", np.clip(drecur, -1, 1))
+        codes_in = before.ravel()
+        if not whole:
+            codes_in, into = codes_in[inside], into[inside]
+        rows, denter = _sums(codes_in, into)
+        self._step("enter", denter, rows)
+        self.tokens += n
+
+
+def train(net: Network, codes: np.ndarray, sizes: np.ndarray, rate: float = RATE) -> tuple[float, int]:
+    """One pass over the texts: (summed loss, tokens)."""
+    trainer = Trainer(net, rate)
+    if len(sizes):
+        trainer.pass_over(codes, sizes)
+    return trainer.loss, trainer.tokens

@@ -15,11 +15,12 @@ has its share of the class's tokens, a word without count is an event of its
 own, as in the base.  So that it knows what unseen words look like, training
 sees each token with the count it has without that token (leave one out).
 
-*Training.*  ``gru`` learns from one of ``SAMPLE`` training documents, so from
-text that grows with the table: ``ROUNDS`` rounds in which trainers, one per
-``TRAINER_TOKENS`` tokens up to the session's partitions, start from the same
-parameters, learn on their share and are averaged.  Parameters have a fixed
-size (about 1 MB); only they and the counts of the head reach the driver.
+*Training.*  ``gru`` learns from every token of every training document:
+``ROUNDS`` rounds in which trainers, one per ``TRAINER_TOKENS`` tokens up to
+the session's partitions, start from the same parameters, learn on their share
+of the documents (each belongs to one round) and are averaged.  A trainer
+holds ``BUFFER_TOKENS`` tokens at a time.  Parameters have a fixed size (about
+1 MB); only they and the counts of the head reach the driver.
 
 Defined cases: a null text is empty and has one token, the end; a null doc_id
 counts as the empty string in the split; repeated rows and ids are rows of
@@ -45,9 +46,9 @@ from .text import BUFFER, buffers, words
 
 CHUNK_BYTES = 8 << 20
 BLOCK_ENTRIES = 2_000_000
-SAMPLE = 8
 ROUNDS = 3
 TRAINER_TOKENS = 1_000_000
+BUFFER_TOKENS = 2 << 20  # tokens that a trainer lays into lanes at a time
 PARTS = 16  # pieces in which parameters are averaged
 END_WORD = np.uint64(0x454E44)
 LENGTHS = (4, 7, 11)  # shape: bytes of a word up to 3, 6, 10, more
@@ -92,44 +93,41 @@ def _tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 _CHUNKS = pa.schema([("chunk", pa.int64()), ("ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())),
-                     ("chosen", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int32())), ("tokens", pa.binary()),
-                     ("words", pa.binary()), ("shapes", pa.binary()), ("counts", pa.binary()), ("entries", pa.int64())])
+                     ("sizes", pa.list_(pa.int32())), ("tokens", pa.binary()), ("words", pa.binary()),
+                     ("shapes", pa.binary()), ("counts", pa.binary()), ("entries", pa.int64())])
 
 
-def chunks(documents: DataFrame, held_out: Column, sample: int = SAMPLE, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def chunks(documents: DataFrame, held_out: Column, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Tokenised chunks, written once (their numbers are drawn at random)."""
-    name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     rows = documents.select(
         F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held"),
-        (F.pmod(F.xxhash64(name, F.lit("sample")), F.lit(sample)) == 0).alias("chosen"),
         F.coalesce("text", F.lit("")).cast("binary").alias("text"))
 
-    def close(ids, held, chosen, pieces) -> pa.RecordBatch:
+    def close(ids, held, pieces) -> pa.RecordBatch:
         hashes, shapes, sizes = (np.concatenate(p) for p in zip(*pieces))
         found, first, tokens = np.unique(hashes, return_index=True, return_inverse=True)
         learned = np.repeat(~np.array(held, bool), sizes)
         counts = np.bincount(tokens[learned], minlength=len(found)).astype(np.uint32)
         number = int.from_bytes(os.urandom(8), "little", signed=True)
-        return _batch([(number, ids, held, chosen, sizes.astype(np.int32), _pack(tokens.astype(np.uint32)), _pack(found),
+        return _batch([(number, ids, held, sizes.astype(np.int32), _pack(tokens.astype(np.uint32)), _pack(found),
                         shapes[first].tobytes(), _pack(counts), len(found))], _CHUNKS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, held, chosen, pieces, size = [], [], [], [], 0
+        ids, held, pieces, size = [], [], [], 0
         for batch in batches:
-            all_ids, all_held, all_chosen = (batch.column(c).to_pylist() for c in ("doc_id", "held", "chosen"))
+            all_ids, all_held = (batch.column(c).to_pylist() for c in ("doc_id", "held"))
             for first, end, data, offsets in buffers(batch.column("text"), min(BUFFER, chunk_bytes)):
                 pieces.append(_tokens(data, offsets))
                 ids += all_ids[first:end]
                 held += all_held[first:end]
-                chosen += all_chosen[first:end]
                 size += len(data)
                 if size >= chunk_bytes:
-                    yield close(ids, held, chosen, pieces)
-                    ids, held, chosen, pieces, size = [], [], [], [], 0
+                    yield close(ids, held, pieces)
+                    ids, held, pieces, size = [], [], [], 0
         if ids:
-            yield close(ids, held, chosen, pieces)
+            yield close(ids, held, pieces)
 
-    return written(rows.mapInArrow(run, "chunk long, ids array<long>, held array<boolean>, chosen array<boolean>, sizes array<int>, "
+    return written(rows.mapInArrow(run, "chunk long, ids array<long>, held array<boolean>, sizes array<int>, "
                                    "tokens binary, words binary, shapes binary, counts binary, entries long"), "lm-chunks")
 
 
@@ -247,20 +245,21 @@ class Vocabulary:
 
 _CODED = pa.schema([("ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int32())),
                     ("known", pa.list_(pa.int64())), ("base", pa.list_(pa.float64())), ("rare", pa.list_(pa.float64())),
-                    ("codes", pa.binary()), ("sample_sizes", pa.list_(pa.int32())), ("sample_codes", pa.binary()), ("sample_tokens", pa.int64())])
+                    ("codes", pa.binary()), ("falls", pa.binary()), ("learned", pa.int64())])
 
 
 def coded(parts: DataFrame, counts: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """The chunks with the model's code of every token and, per document, the
     number of known tokens and the sums of log10(count + 1) and of
-    log10(share of the class); the chosen documents once more as training
-    sees them."""
+    log10(share of the class).  ``falls`` has a bit per token: without itself
+    its word falls to the band below, which is the code before its own.
+    ``learned`` is the number of training tokens."""
     by_hash = np.argsort(vocabulary.head, kind="stable")
     head = vocabulary.head[by_hash]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids, held, chosen, sizes, tokens, raw, shapes, back in zip(*(c.to_pylist() for c in batch.columns)):
+            for ids, held, sizes, tokens, raw, shapes, back in zip(*(c.to_pylist() for c in batch.columns)):
                 found, tokens = _unpack(raw, np.uint64), _unpack(tokens, np.uint32)
                 count = np.concatenate([_unpack(b["counts"], np.int64) for b in back])
                 at = np.minimum(np.searchsorted(head, found), len(head) - 1)
@@ -268,22 +267,20 @@ def coded(parts: DataFrame, counts: DataFrame, vocabulary: Vocabulary) -> DataFr
                 shape = np.frombuffer(shapes, np.uint8).astype(np.int64)
                 rare = shape * N_BANDS + bands(count)
                 code = np.where(frequent, by_hash[at], gru.HEAD + rare).astype(np.uint16)
-                left = np.where(frequent, by_hash[at], gru.HEAD + shape * N_BANDS + bands(count - 1)).astype(np.uint16)
+                fall = ~frequent & np.isin(count, BANDS)
                 share = np.zeros(len(found))
                 some = ~frequent & (count > 0)
                 share[some] = np.log10(count[some] / vocabulary.mass[rare[some]])
                 sizes = np.array(sizes, np.int64)
                 first = np.cumsum(sizes) - sizes
-                take = np.array(chosen, bool) & ~np.array(held, bool)
-                learned = left[tokens[np.repeat(take, sizes)]]
                 yield _batch([(ids, held, sizes, np.add.reduceat((count > 0)[tokens].astype(np.int64), first),
                                np.add.reduceat(np.log10(count + 1.0)[tokens], first), np.add.reduceat(share[tokens], first),
-                               _pack(code[tokens]), sizes[take], _pack(learned), len(learned))], _CODED)
+                               _pack(code[tokens]), np.packbits(fall[tokens]).tobytes(), sizes[~np.array(held, bool)].sum())], _CODED)
 
     back = counts.filter("chunk IS NOT NULL").groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("block", "counts"))).alias("back"))
-    joined = parts.join(back, "chunk").select("ids", "held", "chosen", "sizes", "tokens", "words", "shapes", "back")
+    joined = parts.join(back, "chunk").select("ids", "held", "sizes", "tokens", "words", "shapes", "back")
     return written(joined.mapInArrow(run, "ids array<long>, held array<boolean>, sizes array<int>, known array<long>, base array<double>, "
-                                     "rare array<double>, codes binary, sample_sizes array<int>, sample_codes binary, sample_tokens long"), "lm-coded")
+                                     "rare array<double>, codes binary, falls binary, learned long"), "lm-coded")
 
 
 # --- model ---------------------------------------------------------------------
@@ -317,37 +314,45 @@ def averaged(trained: DataFrame, net: gru.Network) -> np.ndarray | None:
     return flat[: net.size]
 
 
+def texts_of(held: list[bool], sizes: list[int], codes: bytes, falls: bytes, turn: int, rounds: int) -> list[np.ndarray]:
+    """Codes of a chunk's training documents of one round, as training sees
+    them: with the count that a word has without the token."""
+    every = _unpack(codes, np.uint16)
+    every = every - np.unpackbits(np.frombuffer(falls, np.uint8), count=len(every))
+    ends = np.cumsum(sizes)
+    return [every[ends[i] - sizes[i]: ends[i]] for i in range(turn, len(sizes), rounds) if not held[i]]
+
+
 def fit(codes: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> np.ndarray:
-    """Parameters of the model, learned from the coded sample."""
+    """Parameters of the model, learned from all training documents."""
     spark = codes.sparkSession
     net = gru.Network(TAIL).start(vocabulary.head_counts, vocabulary.unseen)
     flat = net.flat()
-    tokens = codes.agg(F.coalesce(F.sum("sample_tokens"), F.lit(0))).first()[0]
+    tokens = codes.agg(F.coalesce(F.sum("learned"), F.lit(0))).first()[0]
     if not tokens:
         return flat
     trainers = min(partitions(spark), -(-tokens // TRAINER_TOKENS))
-    shares = written(codes.filter("sample_tokens > 0").select("sample_sizes", "sample_codes").repartition(trainers), "lm-sample")
+    shares = codes.filter("learned > 0").select("held", "sizes", "codes", "falls").coalesce(trainers)
     pieces = pa.schema([("part", pa.int64()), ("tokens", pa.int64()), ("values", pa.binary())])
     for turn in range(rounds):
         def run(batches: Iterator[pa.RecordBatch], flat=flat, turn=turn) -> Iterator[pa.RecordBatch]:
-            texts, sizes = [], []
+            trainer = gru.Trainer(gru.Network(TAIL).load(flat))
+            texts, held_tokens = [], 0
             for batch in batches:
-                for lengths, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    ends = np.cumsum(lengths)
-                    every = _unpack(raw, np.uint16)
-                    for i in range(turn, len(lengths), rounds):
-                        texts.append(every[ends[i] - lengths[i]: ends[i]])
-                        sizes.append(lengths[i])
-            if not texts:
-                return
-            mine = gru.Network(TAIL).load(flat)
-            _, n = gru.train(mine, np.concatenate(texts), np.array(sizes))
-            values = mine.flat()
-            step = -(-len(values) // PARTS)
-            yield _batch([(p, n, values[p * step: (p + 1) * step].tobytes()) for p in range(PARTS)], pieces)
-
-        trained = shares.coalesce(trainers).mapInArrow(run, "part long, tokens long, values binary")
-        mean = averaged(trained, net)
+                for chunk in zip(*(c.to_pylist() for c in batch.columns)):
+                    for text in texts_of(*chunk, turn, rounds):
+                        texts.append(text)
+                        held_tokens += len(text)
+                        if held_tokens >= BUFFER_TOKENS:
+                            trainer.learn(texts)
+                            texts, held_tokens = [], 0
+            trainer.learn(texts)
+            if trainer.tokens:
+                values = trainer.net.flat()
+                step = -(-len(values) // PARTS)
+                yield _batch([(p, trainer.tokens, values[p * step: (p + 1) * step].tobytes()) for p in range(PARTS)], pieces)
+
+        mean = averaged(shares.mapInArrow(run, "part long, tokens long, values binary"), net)
         flat = flat if mean is None else mean
     return flat
 

@@ -79,6 +79,39 @@ def test_chunks_and_blocks_of_any_size(spark, documents, monkeypatch):
     assert vocabulary.mass.sum() == rest and vocabulary.unseen.sum() == rest and vocabulary.mass.min() >= 0
 
 
+def test_every_training_token_is_learned_from_once(spark, documents, monkeypatch):
+    """The trainers' tokens over all rounds are the training tokens, whatever
+    the chunks and buffers; none comes from a held-out document."""
+    monkeypatch.setattr(language_model, "BUFFER_TOKENS", 3_000)
+    learned, original = [], language_model.averaged
+
+    def spy(trained, net):
+        learned.append(trained.filter("part = 0").agg({"tokens": "sum"}).first()[0] or 0)
+        return original(trained, net)
+
+    monkeypatch.setattr(language_model, "averaged", spy)
+    rows = [(r.doc_id, r.text) for r in documents.select("doc_id", "text").collect()]
+    train_tokens = language_model.op11_lm_score(documents).first().train_tokens
+    assert len(learned) == language_model.ROUNDS and min(learned) > 0
+    assert sum(learned) == train_tokens == _base(rows)[0][4]
+
+
+def test_learned_codes_leave_the_token_out(spark):
+    """A word is learned in the band of its count without the token itself."""
+    from pyspark.sql import functions as F
+    texts = [f"w{i} " * times for i, times in enumerate([1, 2, 3, 4, 16, 17, 128, 129])]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    parts = language_model.chunks(frame, F.col("doc_id") == 1)
+    counts = language_model.counted(parts)
+    vocabulary = language_model.Vocabulary.of(counts)
+    vocabulary.head, vocabulary.head_counts = vocabulary.head[:1], vocabulary.head_counts[:1]  # all words in classes
+    vocabulary.mass[:] = 1
+    row = language_model.coded(parts, counts, vocabulary).first()
+    got = [t for turn in range(3) for t in language_model.texts_of(row.held, row.sizes, bytes(row.codes), bytes(row.falls), turn, 3)]
+    bands = sorted((len(t) - 1, int(t[0] - gru.HEAD) % language_model.N_BANDS, int(t[-1])) for t in got)
+    assert bands == [(n, int(language_model.bands(np.array(n - 1))), 0) for n in (1, 3, 4, 16, 17, 128, 129)]
+
+
 # --- network -----------------------------------------------------------------
 
 def _network(seed=3):
@@ -133,6 +166,17 @@ def test_training_learns_order_beyond_a_window():
     assert gru.score(net, codes, sizes).sum() > 0.25 * before  # log probabilities are negative
 
 
+def test_sums_of_rows_by_code():
+    rng = np.random.default_rng(11)
+    for codes in (rng.integers(0, 40, 3000), (rng.pareto(0.6, 3000) * 3).astype(np.int64).clip(0, 2000), np.arange(5), np.zeros(30, np.int64)):
+        values = rng.normal(size=(len(codes), 6)).astype(np.float32)
+        expected = np.zeros((2001, 6))
+        np.add.at(expected, codes, values)
+        found, sums = gru._sums(codes.astype(np.uint16), values)
+        assert sorted(found.tolist()) == sorted(set(codes.tolist()))
+        assert np.abs(expected[found] - sums).max() < 1e-3
+
+
 def test_held_out_documents_score_above_the_base(spark):
     rows = queries.QUERIES["op11_lm_score"](spark, "/root/testdata/sf0.01").filter("held_out").collect()
     better = sum(r.score > r.base_score for r in rows) / len(rows)
