@@ -5,8 +5,11 @@ whole words (about ``LEAF`` bytes, each ending in white space but the last),
 every node holds the characters, bytes and tokens below it.  An edit (position,
 characters to delete, text to insert) descends by characters to the leaves it
 touches, takes one leaf more where a word would run across the border, encodes
-that stretch alone and updates the sums on the way up.  Token ids never cross
-white space, so the total equals a count of the whole edited text.
+that stretch alone and updates the sums on the way up.  Characters are summed at
+once, since the next edit descends by them; the stretches of the documents of a
+batch are encoded together when their edits are done, then their tokens are
+summed.  Token ids never cross white space, so the total equals a count of the
+whole edited text.
 
 Defined cases: a null text is empty and has no tokens; positions are characters
 from 0 and are clamped to the text, deletions end at its end; a null insertion
@@ -18,7 +21,6 @@ rows.  Extra columns travel along in ``row``.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,8 +32,9 @@ from .text import _SPACE, buffers, words
 from .tokens import WordEncoder
 
 LEAF = 256
+COUNT_BYTES = 1 << 21  # bytes of changed leaves encoded together
+HELD = 1 << 23  # characters of edited documents held until their tokens are counted
 TOKENIZER = "word_bpe_49k.json"
-_SPLIT = re.compile(rb"[^\x20\x09-\x0D]+")
 _BLANK = " \t\n\x0b\x0c\r"
 _EMPTY_TREE = "named_struct('chars', array(0), 'bytes', array(0), 'tokens', array(0))"
 
@@ -106,8 +109,7 @@ def build(docs: DataFrame, text: str = "text", tokenizer: str = TOKENIZER) -> Da
 class Document:
     """A text as leaves under a segment tree of (characters, tokens)."""
 
-    def __init__(self, text: bytes, chars: list[int], lengths: list[int], tokens: list[int], encoder: WordEncoder):
-        self.encoder = encoder
+    def __init__(self, text: bytes, chars: list[int], lengths: list[int], tokens: list[int]):
         self.chars, self.tokens = list(chars), list(tokens)
         self.base = len(chars) // 2
         self.leaves: list[str | bytes] = []
@@ -116,6 +118,7 @@ class Document:
             self.leaves.append(text[at: at + n])
             at += n
         self.encoded = 0  # characters encoded again
+        self.open: set[int] = set()  # leaves whose tokens are not counted yet
 
     def leaf(self, i: int) -> str:
         if isinstance(self.leaves[i], bytes):
@@ -149,13 +152,17 @@ class Document:
             node = 2 * node + (not self.chars[2 * node])
         return node - self.base
 
-    def _set(self, i: int, text: str, tokens: int) -> None:
+    def _set(self, i: int, text: str) -> None:
         self.leaves[i] = text
+        self.open.add(i)
+        self._add(self.chars, i, len(text))
+
+    def _add(self, sums: list[int], i: int, value: int) -> None:
+        """Leaf ``i`` has ``value`` now, and so have the sums above it."""
         node = i + self.base
-        more, less = len(text) - self.chars[node], tokens - self.tokens[node]
-        while node:
-            self.chars[node] += more
-            self.tokens[node] += less
+        more = value - sums[node]
+        while node and more:
+            sums[node] += more
             node //= 2
 
     def edit(self, place: int, delete: int, insert: str) -> None:
@@ -172,16 +179,27 @@ class Document:
             fresh += self.leaf(more)
             touched.append(more)
         for i in touched[1:]:
-            self._set(i, "", 0)
+            self._set(i, "")
         self.encoded += len(fresh)
-        self._set(low, fresh, count_tokens(fresh, self.encoder))
+        self._set(low, fresh)
 
     def text(self) -> str:
         return "".join(self.leaf(i) for i in range(len(self.leaves)))
 
 
-def count_tokens(text: str, encoder: WordEncoder) -> int:
-    return sum(len(encoder.word(w)) for w in _SPLIT.findall(text.encode("utf-8", "replace")))
+def settle(docs: list[Document], encoder: WordEncoder) -> None:
+    """Count the tokens of the documents' changed leaves, all together."""
+    places = [(doc, i) for doc in docs for i in sorted(doc.open)]
+    texts = pa.array([doc.leaf(i).encode("utf-8", "replace") for doc, i in places], pa.binary())
+    for first, end, data, offsets in buffers(texts, COUNT_BYTES):
+        owner, start, stop, h = words(data, offsets, _SPACE, lower=False)
+        distinct, at, inverse = np.unique(h, return_index=True, return_inverse=True)
+        _, size = encoder.lookup(distinct, start[at], stop[at], data)
+        tokens = np.bincount(owner, size[inverse], end - first).astype(np.int64).tolist()
+        for (doc, i), n in zip(places[first:end], tokens):
+            doc._add(doc.tokens, i, n)
+    for doc in docs:
+        doc.open.clear()
 
 
 def apply_edits(trees: DataFrame, edits: str = "edits", text: str = "text", with_text: bool = False,
@@ -196,14 +214,27 @@ def apply_edits(trees: DataFrame, edits: str = "edits", text: str = "text", with
         encoder = WordEncoder.get(tokenizer)
         for batch in batches:
             rows: list[tuple] = []
+            done: list[tuple] = []
+            size = 0
+
+            def close() -> None:
+                settle([doc for _, _, doc in done], encoder)
+                rows.extend((before, doc.tokens[1], n, doc.chars[1], doc.encoded, doc.text() if with_text else "") for before, n, doc in done)
+                done.clear()
+
             for body, tree, todo in zip(batch.column("__text"), batch.column("tree"), batch.column("edits").to_pylist()):
                 tree = tree.as_py()
-                doc = Document(body.as_py() or b"", tree["chars"], tree["bytes"], tree["tokens"], encoder)
+                doc = Document(body.as_py() or b"", tree["chars"], tree["bytes"], tree["tokens"])
                 before = doc.tokens[1]
                 todo = sorted((e["seq"] or 0, e["place"] or 0, e["delete"] or 0, e["insert"] or "") for e in todo or [] if e)
                 for _, place, delete, insert in todo:
                     doc.edit(place, delete, insert)
-                rows.append((before, doc.tokens[1], len(todo), doc.chars[1], doc.encoded, doc.text() if with_text else ""))
+                done.append((before, len(todo), doc))
+                size += doc.chars[1]
+                if size >= HELD:
+                    close()
+                    size = 0
+            close()
             columns = list(zip(*rows)) or [[]] * 6
             out = [batch.column("row")] + [pa.array(c, pa.int64()) for c in columns[:5]]
             if with_text:

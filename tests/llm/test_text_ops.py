@@ -327,6 +327,29 @@ def test_token_counts_edit_log_and_awkward_rows(spark, awkward, nothing, tokeniz
     assert token_counts.op10_token_counts(nothing).count() == 0
 
 
+def test_edited_words_are_encoded_together(documents, monkeypatch):
+    """The stretches of many documents go through the tokenizer in a few
+    calls, not word by word, and sums are right after every group."""
+    from ledgerline.llm import tokens
+    encoder = tokens.WordEncoder(token_counts.TOKENIZER)
+    texts = [r.text for r in documents.select("text").collect() if r.text][:60]
+    calls, original = [], encoder._encode_all
+    monkeypatch.setattr(encoder, "_encode_all", lambda words: calls.append(len(words)) or original(words))
+    docs = []
+    for text in texts:
+        body = text.encode()
+        cells = [token_counts._heaps(np.array([1]), np.array([n]))[1].tolist() for n in (len(text), len(body), 0)]
+        doc = token_counts.Document(body, *cells)
+        for k in range(3):
+            doc.edit(7 * k, 3, "#x1 y'all,")
+        docs.append(doc)
+    token_counts.settle(docs, encoder)
+    assert len(calls) <= 4  # letters and other words, once for a buffer or two
+    for doc in docs:
+        assert not doc.open
+        assert doc.tokens[1] == len(encoder.tokenizer.encode(doc.text(), add_special_tokens=False).ids)
+
+
 # --- mixing ---------------------------------------------------------------------
 
 def water_fill(sizes, weights, share, cap):
