@@ -157,6 +157,36 @@ def test_suffix_dedup_passages_copies_and_runs(spark, monkeypatch, heavy):
     assert collections.Counter(tuple(r)[:5] for r in suffix_dedup.op9_suffix_dedup(docs).collect()) == expected
 
 
+def test_suffix_dedup_counts_windows_of_heavy_groups_without_a_row_each(spark, monkeypatch):
+    """Windows of many different snippets are told by counts in a few packed
+    rows, in any number of packs and blocks."""
+    rng = random.Random(9)
+    body = "".join(rng.choices("abc", k=300))
+    texts = [body[rng.randrange(40):][: 60 + rng.randrange(60)].encode() for _ in range(300)]
+    texts += ["".join(rng.choices("xyz", k=rng.randrange(50, 90))).encode() for _ in range(20)]
+    times = [1 + (i % 50 == 0) for i in range(len(texts))]
+    count = collections.Counter()
+    for body_, n in zip(texts, times):
+        for at in range(len(body_) - 49):
+            count[body_[at: at + 50]] += n
+    expected = {}
+    for i, body_ in enumerate(texts):
+        runs = suffix_dedup._merge((at + 7, at + 8) for at in range(len(body_) - 49) if count[body_[at: at + 50]] > 1)
+        if runs:
+            expected[i] = runs
+    frame = spark.createDataFrame([(b"%d" % i, 7, n, bytearray(x)) for i, (x, n) in enumerate(zip(texts, times))],
+                                  "name binary, skip int, times long, text binary").repartition(3)
+    made, original = [], suffix_dedup.written
+    monkeypatch.setattr(suffix_dedup, "written", lambda df, name: made.append(original(df, name)) or made[-1])
+    for pack, block in ((1 << 22, 2_000_000), (4_000, 300)):
+        monkeypatch.setattr(suffix_dedup, "PACK_BYTES", pack)
+        monkeypatch.setattr(suffix_dedup, "BLOCK_HASHES", block)
+        found = suffix_dedup.counted_windows(frame, 50).select(F.col("name").cast("string").alias("name"), "lows", "highs")
+        got = {int(r["name"]): list(zip(r.lows, r.highs)) for r in found.collect()}
+        assert got == expected
+    assert made[0].count() <= 3 < made[1].count() < 30
+
+
 def test_suffix_dedup_long_document_in_segments(spark, monkeypatch):
     rng = random.Random(5)
     monkeypatch.setattr(suffix_dedup, "SEGMENT", 1500)
