@@ -36,10 +36,17 @@ class Network:
         return sum(int(np.prod(s)) for s in self.shapes.values())
 
     def load(self, flat: np.ndarray) -> "Network":
-        at = 0
+        """Output weights lie in ``group_all`` and ``word_all`` with their
+        biases as a last row, which one product with a column of ones adds."""
+        h, at = HIDDEN, 0
+        self.enter, self.recur = (np.empty(self.shapes[name], np.float32) for name in ("enter", "recur"))
+        self.group_all = np.empty((h + 1, self.shapes["group"][1]), np.float32)
+        self.word_all = np.empty((GROUPS, h + 1, WIDTH), np.float32)
+        self.group, self.group_bias = self.group_all[:h], self.group_all[h]
+        self.word, self.word_bias = self.word_all[:, :h], self.word_all[:, h]
         for name, shape in self.shapes.items():
             n = int(np.prod(shape))
-            setattr(self, name, flat[at: at + n].reshape(shape).copy())
+            getattr(self, name)[...] = flat[at: at + n].reshape(shape)
             at += n
         return self
 
@@ -103,43 +110,99 @@ def _starts(owner: np.ndarray, at: int, end: int) -> np.ndarray:
     return owner[at:end] != owner[at - 1: end - 1]
 
 
-def _by_group(target: np.ndarray) -> list[tuple[int, np.ndarray]]:
-    """(group, places) of the frequent words among flat targets."""
-    head = np.flatnonzero(target < HEAD)
-    group = target[head] // WIDTH
-    order = head[np.argsort(group, kind="stable")]
-    cuts = np.searchsorted(np.sort(group, kind="stable"), np.arange(GROUPS + 1))
-    return [(g, order[a:b]) for g, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())) if b > a]
+def _by_group(target: np.ndarray, inside: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
+    """Places of flat targets (those ``inside``) ordered by the class of their
+    output, their targets and classes, and (group, first, end) of the frequent
+    words, which come first."""
+    goal = target if inside is None else target[inside]
+    group = np.where(goal < HEAD, goal // WIDTH, goal - (HEAD - GROUPS)).astype(np.uint16)
+    order = np.argsort(group, kind="stable")
+    group = group[order]
+    cuts = np.searchsorted(group, np.arange(GROUPS + 1)).tolist()
+    return (order if inside is None else inside[order], goal[order], group.astype(np.int64),
+            [(g, a, b) for g, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a])
+
+
+def _outputs(hidden: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """States of ``places`` with a column of ones for the biases."""
+    flat = np.ones((len(places), HIDDEN + 1), np.float32)
+    flat[:, :HIDDEN] = hidden.reshape(-1, HIDDEN).take(places, 0)
+    return flat
+
+
+def _inside(net: "Network", flat: np.ndarray, groups: list[tuple[int, int, int]]) -> np.ndarray:
+    """Logits of the words in each frequent word's group."""
+    out = np.empty((groups[-1][2], WIDTH), np.float32)
+    for g, a, b in groups:
+        np.matmul(flat[a:b], net.word_all[g], out=out[a:b])
+    return out
 
 
 _SAFE = 60.0  # float32 powers of e and their sums stay finite up to there
 
 
-def _picked(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Log probability of column ``at`` of each row."""
+def _powers(logits: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Powers of e of the rows, in place: (flat place of column ``at`` of each
+    row, logits there, sums of the rows)."""
     most = float(logits.max())
     if most > _SAFE or most < -_SAFE:
         logits -= logits.max(1, keepdims=True)
-    own = logits[np.arange(len(at)), at]
+    places = np.arange(len(at)) * logits.shape[1] + at
+    own = logits.ravel().take(places)
     np.exp(logits, out=logits)
-    return own - np.log(logits.sum(1))
+    return places, own, logits @ np.ones(logits.shape[1], np.float32)
 
 
-def _soft(logits: np.ndarray, at: np.ndarray) -> float:
-    """Probabilities less one at column ``at`` of each row, in place: the
-    slope of the loss, which is returned."""
-    most = float(logits.max())
-    if most > _SAFE or most < -_SAFE:
-        logits -= logits.max(1, keepdims=True)
-    rows = np.arange(len(at))
-    own = logits[rows, at]
-    np.exp(logits, out=logits)
-    total = logits @ np.ones(logits.shape[1], np.float32)
-    logits *= np.reciprocal(total)[:, None]
-    logits[rows, at] -= 1
+def _picked(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Log probability of column ``at`` of each row."""
+    _, own, total = _powers(logits, at)
+    return own - np.log(total)
+
+
+def _soft(logits: np.ndarray, at: np.ndarray, n: int) -> float:
+    """Probabilities less one at column ``at`` of each row over ``n``, in
+    place: the slope of the mean loss.  The summed loss is returned."""
+    places, own, total = _powers(logits, at)
+    logits *= (np.reciprocal(total) / np.float32(n))[:, None]
+    logits.reshape(-1)[places] -= np.float32(1 / n)
     return float(np.log(total).sum() - own.sum())
 
 
+def _recurrent(net: "Network") -> np.ndarray:
+    """The recurrent weights as one block for each gate (both with their sign
+    turned, as ``_advance`` takes them) and one for the new state."""
+    blocks = net.recur.reshape(HIDDEN, 3, HIDDEN).transpose(1, 0, 2).copy()
+    np.negative(blocks[:2], out=blocks[:2])
+    return blocks
+
+
+def _entered(net: "Network", before: np.ndarray) -> np.ndarray:
+    """Rows of the codes in blocks as in ``_recurrent``: 3 x steps x lanes."""
+    at = before.astype(np.int64) * 3 + np.arange(3)[:, None, None]
+    return net.enter.reshape(-1, HIDDEN).take(at, 0)
+
+
+def _advance(now: np.ndarray, enter: np.ndarray, recur: np.ndarray, s: np.ndarray, fill: np.ndarray, out: np.ndarray) -> None:
+    """One step of all lanes from the state ``now`` to ``out``.  ``s`` gets
+    both gates and what the reset gate weighs, ``fill`` the new state."""
+    np.matmul(now, recur, out=s)
+    gates = s[:2]
+    np.subtract(gates, enter[:2], out=gates)
+    np.exp(gates, out=gates)
+    gates += 1
+    np.reciprocal(gates, out=gates)
+    np.multiply(s[0], s[2], out=fill)
+    fill += enter[2]
+    fill *= -2  # tanh(x) = 2 / (1 + exp(-2 x)) - 1, which takes half the time of np.tanh
+    np.exp(fill, out=fill)
+    fill += 1
+    np.divide(2, fill, out=fill)
+    fill -= 1
+    np.subtract(now, fill, out=out)
+    out *= s[1]
+    out += fill
+
+
 def score(net: Network, codes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Natural log probability of each text's codes."""
     out = np.zeros(len(sizes))
@@ -147,46 +210,31 @@ def score(net: Network, codes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         return out
     target, before, owner, length = lanes(codes, sizes, SCORE_LANES)
     h = HIDDEN
-    state = np.zeros((target.shape[1], h), np.float32)
-    recur, enter_table = net.recur, net.enter
+    state, recur = np.zeros((target.shape[1], h), np.float32), _recurrent(net)
     with np.errstate(over="ignore"):  # exp of a large number is infinite and its gate 0
         for at in range(0, len(target), SCORE_WINDOW):
             end = min(at + SCORE_WINDOW, len(target))
             live = int(np.searchsorted(-length, -at, "left"))  # lanes longer than ``at``
-            enter = enter_table[before[at:end, :live]]
+            enter = _entered(net, before[at:end, :live])
             begins = _starts(owner[:, :live], at, end)
             any_begins = begins.any(1).tolist()
             hidden = np.empty((end - at, live, h), np.float32)
-            now = state[:live].copy()
-            s, gates, fill = np.empty((live, 3 * h), np.float32), np.empty((live, 2 * h), np.float32), np.empty((live, h), np.float32)
+            s, fill, now = np.empty((3, live, h), np.float32), np.empty((live, h), np.float32), state[:live]
             for t in range(end - at):
                 if any_begins[t]:
+                    now = now.copy()
                     now[begins[t]] = 0
-                np.matmul(now, recur, out=s)
-                a = enter[t]
-                np.add(a[:, : 2 * h], s[:, : 2 * h], out=gates)
-                np.negative(gates, out=gates)
-                np.exp(gates, out=gates)
-                gates += 1
-                np.reciprocal(gates, out=gates)
-                np.multiply(gates[:, :h], s[:, 2 * h:], out=fill)
-                fill += a[:, 2 * h:]
-                np.tanh(fill, out=fill)
-                now -= fill
-                now *= gates[:, h:]
-                now += fill
-                hidden[t] = now
+                _advance(now, enter[:, t], recur, s, fill, hidden[t])
+                now = hidden[t]
             state[:live] = now
-            text = owner[at:end, :live].ravel()
-            flat, goal = hidden.reshape(-1, h), target[at:end, :live].ravel()
-            if text.min() < 0:
-                inside = text >= 0
-                text, flat, goal = text[inside], flat[inside], goal[inside]
-            group = np.where(goal < HEAD, goal // WIDTH, goal.astype(np.int32) - HEAD + GROUPS)
-            gain = _picked(flat @ net.group + net.group_bias, group).astype(np.float64)
-            for g, places in _by_group(goal):
-                gain[places] += _picked(flat[places] @ net.word[g] + net.word_bias[g], goal[places] % WIDTH)
-            out += np.bincount(text, gain, len(sizes))
+            text, goal = owner[at:end, :live].ravel(), target[at:end, :live].ravel()
+            places, goal, group, groups = _by_group(goal, np.flatnonzero(text >= 0) if text.min() < 0 else None)
+            flat = _outputs(hidden, places)
+            gain = _picked(flat @ net.group_all, group).astype(np.float64)
+            if groups:
+                frequent = groups[-1][2]
+                gain[:frequent] += _picked(_inside(net, flat, groups), goal[:frequent] % WIDTH)
+            out += np.bincount(text[places], gain, len(sizes))
     return out
 
 
@@ -197,7 +245,7 @@ def _sums(codes: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray
     """(distinct codes, sums of their rows of ``values``).  Codes with few
     places are summed place by place over all of them."""
     order = np.argsort(codes, kind="stable")
-    ordered, values = codes[order], values[order]
+    ordered, values = codes[order], values.take(order, 0)
     first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
     many = np.diff(np.append(first, len(ordered)))
     by = np.argsort(-many, kind="stable")
@@ -221,17 +269,38 @@ class Trainer:
 
     def __init__(self, net: Network, rate: float = RATE):
         self.net, self.rate = net, rate
-        self.square = {name: np.full(shape, 1e-6, np.float32) for name, shape in net.shapes.items()}
+        self.square = {name: np.full_like(getattr(net, name), 1e-6) for name in ("enter", "recur", "group_all", "word_all")}
         self.loss, self.tokens = 0.0, 0
+        self.room: dict[str, np.ndarray] = {}
 
     def learn(self, texts: list[np.ndarray]) -> None:
         if texts:
             self.pass_over(np.concatenate(texts), np.array([len(t) for t in texts]))
 
-    def _step(self, name: str, grad: np.ndarray, rows=slice(None)) -> None:
-        seen = self.square[name]
-        seen[rows] += grad * grad
-        getattr(self.net, name)[rows] -= self.rate * grad / np.sqrt(seen[rows])
+    def _step(self, name: str, grad: np.ndarray, rows: np.ndarray | None = None) -> None:
+        """``grad`` is overwritten."""
+        values, seen = getattr(self.net, name), self.square[name]
+        total = grad * grad
+        if rows is None:
+            seen += total
+            np.sqrt(seen, out=total)
+        else:
+            total += seen.take(rows, 0)
+            seen[rows] = total
+            np.sqrt(total, out=total)
+        grad *= self.rate
+        grad /= total
+        if rows is None:
+            values -= grad
+        else:
+            values[rows] -= grad
+
+    def _array(self, name: str, *shape: int) -> np.ndarray:
+        """An array whose memory serves the next window again."""
+        size = int(np.prod(shape))
+        if name not in self.room or self.room[name].size < size:
+            self.room[name] = np.empty(size, np.float32)
+        return self.room[name][:size].reshape(shape)
 
     def pass_over(self, codes: np.ndarray, sizes: np.ndarray) -> None:
         least, most = TRAIN_LANES
@@ -248,67 +317,40 @@ class Trainer:
         """Steps x lanes of one window; ``state`` is moved on."""
         net, h = self.net, HIDDEN
         steps, live = target.shape
-        enter = net.enter[before]
+        enter, recur = _entered(net, before), _recurrent(net)
         any_begins = begins.any(1).tolist()
-        was, hidden, fill, sums = (np.empty((steps, live, h), np.float32) for _ in range(4))
-        gates = np.empty((steps, live, 2 * h), np.float32)
-        s = np.empty((live, 3 * h), np.float32)
-        now = state.copy()
+        was, hidden, fill = (self._array(name, steps, live, h) for name in ("was", "hidden", "fill"))
+        s = self._array("s", 3, steps, live, h)
+        now = state
         for t in range(steps):
-            if any_begins[t]:
-                now[begins[t]] = 0
             was[t] = now
-            np.matmul(now, net.recur, out=s)
-            a, gate, new = enter[t], gates[t], fill[t]
-            np.add(a[:, : 2 * h], s[:, : 2 * h], out=gate)
-            np.negative(gate, out=gate)
-            np.exp(gate, out=gate)
-            gate += 1
-            np.reciprocal(gate, out=gate)
-            sums[t] = s[:, 2 * h:]
-            np.multiply(gate[:, :h], sums[t], out=new)
-            new += a[:, 2 * h:]
-            np.tanh(new, out=new)
-            now -= new
-            now *= gate[:, h:]
-            now += new
-            hidden[t] = now
+            if any_begins[t]:
+                was[t, begins[t]] = 0
+            now = hidden[t]
+            _advance(was[t], enter[:, t], recur, s[:, t], fill[t], now)
         state[:] = now
-        inside = np.flatnonzero(there.ravel())
-        whole = len(inside) == steps * live
-        goal, flat = target.ravel(), hidden.reshape(-1, h)
-        if not whole:
-            goal, flat = goal[inside], flat[inside]
-        n = len(goal)
-        group = np.where(goal < HEAD, goal // WIDTH, goal.astype(np.int32) - HEAD + GROUPS)
-        share = flat @ net.group
-        share += net.group_bias
-        self.loss += _soft(share, group)
-        share /= n
+        whole = bool(there.all())
+        places, goal, group, groups = _by_group(target.ravel(), None if whole else np.flatnonzero(there.ravel()))
+        flat, n = _outputs(hidden, places), len(places)
+        share = flat @ net.group_all
+        self.loss += _soft(share, group, n)
         pull = share @ net.group.T
-        dgroup, dgroup_bias = flat.T @ share, share.sum(0)
-        dword, dword_bias = np.zeros_like(net.word), np.zeros_like(net.word_bias)
-        for g, places in _by_group(goal):
-            mine = flat[places]
-            part = mine @ net.word[g]
-            part += net.word_bias[g]
-            self.loss += _soft(part, goal[places] % WIDTH)
-            part /= n
-            pull[places] += part @ net.word[g].T
-            np.matmul(mine.T, part, out=dword[g])
-            np.matmul(np.ones(len(part), np.float32), part, out=dword_bias[g])
-        self._step("word", dword)
-        self._step("word_bias", dword_bias)
-        self._step("group", dgroup)
-        self._step("group_bias", dgroup_bias)
-        if whole:
-            above = pull
-        else:
-            above = np.zeros((steps * live, h), np.float32)
-            above[inside] = pull
+        dgroup, dword = flat.T @ share, np.zeros_like(net.word_all)
+        if groups:
+            part = _inside(net, flat, groups)
+            self.loss += _soft(part, goal[: len(part)] % WIDTH, n)
+            back = np.empty((len(part), h), np.float32)
+            for g, a, b in groups:
+                np.matmul(part[a:b], net.word[g].T, out=back[a:b])
+                np.matmul(flat[a:b].T, part[a:b], out=dword[g])
+            pull[: len(part)] += back
+        self._step("word_all", dword)
+        self._step("group_all", dgroup)
+        above = (np.empty if whole else np.zeros)((steps * live, h), np.float32)
+        above[places] = pull
         above = above.reshape(steps, live, h)
         # Slopes that do not depend on what comes back from later steps.
-        reset, keep = np.ascontiguousarray(gates[:, :, :h]), np.ascontiguousarray(gates[:, :, h:])
+        reset, keep, sums = s
         rest = 1 - keep
         by_keep = was - fill
         by_keep *= keep
@@ -319,9 +361,10 @@ class Trainer:
         by_reset = np.subtract(1, reset, out=rest)
         by_reset *= reset
         by_reset *= sums
-        dreset, dkeep, dfill, dsum = (np.empty((steps, live, h), np.float32) for _ in range(4))
-        back_reset, back_keep, back_fill = (np.ascontiguousarray(net.recur[:, k * h: (k + 1) * h].T) for k in range(3))
-        d, made = np.zeros((live, h), np.float32), np.empty((live, h), np.float32)
+        slopes, dfill = self._array("slopes", 3, steps, live, h), self._array("dfill", steps, live, h)
+        dreset, dkeep, dsum = slopes
+        back = net.recur.reshape(h, 3, h).transpose(1, 2, 0).copy()
+        d, made = np.zeros((live, h), np.float32), np.empty((3, live, h), np.float32)
         for t in range(steps - 1, -1, -1):
             d += above[t]
             np.multiply(d, by_fill[t], out=dfill[t])
@@ -329,17 +372,18 @@ class Trainer:
             np.multiply(dfill[t], reset[t], out=dsum[t])
             np.multiply(d, by_keep[t], out=dkeep[t])
             d *= keep[t]
-            for slope, back in ((dreset, back_reset), (dkeep, back_keep), (dsum, back_fill)):
-                d += np.matmul(slope[t], back, out=made)
+            np.matmul(slopes[:, t], back, out=made)
+            for more in made:
+                d += more
             if any_begins[t]:
                 d[begins[t]] = 0
-        into = np.concatenate([x.reshape(-1, h) for x in (dreset, dkeep, dfill)], 1)
         states = was.reshape(-1, h).T
-        drecur = np.concatenate([states @ x.reshape(-1, h) for x in (dreset, dkeep, dsum)], 1)
+        drecur = np.concatenate([states @ x.reshape(-1, h) for x in slopes], 1)
         self._step("recur", np.clip(drecur, -1, 1))
+        into = np.concatenate([x.reshape(-1, h) for x in (dreset, dkeep, dfill)], 1)
         codes_in = before.ravel()
         if not whole:
-            codes_in, into = codes_in[inside], into[inside]
+            codes_in, into = codes_in[there.ravel()], into[there.ravel()]
         rows, denter = _sums(codes_in, into)
         self._step("enter", denter, rows)
         self.tokens += n

@@ -166,6 +166,66 @@ def test_training_learns_order_beyond_a_window():
     assert gru.score(net, codes, sizes).sum() > 0.25 * before  # log probabilities are negative
 
 
+def test_a_window_takes_one_softmax_for_all_groups(monkeypatch):
+    """Each softmax runs over all words of a window at once, whatever the
+    number of their groups (one call per group took a quarter of the time)."""
+    calls = {"_soft": 0, "_picked": 0}
+
+    def spied(name, original):
+        def run(*args):
+            calls[name] += 1
+            return original(*args)
+        return run
+
+    for name in calls:
+        monkeypatch.setattr(gru, name, spied(name, getattr(gru, name)))
+    codes = np.tile(np.arange(0, gru.HEAD + language_model.TAIL, 7), 4).astype(np.uint16)  # all groups, and rarer classes
+    sizes = np.full(40, len(codes) // 40)
+    codes = codes[: sizes.sum()]
+    gru.score(_network(), codes, sizes)
+    assert calls["_picked"] == 2 * -(-int(sizes[0]) // gru.SCORE_WINDOW)
+    _, tokens = gru.train(_network(), codes, sizes)
+    longest = int(sizes[0]) * -(-len(sizes) // gru.TRAIN_LANES[0])
+    assert tokens == len(codes) and calls["_soft"] == 2 * -(-longest // gru.TRAIN_WINDOW)
+
+
+def test_slopes_equal_differences_of_a_plain_loop(monkeypatch):
+    """The slopes of one window, lanes of unequal length among them, against
+    the loss of a plain loop with a single weight moved."""
+    rng, net, found = np.random.default_rng(7), _network(), {}
+    sizes = np.array([9, 1, 14, 5, 3] + [6] * 30)
+    codes = rng.integers(0, gru.HEAD + language_model.TAIL, sizes.sum()).astype(np.uint16)
+    codes[rng.integers(0, len(codes), 60)] = rng.integers(0, 3 * gru.WIDTH, 60)  # some codes occur often
+    first = np.cumsum(sizes) - sizes
+
+    def keep(self, name, grad, rows=None):
+        found[name] = (grad.copy(), rows)
+
+    monkeypatch.setattr(gru.Trainer, "_step", keep)
+    loss, tokens = gru.train(net, codes, sizes)
+    texts = [codes[a: a + n].tolist() for a, n in zip(first, sizes)]
+
+    def mean():
+        return -sum(_plain(net, t) for t in texts) / len(codes)
+
+    assert tokens == len(codes) and loss / tokens == pytest.approx(mean(), rel=1e-4)
+    denter, rows = found["enter"]
+    slopes = {"recur": found["recur"][0], "group": found["group_all"][0][: gru.HIDDEN], "group_bias": found["group_all"][0][gru.HIDDEN],
+              "word": found["word_all"][0][:, : gru.HIDDEN], "word_bias": found["word_all"][0][:, gru.HIDDEN], "enter": np.zeros_like(net.enter)}
+    slopes["enter"][rows] = denter
+    for name, slope in slopes.items():
+        values = getattr(net, name)
+        largest = np.argsort(-np.abs(slope).ravel())[:200]
+        for at in [np.unravel_index(i, slope.shape) for i in rng.choice(largest, 4, replace=False)]:
+            kept = values[at]
+            values[at] = kept + np.float32(0.01)
+            more, up = mean(), float(values[at])
+            values[at] = kept - np.float32(0.01)
+            less, down = mean(), float(values[at])
+            values[at] = kept
+            assert slope[at] == pytest.approx((more - less) / (up - down), rel=0.02, abs=2e-6)
+
+
 def test_sums_of_rows_by_code():
     rng = np.random.default_rng(11)
     for codes in (rng.integers(0, 40, 3000), (rng.pareto(0.6, 3000) * 3).astype(np.int64).clip(0, 2000), np.arange(5), np.zeros(30, np.int64)):
