@@ -27,8 +27,8 @@ counts as the empty string in the split; repeated rows and ids are rows of
 their own; without training rows every count is 0; an empty table gives no
 rows; texts of any length are scored whole; extra columns are ignored.
 Scores of given parameters agree but for the last digits.  Training in float32
-carries such digits on, so parameters, and ``score`` with them, change a little
-from run to run (the order of chunks is not fixed); all else is exact.
+carries such digits on, so parameters, and ``score`` with them, may differ
+between runs (the order of chunks is not fixed); all else is exact.
 """
 
 from __future__ import annotations
